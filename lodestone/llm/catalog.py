@@ -1,0 +1,47 @@
+"""The queries of this subpackage: each applies its operator, with production parameters, to its whole table."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm.exact_topk import exact_topk
+from lodestone.llm.prefix_forest import forest_search
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_exact_topk, op5_prefix_forest)}
+
+#: Cosines differ in their last bits between engines, so op5 has no SQL; its recall is tested against brute force.
+ORACLES: dict[str, str] = {
+    "op4_exact_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS z
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.z, c.z) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.z) = len(q.z)
+  WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+}
