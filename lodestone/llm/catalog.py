@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.exact_topk import exact_topk
+from lodestone.llm.html_text import extract_html
 from lodestone.llm.prefix_forest import forest_search
+from lodestone.llm.simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
@@ -25,7 +31,11 @@ def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest_search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_exact_topk, op5_prefix_forest)}
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_html(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash_near_dedup, op4_exact_topk, op5_prefix_forest, op8_html_extraction)}
 
 #: Cosines differ in their last bits between engines, so op5 has no SQL; its recall is tested against brute force.
 ORACLES: dict[str, str] = {
