@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.exact_topk import exact_topk
 from lodestone.llm.html_text import extract_html
 from lodestone.llm.prefix_forest import forest_search
+from lodestone.llm.sentencepieces import encode_documents
 from lodestone.llm.simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_html(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash_near_dedup, op4_exact_topk, op5_prefix_forest, op8_html_extraction)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash_near_dedup, op4_exact_topk, op5_prefix_forest, op8_html_extraction)}
 
 #: Cosines differ in their last bits between engines, so op5 has no SQL; its recall is tested against brute force.
 ORACLES: dict[str, str] = {
