@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.exact_topk import exact_topk
 from lodestone.llm.html_text import extract_html
 from lodestone.llm.prefix_forest import forest_search
+from lodestone.llm.secrets import secret_spans
 from lodestone.llm.sentencepieces import encode_documents
 from lodestone.llm.simhash import near_duplicates
 
@@ -40,7 +41,11 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_html(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash_near_dedup, op4_exact_topk, op5_prefix_forest, op8_html_extraction)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash_near_dedup, op4_exact_topk, op5_prefix_forest, op8_html_extraction, op10_secret_scan)}
 
 #: Cosines differ in their last bits between engines, so op5 has no SQL; its recall is tested against brute force.
 ORACLES: dict[str, str] = {
