@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.exact_topk import exact_topk
 from lodestone.llm.html_text import extract_html
+from lodestone.llm.pii import pii_spans
 from lodestone.llm.prefix_forest import forest_search
 from lodestone.llm.secrets import secret_spans
 from lodestone.llm.sentencepieces import encode_documents
@@ -29,6 +30,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
@@ -45,7 +50,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash_near_dedup, op4_exact_topk, op5_prefix_forest, op8_html_extraction, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash_near_dedup, op3_pii, op4_exact_topk, op5_prefix_forest, op8_html_extraction, op10_secret_scan)}
 
 #: Cosines differ in their last bits between engines, so op5 has no SQL; its recall is tested against brute force.
 ORACLES: dict[str, str] = {
