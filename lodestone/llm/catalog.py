@@ -14,6 +14,7 @@ from lodestone.llm.prefix_forest import forest_search
 from lodestone.llm.secrets import secret_spans
 from lodestone.llm.sentencepieces import encode_documents
 from lodestone.llm.simhash import near_duplicates
+from lodestone.llm.toxicity import score_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +43,10 @@ def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest_search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_html(table(spark, sf_dir, "pages"))
 
@@ -50,7 +55,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash_near_dedup, op3_pii, op4_exact_topk, op5_prefix_forest, op8_html_extraction, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash_near_dedup, op3_pii, op4_exact_topk, op5_prefix_forest, op7_toxicity, op8_html_extraction, op10_secret_scan)}
 
 #: Cosines differ in their last bits between engines, so op5 has no SQL; its recall is tested against brute force.
 ORACLES: dict[str, str] = {
