@@ -110,17 +110,16 @@ def term_counts(documents: DataFrame) -> DataFrame:
 def revealing(documents: DataFrame, scanned: DataFrame, threshold: float = GENERALISE) -> DataFrame:
     """(entity, term, share): terms that disclose at least `threshold` of an entity's information, from pairs that at
     least LEAST_TOGETHER rows hold."""
-    n = scanned.agg(F.count(F.lit(1)).alias("n"))
+    n = scanned.count()
     pairs = scanned.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p"))
     together = pairs.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= LEAST_TOGETHER)
     entities = scanned.select(F.explode(F.array_distinct(F.transform("base", lambda x: F.concat_ws(":", F.get(F.array(*map(F.lit, KINDS)), x["kind"]), x["text"])))).alias("who"))
     owners = entities.groupBy("who").agg(F.count(F.lit(1)).alias("owners"))
-    share = F.log(F.col("both") * F.col("n") / (F.col("owners") * F.col("holders"))) / F.log(F.col("n") / F.col("owners"))
+    share = F.log(F.col("both") * F.lit(float(n)) / (F.col("owners") * F.col("holders"))) / F.log(F.lit(float(n)) / F.col("owners"))
     return (
         together.join(owners, F.col("entity") == F.col("who"))
         .join(term_counts(documents), F.col("term") == F.col("word"))
-        .join(F.broadcast(n))  # one row
-        .where(F.col("owners") < F.col("n"))
+        .where(F.col("owners") < n)
         .select("entity", "term", share.alias("share"))
         .where(F.col("share") >= threshold)
     )
