@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.exact_topk import exact_topk
 from lodestone.llm.html_text import extract_html
+from lodestone.llm.mixing import label_domains, mixing_rates
 from lodestone.llm.pii import pii_spans
 from lodestone.llm.prefix_forest import forest_search
 from lodestone.llm.secrets import secret_spans
@@ -16,6 +17,9 @@ from lodestone.llm.sentencepieces import encode_documents
 from lodestone.llm.simhash import near_duplicates
 from lodestone.llm.toxicity import score_documents
 
+#: Token shares of the labelled domains: quality 0 or 1, toxic 0 or 1.
+MIX_TARGETS = {"q1t0": 0.82, "q0t0": 0.10, "q1t1": 0.06, "q0t1": 0.02}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -51,11 +55,15 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_html(table(spark, sf_dir, "pages"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIX_TARGETS)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash_near_dedup, op3_pii, op4_exact_topk, op5_prefix_forest, op7_toxicity, op8_html_extraction, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash_near_dedup, op3_pii, op4_exact_topk, op5_prefix_forest, op7_toxicity, op8_html_extraction, op9_mixing, op10_secret_scan)}
 
 #: Cosines differ in their last bits between engines, so op5 has no SQL; its recall is tested against brute force.
 ORACLES: dict[str, str] = {

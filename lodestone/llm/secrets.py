@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import settle
-from lodestone.llm.spans import SPAN, by_start, let, p_above, shown, spans_of, upper_tail
+from lodestone.llm.spans import SPAN, by_start, let, masked, p_above, shown, spans_of, upper_tail
 
 KINDS = ["assign", "access", "hex", "random"]
 # The base patterns. Letters of a keyword are matched in either case, ASCII only.
@@ -84,23 +84,22 @@ def _verdict(a: Column, n: Column, sums: Column) -> Column:
     return F.struct(p_noise.alias("p_noise"), F.least(bins, F.lit(TOP)).cast("int").alias("bin"))
 
 
-def scan(documents: DataFrame, rate: float = RATE) -> DataFrame:
-    """One row per row of `documents` (doc_id, text): doc_id, base and added (arrays of kind, start, end, text).
+def _judged(documents: DataFrame, *kept: Column) -> DataFrame:
+    """`kept` columns of each row, with base (spans of the fixed patterns) and tokens (span and battery results)."""
+    names = [f"kept_{i}" for i in range(len(kept))]
+    rows = documents.select(*[c.alias(n) for c, n in zip(kept, names)], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    none, blank = F.array().cast(SPAN), F.array().cast("array<string>")
+
+    def matches(pattern: str) -> Column:
+        return F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
 
-    kind counts KINDS; positions are code points, end exclusive. base holds the fixed patterns' findings, added the
-    tokens that the battery finds and that no base span touches. Null and empty texts have none; repeated rows are
-    scanned as often as they come; an empty table gives no rows; other columns are not read. Tokens are judged
-    against all tokens of all rows; what reaches the driver is one threshold for each of five length classes."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
     found = rows.select(
-        "doc_id", "t",
-        F.when(F.contains("t", F.lit(":")) | F.contains("t", F.lit("=")), F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("m_assign"),
-        F.when(F.contains("t", F.lit("AKIA")), F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("m_access"),
-        F.regexp_extract_all("t", F.lit(HEX), F.lit(0)).alias("m_hex"),
-        F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)).alias("m_token"),
+        *names, "t",
+        F.when(F.contains("t", F.lit(":")) | F.contains("t", F.lit("=")), matches(ASSIGN)).otherwise(blank).alias("m_assign"),
+        F.when(F.contains("t", F.lit("AKIA")), matches(ACCESS)).otherwise(blank).alias("m_access"),
+        matches(HEX).alias("m_hex"),
+        matches(TOKEN).alias("m_token"),
     )
-    none = F.array().cast(SPAN)
 
     def spans(kind: int, name: str, pattern: str) -> Column:
         return F.when(F.size(name) > 0, spans_of(kind, F.split("t", pattern, -1), F.col(name))).otherwise(none)
@@ -110,22 +109,48 @@ def scan(documents: DataFrame, rate: float = RATE) -> DataFrame:
         spans(1, "m_access", ACCESS),
         spans(2, "m_hex", HEX),
     )
-    odd = F.exists("m_token", lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]"))
-    tokens = F.when(odd, F.filter(spans(3, "m_token", TOKEN), lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]"))).otherwise(none)
-    held = found.select("doc_id", by_start(base).alias("base"), tokens.alias("tokens"))
-    scored = settle(held.select("doc_id", "base", F.transform("tokens", lambda x: F.struct(x.alias("span"), _battery(x["text"]).alias("test"))).alias("tokens")), "secrets")
+    mixed = lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]")
+    tokens = F.when(F.exists("m_token", mixed), F.filter(spans(3, "m_token", TOKEN), lambda x: mixed(x["text"]))).otherwise(none)
+    held = found.select(*names, by_start(base).alias("base"), tokens.alias("tokens"))
+    return held.select(*names, "base", F.transform("tokens", lambda x: F.struct(x.alias("span"), _battery(x["text"]).alias("test"))).alias("tokens"))
+
 
+def _limits(judged: DataFrame, rate: float) -> list[int]:
+    """The least bin of a finding for each length class."""
     size = F.col("token.span.end") - F.col("token.span.start")
-    counts = scored.select(F.explode("tokens").alias("token")).groupBy(_by_length(size, range(len(LENGTHS))).alias("length_class"), F.col("token.test.bin").alias("bin")).count()
+    counts = judged.select(F.explode("tokens").alias("token")).groupBy(_by_length(size, range(len(LENGTHS))).alias("length_class"), F.col("token.test.bin").alias("bin")).count()
     cuts = _thresholds(counts, rate)
-    limits = [cuts.get(i, TOP + 1) for i in range(len(LENGTHS))]
+    return [cuts.get(i, TOP + 1) for i in range(len(LENGTHS))]
+
+
+def _added(limits: list[int]) -> Column:
     good = F.filter(
         "tokens",
         lambda x: (x["test"]["bin"] >= _by_length(x["span"]["end"] - x["span"]["start"], limits))
         & (x["test"]["p_noise"] >= REJECT)
         & ~F.exists("base", lambda b: (b["start"] < x["span"]["end"]) & (x["span"]["start"] < b["end"])),
     )
-    return scored.select("doc_id", "base", F.transform(good, lambda x: x["span"]).alias("added"))
+    return F.transform(good, lambda x: x["span"])
+
+
+def scan(documents: DataFrame, rate: float = RATE) -> DataFrame:
+    """One row per row of `documents` (doc_id, text): doc_id, base and added (arrays of kind, start, end, text).
+
+    kind counts KINDS; positions are code points, end exclusive. base holds the fixed patterns' findings, added the
+    tokens that the battery finds and that no base span touches. Null and empty texts have none; repeated rows are
+    scanned as often as they come; an empty table gives no rows; other columns are not read. Tokens are judged
+    against all tokens of all rows; what reaches the driver is one threshold for each of five length classes."""
+    judged = settle(_judged(documents, F.col("doc_id").cast("long")), "secrets")
+    return judged.select(F.col("kept_0").alias("doc_id"), "base", _added(_limits(judged, rate)).alias("added"))
+
+
+def redact(documents: DataFrame, rate: float = RATE) -> DataFrame:
+    """The rows of `documents`, with all their columns, and each finding in text replaced by [SECRET]."""
+    judged = settle(_judged(documents).select("tokens").where(F.size("tokens") > 0), "secrets-tokens")
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    spans = _judged(documents, whole).select("kept_0", F.concat("base", _added(_limits(judged, rate))).alias("spans"))
+    text = masked(F.col("kept_0.text"), F.col("spans"), lambda _: F.lit("[SECRET]"))
+    return spans.select(*[text.alias("text") if c == "text" else F.col("kept_0").getField(c).alias(c) for c in documents.columns])
 
 
 def _by_length(size: Column, values) -> Column:

@@ -203,3 +203,17 @@ def near_duplicates(documents: DataFrame, split: int = SPLIT) -> DataFrame:
     out = fps.join(named, F.col("fp") == F.col("key"), "left")
     least = F.when(F.col("least") != _NO_ID, F.col("least"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), least.alias("component_id"))
+
+
+def keep_first(documents: DataFrame, split: int = SPLIT) -> DataFrame:
+    """The rows of `documents` whose doc_id is their component's smallest, with all their columns. A row that comes
+    more than once with one id and text stays once. Rows without a doc_id stay."""
+    named = near_duplicates(documents, split).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    first = settle(named.select(F.col("doc_id").alias("kept_id"), "times"), "simhash-first")
+    key = F.col("doc_id").cast("long")
+    once = first.where("times = 1")
+    out = documents.join(once, key == F.col("kept_id"), "left_semi").unionByName(documents.where(key.isNull()))
+    more = first.where("times > 1")
+    if not more.isEmpty():
+        out = out.unionByName(documents.join(more, key == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out

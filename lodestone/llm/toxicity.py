@@ -218,3 +218,17 @@ def score_documents(documents: DataFrame, labels: DataFrame, most: int = MAX_LAB
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return rows.mapInArrow(_batches(held, False), "doc_id long, score double").select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
+    """The rows of `documents` that score under 0.5, with all their columns."""
+    held = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, most))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            scores = [held.value.score(t) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([x < 0.5 for x in scores], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
