@@ -15,6 +15,7 @@ from lodestone.llm.prefix_forest import forest_search
 from lodestone.llm.secrets import secret_spans
 from lodestone.llm.sentencepieces import encode_documents
 from lodestone.llm.simhash import near_duplicates
+from lodestone.llm.suffix_dedup import repeated_passages
 from lodestone.llm.toxicity import score_documents
 
 #: Token shares of the labelled domains: quality 0 or 1, toxic 0 or 1.
@@ -47,6 +48,10 @@ def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest_search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,7 +68,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash_near_dedup, op3_pii, op4_exact_topk, op5_prefix_forest, op7_toxicity, op8_html_extraction, op9_mixing, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash_near_dedup, op3_pii, op4_exact_topk, op5_prefix_forest, op6_suffix_dedup, op7_toxicity, op8_html_extraction, op9_mixing, op10_secret_scan)}
 
 #: Cosines differ in their last bits between engines, so op5 has no SQL; its recall is tested against brute force.
 ORACLES: dict[str, str] = {
