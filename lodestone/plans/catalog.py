@@ -2,6 +2,498 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import paths as P
+from lodestone.functions import text as T
+from lodestone.operators import chunks, graph, quality, retrieval, review, rules, security, symbols
+from lodestone.plans import corpora as C
+from lodestone.plans.corpora import literal, read
+from lodestone.sources import tree
+from lodestone.streaming import webhook
+
 FLAGSHIP = "security_health_by_document"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- SQL parts -------------------------------------------------------------------------------------------------------
+
+STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_SPECIAL = {
+    "Unsafe Deserialization — PyYAML": r"(regexp_matches({0}, 'yaml\.(load|unsafe_load)\s*\(') AND NOT regexp_matches({0}, 'yaml\.(load|unsafe_load)\s*\(.*Loader\s*=\s*(SafeLoader|yaml\.SafeLoader)'))",
+    "Weak Cryptography — Deprecated Algorithm": r"regexp_matches({0}, '(?i)(DES|Blowfish|RC4|RC2)([^\p{{L}}\p{{N}}_]|$)')",
+    "Insecure HTTP — Plaintext URL": r"(len(regexp_extract_all({0}, 'http://')) > len(regexp_extract_all({0}, 'http://(localhost|127\.0\.0\.1|0\.0\.0\.0)')))",
+}
+
+
+def rule_sql(rule: rules.Rule, line: str) -> str:
+    return _SPECIAL[rule.type].format(line) if rule.type in _SPECIAL else f"regexp_matches({line}, {literal(rule.pattern)})"
+
+
+_RULES = ", ".join(f"({i}, {literal(r.type)}, {literal(r.severity)}, {literal(r.cwe)}, {rules.SEVERITY_ORDER[r.severity]}, {rules.DEDUCTIONS[r.severity]})" for i, r in enumerate(rules.SECURITY_RULES))
+_WHEN = " ".join(f"WHEN {i} THEN {rule_sql(r, 'l.line')}" for i, r in enumerate(rules.SECURITY_RULES))
+
+
+def findings_sql(source: str) -> str:
+    """CTE `findings` from a relation (file, pos, line)."""
+    return f"""rules(rule, type, severity, cwe, sev_order, ded) AS (VALUES {_RULES}),
+bare AS (SELECT file, pos, line, {STRIP.format('line')} AS bare FROM {source}),
+findings AS (
+  SELECT l.file, l.pos + 1 AS line, r.rule, r.type, r.severity, r.cwe, r.sev_order, r.ded, substr(l.bare, 1, 120) AS evidence
+  FROM bare l, rules r
+  WHERE l.bare <> '' AND NOT starts_with(l.bare, '#') AND NOT starts_with(l.bare, '//') AND CASE r.rule {_WHEN} END)"""
+
+
+DOC_LINES = "doc_lines AS (SELECT doc_id AS file, unnest(range(len(p))) AS pos, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))"
+
+
+def values_sql(columns: str, rows) -> str:
+    cell = lambda v: "NULL" if v is None else ("TRUE" if v is True else "FALSE" if v is False else literal(v) if isinstance(v, str) else str(v))
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+# --- security --------------------------------------------------------------------------------------------------------
+
+
+def _documents(spark, sf_dir, where=None):
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return d if where is None else d.where(where)
+
+
+@query(
+    f"""WITH {DOC_LINES}, {findings_sql('doc_lines')}
+SELECT d.doc_id, CAST(count(f.type) AS BIGINT) AS total_findings, CAST(count(f.type) FILTER (f.severity = 'CRITICAL') AS BIGINT) AS critical,
+  CAST(count(f.type) FILTER (f.severity = 'HIGH') AS BIGINT) AS high, CAST(count(f.type) FILTER (f.severity = 'MEDIUM') AS BIGINT) AS medium,
+  CAST(count(f.type) FILTER (f.severity = 'LOW') AS BIGINT) AS low, CAST(count(f.type) FILTER (f.severity = 'INFO') AS BIGINT) AS info,
+  greatest(0.0::DOUBLE, round(100.0::DOUBLE - CAST(coalesce(sum(f.ded), 0) AS DOUBLE), 1)) AS health_score
+FROM documents d LEFT JOIN findings f ON f.file = d.doc_id GROUP BY d.doc_id"""
+)
+def security_health_by_document(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return security.health(docs, security.findings(docs, "doc_id", "text"), "doc_id")
+
+
+@query(f"WITH {C.CODE_LINES}, {findings_sql('code_lines')} SELECT file, CAST(line AS INTEGER) AS line, type, severity, cwe, evidence, CAST(sev_order AS INTEGER) AS severity_order, CAST(rule AS INTEGER) AS rule FROM findings")
+def security_findings_lines(spark, sf_dir):
+    found = security.findings(C.code_files(spark, sf_dir), "file", "code")
+    return found.select("file", "line", "type", "severity", "cwe", "evidence", "severity_order", "rule")
+
+
+@query(f"WITH {C.CODE_LINES}, {findings_sql('code_lines')} SELECT file, severity, CAST(count(*) AS BIGINT) AS findings FROM findings GROUP BY file, severity")
+def security_severity_rollup(spark, sf_dir):
+    return security.findings(C.code_files(spark, sf_dir), "file", "code").groupBy("file", "severity").agg(F.count(F.lit(1)).alias("findings"))
+
+
+@query(
+    f"""WITH {C.CODE_LINES}, {findings_sql('code_lines')}, u AS (SELECT count(*) AS n, 'security' AS category FROM findings)
+SELECT category, CAST(n AS BIGINT) AS findings FROM u UNION ALL
+SELECT 'code_quality', CAST(count(*) AS BIGINT) FROM bare WHERE bare <> '' AND (length(replace(line, chr(9), '    ')) - length(regexp_replace(replace(line, chr(9), '    '), '^\\s+', ''))) // 4 > 5"""
+)
+def security_category_rollup(spark, sf_dir):
+    files = C.code_files(spark, sf_dir)
+    both = security.findings(files, "file", "code").select("category").unionByName(quality.deep_nesting(files, "file", "code").select(F.lit("code_quality").alias("category")))
+    return both.groupBy("category").agg(F.count(F.lit(1)).alias("findings"))
+
+
+@query(f"SELECT page_id, url FROM pages WHERE {_SPECIAL['Insecure HTTP — Plaintext URL'].format('url')}")
+def insecure_url_pages(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", "url").where(rules.found(F.col("url"), rules.SECURITY_RULES[23].pattern))
+
+
+@query(f"WITH {DOC_LINES}, {findings_sql('doc_lines')} SELECT file AS doc_id, CAST(line AS INTEGER) AS line FROM findings WHERE rule = 3")
+def hardcoded_token_documents(spark, sf_dir):
+    return security.findings(_documents(spark, sf_dir), "doc_id", "text").where("rule = 3").select("doc_id", "line")
+
+
+@query(f"WITH {DOC_LINES}, {findings_sql('doc_lines')} SELECT d.lang, CAST(count(*) AS BIGINT) AS findings, CAST(count(DISTINCT f.file) AS BIGINT) AS documents FROM findings f JOIN documents d ON d.doc_id = f.file WHERE f.rule = 20 GROUP BY d.lang")
+def weak_crypto_by_language(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    found = security.findings(docs, "doc_id", "text").where("rule = 20").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.sum("n").alias("findings"), F.count(F.lit(1)).alias("documents"))
+
+
+# --- files -----------------------------------------------------------------------------------------------------------
+
+_SUFFIX = r"lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+(\.[^.]+)$', 1))"
+_LANG = f"CASE WHEN lower(regexp_extract(path, '[^/]*$')) IN ({', '.join(map(literal, P.DOCKER_NAMES))}) THEN 'dockerfile' ELSE CASE {_SUFFIX} {' '.join(f'WHEN {literal(k)} THEN {literal(v)}' for k, v in P.LANGUAGES.items())} END END"
+_IGNORED = f"len(list_filter(string_split(path, '/')[1:-2], lambda x: x IN ({', '.join(map(literal, P.IGNORED_DIRS))}) OR starts_with(x, '.'))) > 0"
+_BINARY = f"{_SUFFIX} IN ({', '.join(map(literal, P.BINARY_SUFFIXES))})"
+
+
+@query(f"WITH {C.PATHS} SELECT coalesce({_LANG}, 'unknown') AS language, CAST(count(*) AS BIGINT) AS files FROM paths GROUP BY 1")
+def language_histogram(spark, sf_dir):
+    return tree.histogram(C.paths(spark, sf_dir).withColumn("language", P.language(F.col("path"))))
+
+
+@query(f"WITH {C.PATHS} SELECT k, path, {_LANG} AS language FROM paths WHERE {_LANG} IS NOT NULL")
+def source_file_filter(spark, sf_dir):
+    return tree.source_files(C.paths(spark, sf_dir).select("k", "path", P.language(F.col("path")).alias("language")))
+
+
+@query(f"WITH {C.PATHS} SELECT k, path FROM paths WHERE NOT ({_IGNORED}) AND NOT ({_BINARY})")
+def ignored_and_binary_filter(spark, sf_dir):
+    p = F.col("path")
+    return C.paths(spark, sf_dir).select("k", "path").where(~P.in_ignored_dir(p) & ~P.is_binary(p))
+
+
+@query("SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END AS BIGINT) AS line_count, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS INTEGER) AS size_bytes FROM documents")
+def file_manifest(spark, sf_dir):
+    raw = read(spark, sf_dir, "documents").select("doc_id", F.format_string("d%d.txt", "doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return tree.with_facts(raw).select("doc_id", "line_count", "sha256", F.octet_length("content").alias("size_bytes"))
+
+
+@query(f"WITH {C.PATHS} SELECT k, CASE WHEN ends_with(path, '.py') THEN replace(left(path, length(path) - 3), '/', '.') END AS strict, replace(CASE WHEN ends_with(path, '.py') THEN left(path, length(path) - 3) ELSE path END, '/', '.') AS lenient FROM paths")
+def module_names(spark, sf_dir):
+    return C.paths(spark, sf_dir).select("k", T.module_strict(F.col("path")).alias("strict"), T.module_lenient(F.col("path")).alias("lenient"))
+
+
+# --- quality ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {C.CODE_LINES}, b AS (
+  SELECT file, pos, line, {STRIP.format('line')} AS bare, length(line) - length(regexp_replace(line, '^\\s+', '')) AS ind FROM code_lines),
+n AS (SELECT *, lead(pos) OVER w AS np, lead(bare) OVER w AS nb, lead(ind) OVER w AS ni FROM b WHERE bare <> '' AND NOT starts_with(bare, '#') AND NOT starts_with(bare, '//') WINDOW w AS (PARTITION BY file ORDER BY pos))
+SELECT file, CAST(np + 1 AS INTEGER) AS line, substr(nb, 1, 100) AS evidence FROM n WHERE regexp_matches(bare, '^(return|raise|break|continue)\\b') AND ni > ind"""
+)
+def unreachable_code(spark, sf_dir):
+    return quality.unreachable(C.code_files(spark, sf_dir), "file", "code").select("file", "line", "evidence")
+
+
+@query(f"WITH {C.CODE_LINES}, d AS (SELECT file, pos + 1 AS line, {STRIP.format('line')} AS bare, CAST((length(line) - length(regexp_replace(line, '^\\s+', ''))) // 4 AS INTEGER) AS depth FROM code_lines) SELECT file, CAST(line AS INTEGER) AS line, depth FROM d WHERE bare <> '' AND depth > 2")
+def deep_nesting(spark, sf_dir):
+    return quality.deep_nesting(C.code_files(spark, sf_dir), "file", "code", 2).select("file", "line", "depth")
+
+
+_JS = "function outer(a) {\n  one();\n  function inner() {\n    two();\n  }\n  three();\n}\npublic static void f() {\n  a;\n\n// note\n}\nfunc g() {}\n"
+
+
+@query(values_sql("file, line, name, length", [("w.js", 1, "outer", 6), ("w.js", 8, "static", 4)]))
+def long_functions_heuristic(spark, sf_dir):
+    files = spark.createDataFrame([("w.js", _JS)], "file string, code string")
+    return quality.long_functions_heuristic(files, "file", "code", 3).select("file", "line", "name", "length")
+
+
+def _parsed(spark):
+    return symbols.analyze(C.snippets(spark))
+
+
+_FUNCTIONS = [
+    ("pkg/a.py", "Bad_Name", "x", "", None, "Says.", 24, 27, False, False),
+    ("pkg/a.py", "size", "self", "property", "int", None, 14, 15, True, False),
+    ("pkg/a.py", "load", "self,path", "", None, None, 17, 21, True, True),
+    ("pkg/b.py", "run", "a,b", "staticmethod", None, None, 6, 12, False, False),
+    ("pkg/b.py", "stop", "", "", None, None, 15, 18, False, False),
+    ("pkg/b.py", "inner", "", "", None, None, 16, 17, False, False),
+]
+
+
+@query(values_sql("path, name, args, decorators, return_annotation, docstring, start_line, end_line, is_method, is_async", _FUNCTIONS))
+def python_functions(spark, sf_dir):
+    f = symbols.symbols(_parsed(spark), "functions")
+    return f.select("path", "name", F.array_join("args", ",").alias("args"), F.array_join("decorators", ",").alias("decorators"), "return_annotation", "docstring", "start_line", "end_line", "is_method", "is_async")
+
+
+@query(values_sql("path, name, bases, methods, docstring, start_line, end_line", [("pkg/a.py", "Base", "object", "size,load", "Doc.", 10, 21), ("pkg/b.py", "_low", "B,Other", "", None, 21, 22)]))
+def python_classes(spark, sf_dir):
+    c = symbols.symbols(_parsed(spark), "classes")
+    return c.select("path", "name", F.array_join("bases", ",").alias("bases"), F.array_join("methods", ",").alias("methods"), "docstring", "start_line", "end_line")
+
+
+_IMPORTS = [
+    ("pkg/a.py", "os", "os", None, False, 1), ("pkg/a.py", "sys", "sys", "system", False, 1), ("pkg/a.py", "pkg.b", "run,stop", None, True, 2), ("pkg/a.py", None, "x", None, True, 3),
+    ("pkg/b.py", "json", "json", None, False, 1), ("pkg/b.py", "pkg.a", "Base", None, True, 2),
+]
+
+
+@query(values_sql("path, module, names, alias, is_from_import, line", _IMPORTS))
+def python_imports(spark, sf_dir):
+    return symbols.symbols(_parsed(spark), "imports").select("path", "module", F.array_join("names", ",").alias("names"), "alias", "is_from_import", "line")
+
+
+@query(values_sql("path, name, annotation, line, is_constant", [("pkg/a.py", "LIMIT", None, 5, True), ("pkg/a.py", "name", "str", 6, False), ("pkg/a.py", "a", None, 7, False), ("pkg/a.py", "b", None, 7, False)]))
+def python_variables(spark, sf_dir):
+    return symbols.symbols(_parsed(spark), "variables").select("path", "name", "annotation", "line", "is_constant")
+
+
+@query(values_sql("path, name, complexity", [("pkg/a.py", "Bad_Name", 1), ("pkg/a.py", "size", 0), ("pkg/a.py", "load", 4), ("pkg/b.py", "run", 8), ("pkg/b.py", "stop", 1), ("pkg/b.py", "inner", 0)]))
+def cognitive_complexity(spark, sf_dir):
+    return symbols.symbols(_parsed(spark), "functions").select("path", "name", "complexity")
+
+
+@query(values_sql("path, line, name, kind", [("pkg/a.py", 24, "Bad_Name", "function"), ("pkg/b.py", 21, "_low", "class")]))
+def naming_violations(spark, sf_dir):
+    p = _parsed(spark)
+    return quality.naming(symbols.symbols(p, "functions"), symbols.symbols(p, "classes"), "path").select("path", "line", "name", "kind")
+
+
+@query(values_sql("path, line, name, length", [("pkg/a.py", 17, "load", 5), ("pkg/b.py", 6, "run", 7)]))
+def long_functions_python(spark, sf_dir):
+    return quality.long_functions_python(symbols.symbols(_parsed(spark), "functions"), "path", 4).select("path", "line", "name", "length")
+
+
+@query(values_sql("total_files_analyzed, total_functions, total_classes, total_imports, total_variables, parse_errors", [(4, 6, 2, 6, 4, 2)]))
+def repository_summary(spark, sf_dir):
+    return symbols.repository_summary(_parsed(spark))
+
+
+@query(values_sql("path, line, type, severity, category", [
+    ("pkg/a.py", 24, "Naming Convention Violation", "INFO", "code_quality"), ("pkg/b.py", 21, "Naming Convention Violation", "INFO", "code_quality"),
+    ("pkg/a.py", 17, "Long Function", "MEDIUM", "code_quality"), ("pkg/b.py", 6, "Long Function", "MEDIUM", "code_quality"),
+    ("pkg/b.py", 10, "Deep Nesting", "LOW", "code_quality"), ("pkg/a.py", 19, "Deep Nesting", "LOW", "code_quality"), ("pkg/a.py", 20, "Deep Nesting", "LOW", "code_quality"),
+    ("pkg/b.py", 9, "Deep Nesting", "LOW", "code_quality"), ("pkg/b.py", 6, "High Cognitive Complexity", "MEDIUM", "code_quality"),
+]))
+def unified_scan(spark, sf_dir):
+    return quality.unified(C.snippets(spark), max_lines=4, max_nesting=2, max_complexity=5).select("path", "line", "type", "severity", "category")
+
+
+@query(values_sql("total_dependencies, internal_dependencies, external_dependencies", [(5, 2, 3)]))
+def dependency_summary(spark, sf_dir):
+    return graph.dependency_summary(graph.dependency_edges(symbols.symbols(_parsed(spark), "imports")))
+
+
+# --- graphs ----------------------------------------------------------------------------------------------------------
+
+_COUNTS = "c AS (SELECT (SELECT count(DISTINCT n) FROM (SELECT src AS n FROM edges UNION ALL SELECT dst FROM edges)) AS nodes, (SELECT count(*) FROM edges) AS edges)"
+
+
+@query(f"WITH {C.TRANSITIONS}, {_COUNTS} SELECT CAST(nodes AS BIGINT) AS nodes, CAST(edges AS BIGINT) AS edges, CASE WHEN edges = 0 OR nodes <= 1 THEN 0.0::DOUBLE ELSE round(edges::DOUBLE / (nodes * (nodes - 1)), 6) END AS density, round(2.0::DOUBLE * edges / nodes, 6) AS average_degree, NOT EXISTS (SELECT 1 FROM edges) AS is_dag FROM c")
+def graph_stats(spark, sf_dir):
+    e = C.transitions(spark, sf_dir)
+    return graph.stats(e, 3).select("nodes", "edges", "density", "average_degree", "is_dag")
+
+
+_ARCH = """SELECT CAST(nodes AS BIGINT) AS nodes, CAST(edges AS BIGINT) AS edges, cohesion_score, coupling_ratio, architecture_pattern,
+  CASE WHEN cohesion_score >= 0.8 AND coupling_ratio <= 5 THEN 'EXCELLENT' WHEN cohesion_score >= 0.5 AND coupling_ratio <= 5 THEN 'GOOD' WHEN coupling_ratio > 5 THEN 'WARN' ELSE 'POOR' END AS verdict
+FROM (SELECT nodes, edges, round(edges::DOUBLE / (nodes * (nodes - 1)), 4) AS cohesion_score, round(edges::DOUBLE / nodes, 2) AS coupling_ratio,
+  CASE WHEN nodes <= 10 AND edges <= 15 THEN '4-Part Modular Enterprise Layering' WHEN edges::DOUBLE / nodes > 4 THEN 'Highly Connected / Potential Monolith' ELSE 'Modular Layered Architecture' END AS architecture_pattern FROM c)"""
+
+
+@query(f"WITH {C.TRANSITIONS}, {_COUNTS} {_ARCH}")
+def architecture_verdict(spark, sf_dir):
+    return graph.architecture(graph.counts(C.transitions(spark, sf_dir))).select("nodes", "edges", "cohesion_score", "coupling_ratio", "architecture_pattern", "verdict")
+
+
+@query(f"WITH {C.NATION_EDGES} SELECT 'out' AS direction, dst AS neighbor FROM edges WHERE src = 'NATION_4' UNION SELECT 'in', src FROM edges WHERE dst = 'NATION_4'")
+def graph_neighbors(spark, sf_dir):
+    e = C.nation_edges(spark, sf_dir)
+    side = lambda d: graph.neighbors(e, "NATION_4", d).select(F.lit(d).alias("direction"), "neighbor")
+    return side("out").unionByName(side("in"))
+
+
+@query(
+    f"""WITH RECURSIVE {C.NATION_EDGES}, walk(node, path, hops) AS (
+  SELECT (SELECT min(src) FROM edges), [(SELECT min(src) FROM edges)], 0
+  UNION ALL SELECT e.dst, list_append(w.path, e.dst), w.hops + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE NOT list_contains(w.path, e.dst) AND w.hops < 8),
+best AS (SELECT node, path, hops, row_number() OVER (PARTITION BY node ORDER BY hops, path) AS r FROM walk)
+SELECT node, CAST(hops AS INTEGER) AS hops, array_to_string(path, '>') AS path FROM best WHERE r = 1"""
+)
+def graph_shortest_path(spark, sf_dir):
+    e = C.nation_edges(spark, sf_dir)
+    return graph.shortest_paths(e, e.agg(F.min("src").alias("source")), 8).select("node", "hops", F.array_join("path", ">").alias("path"))
+
+
+@query(
+    f"""WITH RECURSIVE {C.NATION_EDGES}, walk(start, here, path) AS (
+  SELECT src, dst, [src] FROM edges WHERE dst >= src
+  UNION ALL SELECT w.start, e.dst, list_append(w.path, w.here) FROM walk w JOIN edges e ON e.src = w.here WHERE w.here > w.start AND NOT list_contains(w.path, w.here) AND e.dst >= w.start AND len(w.path) < 6)
+SELECT CAST(len(path) AS INTEGER) AS length, array_to_string(path, '>') AS cycle FROM walk WHERE here = start"""
+)
+def graph_cycles(spark, sf_dir):
+    return graph.cycles(C.nation_edges(spark, sf_dir), 6).select("length", F.array_join("cycle", ">").alias("cycle"))
+
+
+# --- chunks and retrieval --------------------------------------------------------------------------------------------
+
+_UUID = """CASE WHEN TRUE THEN substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1)) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) END"""
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), t AS (SELECT doc_id, unnest(range((len(a) - 1) // 5 + 1)) AS tile, a FROM p),
+c AS (SELECT doc_id, tile, array_to_string(a[tile * 5 + 1 : tile * 5 + 5], chr(10)) AS content FROM t),
+n AS (SELECT 'd' || doc_id || '.txt' AS filepath, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY tile) - 1 AS INTEGER) AS chunk_index, content FROM c WHERE {STRIP.format('content')} <> ''),
+x AS (SELECT *, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(filepath || '_' || chunk_index)) AS h FROM n)
+SELECT {_UUID} AS id, filepath, chunk_index, sha256(content) AS content_sha FROM x"""
+)
+def chunk_lines(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.format_string("d%d.txt", "doc_id").alias("file"), "text")
+    return chunks.chunk_lines(d, "file", "text", 5).select("id", "filepath", "chunk_index", F.sha2("content", 256).alias("content_sha"))
+
+
+@query(values_sql("filepath, chunk_index, first_line, n_lines", [
+    ("pkg/b.py", 0, "import json", 5), ("pkg/b.py", 1, "def run(a, b=1):", 7), ("pkg/b.py", 2, "def stop():", 4), ("pkg/b.py", 3, "class _low(B, pkg.Other):", 2),
+]))
+def chunk_python_ast(spark, sf_dir):
+    c = chunks.chunk_python(C.snippets(spark).where("path = 'pkg/b.py'"), "path", "code")
+    return c.select("filepath", "chunk_index", F.substring_index("content", "\n", 1).alias("first_line"), F.size(F.split("content", "\n")).alias("n_lines"))
+
+
+@query()
+def mock_embedding(spark, sf_dir):
+    d = read(spark, sf_dir, "benchmark").select("item_id", "text")
+    return chunks.embed(d, "text").select("item_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+_COS = "round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6)"
+_VEC = f"vec AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id < 10)"
+
+
+def _vec(spark, sf_dir, k):
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return retrieval.vector_topk(e, q, k, "vec_id")
+
+
+@query(f"WITH {_VEC} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM vec WHERE rank <= 5")
+def vector_topk(spark, sf_dir):
+    return _vec(spark, sf_dir, 5)
+
+
+_BM25 = r"""tok AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
+size AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok), tf AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM tok), tfs AS (SELECT id, dl, term, count(*) AS tf FROM tf GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id < 10) GROUP BY ALL),
+bm AS (SELECT q.query_id, t.id, round(sum(q.qtf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))), 6) AS score
+  FROM q JOIN tfs t USING (term) JOIN df USING (term), size GROUP BY ALL),
+bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm WHERE score > 0)"""
+
+
+def _bm25(spark, sf_dir):
+    q = read(spark, sf_dir, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return retrieval.bm25(read(spark, sf_dir, "documents").select("doc_id", "text"), q, "doc_id", "text")
+
+
+@query(f"WITH {_BM25} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM bmr WHERE rank <= 5")
+def bm25_topk(spark, sf_dir):
+    return retrieval.ranked(_bm25(spark, sf_dir), "query_id", 5)
+
+
+@query(f"WITH {_BM25} SELECT query_id, CAST(count(*) AS BIGINT) AS hits, max(score) AS best FROM bmr GROUP BY query_id")
+def bm25_scores(spark, sf_dir):
+    return _bm25(spark, sf_dir).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("best"))
+
+
+_FUSED = f"""{_VEC}, {_BM25},
+f AS (SELECT coalesce(v.query_id, b.query_id) AS query_id, coalesce(v.id, b.id) AS id, round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 9) AS raw,
+  'hybrid_' || concat_ws('+', CASE WHEN v.id IS NOT NULL THEN 'vector' END, CASE WHEN b.id IS NOT NULL THEN 'bm25' END) AS retrieval_method
+  FROM (SELECT * FROM vec WHERE rank <= 15) v FULL OUTER JOIN bmr b ON v.query_id = b.query_id AND v.id = b.id),
+fs AS (SELECT query_id, id, round(least(raw / (2.0::DOUBLE / 61), 1.0::DOUBLE), 4) AS score, retrieval_method FROM f),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fs)"""
+
+
+@query(f"WITH {_FUSED} SELECT query_id, id, score, retrieval_method, CAST(rank AS INTEGER) AS rank FROM fr WHERE rank <= 5")
+def hybrid_rrf(spark, sf_dir):
+    return retrieval.fuse(_vec(spark, sf_dir, 15), retrieval.ranked(_bm25(spark, sf_dir), "query_id"), 5)
+
+
+@query(
+    f"""WITH {_FUSED}, top AS (SELECT * FROM fr WHERE rank <= 5), g(src, dst) AS (SELECT 's' || k, 's' || ((k * 3 + 1) % 20) FROM (SELECT unnest(range(20)) AS k)),
+m AS (SELECT doc_id AS id, replace(source, 'src', 's') AS module FROM documents WHERE doc_id < 200),
+near AS (SELECT DISTINCT src AS module, dst AS near, 0 AS side FROM g UNION SELECT dst, src, 1 FROM g),
+x AS (SELECT t.query_id, t.rank AS parent, t.score, n.side, n.near, m2.id FROM top t JOIN m ON m.id = t.id JOIN near n ON n.module = m.module JOIN m m2 ON m2.module = n.near
+  WHERE NOT EXISTS (SELECT 1 FROM top o WHERE o.query_id = t.query_id AND o.id = m2.id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY parent, side, near) AS nth FROM x),
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY parent, side, near, id) AS place FROM o WHERE nth = 1)
+SELECT query_id, id, score, retrieval_method, CAST(rank AS INTEGER) AS rank FROM top
+UNION ALL SELECT query_id, id, round(score * 0.8::DOUBLE, 4), 'graph_expansion', CAST(place + 5 AS INTEGER) FROM a WHERE place <= 2"""
+)
+def hybrid_graph_expansion(spark, sf_dir):
+    fused = retrieval.fuse(_vec(spark, sf_dir, 15), retrieval.ranked(_bm25(spark, sf_dir), "query_id"), 5)
+    files = read(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", F.replace("source", F.lit("src"), F.lit("s")).alias("filepath"))
+    k = F.col("id")
+    edges = spark.range(20).select(F.concat(F.lit("s"), k.cast("string")).alias("src"), F.concat(F.lit("s"), ((k * 3 + 1) % 20).cast("string")).alias("dst"))
+    return retrieval.expand(fused, files, edges, 5, "doc_id")
+
+
+@query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE vec_id % 3 = 0")
+def vector_upsert(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return chunks.upsert(e, e.where("id % 3 = 0").withColumn("label", F.col("label") + 100))
+
+
+# --- reviews ---------------------------------------------------------------------------------------------------------
+
+_PERF_WHEN = " ".join(f"WHEN regexp_matches(line, {literal(p)}) THEN {literal(n)}" for n, p in rules.PERFORMANCE_RULES)
+_META = "(bare = '' OR starts_with(bare, '---') OR starts_with(bare, '+++') OR starts_with(bare, '@@') OR starts_with(bare, '#'))"
+_LINES = f"l AS (SELECT pr_id, unnest(range(len(a))) AS pos, unnest(a) AS line FROM (SELECT pr_id, string_split(diff, chr(10)) AS a FROM diffs)), lb AS (SELECT *, {STRIP.format('line')} AS bare FROM l)"
+_PERF = f"""perf AS (SELECT pr_id, count(CASE WHEN NOT {_META} THEN CASE {_PERF_WHEN} END END) AS issue_count,
+  count(*) FILTER (regexp_matches(line, '\\b(for|while)\\b')) AS loops, coalesce(bool_or(regexp_matches(line, '\\bfor\\b.*\\bfor\\b')), FALSE) AS nested, coalesce(bool_or(contains(line, 'read()')), FALSE) AS reads FROM lb GROUP BY pr_id)"""
+_TIME = "CASE WHEN loops > 3 OR nested THEN 'O(N²)' WHEN loops > 1 THEN 'O(N log N)' ELSE 'O(N)' END"
+
+
+@query(f"WITH {C.DIFFS}, {_LINES}, {_PERF} SELECT pr_id, CAST(issue_count AS INTEGER) AS issue_count, {_TIME} AS time_complexity, CASE WHEN reads THEN 'REVIEW' ELSE 'OK' END AS memory_usage, CASE WHEN issue_count > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM perf")
+def perf_agent(spark, sf_dir):
+    p = C.diffs(spark, sf_dir).select("pr_id", review.performance(F.col("diff")).alias("p"))
+    return p.select("pr_id", "p.issue_count", "p.time_complexity", "p.memory_usage", "p.verdict")
+
+
+@query(f"WITH diffs AS (SELECT conv_id * 1000 + turn AS pr_id, text AS diff FROM conversations), {_LINES}, {_PERF} SELECT {_TIME} AS time_complexity, CAST(count(*) AS BIGINT) AS turns FROM perf GROUP BY 1")
+def loop_complexity(spark, sf_dir):
+    p = read(spark, sf_dir, "conversations").select(review.performance(F.col("text"))["time_complexity"].alias("time_complexity"))
+    return p.groupBy("time_complexity").agg(F.count(F.lit(1)).alias("turns"))
+
+
+_DEFS = f"""defs AS (SELECT pr_id, pos, CASE
+  WHEN regexp_matches(line, {literal(review.PYTHON_DEF)}) THEN regexp_extract(line, {literal(review.PYTHON_DEF)}, 2)
+  WHEN regexp_matches(line, {literal(review.JS_FUNCTION)}) THEN regexp_extract(line, {literal(review.JS_FUNCTION)}, 1)
+  WHEN regexp_matches(line, {literal(review.JS_ARROW)}) THEN regexp_extract(line, {literal(review.JS_ARROW)}, 1) END AS name FROM lb WHERE NOT {_META} AND NOT starts_with(bare, '//')),
+firsts AS (SELECT pr_id, name, min(pos) AS pos FROM defs WHERE name IS NOT NULL AND NOT starts_with(name, '__') GROUP BY pr_id, name)"""
+
+
+@query(f"WITH {C.DIFFS}, {_LINES}, {_DEFS} SELECT pr_id, name FROM firsts")
+def testing_agent_defs(spark, sf_dir):
+    t = C.diffs(spark, sf_dir).select("pr_id", F.explode(review.testing(F.col("diff"))["functions_found"]).alias("f"))
+    return t.select("pr_id", "f.name")
+
+
+@query(values_sql("pr_id, functions, params, stubs, first_line", [(1, "load|kept", "path,limit|a,int]", 2, "import pytest"), (2, "", "", 0, "# The diff defines no functions.")]))
+def testing_stub_render(spark, sf_dir):
+    d = spark.createDataFrame([(1, "+def load(path: str, limit=10):\n def kept(self, a: Dict[str, int]):\n-def gone(x):"), (2, "")], "pr_id int, diff string")
+    t = d.select("pr_id", review.testing(F.col("diff")).alias("t"))
+    join = lambda f: F.array_join(F.transform("t.functions_found", f), "|")
+    return t.select("pr_id", join(lambda x: x["name"]).alias("functions"), join(lambda x: F.array_join(x["params"], ",")).alias("params"), F.col("t.stub_count").alias("stubs"), F.substring_index("t.generated_tests", "\n", 1).alias("first_line"))
+
+
+@query(
+    f"""WITH {C.DIFFS}, {_LINES}, {_PERF}, {_DEFS}, src AS (SELECT pr_id AS file, pos, line FROM l), {findings_sql('src')},
+s AS (SELECT file AS pr_id, count(*) AS n, max(4 - sev_order) AS worst FROM findings GROUP BY file), t AS (SELECT pr_id, count(*) AS stubs FROM firsts GROUP BY pr_id),
+r AS (SELECT p.pr_id, coalesce(s.n, 0) AS finding_count, coalesce(worst, 0) AS worst, greatest(CASE WHEN coalesce(worst, 0) <= 1 THEN 1 ELSE worst END, 2, CASE WHEN issue_count > 0 THEN 1 ELSE 0 END) AS risk, coalesce(stubs, 0) AS stubs
+  FROM perf p LEFT JOIN s USING (pr_id) LEFT JOIN t USING (pr_id))
+SELECT pr_id, CAST(finding_count AS INTEGER) AS finding_count, CAST(stubs AS INTEGER) AS stub_count, (['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])[risk] AS risk_score,
+  CASE WHEN worst >= 3 THEN 'BLOCKED' ELSE 'CHANGES_REQUESTED' END AS overall_status FROM r"""
+)
+def review_verdicts(spark, sf_dir):
+    r = review.review(C.diffs(spark, sf_dir))
+    return r.select("pr_id", F.col("security.finding_count").alias("finding_count"), F.col("testing.stub_count").alias("stub_count"), "risk_score", "overall_status")
+
+
+# --- events ----------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT event_id, event_type, CASE CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 WHEN 0 THEN 'opened' WHEN 1 THEN 'synchronize' WHEN 2 THEN 'closed' ELSE 'reopened' END AS action FROM events)
+SELECT action, CAST(count(*) AS BIGINT) AS wanted FROM e WHERE event_type = (SELECT min(event_type) FROM events) AND action IN ('opened', 'synchronize', 'reopened') GROUP BY action""")
+def webhook_filter(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("int") % 4
+    events = read(spark, sf_dir, "events").select("event_type", F.get(F.array(*map(F.lit, ("opened", "synchronize", "closed", "reopened"))), k).alias("action"))
+    kind = F.when(F.col("event_type") == F.lit(events.agg(F.min("event_type")).first()[0]), "pull_request").otherwise("other")
+    return events.where(webhook.wanted(kind, F.col("action"), F.lit("url"))).groupBy("action").agg(F.count(F.lit(1)).alias("wanted"))
+
+
+@query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type, CAST(count(*) AS BIGINT) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_events(spark, sf_dir):
+    w = webhook.tumbling(read(spark, sf_dir, "events"))
+    return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events", F.round("total", 4).alias("total"))
