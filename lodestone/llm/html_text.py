@@ -24,6 +24,7 @@ MARKS = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related replies reply respond share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 WHOLE_MARKS = frozenset("header site-header page-header top-header aside".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th tr tbody table ul ol dl blockquote pre figure figcaption".split())
 CLOSES_P = BLOCK - frozenset("body html head option select title".split())
 SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 SIGMA, WIDTH = 1.0, 3
@@ -53,11 +54,12 @@ def boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Lines(HTMLParser):
-    """Streams events into lines: (text, tags, node, dropped); nodes: (parent, is an article or main element)."""
+    """Streams events into lines: (text, tags, node, dropped); nodes: (parent, is an article or main element, name and
+    class)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes: list[tuple[int, bool]] = [(-1, False)]
+        self.nodes: list[tuple[int, bool, str]] = [(-1, False, "")]
         self.open: list[tuple[str, int, bool]] = [("", 0, False)]
         self.counts: Counter[str] = Counter()
         self.lines: list[tuple[str, int, int, bool]] = []
@@ -101,7 +103,7 @@ class Lines(HTMLParser):
         if tag in BLOCK or drops != dropped:
             if drops != dropped:
                 self.flush()
-            self.nodes.append((parent, tag in ("article", "main") or ("role", "main") in attrs))
+            self.nodes.append((parent, tag in ("article", "main") or ("role", "main") in attrs, f"{tag} {dict(attrs).get('class') or ''}"))
             node = len(self.nodes) - 1
         else:
             node = parent
@@ -159,12 +161,15 @@ def main_text(html: str | None) -> str:
     for i in range(len(nodes) - 1, 0, -1):
         votes[nodes[i][0]] += votes[i]
         sizes[nodes[i][0]] += sizes[i]
-    marked = [i for i, (_, article) in enumerate(nodes) if article and sizes[i]]
+    marked = [i for i, (_, article, _) in enumerate(nodes) if article and sizes[i]]
     if marked:
         home = max(marked, key=lambda i: (votes[i], sizes[i], -i))
     else:
         weight = votes if votes[0] else sizes
         home = max((i for i in range(len(nodes)) if weight[i] >= 0.9 * weight[0]), default=0)
+        alike = Counter((parent, kind) for i, (parent, _, kind) in enumerate(nodes) if sizes[i])
+        while home and (nodes[home][2].split(" ")[0] in PARAGRAPHS or alike[nodes[home][0], nodes[home][2]] > 1):
+            home = nodes[home][0]  # one long paragraph among others is not the article
     inside = [i == home for i in range(len(nodes))]
     for i in range(home + 1, len(nodes)):
         inside[i] = inside[nodes[i][0]]

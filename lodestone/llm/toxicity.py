@@ -1,7 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models over the characters of words.
 
 Two models of order 5, one of toxic and one of ordinary labelled texts, differ in their upper orders and share the
-counts they back off to from order 2 down, so an expression that neither class has seen scores alike in both. A word
+counts they back off to from order 2 down, so an expression that neither class has seen scores alike in both. These
+shared counts come from the words of all documents, labelled or not, each word counted once. A word
 scores the difference of its log-likelihoods; a text is judged by that difference per character, per root of its
 characters, and at its strongest words, weighed by a logistic regression on labelled texts the models did not see."""
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 ORDER, SHARED, DISCOUNT = 5, 2, 0.75
 MAX_LABELLED = 12_000  # labelled rows that models and weights are fitted on, at most: those of the smallest hashes
 MAX_GRAMS = 600_000  # of the models, the most frequent
+MAX_PAIRS = 200_000  # of the shared character pairs, the most frequent
 KEPT_WORDS, KEPT_GRAMS = 300_000, 400_000
 TOP = (1, 3)
 
@@ -34,20 +36,22 @@ def grams_of(word: str):
 
 
 class KneserNey:
-    """Both classes' models, from counts of padded grams {gram: (ordinary, toxic)}."""
+    """Both classes' models, from counts of padded grams {gram: (ordinary, toxic)} and of shared character pairs."""
 
-    def __init__(self, counts: dict[str, tuple[int, int]]) -> None:
-        #: per class and order n: count of each n-gram (raw at the top, distinct continuations below), total and number
-        #: of distinct followers of each context; orders up to SHARED are counted over both classes together
+    def __init__(self, counts: dict[str, tuple[int, int]], shared: dict[str, int]) -> None:
+        #: per class and order n: count of each n-gram (raw at the top, distinct characters before it below; shared ones
+        #: up to SHARED), total and number of distinct followers of each context
         self.tables: list[dict[int, tuple[dict, dict, dict]]] = []
         for c in (0, 1):
             top = {g: n[c] for g, n in counts.items() if n[c]}
             self.tables.append({})
             for n in range(ORDER, 0, -1):
-                if n < ORDER:  # an n-gram counts once for each character that comes before it
-                    grams = Counter(longer[1:] for longer in {g[ORDER - 1 - n :] for g in (counts if n <= SHARED else top)})
-                else:
+                if n == ORDER:
                     grams = top
+                elif n > SHARED:
+                    grams = Counter(longer[1:] for longer in {g[ORDER - 1 - n :] for g in top})
+                else:
+                    grams = shared if n == SHARED else Counter(g[1:] for g in shared)
                 totals, followers = defaultdict(int), defaultdict(int)
                 for g, k in grams.items():
                     totals[g[:-1]] += k
@@ -83,18 +87,18 @@ class KneserNey:
 class Scorer:
     """A fitted model: features of texts, and their score."""
 
-    def __init__(self, counts: dict[str, tuple[int, int]], weights: np.ndarray | None, prior: float) -> None:
-        self.counts, self.weights, self.prior = counts, weights, prior
+    def __init__(self, counts: dict[str, tuple[int, int]], shared: dict[str, int], weights: np.ndarray | None, prior: float) -> None:
+        self.counts, self.shared, self.weights, self.prior = counts, shared, weights, prior
         self.kept: dict[str, tuple[float, int, float]] = {}
         self.model: KneserNey | None = None
 
     def __getstate__(self) -> dict:
-        return {"counts": self.counts, "weights": self.weights, "prior": self.prior, "kept": {}, "model": None}
+        return {"counts": self.counts, "shared": self.shared, "weights": self.weights, "prior": self.prior, "kept": {}, "model": None}
 
     def token(self, token: str) -> tuple[float, int, float]:
         """Sum of word scores, characters, highest word score of a white-space token."""
         if self.model is None:
-            self.model = KneserNey(self.counts)
+            self.model = KneserNey(self.counts, self.shared)
         words = words_of(token)
         scores = [self.model.word(w) for w in words]
         out = (sum(scores), sum(map(len, words)) + len(words), max(scores, default=0.0))
@@ -172,10 +176,19 @@ def _batches(scorer, features: bool):
     return run
 
 
+def shared_pairs(documents: DataFrame) -> dict[str, int]:
+    """Character pairs within words, with the word's start and end: in how many distinct words of all documents."""
+    words = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")).distinct()
+    padded = F.concat(F.lit("^"), "word", F.lit("$"))
+    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(2)))).alias("pair"))
+    rows = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "pair").limit(MAX_PAIRS).toArrow()
+    return dict(zip(rows.column("pair").to_pylist(), rows.column("n").to_pylist()))
+
+
 def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Scorer:
     """Fits the models on at most `most` labelled rows whose crc32(doc_id as text) mod 5 is not 0.
 
-    What reaches the driver is bounded by parameters: `most` label rows, MAX_GRAMS grams, `most` feature rows. Seven in
+    What reaches the driver is bounded by parameters: `most` label rows, MAX_GRAMS grams, MAX_PAIRS pairs, `most` feature rows. Seven in
     ten rows (by hash) go to the models, the rest to the weights."""
     spark, key = documents.sparkSession, F.col("doc_id").cast("long")
     asked = (
@@ -187,7 +200,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Sc
     ).collect()
     prior = sum(r["toxic"] for r in asked) / max(1, len(asked))
     if not 0 < prior < 1:
-        return Scorer({}, None, prior)
+        return Scorer({}, {}, None, prior)
     chosen = F.broadcast(spark.createDataFrame(asked, "id long, toxic int"))  # at most `most` rows
     rows = documents.select(key.alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(10))
@@ -197,7 +210,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Sc
         .orderBy((F.col("a") + F.col("b")).desc(), "gram").limit(MAX_GRAMS)
     ).toArrow()
     grams = dict(zip(counts.column("gram").to_pylist(), zip(counts.column("a").to_pylist(), counts.column("b").to_pylist())))
-    scorer = Scorer(grams, None, prior)
+    scorer = Scorer(grams, shared_pairs(documents), None, prior)
     held = spark.sparkContext.broadcast(scorer)
     seen = rows.where(part >= 7).select("toxic", "text").mapInArrow(_batches(held, True), "toxic int, x array<double>").collect()
     y = np.array([r["toxic"] for r in seen], float)
