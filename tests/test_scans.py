@@ -42,7 +42,7 @@ def test_unreachable_and_nesting(spark):
 
 def test_long_blocks():
     code = "function a() {\n  b\n  function c() {\n    d\n  }\n}\ndef e():\n  f\n"
-    assert quality.long_blocks(code, 2) == [(1, "a", 5)]
+    assert quality.long_blocks(code, 2) == [(1, "a", 5), (7, "e", 3)]
     assert quality.long_blocks(code, 5) == [] and quality.long_blocks(None, 1) == []
 
 
