@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import indent, lines, strip
 from lodestone.operators.rules import found
 from lodestone.operators.security import findings as security_findings
-from lodestone.operators.security import is_code
+from lodestone.operators.security import is_code, unreadable
 from lodestone.operators.symbols import analyze, symbols
 
 # Words that start a function or method in other languages.
@@ -110,6 +110,7 @@ def quality(files: DataFrame, file: str = "path", language: str = "language", co
 
 
 def unified(files: DataFrame, file: str = "path", language: str = "language", code: str = "code", **limits) -> DataFrame:
-    """Security and quality findings together, in the columns that both have."""
+    """Security and quality findings together, in the columns that both have. Files with an error are findings too."""
     columns = [file, "line", "type", "severity", "category", "evidence"]
-    return security_findings(files, file, code).select(*columns).unionByName(quality(files, file, language, code, **limits).select(*columns))
+    both = security_findings(files, file, code).select(*columns).unionByName(quality(files, file, language, code, **limits).select(*columns))
+    return both.unionByName(unreadable(files, file).select(*columns)) if "error" in files.columns else both

@@ -46,6 +46,13 @@ def findings(files: DataFrame, file: str, code: str) -> DataFrame:
     )
 
 
+def unreadable(files: DataFrame, file: str, error: str = "error") -> DataFrame:
+    """One low finding at line 0 for each file that could not be read."""
+    return files.where(F.col(error).isNotNull()).select(
+        file, F.lit(0).alias("line"), F.lit("FileReadError").alias("type"), F.lit("LOW").alias("severity"), F.lit("security").alias("category"), F.col(error).alias("evidence")
+    )
+
+
 def deduction(severity: Column) -> Column:
     return F.coalesce(choice(DEDUCTIONS, severity), F.lit(1))
 

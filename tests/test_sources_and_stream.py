@@ -7,7 +7,7 @@ import pytest
 
 from lodestone.operators import chunks, retrieval
 from lodestone.plans.engine import Engine, Settings
-from lodestone.sources import tree
+from lodestone.sources import tables, tree
 from lodestone.streaming import webhook
 
 FILES = {"app/__init__.py": b"", ".env": b"A=1\n", "app/main.py": b"a\nb\nc", "web/x.js": b"let a;\n", "node_modules/y.js": b"no", "img.png": b"\x89"}
@@ -91,3 +91,14 @@ def test_stream(spark, tmp_path):
     assert [(r["repository"], r["number"], r["overall_status"]) for r in done] == [("o/r", 3, "BLOCKED")]
     assert spark.read.parquet(f"{tmp_path}/out/ignored").count() == 3
     assert not webhook.signed("x", None, secret) and not webhook.signed("x", "md5=1", secret)
+
+
+def test_store(spark, tmp_path):
+    store = tables.Store(spark, str(tmp_path / "edges"), tables.EDGES)
+    assert store.read().count() == 0
+    edges = spark.createDataFrame([("a", "b", "IMPORTS"), ("a", "b", "IMPORTS"), ("b", "c", "IMPORTS")], tables.EDGES)
+    store.upsert_edges(edges)
+    store.upsert_edges(edges.limit(1))
+    assert store.read().count() == 2
+    store.clear()
+    assert store.read().count() == 0
