@@ -70,6 +70,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash_near_dedup, op3_pii, op4_exact_topk, op5_prefix_forest, op6_suffix_dedup, op7_toxicity, op8_html_extraction, op9_mixing, op10_secret_scan)}
 
+_PLAIN = "regexp_replace(x, '<[^>]*>', '', 'g')"
+for _reference, _character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_reference}', '{_character}')"
+
 #: Cosines differ in their last bits between engines, so op5 has no SQL; its recall is tested against brute force.
 ORACLES: dict[str, str] = {
     "op4_exact_topk": """
@@ -86,5 +90,14 @@ WITH v AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    # The tables' pages have one layout; its tags can be read by patterns.
+    "op8_html_extraction": f"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS h FROM pages),
+b AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(regexp_split_to_array(h, '</?h1>|</?p>|<br>'),
+    lambda x: trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text
+  FROM a)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM b
 """,
 }
