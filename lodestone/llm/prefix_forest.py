@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.shared import PACKED, against_tiles, merge_tree, usable
 
-TREES, BITS, SHARE, LEAST, SEED = 24, 64, 0.8, 400, 17
+TREES, BITS, SHARE, LEAST, SEED = 24, 64, 1.0, 400, 17
 TILE_ROWS, SHARD_ROWS = 1024, 8192
 INDEXED = PACKED + ", twins binary, counts binary, codes binary, orders binary"
 
