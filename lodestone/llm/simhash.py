@@ -208,12 +208,15 @@ def near_duplicates(documents: DataFrame, split: int = SPLIT) -> DataFrame:
 def keep_first(documents: DataFrame, split: int = SPLIT) -> DataFrame:
     """The rows of `documents` whose doc_id is their component's smallest, with all their columns. A row that comes
     more than once with one id and text stays once. Rows without a doc_id stay."""
+    mark = "kept_id"
+    while mark in documents.columns:
+        mark += "_"
     named = near_duplicates(documents, split).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
-    first = settle(named.select(F.col("doc_id").alias("kept_id"), "times"), "simhash-first")
+    first = settle(named.select(F.col("doc_id").alias(mark), "times"), "simhash-first")
     key = F.col("doc_id").cast("long")
-    once = first.where("times = 1")
-    out = documents.join(once, key == F.col("kept_id"), "left_semi").unionByName(documents.where(key.isNull()))
-    more = first.where("times > 1")
+    once = first.where("times = 1").select(mark)
+    out = documents.join(once.hint("merge"), key == F.col(mark), "left_semi").unionByName(documents.where(key.isNull()))
+    more = first.where("times > 1").select(mark)
     if not more.isEmpty():
-        out = out.unionByName(documents.join(more, key == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id", "text"]))
+        out = out.unionByName(documents.join(more, key == F.col(mark), "left_semi").dropDuplicates(["doc_id", "text"]))
     return out

@@ -21,7 +21,7 @@ ODD = [
 @pytest.fixture(scope="module")
 def odd(spark):
     """Columns clash with names that the operators use inside."""
-    return spark.createDataFrame([(i, t, 0, "x", 1.0) for i, t in ODD], "doc_id long, text string, fp int, base string, score double")
+    return spark.createDataFrame([(i, t, 0, "x", 1.0, 5) for i, t in ODD], "doc_id long, text string, fp int, base string, score double, kept_id long")
 
 
 @pytest.fixture(scope="module")
