@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.shared import settle
 
-BUCKETS, MAX_LABELLED, KEPT_TOKENS = 1 << 16, 12_000, 300_000
+BUCKETS, MAX_LABELLED, KEPT_TOKENS = 1 << 16, 12_000, 200_000
 PULL, STEPS, CLOSE = 0.001, 40, 1e-4
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6  # fixed values of the model format
-KEPT_SEGMENTS, KEPT_ARCS, KEPT_LENGTH = 150_000, 200_000, 48
+KEPT_SEGMENTS, KEPT_ARCS, KEPT_LENGTH = 400_000, 300_000, 48
 
 
 class _Kept(dict):
@@ -226,22 +226,27 @@ class Transducers:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-_compiled: dict[str, Transducers] = {}
+class Model:
+    """A model's bytes, to be broadcast; each worker compiles it when first asked, and lets go of it with the broadcast."""
 
+    def __init__(self, raw: bytes) -> None:
+        self.raw, self.made = raw, None
 
-def compiled(model: bytes) -> Transducers:
-    key = hashlib.sha256(model).hexdigest()
-    if key not in _compiled:
-        _compiled.clear()
-        _compiled[key] = Transducers(model)
-    return _compiled[key]
+    def __getstate__(self) -> dict:
+        return {"raw": self.raw, "made": None}
+
+    @property
+    def machine(self) -> Transducers:
+        if self.made is None:
+            self.made = Transducers(self.raw)
+        return self.made
 
 
 def _runner(model, with_ids: bool):
     import pyarrow as pa
 
     def run(batches):
-        machine = compiled(model.value)
+        machine = model.value.machine
         for batch in batches:
             sizes, digests, texts, same, lists = [], [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -277,6 +282,6 @@ def encode_documents(documents: DataFrame, model_path: str = MODEL, with_ids: bo
     doc_id stays null; repeated rows give repeated rows; an empty table gives none; other columns are not read.
     round_trip is false only where the text has a white-space mark (U+2581), which the model format writes as a space."""
     with open(model_path, "rb") as f:
-        model = documents.sparkSession.sparkContext.broadcast(f.read())
+        model = documents.sparkSession.sparkContext.broadcast(Model(f.read()))
     schema = "doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_runner(model, with_ids), schema)

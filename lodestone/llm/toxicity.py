@@ -20,7 +20,7 @@ ORDER, SHARED, DISCOUNT = 5, 2, 0.75
 MAX_LABELLED = 12_000  # labelled rows that models and weights are fitted on, at most: those of the smallest hashes
 MAX_GRAMS = 600_000  # of the models, the most frequent
 MAX_PAIRS = 200_000  # of the shared character pairs, the most frequent
-KEPT_WORDS, KEPT_GRAMS = 300_000, 400_000
+KEPT_WORDS, KEPT_GRAMS = 200_000, 250_000
 TOP = (1, 3)
 
 _letters = re.compile(r"[^\W\d_]+")
@@ -99,6 +99,7 @@ class Scorer:
         """Sum of word scores, characters, highest word score of a white-space token."""
         if self.model is None:
             self.model = KneserNey(self.counts, self.shared)
+            self.counts, self.shared = {}, {}  # a worker's copy; the tables have what it needs
         words = words_of(token)
         scores = [self.model.word(w) for w in words]
         out = (sum(scores), sum(map(len, words)) + len(words), max(scores, default=0.0))
