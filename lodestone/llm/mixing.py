@@ -2,12 +2,13 @@
 
 A classifier fitted on labelled rows gives every document a posterior over domains. Each document then gets a rate
 (expected copies) such that the expected token totals of the domains meet targets: least squares in the totals, with
-a small pull towards rate 1, by projected gradient steps. A step needs only one vector over domains, so the state of
-the fit is the list of these vectors; every pass recomputes all rates from it, next to the data, and sends back one
-row of totals. Nothing of the size of the corpus is kept between passes but the table of memberships."""
+a small pull towards rate 1. The best rates follow from one price a domain, so the state of the fit is one vector;
+every pass recomputes all rates from it, next to the data, and sends back one row of totals and second moments for a
+Newton step, until the optimum is met to CLOSE. Nothing of the size of the corpus is kept between passes but the table of memberships."""
 
 from __future__ import annotations
 
+import logging
 import zlib
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import settle
 
 BUCKETS, MAX_LABELLED, KEPT_TOKENS = 1 << 16, 12_000, 200_000
-PULL, STEPS, CLOSE = 0.001, 40, 1e-4
+PULL, CLOSE, MISSED, PASSES = 0.001, 1e-6, 1e-3, 100
 
 
 class Domains:
@@ -146,72 +147,83 @@ def _members(model):
     return run
 
 
-def rates_of(member: np.ndarray, steps: list[np.ndarray], rate: float, least: float) -> np.ndarray:
-    """All rates after the given steps, from 1 on."""
-    r = np.ones(len(member))
-    for h in steps:
-        r = np.maximum(least, r - rate * (member @ h + PULL * (r - 1)))
-    return r
+def rates_of(member: np.ndarray, dual: np.ndarray, least: float) -> np.ndarray:
+    """The best rates for given prices of the domains' totals."""
+    return np.maximum(least, 1 - member @ dual / PULL)
 
 
 def _matrix(batch, k: int) -> np.ndarray:
     return batch.column("membership").values.to_numpy(zero_copy_only=False).reshape(-1, k) if batch.num_rows else np.zeros((0, k))
 
 
-def _sums(k: int, steps: list[np.ndarray], rate: float, least: float, square: bool):
+def _sums(k: int, dual: np.ndarray, least: float):
     import pyarrow as pa
 
     def run(batches):
-        total = np.zeros(k * k if square else k)
+        total = np.zeros(k * k + k + 2)
         for batch in batches:
             p, n = _matrix(batch, k), batch.column("n_tokens").to_numpy().astype(float)
-            total += ((p * n[:, None]).T @ p).ravel() if square else (n * rates_of(p, steps, rate, least)) @ p
+            r = rates_of(p, dual, least)
+            free = n * (1 - p @ dual / PULL > least)
+            total += np.concatenate([((p * free[:, None]).T @ p).ravel(), (n * r) @ p, [n @ (r * (p @ dual) + PULL / 2 * (r - 1) ** 2), n.sum()]])
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total, pa.float64())], names=["at", "total"])
 
     return run
 
 
-def fit_rates(members: DataFrame, k: int, weights: np.ndarray | None = None, temper: float = 0.85, least: float = 0.0, grow: bool = False) -> tuple[list[np.ndarray], float]:
-    """The steps (one vector over domains each) and the step size that fit rates to target weights.
+def fit_rates(members: DataFrame, k: int, weights: np.ndarray | None = None, temper: float = 0.85, least: float = 0.0, grow: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The prices (one a domain) whose rates fit the targets best, and the gaps in token shares that are left.
 
     Targets are `weights` times the corpus' tokens; without weights, the domains' present shares to the power
-    `temper`. With `grow`, the total is raised until no domain has to shrink."""
+    `temper`. With `grow`, the total is raised until no domain has to shrink. Newton steps on the dual, halved until
+    it rises, end when its slope is below CLOSE in every domain; RuntimeError where PASSES passes do not get there."""
 
-    def sums(steps, rate, square=False):
-        rows = members.mapInArrow(_sums(k, steps, rate, least, square), "at int, total double").groupBy("at").agg(F.sum("total").alias("total")).collect()
-        out = np.zeros(k * k if square else k)
+    def sums(dual):
+        rows = members.mapInArrow(_sums(k, dual, least), "at int, total double").groupBy("at").agg(F.sum("total").alias("total")).collect()
+        out = np.zeros(k * k + k + 2)
         for r in rows:
             out[r["at"]] = r["total"]
-        return out
+        return out[: k * k].reshape(k, k), out[k * k : -2], out[-2], out[-1]
 
-    square = sums([], 1.0, True).reshape(k, k)
-    have = square.sum(axis=1)
-    total = have.sum()
+    dual = np.zeros(k)
+    square, have, value, total = sums(dual)
     if total <= 0:
-        return [], 1.0
-    share = have / total
+        return dual, np.zeros(k)
+    share = have / have.sum()
     target = share**temper if weights is None else np.asarray(weights, float)
     target = target / target.sum()
     if grow:
         target = target * max(1.0, (share[target > 0] / target[target > 0]).max())
-    scale = 1 / np.maximum(share, 1e-6)
-    half = np.sqrt(scale)[:, None] * square / total * np.sqrt(scale)[None, :]
-    rate = 1 / (np.linalg.eigvalsh(half).max() + PULL)
-    steps: list[np.ndarray] = []
-    for _ in range(STEPS):
-        gap = (sums(steps, rate) if steps else have) / total - target
-        if np.abs(gap).max() < CLOSE or len(steps) > 2 and np.abs(scale * gap - steps[-1]).max() < 1e-3 * CLOSE:
+    soft = np.maximum(share, 1e-6)  # a gap weighs by the inverse of its domain's share
+    height = lambda d, v: v / total - d @ target - (d * d * soft).sum() / 2
+    passes, now = 1, height(dual, value)
+    while True:
+        slope = have / total - target - dual * soft
+        if np.abs(slope).max() < CLOSE:
             break
-        steps.append(scale * gap)
-    return steps, rate
-
-
-def _rated(k: int, steps: list[np.ndarray], rate: float, least: float):
+        step, part = np.linalg.solve(np.diag(soft) + square / total / PULL, slope), 1.0
+        while True:
+            if passes == PASSES:
+                raise RuntimeError(f"mixing rates not fitted in {PASSES} passes: slope {np.abs(slope).max():.2g}")
+            tried = dual + part * step
+            square, have, value, _ = sums(tried)
+            passes += 1
+            if height(tried, value) >= now + 1e-4 * part * (slope @ step) - 1e-14:
+                break
+            part /= 2
+        dual, now = tried, height(tried, value)
+    gaps = have / total - target
+    if np.abs(gaps).max() > MISSED:
+        logging.getLogger(__name__).warning("mixing: targets are out of reach by up to %.4f of the tokens; gaps by domain %s", np.abs(gaps).max(), np.round(gaps, 4).tolist())
+    return dual, gaps
+
+
+def _rated(k: int, dual: np.ndarray, least: float):
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            r = rates_of(_matrix(batch, k), steps, rate, least)
+            r = rates_of(_matrix(batch, k), dual, least)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r, pa.float64())], names=[*batch.schema.names, "rate"])
 
     return run
@@ -228,8 +240,8 @@ def mixing_rates(documents: DataFrame, labelled: DataFrame, weights: dict[str, f
     held, k = documents.sparkSession.sparkContext.broadcast(model), len(model.names)
     members = settle(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_members(held), "doc_id long, n_tokens long, membership array<double>"), "mixing")
     target = None if weights is None or not any(weights.get(n, 0) for n in model.names) else np.array([weights.get(n, 0.0) for n in model.names])
-    steps, rate = fit_rates(members, k, target)
-    return members.mapInArrow(_rated(k, steps, rate, 0.0), "doc_id long, n_tokens long, membership array<double>, rate double")
+    dual, _ = fit_rates(members, k, target)
+    return members.mapInArrow(_rated(k, dual, 0.0), "doc_id long, n_tokens long, membership array<double>, rate double")
 
 
 def mix(documents: DataFrame, labelled: DataFrame, temper: float = 0.85) -> DataFrame:
@@ -239,7 +251,7 @@ def mix(documents: DataFrame, labelled: DataFrame, temper: float = 0.85) -> Data
     model = fit_domains(documents, labelled)
     held, k = documents.sparkSession.sparkContext.broadcast(model), len(model.names)
     members = settle(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_members(held), "doc_id long, n_tokens long, membership array<double>").select("n_tokens", "membership"), "mix")
-    steps, rate = fit_rates(members, k, None, temper, 1.0, True)
+    dual, _ = fit_rates(members, k, None, temper, 1.0, True)
 
     def run(batches):
         import pyarrow as pa
@@ -247,7 +259,7 @@ def mix(documents: DataFrame, labelled: DataFrame, temper: float = 0.85) -> Data
         m = held.value
         for batch in batches:
             p = np.array([m.membership(t)[1] for t in batch.column("text").to_pylist()]).reshape(-1, k)
-            r = rates_of(p, steps, rate, 1.0)
+            r = rates_of(p, dual, 1.0)
             chance = np.array([zlib.crc32(f"{i}:{t}".encode("utf-8", "surrogatepass")) / 2**32 for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())])
             copies = np.floor(r).astype(np.int64) + (chance < r - np.floor(r))
             for at in range(0, batch.num_rows, 256):
