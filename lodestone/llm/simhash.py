@@ -205,13 +205,14 @@ def near_duplicates(documents: DataFrame, split: int = SPLIT) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), least.alias("component_id"))
 
 
-def keep_first(documents: DataFrame, split: int = SPLIT) -> DataFrame:
+def keep_first(documents: DataFrame, split: int = SPLIT, named: DataFrame | None = None) -> DataFrame:
     """The rows of `documents` whose doc_id is their component's smallest, with all their columns. A row that comes
-    more than once with one id and text stays once. Rows without a doc_id stay."""
+    more than once with one id and text stays once. Rows without a doc_id stay. `named` (doc_id, component_id) are
+    components of another rule."""
     mark = "kept_id"
     while mark in documents.columns:
         mark += "_"
-    named = near_duplicates(documents, split).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    named = (near_duplicates(documents, split) if named is None else named).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
     first = settle(named.select(F.col("doc_id").alias(mark), "times"), "simhash-first")
     key = F.col("doc_id").cast("long")
     once = first.where("times = 1").select(mark)
