@@ -95,7 +95,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     "op8_html_extraction": f"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS h FROM pages),
 b AS (
-  SELECT page_id, url, array_to_string(list_filter(list_transform(regexp_split_to_array(h, '</?h1>|</?p>|<br>'),
+  SELECT page_id, url, array_to_string(list_filter(list_transform(regexp_split_to_array(replace(h, '<br>', ' '), '</?h1>|</?p>'),
     lambda x: trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text
   FROM a)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM b

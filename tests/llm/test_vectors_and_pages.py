@@ -77,7 +77,7 @@ def test_pages(spark):
     got = {r["page_id"]: r for r in html_text.extract_html(table).collect()}
     for r in table.collect():
         inside = r["html"].split("<article>")[1].split("</article>")[0]
-        parts = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", x))).strip() for x in re.split("</?h1>|</?p>|<br>", inside)]
+        parts = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", x))).strip() for x in re.split("</?h1>|</?p>", inside.replace("<br>", " "))]
         want = "\n".join(p for p in parts if p)
         assert (got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"]) == (want, len(want))
 
@@ -98,7 +98,23 @@ def test_odd_pages(spark):
         ("<div id=menu><a>x</a></div><div class=post><p>Hello, this is the long text of it.</p><p>More</p></div><div class='cookie-notice'>ok</div>", "Hello, this is the long text of it.\nMore"),
         ("<script>var a='<p>x</p>'</script><style>p{}</style><p>a<!-- no --> b</p>", "a b"),
         ("<table><tr><td>one<td>two</table>", "one\ntwo"),
+        ("<div hidden>secret words here</div><p>Shown words are here.</p>", "Shown words are here."),
+        ("<p>a<br>b</p>", "a b"),
+        ("<div class=social-sciences><p>A study of towns and people.</p></div><div class=ad-hoc><p>An ad hoc remark on it.</p></div><div class=ad-box>buy</div>", "A study of towns and people.\nAn ad hoc remark on it."),
+        ("<div class=title><h1>T</h1></div><div class=content><p>The first paragraph of the text.</p><p>The second one of it, longer.</p></div>", "T\nThe first paragraph of the text.\nThe second one of it, longer."),
+        ("<article><p>One story told in full.</p></article><article><p>Another story told in full.</p></article>", "One story told in full.\nAnother story told in full."),
+        # unmarked menus and small print: only their ratios tell them from the text
+        ("<div><a href=1>Home</a> <a href=2>News</a> <a href=3>Shop</a></div><div><p>A long paragraph that says what the page is about, at some length.</p><p>Another long paragraph that goes on about it, at some length.</p><p>So.</p></div><div><a href=4>x</a> <a href=5>y</a></div>", "A long paragraph that says what the page is about, at some length.\nAnother long paragraph that goes on about it, at some length.\nSo."),
     ],
 )
 def test_layouts(page, want):
     assert html_text.main_text(page) == want
+
+
+def test_clusters_decide(spark, monkeypatch):
+    """Without the content cluster, or with one dealt at random, pages lose their text or gain what is none."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    want, found, draw = [html_text.main_text(x) for x in pages], html_text.content_cluster, np.random.default_rng(1)
+    for broken in (lambda x: np.zeros(len(x), bool), lambda x: draw.random(len(x)) < 0.5, lambda x: draw.permutation(found(x)), lambda x: ~found(x)):
+        monkeypatch.setattr(html_text, "content_cluster", broken)
+        assert sum(html_text.main_text(x) != w for x, w in zip(pages, want)) > 0.9 * len(pages)
