@@ -35,6 +35,7 @@ CLOSES_P = BLOCK - frozenset("body html head option select title".split())
 SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 SIGMA, WIDTH, APART = 1.0, 3, 1.0  # clusters whose ratios are less than a factor e apart are one
 LINKED, OUTSIDE = 0.1, 0.125  # what a character counts in a link, and outside the article elements of a page that has some
+MENU = 0.8  # a line with this share of its characters in links is no text unless its element holds content
 
 _words = re.compile(r"[a-z0-9]+")
 _space = re.compile(r"\s+")
@@ -204,7 +205,7 @@ def main_text(html: str | None) -> str:
     within = [i == home for i in range(len(parents))]
     for i in range(home + 1, len(parents)):
         within[i] = within[parents[i]]
-    return "\n".join(x.text for x, chosen, free in zip(lines, content, plain) if within[x.node] and (chosen or free and (x.linked < len(x.text) or x.heading or holds[max(0, parents[x.node])])))
+    return "\n".join(x.text for x, chosen, free in zip(lines, content, plain) if within[x.node] and (chosen or free and (x.linked < MENU * len(x.text) or x.heading or holds[max(0, parents[x.node])])))
 
 
 def extract_html(pages: DataFrame) -> DataFrame:
