@@ -205,7 +205,7 @@ def main_text(html: str | None) -> str:
     within = [i == home for i in range(len(parents))]
     for i in range(home + 1, len(parents)):
         within[i] = within[parents[i]]
-    return "\n".join(x.text for x, chosen, free in zip(lines, content, plain) if within[x.node] and (chosen or free and (x.linked < MENU * len(x.text) or x.heading or holds[max(0, parents[x.node])])))
+    return "\n".join(x.text for x, chosen, free in zip(lines, content, plain) if within[x.node] and (chosen or free and (x.linked < MENU * (len(x.text) - x.text.count(" ")) or x.heading or holds[max(0, parents[x.node])])))
 
 
 def extract_html(pages: DataFrame) -> DataFrame:
