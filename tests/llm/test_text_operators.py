@@ -225,6 +225,32 @@ def test_passages(spark, odd, empty, documents):
     assert suffix_dedup.repeated_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("windows,bucket", [(1_500_000, 2_000_000), (60, 40)])
+def test_passages_in_small_alphabets(spark, monkeypatch, windows, bucket):
+    """Few distinct words, so kept suffixes are alike in many ways; also with many small blocks and buckets."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_WINDOWS", windows)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_WINDOWS", bucket)
+    draw = np.random.default_rng(8)
+    parts = [[str(x) for x in draw.integers(0, 3, 70)] for _ in range(6)] + [["a"] * 90, ["a", "b"] * 50]
+    rows = []
+    for i in range(60):
+        words = []
+        for j in draw.integers(0, len(parts), 3):
+            lo = int(draw.integers(0, 30))
+            words += [f"own{i}"] * int(draw.integers(0, 3)) + parts[j][lo : lo + int(draw.integers(30, 70))]
+        rows.append((i, " ".join(words)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((key(r["doc_id"]), tuple((p["start"], p["end"]) for p in r["passages"])) for r in suffix_dedup.repeated_passages(table).collect())
+    assert got == slow_passages(rows) and got
+
+
+def test_words_of_one_checksum(spark):
+    """plumless and buckeroo have one CRC-32."""
+    line = " ".join(f"w{i}" for i in range(49))
+    table = spark.createDataFrame([(1, f"{line} plumless"), (2, f"{line} buckeroo")], "doc_id long, text string")
+    assert suffix_dedup.repeated_passages(table).count() == 0
+
+
 # --- toxicity and mixing
 
 
