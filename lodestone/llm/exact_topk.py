@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import against_tiles, merge_tree, usable
+from lodestone.llm.shared import GROUP_BYTES, TILE_BYTES, deal, merge_tree, searcher, usable
 
-TILE_ROWS, SHARD_ROWS = 2048, 8192
+BLOCK_ROWS = 8192
 _EXACT = float(2**53)
 _LONG = 2**63
 
@@ -23,51 +22,41 @@ def scores_of(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(whole(q).dot(whole(c).T), -_LONG, _LONG - 1).astype(np.int64)
 
 
-def select(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query row the k best (score desc, id asc) of one block whose ids ascend; `own` are the query ids."""
+def select(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, at_least) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, ids, scores) of the k best (score desc, id asc) of one block whose ids ascend, of the scores that reach
+    what at_least(query) asks for; `own` are the query ids."""
     out = []
-    for row, me in zip(scores, own):
-        keep = np.arange(len(ids))
-        lo, hi = np.searchsorted(ids, me), np.searchsorted(ids, me, side="right")
-        if lo < hi:
-            keep = np.concatenate([keep[:lo], keep[hi:]])
+    for i, (row, me) in enumerate(zip(scores, own)):
+        least = at_least(i)
+        keep = np.arange(len(ids)) if least is None else np.flatnonzero(row >= least)
+        keep = keep[ids[keep] != me]
         s = row[keep]
         if len(s) > k:
             edge = np.partition(s, len(s) - k)[len(s) - k]
             above, level = np.flatnonzero(s > edge), np.flatnonzero(s == edge)
             pick = np.concatenate([above, level[: k - len(above)]])
             keep, s = keep[pick], s[pick]
-        order = np.lexsort((ids[keep], -s.astype(object)) if len(s) and s.min() == -_LONG else (ids[keep], -s))
-        out.append((ids[keep][order], s[order]))
+        if len(s):
+            out.append((i, ids[keep], s))
     return out
 
 
-def _tile_products(k: int):
-    import pyarrow as pa
+def _tile_product(k: int):
+    def search(state, q_ids, q, ids, mat, best):
+        c = np.floor(mat * 64)
+        for at in range(0, len(q_ids), 256):
 
-    kind = pa.list_(pa.struct([("neg", pa.int64()), ("vec_id", pa.int64())]))
+            def at_least(i, at=at):
+                last = best.last(at + i)
+                return None if last is None else -last
 
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q = np.floor(np.frombuffer(r["q_mat"]).reshape(r["q_n"], r["q_dim"]) * 64)
-                c = np.floor(np.frombuffer(r["mat"]).reshape(r["n"], r["dim"]) * 64)
-                src = TaskContext.get().partitionId()
-                for at in range(0, len(q_ids), 256):
-                    best = select(scores_of(q[at : at + 256], c), ids, q_ids[at : at + 256], k)
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "query_id": pa.array(q_ids[at : at + 256], pa.int64()),
-                            "src": pa.array([src] * len(best), pa.int32()),
-                            "best": pa.array([[{"neg": max(-int(s), -_LONG) if s != -_LONG else _LONG - 1, "vec_id": int(i)} for i, s in zip(*b)] for b in best], kind),
-                        }
-                    )
+            for i, hits, scores in select(scores_of(state[at : at + 256], c), ids, q_ids[at : at + 256], k, at_least):
+                best.offer(at + i, -np.maximum(scores, 1 - _LONG), hits)  # the least long has no negative
 
-    return run
+    return search
 
 
-def exact_topk(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", tile_rows: int = TILE_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def exact_topk(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", tile_bytes: int = TILE_BYTES, group_bytes: int = GROUP_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k rows with the highest integer inner product of floor(64 * x) for each query row of `vectors`.
 
     `is_query` is a condition on the column `id`. Ties go to the smaller id; rows with the query's own id are no
@@ -77,8 +66,9 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_
     columns are not read. Returns query_id, rank, vec_id, score."""
     rows = usable(vectors, id_col, vec_col)
     queries = rows.where(is_query).groupBy("id").agg(F.min("vec").alias("vec"))
-    pairs, parts = against_tiles(rows, queries, tile_rows, shard_rows, "topk")
-    partial = pairs.mapInArrow(_tile_products(k), "query_id long, src int, best array<struct<neg:long,vec_id:long>>")
+    dealt, parts, _ = deal(rows, queries, tile_bytes, group_bytes)
+    run = searcher(k, np.dtype(np.int64), block_rows, lambda q: np.floor(q * 64), _tile_product(k))
+    partial = dealt.mapInArrow(run, "query_id long, src int, best array<struct<neg:long,vec_id:long>>")
     return (
         merge_tree(partial, k, parts)
         .select("query_id", F.posexplode("best").alias("at", "hit"))

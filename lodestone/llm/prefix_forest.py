@@ -1,28 +1,40 @@
-"""Approximate nearest neighbours by cosine: a forest of sorted hash-string arrays.
+"""Approximate nearest neighbours by cosine: one forest of sorted hash-string arrays over all rows.
 
-Each block of rows carries `trees` sorted arrays of 64-bit hash strings (signs of random projections, most significant
-bit first). A query descends in every tree to its longest matching prefix, then all trees ascend together, one bit at a
-time, until the prefixes they share with the query hold enough distinct entries; those are ranked by exact cosine."""
+A tree's hash string of a vector is SYMBOLS cross-polytope symbols, one for each of its random rotations: the axis that
+the rotated vector is nearest to, and its sign. Each tree is a sorted array of strings, kept in parts: the rows of one
+group. A query descends in every tree to its longest matching prefix; then all trees ascend together, symbol by symbol,
+until enough of them hold an entry within the query's prefix for it to be a candidate, and those are ranked by exact
+cosine. How deep the candidates of a query lie, and how many trees must hold one, is fitted on the exact neighbours of
+at most SAMPLE queries, so it is the same for all parts of the forest: the least number of candidates that finds TARGET
+of these neighbours. Where a part has fewer than k + 1 entries there, the query ascends further in it."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import PACKED, against_tiles, merge_tree, usable
+from lodestone.llm.shared import GROUP_BYTES, TILE_BYTES, deal, merge_tree, searcher, usable
 
-TREES, BITS, SHARE, LEAST, SEED = 24, 64, 1.0, 400, 17
-TILE_ROWS, SHARD_ROWS = 1024, 8192
-INDEXED = PACKED + ", twins binary, counts binary, codes binary, orders binary"
+TREES, SYMBOLS, AXES, SEED = 192, 3, 64, 17
+SAMPLE, FAR_SAMPLE, TARGET = 128, 4096, 0.96  # fit: queries with their exact neighbours, rows that stand for all others, share to find
+BLOCK_ROWS = 8192
 
 
-def planes(dim: int, trees: int) -> np.ndarray:
-    """The projections' directions: a rule of the seed and the sizes, so every block and query uses the same ones."""
-    return np.random.default_rng([SEED, dim]).standard_normal((dim, trees * BITS))
+def symbol_bits(dim: int) -> int:
+    return max(1, math.ceil(math.log2(2 * min(dim, AXES))))
+
+
+def rotations(dim: int, trees: int) -> np.ndarray:
+    """(dim, trees * SYMBOLS * axes) directions, a rule of the seed and the sizes, so every part and query uses the same:
+    orthogonal within a symbol, of at most AXES of them."""
+    draw, axes = np.random.default_rng([SEED, dim]), min(dim, AXES)
+    return np.concatenate([np.linalg.qr(draw.standard_normal((dim, axes)))[0] for _ in range(trees * SYMBOLS)], axis=1).astype(np.float32)
+
+
+_kept: dict[tuple[int, int], np.ndarray] = {}
 
 
 def unit(mat: np.ndarray) -> np.ndarray:
@@ -32,60 +44,44 @@ def unit(mat: np.ndarray) -> np.ndarray:
 
 
 def hash_strings(mat: np.ndarray, trees: int) -> np.ndarray:
-    """(trees, rows) of uint64, the first projection in the highest bit."""
-    out = np.empty((trees, len(mat)), np.uint64)
-    way, powers = planes(mat.shape[1], trees), np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)
-    for t in range(trees):
-        out[t] = (mat @ way[:, t * BITS : (t + 1) * BITS] > 0).astype(np.uint64) @ powers
+    """(trees, rows) strings of unit vectors as integers, the first symbol in the highest bits."""
+    dim, axes, bits = mat.shape[1], min(mat.shape[1], AXES), symbol_bits(mat.shape[1])
+    if (dim, trees) not in _kept:
+        _kept.clear()
+        _kept[dim, trees] = rotations(dim, trees)
+    out, way, small = np.zeros((trees, len(mat)), np.uint32), _kept[dim, trees], mat.astype(np.float32)
+    for at in range(0, len(mat), 1024):
+        for t in range(trees):
+            y = (small[at : at + 1024] @ way[:, t * SYMBOLS * axes : (t + 1) * SYMBOLS * axes]).reshape(-1, SYMBOLS, axes)
+            axis = np.abs(y).argmax(axis=2)
+            symbol = (2 * axis + (np.take_along_axis(y, axis[:, :, None], 2)[:, :, 0] > 0)).astype(np.uint32)
+            for i in range(SYMBOLS):
+                out[t, at : at + 1024] = out[t, at : at + 1024] << np.uint32(bits) | symbol[:, i]
     return out
 
 
-def _planter(trees: int, k: int):
-    """Packed blocks to indexed ones: one entry per distinct vector with its k + 1 smallest ids, and the sorted arrays."""
-    import pyarrow as pa
-
-    def plant(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, mat = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["mat"]).reshape(r["n"], r["dim"])
-                _, first, inverse = np.unique(np.ascontiguousarray(mat + 0.0).view(f"V{8 * r['dim']}").ravel(), return_index=True, return_inverse=True)
-                order = np.lexsort((ids, inverse))
-                place = np.arange(len(ids)) - np.searchsorted(inverse[order], inverse[order])
-                order = order[place <= k]
-                twins, counts = ids[order], np.bincount(inverse[order], minlength=len(first))
-                own = mat[first]
-                codes = hash_strings(unit(own), trees)
-                orders = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "dim": pa.array([r["dim"]], pa.int32()), "n": pa.array([len(first)], pa.int32()), "ids": pa.array([b""], pa.binary()), "mat": pa.array([own.tobytes()], pa.binary()),
-                        "twins": pa.array([twins.tobytes()], pa.binary()), "counts": pa.array([counts.astype(np.int32).tobytes()], pa.binary()),
-                        "codes": pa.array([np.take_along_axis(codes, orders, 1).tobytes()], pa.binary()), "orders": pa.array([orders.tobytes()], pa.binary()),
-                    }
-                )
-
-    return plant
-
-
-def ranges(codes: np.ndarray, asked: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per tree and query the slice of the sorted array that shares the deepest common prefix length at which all
-    trees together hold `wanted` entries (length 0, everything, at the latest)."""
-    trees, n = asked.shape
-    lo, hi = np.zeros((trees, n), np.int64), np.full((trees, n), codes.shape[1], np.int64)
-    open_ = np.arange(n)
-    deepest = min(BITS, int(math.log2(max(codes.shape[1], 2))) + 12)
-    for length in range(deepest, 0, -1):
-        low = np.uint64(BITS - length)
-        start = (asked[:, open_] >> low) << low
-        end = start | ((np.uint64(1) << low) - np.uint64(1))
-        a = np.array([np.searchsorted(codes[t], start[t]) for t in range(trees)])
-        b = np.array([np.searchsorted(codes[t], end[t], side="right") for t in range(trees)])
-        done = (b - a).sum(axis=0) >= wanted
-        lo[:, open_[done]], hi[:, open_[done]] = a[:, done], b[:, done]
-        open_ = open_[~done]
-        if not len(open_):
-            break
-    return lo, hi
+def votes(codes: np.ndarray, orders: np.ndarray, asked: np.ndarray, length: int, bits: int) -> np.ndarray:
+    """(queries, entries): how many trees hold an entry within the query's prefix of so many symbols."""
+    trees, n = codes.shape
+    low = np.uint32(bits * (SYMBOLS - length))
+    out = np.zeros(asked.shape[1] * n, np.uint8)
+    flat, held = [], 0
+    for t in range(trees):
+        a = np.searchsorted(codes[t] >> low, asked[t] >> low)
+        b = np.searchsorted(codes[t] >> low, asked[t] >> low, side="right")
+        size = b - a
+        if size.any():
+            at = np.repeat(a - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            flat.append(np.repeat(np.arange(len(size)) * n, size) + orders[t][at])
+            held += len(at)
+        if flat and (held > 4_000_000 or t == trees - 1):
+            place, times = np.unique(np.concatenate(flat), return_counts=True)
+            out[place] += times.astype(np.uint8)
+            flat, held = [], 0
+    if flat:
+        place, times = np.unique(np.concatenate(flat), return_counts=True)
+        out[place] += times.astype(np.uint8)
+    return out.reshape(-1, n)
 
 
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> float:
@@ -98,59 +94,156 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> float:
     return math.fsum((a * b).tolist()) / (math.sqrt(math.fsum((a * a).tolist())) * math.sqrt(math.fsum((b * b).tolist())))
 
 
-def _searcher(trees: int, k: int, share: float, least: int):
-    import pyarrow as pa
-
-    kind = pa.list_(pa.struct([("neg", pa.float64()), ("vec_id", pa.int64())]))
-
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                n, dim = r["n"], r["dim"]
-                q_ids, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_mat"]).reshape(r["q_n"], dim)
-                mat, twins, counts = np.frombuffer(r["mat"]).reshape(n, dim), np.frombuffer(r["twins"], np.int64), np.frombuffer(r["counts"], np.int32)
-                codes, orders = np.frombuffer(r["codes"], np.uint64).reshape(trees, n), np.frombuffer(r["orders"], np.int32).reshape(trees, n)
-                first, normal, asked = np.concatenate([[0], np.cumsum(counts)]), unit(mat), unit(q)
-                lo, hi = ranges(codes, hash_strings(asked, trees), max(least, int(share * n)) )
-                best = []
-                for i in range(len(q)):
-                    seen = np.zeros(n, bool)
-                    for t in range(trees):
-                        seen[orders[t, lo[t, i] : hi[t, i]]] = True
-                    found = np.flatnonzero(seen)
-                    near = normal[found] @ asked[i]
-                    if len(found) > k + 1:
-                        edge = np.partition(near, len(near) - k - 1)[len(near) - k - 1]
-                        found = found[near >= edge - 1e-9]
-                    hits = []
-                    for j in found:
-                        ids = twins[first[j] : first[j + 1]]
-                        ids = ids[ids != q_ids[i]]
-                        if len(ids):
-                            s = exact_cosine(q[i], mat[j])
-                            hits += [(-s, int(x)) for x in ids]
-                    best.append([{"neg": a, "vec_id": b} for a, b in sorted(hits)[:k]])
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids, pa.int64()), "src": pa.array([TaskContext.get().partitionId()] * len(best), pa.int32()), "best": pa.array(best, kind)})
-
-    return run
-
-
-def forest_search(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, share: float = SHARE, least: int = LEAST, tile_rows: int = TILE_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def _rank(i: int, found: np.ndarray, normal, asked, q_ids, q, first, twins, mat, best) -> None:
+    """Offers the found entries of a block that can still be among the k best of query i."""
+    near = normal[found] @ asked[i]
+    if len(found) > best.k + 1:
+        edge = np.partition(near, len(near) - best.k - 1)[len(near) - best.k - 1]
+        found, near = found[near >= edge - 1e-9], near[near >= edge - 1e-9]
+    last = best.last(i)
+    if last is not None:
+        found = found[near >= -last - 1e-9]
+    neg, ids = [], []
+    for j in found:
+        own = twins[first[j] : first[j + 1]]
+        own = own[own != q_ids[i]]
+        if len(own):
+            neg.append(np.full(len(own), -exact_cosine(q[i], mat[j])))
+            ids.append(own)
+    if neg:
+        best.offer(i, np.concatenate(neg), np.concatenate(ids))
+
+
+def distinct(ids: np.ndarray, mat: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct vectors of a block, the borders of each one's ids, and these: the k + 1 smallest, all that a result can hold."""
+    _, lead, inverse = np.unique(np.ascontiguousarray(mat + 0.0).view(f"V{8 * mat.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    order = np.lexsort((ids, inverse))
+    place = np.arange(len(ids)) - np.searchsorted(inverse[order], inverse[order])
+    order = order[place <= k]
+    return mat[lead], np.r_[0, np.cumsum(np.bincount(inverse[order], minlength=len(lead)))], ids[order]
+
+
+def _search(k: int, trees: int, depth: int, least: int, ranked=None):
+    """Search of one block; depth 0 ranks all entries. `ranked` counts candidates (of this process)."""
+
+    def search(state, q_ids, q, ids, mat, best):
+        asked, strings = state
+        own, first, twins = distinct(ids, mat, k)
+        normal, bits, n = unit(own), symbol_bits(mat.shape[1]), len(own)
+        if depth:
+            codes = hash_strings(normal, trees)
+            orders = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
+            codes = np.take_along_axis(codes, orders, 1)
+        for at in range(0, len(q_ids), 512):
+            open_ = np.arange(at, min(at + 512, len(q_ids)))
+            for length in range(depth, -1, -1):
+                if not len(open_):
+                    break
+                held = votes(codes, orders, strings[:, open_], length, bits) if length else None
+                late = []
+                for row, i in enumerate(open_.tolist()):
+                    found = np.arange(n)
+                    if length:
+                        for need in range(least if length == depth else 1, 0, -1):  # fewer trees before shorter prefixes
+                            found = np.flatnonzero(held[row] >= need)
+                            if len(found) > k:
+                                break
+                    if length and len(found) <= k:
+                        late.append(i)
+                        continue
+                    if ranked is not None:
+                        ranked[0] += len(found)
+                    _rank(i, found, normal, asked, q_ids, q, first, twins, own, best)
+                open_ = np.array(late, np.int64)
+
+    return search
+
+
+FOUND = "query_id long, src int, best array<struct<neg:double,vec_id:long>>"
+
+
+def _run(k: int, trees: int, depth: int, least: int, block_rows: int):
+    def prepare(q):
+        asked = unit(q)
+        return asked, hash_strings(asked, trees) if depth else None
+
+    return searcher(k, np.dtype(np.float64), block_rows, prepare, _search(k, trees, depth, least))
+
+
+def fit(rows: DataFrame, queries: DataFrame, k: int, trees: int, target: float, tile_bytes: int, group_bytes: int, block_rows: int) -> dict[int, tuple[int, int]]:
+    """(depth, least) for each dimension: of the pairs of prefix length and number of trees that find `target` of the
+    exact neighbours of SAMPLE queries (those of the smallest hashes) the one with the fewest candidates among
+    FAR_SAMPLE rows. The driver gets at most SAMPLE * (k + 1) + FAR_SAMPLE vectors."""
+    asked = queries.orderBy(F.xxhash64(F.lit("fit"), "id"), "id").limit(SAMPLE).collect()
+    if not asked:
+        return {}
+    spark = rows.sparkSession
+    sample = spark.createDataFrame([(r["id"], r["vec"]) for r in asked], "id long, vec array<double>")
+    dealt, parts, _ = deal(rows, sample, tile_bytes, group_bytes)
+    found = merge_tree(dealt.mapInArrow(_run(k, trees, 0, 0, block_rows), FOUND), k, parts)
+    pairs = found.select("query_id", F.explode("best.vec_id").alias("to"))
+    near = rows.join(F.broadcast(pairs), F.col("id") == F.col("to")).groupBy("query_id", "to").agg(F.min("vec").alias("vec")).collect()  # SAMPLE * k rows
+    # every row would do: the hash only has to know nothing of where a vector points
+    far = rows.orderBy(F.xxhash64(F.lit("far"), "id")).limit(FAR_SAMPLE).collect()
+    out = {}
+    own = {r["id"]: np.array(r["vec"]) for r in asked}
+    for dim in {len(v) for v in own.values()}:
+        bits = symbol_bits(dim)
+        ids = [i for i, v in own.items() if len(v) == dim]
+        place = {i: x for x, i in enumerate(ids)}
+        strings = hash_strings(unit(np.array([own[i] for i in ids])), trees)
+        hits = [(place[r["query_id"]], r["vec"]) for r in near if r["query_id"] in place and len(r["vec"]) == dim]
+        others = [r["vec"] for r in far if len(r["vec"]) == dim]
+        best = (1, 0)
+        if hits and others:
+            theirs, rest = hash_strings(unit(np.array([v for _, v in hits])), trees), hash_strings(unit(np.array(others)), trees)
+            mine = strings[:, [q for q, _ in hits]]
+            fewest = math.inf
+            for depth in range(SYMBOLS, 0, -1):
+                low = np.uint32(bits * (SYMBOLS - depth))
+                alike = (theirs >> low == mine >> low).sum(axis=0)
+                rate = np.zeros(trees + 1)
+                for q in range(len(ids)):
+                    rate += np.bincount((rest >> low == strings[:, q : q + 1] >> low).sum(axis=0), minlength=trees + 1)
+                for least in range(1, trees + 1):
+                    candidates = rate[least:].sum()
+                    if (alike >= least).mean() >= target and candidates < fewest:
+                        best, fewest = (depth, least), candidates
+            if fewest == math.inf:
+                best = (0, 0)
+        out[dim] = best
+    return out
+
+
+def forest_search(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, target: float = TARGET, tile_bytes: int = TILE_BYTES, group_bytes: int = GROUP_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k nearest rows by cosine that the forest finds for each query row of `vectors`.
 
-    Every row is indexed, in the forest of its block; a query visits each block's forest until its prefixes hold
-    max(least, share * entries) entries over the trees. `is_query` is a condition on the column `id`. Scores are
-    exact cosines of the original vectors; ties go to the smaller id; rows with the query's own id are no candidates.
-    Vectors null, zero, empty or holding null or non-finite components, and rows without an id, take no part; unlike
-    lengths never meet. An id that repeats among queries is answered once (smallest vector). Equal vectors share one
-    entry that keeps their k + 1 smallest ids, all that a result can hold. Fewer than k candidates: all of them.
-    Empty table: no rows. Returns query_id, rank, vec_id, score."""
+    Every row is indexed. `is_query` is a condition on the column `id`. Scores are exact cosines of the original
+    vectors; ties go to the smaller id; rows with the query's own id are no candidates. Vectors null, zero, empty or
+    holding null or non-finite components, and rows without an id, take no part; unlike lengths never meet. An id that
+    repeats among queries is answered once (smallest vector). Equal vectors of a block share one entry that keeps their
+    k + 1 smallest ids, all that a result can hold. Fewer than k candidates: all of them. Empty table: no rows.
+    Returns query_id, rank, vec_id, score."""
     rows = usable(vectors, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
     queries = rows.where(is_query).groupBy("id").agg(F.min("vec").alias("vec"))
-    pairs, parts = against_tiles(rows, queries, tile_rows, shard_rows, "forest", _planter(trees, k), INDEXED)
-    partial = pairs.mapInArrow(_searcher(trees, k, share, least), "query_id long, src int, best array<struct<neg:double,vec_id:long>>")
+    fitted = fit(rows, queries, k, trees, target, tile_bytes, group_bytes, block_rows)
+    dealt, parts, _ = deal(rows, queries, tile_bytes, group_bytes)
+    partial = dealt.mapInArrow(_by_dimension(k, trees, fitted, block_rows), FOUND)
     return (
         merge_tree(partial, k, parts)
         .select("query_id", F.posexplode("best").alias("at", "hit"))
         .select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.neg")).alias("score"))
     )
+
+
+def _by_dimension(k: int, trees: int, fitted: dict[int, tuple[int, int]], block_rows: int):
+    """As _run, with the depth fitted for each dimension; one that the sample has no query of is searched whole."""
+
+    def prepare(q):
+        asked = unit(q)
+        return asked, hash_strings(asked, trees) if fitted.get(q.shape[1], (0, 0))[0] else None
+
+    def search(state, q_ids, q, ids, mat, best):
+        _search(k, trees, *fitted.get(q.shape[1], (0, 0)))(state, q_ids, q, ids, mat, best)
+
+    return searcher(k, np.dtype(np.float64), block_rows, prepare, search)

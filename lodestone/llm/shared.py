@@ -1,4 +1,4 @@
-"""What the operators share: tables in the cluster's shared folder, packed vector blocks, top-list merging."""
+"""What the operators share: tables in the cluster's shared folder, rows dealt to queries, top-list merging."""
 
 from __future__ import annotations
 
@@ -33,19 +33,6 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def code_points_before(pieces: Column, matches: Column) -> Column:
-    """Zero-based starts of matches, from split(text, pattern, -1) and regexp_extract_all(text, pattern, 0)."""
-    at = F.aggregate(
-        F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("p"), matches.alias("m")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.concat(acc["starts"], F.array(acc["at"] + F.length(x["p"]))).alias("starts"),
-        ),
-    )
-    return at["starts"]
-
-
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id long, vec array<double>) of the rows whose id is known and whose vector is not null, empty, or holding null or non-finite parts."""
     big = 1.7976931348623157e308
@@ -56,63 +43,98 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     )
 
 
-PACKED = "dim int, n int, ids binary, mat binary"
+DEALT = "kind int, id long, vec array<double>"
+TILE_BYTES, GROUP_BYTES, LEAST_ROWS = 16 << 20, 256 << 20, 4096
+
+
+def deal(rows: DataFrame, queries: DataFrame, tile_bytes: int = TILE_BYTES, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int, int]:
+    """Every row of `rows` next to every row of `queries` (both id, vec), one tile of queries and one group of rows in
+    a partition: queries (kind 0) come first, then rows (kind 1), which a task reads as a stream. Tiles are of bounded
+    bytes, as a task keeps one; so are groups, and each query goes to as many partitions as there are groups, each row
+    to as many as there are tiles. Both are chosen by hashes, so a task that runs again gets the same.
+
+    Returns the dealt rows, the number of partitions and that of groups."""
+    facts = [df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("parts")).first() for df in (rows, queries)]
+    tiles = max(1, math.ceil(facts[1]["parts"] * 8 / tile_bytes))
+    busy = math.ceil(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) / tiles)
+    groups = max(1, math.ceil(facts[0]["parts"] * 8 / group_bytes), min(busy, math.ceil(facts[0]["n"] / LEAST_ROWS)))
+    tile, group = F.pmod(F.xxhash64("id", F.lit("tile")), F.lit(tiles)), F.pmod(F.xxhash64("id", "vec"), F.lit(groups))
+    asked = queries.select(F.lit(0).alias("kind"), "id", "vec", tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    held = rows.select(F.lit(1).alias("kind"), "id", "vec", group.alias("group"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
+    dealt = asked.unionByName(held).select("kind", "id", "vec", (F.col("tile") * groups + F.col("group")).cast("int").alias("part"))
+    return dealt.repartitionById(tiles * groups, "part").sortWithinPartitions("kind").select("kind", "id", "vec"), tiles * groups, groups
+
 
+class Best:
+    """The k best (neg, id) pairs of each of n queries so far, least first."""
 
-def packer(rows: int):
-    """mapInArrow function: (id, vec) rows to blocks of at most `rows` rows, one dimension each, sorted by id."""
+    def __init__(self, n: int, k: int, kind) -> None:
+        self.k, self.size = k, np.zeros(n, np.int32)
+        self.neg, self.ids = np.zeros((n, k), kind), np.zeros((n, k), np.int64)
+
+    def last(self, i: int):
+        """The worst value that still counts, None while there is room."""
+        return self.neg[i, self.k - 1] if self.size[i] == self.k else None
+
+    def offer(self, i: int, neg: np.ndarray, ids: np.ndarray) -> None:
+        n = self.size[i]
+        neg, ids = np.concatenate([self.neg[i, :n], neg]), np.concatenate([self.ids[i, :n], ids])
+        order = np.lexsort((ids, neg))[: self.k]
+        self.size[i] = n = len(order)
+        self.neg[i, :n], self.ids[i, :n] = neg[order], ids[order]
+
+
+def searcher(k: int, kind, block_rows: int, prepare, search):
+    """mapInArrow function over one partition of `deal`: keeps the queries, by dimension, and hands rows over in blocks.
+
+    prepare(mat) makes of a dimension's queries what search(state, q_ids, q, ids, mat, best) needs to offer hits of a
+    block to `best`. Yields query_id, src and the sorted list best of (neg, vec_id) once, at the end."""
     import pyarrow as pa
+    from pyspark import TaskContext
+
+    out = pa.list_(pa.struct([("neg", pa.from_numpy_dtype(kind)), ("vec_id", pa.int64())]))
+
+    def run(batches):
+        parts: dict[int, dict[int, list]] = {0: {}, 1: {}}
+        ready: dict[int, tuple] = {}
+        waiting: dict[int, int] = {}
+
+        def block(dim):
+            ids, mat = (np.concatenate(x) for x in zip(*parts[1].pop(dim)))
+            waiting[dim] = 0
+            if dim not in ready and dim in parts[0]:
+                q_ids, q = (np.concatenate(x) for x in zip(*parts[0].pop(dim)))
+                ready[dim] = prepare(q), q_ids, q, Best(len(q), k, kind)
+            if dim in ready:
+                state, q_ids, q, best = ready[dim]
+                for at in range(0, len(ids), block_rows):
+                    order = at + np.argsort(ids[at : at + block_rows], kind="stable")
+                    search(state, q_ids, q, ids[order], mat[order], best)
 
-    def blocks(pending: dict[int, list], dim: int):
-        ids = np.concatenate([x for x, _ in pending[dim]])
-        mat = np.concatenate([y for _, y in pending[dim]])
-        pending[dim] = []
-        order = np.argsort(ids, kind="stable")
-        for at in range(0, len(ids), rows):
-            part = order[at : at + rows]
-            part = part[np.argsort(ids[part], kind="stable")]
-            yield pa.RecordBatch.from_pydict(
-                {"dim": pa.array([dim], pa.int32()), "n": pa.array([len(part)], pa.int32()), "ids": pa.array([ids[part].tobytes()], pa.binary()), "mat": pa.array([mat[part].tobytes()], pa.binary())}
-            )
-
-    def pack(batches):
-        pending: dict[int, list] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, vec = batch.column("id").to_numpy(zero_copy_only=False), batch.column("vec")
+            what, ids, vec = batch.column("kind").to_numpy(), batch.column("id").to_numpy(), batch.column("vec")
             ends, flat = vec.offsets.to_numpy(), vec.values.to_numpy(zero_copy_only=False)
             dims = np.diff(ends)
-            for dim in np.unique(dims):
-                rows_of = np.flatnonzero(dims == dim)
-                at = ends[rows_of][:, None] + np.arange(dim)
-                pending.setdefault(int(dim), []).append((ids[rows_of], flat[at]))
-                if sum(len(x) for x, _ in pending[int(dim)]) >= rows:
-                    yield from blocks(pending, int(dim))
-        for dim in list(pending):
-            if pending[dim]:
-                yield from blocks(pending, dim)
-
-    return pack
-
-
-def against_tiles(rows: DataFrame, queries: DataFrame, tile_rows: int, shard_rows: int, tag: str, index=None, index_schema: str = PACKED) -> tuple[DataFrame, int]:
-    """Every packed block of `rows` next to every packed tile of `queries`, by an equi-join on the tile's number.
-
-    Query tiles are settled first, so their numbers cannot change when a task is run again. `index` turns packed
-    blocks into other blocks (for instance with search trees) before they are dealt to the tiles."""
-    spark = rows.sparkSession
-    tiles = settle(queries.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4), "id").mapInArrow(packer(tile_rows), PACKED), f"{tag}-tiles")
-    numbered = settle(
-        tiles.select(F.monotonically_increasing_id().alias("tile"), *[F.col(c).alias(f"q_{c}") for c in ("dim", "n", "ids", "mat")]),
-        f"{tag}-numbered",
-    )
-    packed = rows.mapInArrow(packer(shard_rows), PACKED)
-    if index is not None:
-        packed = settle(packed.mapInArrow(index, index_schema), f"{tag}-index")
-    keys = numbered.groupBy(F.col("q_dim").alias("k_dim")).agg(F.collect_list("tile").alias("k_tiles"))
-    dealt = packed.join(keys, F.col("dim") == F.col("k_dim")).withColumn("tile_no", F.explode("k_tiles")).drop("k_dim", "k_tiles")
-    return dealt.join(numbered, F.col("tile_no") == F.col("tile")).drop("tile_no"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+            for one in (0, 1):
+                for dim in np.unique(dims[what == one]).tolist():
+                    of = np.flatnonzero((dims == dim) & (what == one))
+                    parts[one].setdefault(dim, []).append((ids[of], flat[ends[of][:, None] + np.arange(dim)]))
+                    if one:
+                        waiting[dim] = waiting.get(dim, 0) + len(of)
+                        if waiting[dim] >= block_rows:
+                            block(dim)
+        for dim in list(parts[1]):
+            block(dim)
+        src = TaskContext.get().partitionId()
+        for _, q_ids, _, best in ready.values():
+            for at in range(0, len(q_ids), 1024):
+                mine = [i for i in range(at, min(at + 1024, len(q_ids))) if best.size[i]]
+                lists = [[{"neg": a, "vec_id": b} for a, b in zip(best.neg[i, : best.size[i]].tolist(), best.ids[i, : best.size[i]].tolist())] for i in mine]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[mine], pa.int64()), pa.array([src] * len(mine), pa.int32()), pa.array(lists, out)], names=["query_id", "src", "best"])
+
+    return run
 
 
 def merge_tree(partial: DataFrame, k: int, parts: int, fan_in: int = 16) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_topk, html_text, prefix_forest
+from lodestone.llm import exact_topk, html_text, prefix_forest, shared
 
 NAN, INF = float("nan"), float("inf")
 
@@ -37,11 +37,11 @@ def result(df):
     return [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in df.orderBy("query_id", "rank").collect()]
 
 
-@pytest.mark.parametrize("tile,shard", [(2048, 8192), (3, 7)])
-def test_exact_topk(vectors, tile, shard):
+@pytest.mark.parametrize("tile,group,block", [(1 << 24, 1 << 28, 8192), (200, 7000, 7)])
+def test_exact_topk(vectors, tile, group, block):
     whole = lambda v: np.array([int(x) for x in np.floor(v * 64)], dtype=object)
     want = slow(usable(vectors, True), 20, 20, lambda a, b: int(whole(a).dot(whole(b))))
-    assert result(exact_topk.exact_topk(vectors, F.col("id") % 20 == 0, 20, tile_rows=tile, shard_rows=shard)) == want
+    assert result(exact_topk.exact_topk(vectors, F.col("id") % 20 == 0, 20, tile_bytes=tile, group_bytes=group, block_rows=block)) == want
     assert exact_topk.exact_topk(vectors.where("vec_id < 0"), F.col("id") % 20 == 0, 20).count() == 0
 
 
@@ -50,26 +50,42 @@ def test_scores_beyond_double():
     assert exact_topk.scores_of(q, np.array([[2.0**22, 5.0]]))[0, 0] == 2**62 + 15
 
 
-@pytest.mark.parametrize("shard", [8192, 50])
-def test_forest_is_exact_when_it_sees_all(vectors, shard):
+@pytest.mark.parametrize("target,group,block", [(1.0, 1 << 28, 8192), (1.1, 3000, 50)])
+def test_forest_is_exact_when_asked(vectors, target, group, block):
+    """With a target that the sample must reach whole, or cannot reach, the sample being all queries here."""
     want = slow(usable(vectors, False), 50, 5, prefix_forest.exact_cosine)
-    assert result(prefix_forest.forest_search(vectors, F.col("id") % 50 == 0, 5, shard_rows=shard)) == want
+    assert result(prefix_forest.forest_search(vectors, F.col("id") % 50 == 0, 5, target=target, group_bytes=group, block_rows=block)) == want
     assert prefix_forest.forest_search(vectors.where("vec_id < 0"), F.col("id") % 50 == 0, 5).count() == 0
 
 
-@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
-def test_forest_recall(spark, sf):
-    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+def clustered(spark):
+    draw = np.random.default_rng(6)
+    middles = draw.standard_normal((60, 32))
+    rows = [(i, (middles[i % 60] + 0.4 * draw.standard_normal(32)).tolist()) for i in range(6000)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("which,most", [("sf0.01", 0.3), ("sf0.1", 0.1), ("check_s", 0.1), ("clustered", 0.1)])
+def test_forest_recall_and_candidates(spark, which, most):
+    """Recall at 5 against brute force, and the share of rows that a query ranks."""
+    table = clustered(spark) if which == "clustered" else spark.read.parquet(f"/root/testdata/{which}/embeddings.parquet")
     got = result(prefix_forest.forest_search(table, F.col("id") % 50 == 0, 5))
     rows = table.toPandas()
-    v = prefix_forest.unit(np.stack(rows["embedding"]).astype(float))
-    ids, hits, total = rows["vec_id"].to_numpy(), 0, 0
-    for q in ids[ids % 50 == 0]:
-        s = v @ v[ids == q][0]
-        s[ids == q] = -9
+    mat = np.stack(rows["embedding"]).astype(float)
+    v, ids, hits, total = prefix_forest.unit(mat), rows["vec_id"].to_numpy(), 0, 0
+    asked = np.flatnonzero(ids % 50 == 0)
+    for at in asked:
+        s = v @ v[at]
+        s[at] = -9
         best = set(ids[np.argsort(-s)[:5]])
-        hits, total = hits + len(best & {i for a, _, i, _ in got if a == q}), total + len(best)
+        hits, total = hits + len(best & {i for a, _, i, _ in got if a == ids[at]}), total + len(best)
     assert hits / total >= 0.9
+    frame = table.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    (depth, least), ranked = prefix_forest.fit(frame, frame.where("id % 50 = 0"), 5, prefix_forest.TREES, prefix_forest.TARGET, 1 << 24, 1 << 28, 8192)[mat.shape[1]], [0]
+    best = shared.Best(len(asked), 5, np.float64)
+    prefix_forest._search(5, prefix_forest.TREES, depth, least, ranked)((v[asked], prefix_forest.hash_strings(v[asked], prefix_forest.TREES)), ids[asked], mat[asked], ids, mat, best)
+    print(which, "recall", hits / total, "share ranked", ranked[0] / len(asked) / len(ids), "depth", depth, "trees", least)
+    assert ranked[0] / len(asked) / len(ids) <= most
 
 
 def test_pages(spark):
