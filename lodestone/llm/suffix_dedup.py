@@ -15,6 +15,7 @@ compared by 128-bit hashes of their words."""
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 from pyspark import TaskContext
@@ -74,15 +75,19 @@ class Words(dict):
             self.known = np.concatenate([self.known, np.frombuffer(b"".join(self.raw[len(self.known) :]), np.uint64).reshape(-1, 2)])
         return self.known
 
-    def of(self, text: str | None) -> np.ndarray:
-        """The numbers of a text's words (white space as in ASCII); none of a text of fewer than LENGTH words."""
-        parts = text.encode("utf-8", "surrogatepass").split() if text else []
-        return np.fromiter(map(self.__getitem__, parts), np.uint32, len(parts)) if len(parts) >= LENGTH else np.zeros(0, np.uint32)
+    def of(self, parts: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, parts), np.uint32, len(parts))
 
 
-def sums_of(words: Words, ids: np.ndarray, which: int) -> np.ndarray:
-    """Prefix sums from which the hash of any word range follows."""
-    return np.r_[np.uint64(0), np.cumsum(words.hashes()[ids, which] * _powers[which].get(len(ids) + 1)[1][: len(ids)], dtype=np.uint64)]
+def words_of(text: str | None) -> list[bytes]:
+    """A text's words (white space as in ASCII); none of a text of fewer than LENGTH words."""
+    parts = text.encode("utf-8", "surrogatepass").split() if text else []
+    return parts if len(parts) >= LENGTH else []
+
+
+def sums_of(values: np.ndarray, which: int) -> np.ndarray:
+    """Prefix sums, of values of the words, from which the hash of any word range follows."""
+    return np.r_[np.uint64(0), np.cumsum(values * _powers[which].get(len(values) + 1)[1][: len(values)], dtype=np.uint64)]
 
 
 def hashes(sums: np.ndarray, starts: np.ndarray, size: int, which: int) -> np.ndarray:
@@ -90,9 +95,11 @@ def hashes(sums: np.ndarray, starts: np.ndarray, size: int, which: int) -> np.nd
     return mixed((sums[starts + size] - sums[starts]) * _powers[which].get(len(sums))[0][starts])
 
 
-def kept_suffixes(sums: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text of n >= LENGTH words: places of its kept suffixes, hashes of their first words, and for each window of
-    LENGTH words which of these it holds as its least."""
+def kept_suffixes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text of LENGTH words or more: places of its kept suffixes, hashes of their first words, and for each window
+    of LENGTH words which of these it holds as its least. Words of one checksum only make these hashes say less."""
+    n = len(parts)
+    sums = sums_of(mixed(np.fromiter(map(zlib.crc32, parts), np.uint64, n) + np.uint64(1)), 0)
     grams, wide = hashes(sums, np.arange(n - GRAM + 1), GRAM, 0), REACH + 1
     out = []
     for at in range(0, n - LENGTH + 1, 1 << 15):  # in slices, so a very long text needs little memory
@@ -106,7 +113,7 @@ def _first_pass(batches):
     """(key, text) rows to (key, n, grams): a text's kept suffixes, once for texts that a task sees n times."""
     import pyarrow as pa
 
-    words, seen, held = Words(), {}, 0
+    seen, held = {}, 0
 
     def rows():
         keys = list(seen)
@@ -121,13 +128,13 @@ def _first_pass(batches):
             if key in seen:
                 seen[key][0] += 1
                 continue
-            ids = words.of(text.as_py())
-            if len(ids):
-                grams = np.unique(kept_suffixes(sums_of(words, ids, 0), len(ids))[1])
+            parts = words_of(text.as_py())
+            if parts:
+                grams = np.unique(kept_suffixes(parts)[1])
                 seen[key], held = [1, grams], held + len(grams)
-        if held > 2_000_000 or len(words) > BLOCK_WORDS:
+        if held > 2_000_000:
             yield from rows()
-            words, seen, held = Words(), {}, 0
+            seen, held = {}, 0
     yield from rows()
 
 
@@ -177,22 +184,21 @@ class Block:
         self.parts: list[list[np.ndarray]] = []
 
     def add(self, doc_id: int | None, text: str | None, grams: np.ndarray) -> None:
-        ids = self.words.of(text)
-        n = len(ids)
-        if not n:
+        parts = words_of(text)
+        if not parts:
             return
-        sums = sums_of(self.words, ids, 0)
-        at, h, least = kept_suffixes(sums, n)
+        at, h, least = kept_suffixes(parts)
         chosen = np.isin(h, grams)
         starts = np.flatnonzero(chosen[least])
         if not len(starts):
             return
         place, lo = np.unique(least[starts], return_index=True)  # windows of one kept suffix follow each other
         p, hi = at[place], np.r_[lo[1:], len(starts)] - 1
+        ids = self.words.of(parts)
+        sums, other = (sums_of(self.words.hashes()[ids, which], which) for which in (0, 1))
         padded = np.r_[np.zeros(REACH, np.uint32), ids, np.zeros(LENGTH, np.uint32)]
         right = padded[p[:, None] + REACH + np.arange(LENGTH)]
         left = padded[p[:, None] + REACH - 1 - np.arange(REACH)]
-        other = sums_of(self.words, ids, 1)
         self.parts.append([np.full(len(starts), len(self.docs), np.int64), starts, hashes(sums, starts, LENGTH, 0), hashes(other, starts, LENGTH, 1), right, left, p - starts[hi], p - starts[lo]])
         self.docs.append(doc_id)
         self.total += len(starts)
