@@ -1,9 +1,15 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of the terms that reveal them. Native only.
 
-A term reveals an entity if seeing the one makes the other much likelier: their pointwise mutual information over the
-documents of the corpus, divided by the entity's own information content, is the disclosed share of that information.
-Terms beyond a threshold are generalised, beyond a higher one removed. Candidates are the words in a window next to
-an entity; how many documents hold a term, an entity or both is counted over the whole corpus."""
+A term reveals an entity if who sees it knows nearly all that there is to know about the entity's presence: from the
+counts of rows that hold the term, the entity, or both, over whole rows and the whole corpus, comes the probability of
+the entity given the term, P = (both + a * p) / (holders + a), smoothed towards the entity's own share of rows, p, as if
+`a` more rows held the term. Of the entity's information, -log2 p bits, the term leaves -log2 P hidden. Terms that
+disclose at least SHARE of it and leave at most GENERALISE bits are generalised, those that leave at most REMOVE bits are
+removed, wherever they stand. With a = 1 a word of one row reveals that row's entities, and so do words most of whose
+rows hold the entity.
+
+An entity that only shares its rows with others is counted with them, by the sum of hashes of its rows, so a long list
+of addresses makes no more pairs with terms than one address."""
 
 from __future__ import annotations
 
@@ -11,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import settle
-from lodestone.llm.spans import SPAN, let, masked, shown, spans_of, starts_of
+from lodestone.llm.spans import SPAN, let, masked, shown, spans_of
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 # The base patterns, written so that no match is tried twice from within a run of its characters.
@@ -21,9 +27,9 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 IP_FITS = rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"
-WORD = r"\p{L}{4,}"
-WINDOW, LEAST_TOGETHER, GENERALISE, REMOVE = 64, 2, 0.8, 0.95
-TERM = "array<struct<entity:string,term:string,start:int,end:int>>"
+WORD = r"[\p{L}\p{N}]{2,}"
+SMOOTH, SHARE, GENERALISE, REMOVE = 1.0, 0.5, 1.0, 0.25
+COMMON = 50_000  # words that are set aside before a shuffle, at most, as they are too frequent to reveal anything
 
 
 def luhn(digits: Column) -> Column:
@@ -45,95 +51,103 @@ def _ordered(spans: Column) -> Column:
     return F.array_sort(F.transform(spans, lambda x: F.struct(x["kind"], x["start"], x["end"], x["text"])))
 
 
-def _near(kind: int, pieces: Column, matches: Column, good: Column) -> Column:
-    """TERM array: words at most WINDOW characters before or after each good match, with their places in the text.
-    Words that the window cuts are left out."""
-    gaps = F.transform(F.slice(pieces, 1, F.size(matches)), lambda x: F.length(x))
-    at = starts_of(gaps, F.transform(matches, lambda x: F.length(x)))
-
-    def words(side: Column, entity: Column, offset: Column, cut_first: Column, cut_last: Column) -> Column:
-        found = F.regexp_extract_all(side, F.lit(WORD), F.lit(0))
-        made = let(
-            found,
-            lambda m: F.zip_with(
-                m,
-                starts_of(F.transform(F.slice(F.split(side, WORD, -1), 1, F.size(m)), lambda x: F.length(x)), F.transform(m, lambda x: F.length(x))),
-                lambda w, s: F.struct(entity.alias("entity"), F.lower(w).alias("term"), (offset + s).cast("int").alias("start"), (offset + s + F.length(w)).cast("int").alias("end")),
-            ),
-        )
-        inside = F.filter(made, lambda x: ~(cut_first & (x["start"] == offset)) & ~(cut_last & (x["end"] == offset + F.length(side))))
-        return F.when(F.size(found) > 0, inside).otherwise(F.array().cast(TERM))
-
-    def both(hit: Column) -> Column:
-        left, right = F.right(hit["before"], F.lit(WINDOW)), F.left(hit["after"], F.lit(WINDOW))
-        entity = F.concat(F.lit(f"{KINDS[kind]}:"), hit["m"])
-        return F.concat(
-            words(left, entity, hit["at"] - F.length(left), F.length(hit["before"]) > WINDOW, F.lit(False)),
-            words(right, entity, hit["at"] + F.length(hit["m"]), F.lit(False), F.length(hit["after"]) > WINDOW),
-        )
-
-    def around(starts: Column) -> Column:
-        hits = F.transform(matches, lambda m, i: F.struct(m.alias("m"), F.get(starts, i).alias("at"), F.get(pieces, i).alias("before"), F.get(pieces, i + 1).alias("after")))
-        return F.flatten(F.transform(F.filter(hits, lambda h: F.array_contains(good, h["at"])), both))
-
-    return let(at, around)
+def _words(text: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
+
+
+def _key(text: Column) -> list[Column]:
+    """128 bits that stand for a text: what is found depends on it alone."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("text"), text).alias("k2")]
+
+
+def _rows(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """Settled rows (row, doc_id, base, near): the fixed patterns' spans of each row, and the words next to them."""
-    none, terms = F.array().cast(SPAN), F.array().cast(TERM)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    """Settled rows (row, doc_id, k1, k2, base, terms): the fixed patterns' spans of each row, and its words if it has any."""
+    none = F.array().cast(SPAN)
     blank = F.array().cast("array<string>")
     sources = [("email", EMAIL, F.contains("t", F.lit("@"))), ("ip", IP, F.contains("t", F.lit("."))), ("card", CARD, F.lit(True)), ("phone", PHONE, F.contains("t", F.lit("+")))]
-    found = rows.select("doc_id", "t", *[F.when(may, F.regexp_extract_all("t", F.lit(p), F.lit(0))).otherwise(blank).alias(f"m_{k}") for k, p, may in sources])
-    cut = found.select("doc_id", *[c for k, p, _ in sources for c in (F.col(f"m_{k}"), F.when(F.size(f"m_{k}") > 0, F.split("t", p, -1)).otherwise(blank).alias(f"p_{k}"))])
+    found = _rows(documents).select("doc_id", "t", *[F.when(may, F.regexp_extract_all("t", F.lit(p), F.lit(0))).otherwise(blank).alias(f"m_{k}") for k, p, may in sources])
+    cut = found.select("doc_id", "t", *[c for k, p, _ in sources for c in (F.col(f"m_{k}"), F.when(F.size(f"m_{k}") > 0, F.split("t", p, -1)).otherwise(blank).alias(f"p_{k}"))])
     fits = {
         "email": lambda x: F.lit(True),
         "ip": lambda x: x["text"].rlike(IP_FITS),
         "card": lambda x: luhn(_digits(x["text"])),
         "phone": lambda x: F.length(_digits(x["text"])).between(8, 15),
     }
-    spans = cut.select("*", *[F.when(F.size(f"m_{k}") > 0, F.filter(spans_of(i, F.col(f"p_{k}"), F.col(f"m_{k}")), fits[k])).otherwise(none).alias(f"s_{k}") for i, (k, _, _) in enumerate(sources)])
-    near = [F.when(F.size(f"s_{k}") > 0, _near(i, F.col(f"p_{k}"), F.col(f"m_{k}"), F.transform(f"s_{k}", lambda x: x["start"]))).otherwise(terms) for i, (k, _, _) in enumerate(sources)]
-    return settle(
-        spans.select(F.monotonically_increasing_id().alias("row"), "doc_id", _ordered(F.concat(*[F.col(f"s_{k}") for k, _, _ in sources])).alias("base"), F.concat(*near).alias("near")),
-        "pii",
-    )
+    spans = cut.select("doc_id", "t", *[F.when(F.size(f"m_{k}") > 0, F.filter(spans_of(i, F.col(f"p_{k}"), F.col(f"m_{k}")), fits[k])).otherwise(none).alias(f"s_{k}") for i, (k, _, _) in enumerate(sources)])
+    based = spans.select("doc_id", "t", _ordered(F.concat(*[F.col(f"s_{k}") for k, _, _ in sources])).alias("base"))
+    return settle(based.select(F.monotonically_increasing_id().alias("row"), "doc_id", *_key(F.col("t")), "base", F.when(F.size("base") > 0, _words(F.col("t"))).alias("terms")), "pii")
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
     """(word, holders): in how many rows of the corpus each word occurs."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(WORD), F.lit(0)))
-    return documents.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("holders"))
+    return _rows(documents).select(F.explode(_words(F.col("t"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("holders"))
+
 
+def entity_groups(scanned: DataFrame) -> DataFrame:
+    """(row, groups): for each row with entities the distinct (owners, rows) of these, rows being a sum of hashes of the
+    rows that hold an entity, and owners their number."""
+    names = F.array(*map(F.lit, KINDS))
+    each = scanned.where(F.size("base") > 0).select("row", F.explode(F.array_distinct(F.transform("base", lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["text"])))).alias("who"))
+    owners = each.groupBy(F.col("who").alias("of")).agg(F.count(F.lit(1)).alias("owners"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("rows"))
+    return each.join(owners, F.col("who") == F.col("of")).groupBy("row").agg(F.collect_set(F.struct("owners", "rows")).alias("groups"))
 
-def revealing(documents: DataFrame, scanned: DataFrame, threshold: float = GENERALISE) -> DataFrame:
-    """(entity, term, share): terms that disclose at least `threshold` of an entity's information, from pairs that at
-    least LEAST_TOGETHER rows hold."""
+
+def disclosure(both: Column, owners: Column, holders: Column, n: int) -> tuple[Column, Column]:
+    """(share, hidden): of an entity's information the share that a term discloses, and the bits that it leaves."""
+    prior = owners / F.lit(float(n))
+    given = F.least(F.lit(1.0), (both + SMOOTH * prior) / (holders + SMOOTH))
+    return 1 - F.log2(given) / F.log2(prior), -F.log2(given)
+
+
+def revealing(scanned: DataFrame, counts: DataFrame) -> DataFrame:
+    """(term, share, hidden): the terms that reveal an entity, by the one that they reveal most of."""
     n = scanned.count()
-    pairs = scanned.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p"))
-    together = pairs.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= LEAST_TOGETHER)
-    entities = scanned.select(F.explode(F.array_distinct(F.transform("base", lambda x: F.concat_ws(":", F.get(F.array(*map(F.lit, KINDS)), x["kind"]), x["text"])))).alias("who"))
-    owners = entities.groupBy("who").agg(F.count(F.lit(1)).alias("owners"))
-    share = F.log(F.col("both") * F.lit(float(n)) / (F.col("owners") * F.col("holders"))) / F.log(F.lit(float(n)) / F.col("owners"))
+    groups = entity_groups(scanned)
+    together = (
+        scanned.where(F.size("base") > 0).select("row", "terms").join(groups.withColumnRenamed("row", "of"), F.col("row") == F.col("of"))
+        .select(F.explode("groups").alias("g"), "terms").select("g.owners", "g.rows", F.explode("terms").alias("term"))
+        .groupBy("owners", "rows", "term").agg(F.count(F.lit(1)).alias("both"))
+    )
+    share, hidden = disclosure(F.col("both"), F.col("owners"), F.col("holders"), n)
     return (
-        together.join(owners, F.col("entity") == F.col("who"))
-        .join(term_counts(documents), F.col("term") == F.col("word"))
-        .where(F.col("owners") < n)
-        .select("entity", "term", share.alias("share"))
-        .where(F.col("share") >= threshold)
-    )
+        together.where(F.col("owners") < n).join(counts, F.col("term") == F.col("word"))
+        .select("term", share.alias("share"), hidden.alias("hidden")).where((F.col("share") >= SHARE) & (F.col("hidden") <= GENERALISE))
+        .groupBy("term").agg(F.max("share").alias("share"), F.min("hidden").alias("hidden"))
+    )
+
+
+def _term_spans(text: Column, strong: Column) -> Column:
+    """SPAN array of the words of a text that are among `strong` ones."""
+    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.filter(let(found, lambda m: spans_of(4, F.split(text, WORD, -1), m)), lambda x: F.array_contains(strong, F.lower(x["text"])))
 
 
-def _found(documents: DataFrame) -> DataFrame:
+def _found(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The scanned rows, and (o1, o2, added, gone) of the texts with revealing terms: their spans and those to remove."""
     scanned = scan(documents)
-    hits = scanned.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    strong = revealing(documents, scanned).withColumnsRenamed({"entity": "e", "term": "w"})
-    span = F.struct(F.lit(4).alias("kind"), F.col("start"), F.col("end"), F.col("term").alias("text"))
-    added = hits.join(strong, (F.col("entity") == F.col("e")) & (F.col("term") == F.col("w"))).groupBy(F.col("row").alias("of")).agg(F.collect_set(span).alias("added"), F.collect_set(F.when(F.col("share") >= REMOVE, span)).alias("gone"))
+    counts = settle(term_counts(documents), "pii-words")
+    strong = settle(revealing(scanned, counts), "pii-terms")
+    # A term with P of a half or more is in no more than twice its entity's rows and one: more frequent words are none.
+    most = entity_groups(scanned).select(F.max(F.array_max("groups")["owners"])).first()[0] or 0
+    common = counts.where(F.col("holders") > 2 * most + 1).orderBy(F.col("holders").desc(), "word").limit(COMMON).select(F.col("word").alias("common"))
+    each = _rows(documents).select(*_key(F.col("t")), F.explode(_words(F.col("t"))).alias("word"))
+    rare = each.join(F.broadcast(common), F.col("word") == F.col("common"), "left_anti")  # COMMON words at most
+    held = rare.join(strong, F.col("word") == F.col("term")).groupBy(F.col("k1").alias("h1"), F.col("k2").alias("h2")).agg(F.collect_set("term").alias("strong"), F.collect_set(F.when(F.col("hidden") <= REMOVE, F.col("term"))).alias("lost"))
+    texts = _rows(documents).select("t", *_key(F.col("t"))).join(held, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")))
+    spans = texts.select("k1", "k2", _term_spans(F.col("t"), F.col("strong")).alias("added"), "lost")
+    gone = F.transform(F.filter("added", lambda x: F.array_contains("lost", F.lower(x["text"]))), lambda x: x["start"])
+    return scanned, spans.groupBy(F.col("k1").alias("o1"), F.col("k2").alias("o2")).agg(F.any_value("added").alias("added"), F.any_value(gone).alias("gone"))
+
+
+def _free(found: DataFrame) -> DataFrame:
+    """Adds to rows with base the spans in `added` that touch none of them."""
     none = F.array().cast(SPAN)
-    free = F.filter(F.coalesce("added", none), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return scanned.join(added, F.col("row") == F.col("of"), "left").select("row", "doc_id", "base", _ordered(free).alias("added"), F.coalesce("gone", none).alias("gone"))
+    return found.withColumn("added", _ordered(F.filter(F.coalesce("added", none), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))))
 
 
 def pii_spans(documents: DataFrame) -> DataFrame:
@@ -143,7 +157,9 @@ def pii_spans(documents: DataFrame) -> DataFrame:
     that touch none of them. Null and empty texts have none; a null doc_id stays null; repeated rows each count and
     each come back; an empty table gives no rows; other columns are not read."""
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
-    return _found(documents).select(
+    scanned, terms = _found(documents)
+    rows = _free(scanned.join(terms, (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2")), "left").select("doc_id", "base", "added"))
+    return rows.select(
         "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])],
         F.sha2(shown(F.col("base"), KINDS), 256).alias("base_sha256"),
         shown(_ordered(F.concat("base", "added")), KINDS).alias("spans"), F.size("added").cast("long").alias("n_terms"),
@@ -151,11 +167,14 @@ def pii_spans(documents: DataFrame) -> DataFrame:
 
 
 def sanitise(documents: DataFrame) -> DataFrame:
-    """doc_id and text with entities replaced by their kind, revealing terms generalised to [TERM] or, where they tell
-    nearly everything, removed. Rows without a doc_id, or that share one, are matched by place in the table, so
-    `documents` must be a stored table whose rows are read in the same order each time."""
-    found = _found(documents).withColumnRenamed("doc_id", "doc")
+    """doc_id and text of every row with entities replaced by their kind, revealing terms generalised to [TERM] or, where
+    they tell nearly everything, removed. Findings are joined to texts by the text itself, so rows may come in any order.
+    Null texts stay null."""
+    scanned, terms = _found(documents)
+    base = scanned.where(F.size("base") > 0).groupBy(F.col("k1").alias("b1"), F.col("k2").alias("b2")).agg(F.any_value("base").alias("base"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *_key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    rows = texts.join(terms, (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2")), "left").join(base, (F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2")), "left")
+    rows = _free(rows.withColumn("base", F.coalesce("base", F.array().cast(SPAN))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    texts = documents.select(F.monotonically_increasing_id().alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    label = lambda x: F.when(F.exists("gone", lambda g: g["start"] == x["start"]), F.lit("")).otherwise(F.get(names, x["kind"]))
-    return texts.join(found, F.col("place") == F.col("row"), "left").select("doc_id", masked(F.col("text"), F.concat("base", "added"), label).alias("text"))
+    label = lambda x: F.when((x["kind"] == 4) & F.coalesce(F.array_contains("gone", x["start"]), F.lit(False)), F.lit("")).otherwise(F.get(names, x["kind"]))
+    return rows.select("doc_id", masked(F.col("text"), F.concat("base", "added"), label).alias("text"))

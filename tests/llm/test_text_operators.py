@@ -168,13 +168,57 @@ def test_base_spans(which, request):
         assert sorted((key(r["doc_id"]), r["base_sha256"]) for r in got) == sorted((key(r["doc_id"]), digest(slow(r["text"]), kinds)) for r in rows)
 
 
-def test_terms_that_reveal(spark):
-    rows = [(i, f"common words fill this line {i}") for i in range(40)] + [(90, "smithers lives at lives@home.org always"), (91, "smithers writes lives@home.org always"), (92, "common lives@home.org words")]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    spans = {r["doc_id"]: r["spans"] for r in pii.pii_spans(table).collect()}
-    assert spans[90] == "email:18:32,term:0:8,term:33:39" and spans[91].count("term") == 2 and spans[92] == "email:7:21" and spans[0] == ""
-    stored = pii.settle(table, "test")
-    assert {r["doc_id"]: r["text"] for r in pii.sanitise(stored).collect()}[92] == "common [EMAIL] words"
+def slow_terms(rows):
+    """Spans of revealing terms by row, and the terms with (share, hidden bits), by plain counting over whole rows."""
+    import math
+
+    words = [{w.lower() for w in re.findall(r"[^\W_]{2,}", t or "")} for _, t in rows]
+    base = [slow_pii(t) for _, t in rows]
+    whose = [{(k, (rows[i][1] or "")[a:b]) for k, a, b in spans} for i, spans in enumerate(base)]
+    owners, holders = collections.Counter(e for w in whose for e in w), collections.Counter(x for w in words for x in w)
+    both, n, strong = collections.Counter((e, x) for w, es in zip(words, whose) for e in es for x in w), len(rows), {}
+    for (e, x), k in both.items():
+        if owners[e] < n:
+            p = owners[e] / n
+            given = min(1.0, (k + p) / (holders[x] + 1))
+            share, hidden = 1 - math.log2(given) / math.log2(p), -math.log2(given)
+            if share >= 0.5 and hidden <= 1:
+                was = strong.get(x, (0, 9))
+                strong[x] = (max(share, was[0]), min(hidden, was[1]))
+    spans = []
+    for (_, t), fixed in zip(rows, base):
+        found = [(4, m.start(), m.end()) for m in re.finditer(r"[^\W_]{2,}", t or "") if m[0].lower() in strong]
+        spans.append(fixed + [x for x in found if not any(b < x[2] and x[1] < c for _, b, c in fixed)])
+    return spans, strong
+
+
+def shown(spans):
+    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans)
+
+
+def letters(spark):
+    rows = [(i, f"common words fill this line of {i % 7} parts") for i in range(40)]
+    rows += [(90, "Smithers begins. " + "common words fill this line " * 12 + "then smithers@home.org"), (91, "smithers writes smithers@home.org common words"), (92, "common words Smithers smithers@home.org")]
+    rows += [(93, "smithers was seen again in town"), (94, "only once zq at 10.0.0.7 and 10.0.0.8"), (95, "many here " + " ".join(f"a{i}@b.org" for i in range(300))), (None, None), (96, "")]
+    return spark.createDataFrame(rows, "doc_id long, text string"), rows
+
+
+def test_terms_that_reveal(spark, odd, documents):
+    for table in (letters(spark)[0], odd.select("doc_id", "text"), documents.select("doc_id", "text")):
+        rows = [(r["doc_id"], r["text"]) for r in table.collect()]
+        want, strong = slow_terms(rows)
+        got = pii.pii_spans(table.repartition(3)).collect()
+        assert sorted((key(r["doc_id"]), r["spans"]) for r in got) == sorted((key(d), shown(s)) for (d, _), s in zip(rows, want))
+        found = pii.revealing(pii.scan(table), pii.term_counts(table)).collect()
+        assert {r["term"]: (round(r["share"], 9), round(r["hidden"], 9)) for r in found} == {x: (round(a, 9), round(b, 9)) for x, (a, b) in strong.items()}
+
+
+def test_sanitised(spark):
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(letters(spark)[0].repartition(4)).collect()}
+    assert out[91] == "[TERM] [TERM] [EMAIL] common words" and out[90].startswith("[TERM] [TERM]. common") and out[90].endswith("[EMAIL]")
+    assert out[93] == "[TERM] was seen again in town" and out[None] is None and out[96] == "" and out[0] == "common words fill this line of 0 parts"
+    more = spark.createDataFrame([(i, f"smithers at smithers@home.org {i % 5} days") for i in range(30)] + [(i, f"day {i % 9} of work at large") for i in range(99, 200)], "doc_id long, text string")
+    assert {r["text"] for r in pii.sanitise(more).where("doc_id = 3").collect()} == {" at [EMAIL] 3 "}
 
 
 def test_noise_is_found_and_words_are_not(spark):
