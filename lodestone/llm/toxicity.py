@@ -2,7 +2,9 @@
 
 Two models of order 5, one of toxic and one of ordinary labelled texts, differ in their upper orders and share the
 counts they back off to from order 2 down, so an expression that neither class has seen scores alike in both. These
-shared counts come from the words of all documents, labelled or not, each word counted once. A word
+shared counts come from the words of all documents, labelled or not, each word counted once. Where a character never
+follows its context in either class, both classes give it the same shared chance, which cancels: so the shared counts
+of the pairs that labelled texts hold are all that scores depend on, however many others the corpus has. A word
 scores the difference of its log-likelihoods; a text is judged by that difference per character, per root of its
 characters, and at its strongest words, weighed by a logistic regression on labelled texts the models did not see."""
 
@@ -16,11 +18,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import settle
+
 ORDER, SHARED, DISCOUNT = 5, 2, 0.75
 MAX_LABELLED = 12_000  # labelled rows that models and weights are fitted on, at most: those of the smallest hashes
-MAX_GRAMS = 600_000  # of the models, the most frequent
-MAX_PAIRS = 200_000  # of the shared character pairs, the most frequent
-KEPT_WORDS, KEPT_GRAMS = 200_000, 250_000
+KEPT_WORDS, KEPT_CHARACTERS, KEPT_GRAMS, AT_ONCE = 200_000, 8_000_000, 250_000, 50_000
 TOP = (1, 3)
 
 _letters = re.compile(r"[^\W\d_]+")
@@ -35,23 +37,32 @@ def grams_of(word: str):
     return (padded[i : i + ORDER] for i in range(len(word) + 1))
 
 
+class Shared:
+    """Counts that both classes back off to: of character pairs {pair: words}, of their contexts {first: (words, pairs)},
+    of last characters {last: pairs}, and of all (pairs, last characters)."""
+
+    def __init__(self, pairs: dict[str, int], contexts: dict[str, tuple[int, int]], lasts: dict[str, int], whole: tuple[int, int]) -> None:
+        self.pairs, self.contexts, self.lasts, self.whole = pairs, contexts, lasts, whole
+
+    def table(self, n: int) -> tuple[dict, dict, dict]:
+        """Counts, totals and numbers of followers of order n (1 or 2)."""
+        if n == SHARED:
+            return self.pairs, {c: x for c, (x, _) in self.contexts.items()}, {c: x for c, (_, x) in self.contexts.items()}
+        return self.lasts, {"": self.whole[0]}, {"": self.whole[1]}
+
+
 class KneserNey:
-    """Both classes' models, from counts of padded grams {gram: (ordinary, toxic)} and of shared character pairs."""
+    """Both classes' models, from counts of padded grams {gram: (ordinary, toxic)} and the shared counts."""
 
-    def __init__(self, counts: dict[str, tuple[int, int]], shared: dict[str, int]) -> None:
+    def __init__(self, counts: dict[str, tuple[int, int]], shared: Shared) -> None:
         #: per class and order n: count of each n-gram (raw at the top, distinct characters before it below; shared ones
         #: up to SHARED), total and number of distinct followers of each context
         self.tables: list[dict[int, tuple[dict, dict, dict]]] = []
         for c in (0, 1):
             top = {g: n[c] for g, n in counts.items() if n[c]}
-            self.tables.append({})
-            for n in range(ORDER, 0, -1):
-                if n == ORDER:
-                    grams = top
-                elif n > SHARED:
-                    grams = Counter(longer[1:] for longer in {g[ORDER - 1 - n :] for g in top})
-                else:
-                    grams = shared if n == SHARED else Counter(g[1:] for g in shared)
+            self.tables.append({n: shared.table(n) for n in range(1, SHARED + 1)})
+            for n in range(ORDER, SHARED, -1):
+                grams = top if n == ORDER else Counter(longer[1:] for longer in {g[ORDER - 1 - n :] for g in top})
                 totals, followers = defaultdict(int), defaultdict(int)
                 for g, k in grams.items():
                     totals[g[:-1]] += k
@@ -84,39 +95,53 @@ class KneserNey:
         return total
 
 
+class Tokens(dict):
+    """Places of white-space tokens in a table of their word scores' sum, characters and highest word score."""
+
+    def __init__(self, model: KneserNey) -> None:
+        super().__init__()
+        self.model, self.rows, self.characters = model, np.zeros((KEPT_WORDS, 3)), 0
+
+    def __missing__(self, token: str) -> int:
+        words = words_of(token)
+        scores = [self.model.word(w) for w in words]
+        place = self[token] = len(self)
+        self.rows[place] = sum(scores), sum(map(len, words)) + len(words), max(scores, default=0.0)
+        self.characters += len(token)
+        return place
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        """The table's rows for at most AT_ONCE tokens; starts anew when full, so memory is bounded."""
+        if len(self) + len(tokens) > KEPT_WORDS or self.characters > KEPT_CHARACTERS:
+            self.clear()
+            self.characters = 0
+        return self.rows[np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))]
+
+
 class Scorer:
     """A fitted model: features of texts, and their score."""
 
-    def __init__(self, counts: dict[str, tuple[int, int]], shared: dict[str, int], weights: np.ndarray | None, prior: float) -> None:
+    def __init__(self, counts: dict[str, tuple[int, int]], shared: Shared | None, weights: np.ndarray | None, prior: float) -> None:
         self.counts, self.shared, self.weights, self.prior = counts, shared, weights, prior
-        self.kept: dict[str, tuple[float, int, float]] = {}
-        self.model: KneserNey | None = None
+        self.tokens: Tokens | None = None
 
     def __getstate__(self) -> dict:
-        return {"counts": self.counts, "shared": self.shared, "weights": self.weights, "prior": self.prior, "kept": {}, "model": None}
-
-    def token(self, token: str) -> tuple[float, int, float]:
-        """Sum of word scores, characters, highest word score of a white-space token."""
-        if self.model is None:
-            self.model = KneserNey(self.counts, self.shared)
-            self.counts, self.shared = {}, {}  # a worker's copy; the tables have what it needs
-        words = words_of(token)
-        scores = [self.model.word(w) for w in words]
-        out = (sum(scores), sum(map(len, words)) + len(words), max(scores, default=0.0))
-        if len(token) <= 48:
-            if len(self.kept) >= KEPT_WORDS:
-                self.kept.clear()
-            self.kept[token] = out
-        return out
+        return {"counts": self.counts, "shared": self.shared, "weights": self.weights, "prior": self.prior, "tokens": None}
 
     def features(self, text: str | None) -> list[float]:
-        kept, token = self.kept, self.token
-        rows = [kept.get(t) or token(t) for t in text.split()] if text else []
-        if not rows:
+        tokens = text.split() if text else []
+        if not tokens:
             return [0.0] * (2 + len(TOP))
-        sums, sizes, tops = np.array(rows).T
-        total, chars = float(sums.sum()), max(1, int(sizes.sum()))
-        best = np.sort(np.partition(tops, -TOP[-1])[-TOP[-1] :] if len(tops) > TOP[-1] else tops)[::-1]
+        if self.tokens is None:
+            self.tokens = Tokens(KneserNey(self.counts, self.shared))
+            self.counts, self.shared = {}, None  # a worker's copy; the tables have what it needs
+        total, chars, best = 0.0, 0.0, np.zeros(0)
+        for at in range(0, len(tokens), AT_ONCE):
+            rows = self.tokens.of(tokens[at : at + AT_ONCE])
+            sums = rows.sum(axis=0)
+            total, chars, tops = total + float(sums[0]), chars + float(sums[1]), np.concatenate([best, rows[:, 2]])
+            best = np.partition(tops, -TOP[-1])[-TOP[-1] :] if len(tops) > TOP[-1] else tops
+        best, chars = np.sort(best)[::-1], max(1.0, chars)
         return [total / chars, total / math.sqrt(chars), *[float(best[:k].sum()) / k for k in TOP]]
 
     def score(self, text: str | None) -> float:
@@ -177,20 +202,30 @@ def _batches(scorer, features: bool):
     return run
 
 
-def shared_pairs(documents: DataFrame) -> dict[str, int]:
-    """Character pairs within words, with the word's start and end: in how many distinct words of all documents."""
+def shared_counts(documents: DataFrame, wanted: set[str]) -> Shared:
+    """The shared counts of the `wanted` character pairs, from all distinct words of all documents, with their starts and
+    ends. What reaches the driver is bounded by `wanted`; the totals that go with it are those of all pairs."""
     words = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")).distinct()
     padded = F.concat(F.lit("^"), "word", F.lit("$"))
-    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(2)))).alias("pair"))
-    rows = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "pair").limit(MAX_PAIRS).toArrow()
-    return dict(zip(rows.column("pair").to_pylist(), rows.column("n").to_pylist()))
+    each = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(2)))).alias("pair"))
+    pairs = settle(each.groupBy("pair").agg(F.count(F.lit(1)).alias("n")), "toxicity-pairs")
+    first, last = F.substring("pair", 1, 1).alias("first"), F.substring("pair", 2, 1).alias("last")
+    spark = documents.sparkSession
+
+    def some(rows: DataFrame, column: str, values: set[str]) -> list:
+        return rows.join(F.broadcast(spark.createDataFrame([(x,) for x in sorted(values)], f"{column} string")), column).collect() if values else []
+
+    contexts = some(pairs.groupBy(first).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("followers")), "first", {p[0] for p in wanted})
+    lasts = some(pairs.groupBy(last).agg(F.count(F.lit(1)).alias("n")), "last", {p[1] for p in wanted})
+    whole = pairs.agg(F.count(F.lit(1)), F.countDistinct(last)).first()
+    return Shared({r["pair"]: r["n"] for r in some(pairs, "pair", wanted)}, {r["first"]: (r["n"], r["followers"]) for r in contexts}, {r["last"]: r["n"] for r in lasts}, tuple(whole))
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Scorer:
     """Fits the models on at most `most` labelled rows whose crc32(doc_id as text) mod 5 is not 0.
 
-    What reaches the driver is bounded by parameters: `most` label rows, MAX_GRAMS grams, MAX_PAIRS pairs, `most` feature rows. Seven in
-    ten rows (by hash) go to the models, the rest to the weights."""
+    What reaches the driver is bounded by `most`: the labels, the grams of these rows' texts with the shared counts of
+    their pairs, and the features. Seven in ten rows (by hash) go to the models, the rest to the weights."""
     spark, key = documents.sparkSession, F.col("doc_id").cast("long")
     asked = (
         labels.select(key.alias("id"), F.col("toxic").cast("int").alias("toxic"))
@@ -201,17 +236,16 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Sc
     ).collect()
     prior = sum(r["toxic"] for r in asked) / max(1, len(asked))
     if not 0 < prior < 1:
-        return Scorer({}, {}, None, prior)
+        return Scorer({}, None, None, prior)
     chosen = F.broadcast(spark.createDataFrame(asked, "id long, toxic int"))  # at most `most` rows
     rows = documents.select(key.alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(10))
     counts = (
         rows.where(part < 7).select("text", "toxic").repartition(8).mapInArrow(_counter(), "gram string, toxic int, n long")
         .groupBy("gram").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("b"))
-        .orderBy((F.col("a") + F.col("b")).desc(), "gram").limit(MAX_GRAMS)
     ).toArrow()
     grams = dict(zip(counts.column("gram").to_pylist(), zip(counts.column("a").to_pylist(), counts.column("b").to_pylist())))
-    scorer = Scorer(grams, shared_pairs(documents), None, prior)
+    scorer = Scorer(grams, shared_counts(documents, {g[-2:] for g in grams}), None, prior)
     held = spark.sparkContext.broadcast(scorer)
     seen = rows.where(part >= 7).select("toxic", "text").mapInArrow(_batches(held, True), "toxic int, x array<double>").collect()
     y = np.array([r["toxic"] for r in seen], float)
