@@ -43,16 +43,22 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n - words + 1).tobytes(), "big")
 
 
+def text_key(text) -> list:
+    """128 bits that tell rows of one doc_id apart."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("text"), text).alias("h2")]
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every document."""
+    """doc_id, the text's key (h1, h2) and fp (the fingerprint as a signed long) of every document."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h1"), batch.column("h2"), pa.array(fps, pa.int64())], names=["doc_id", "h1", "h2", "fp"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("long"), *text_key(text), text.alias("text")).mapInArrow(run, "doc_id long, h1 long, h2 long, fp long")
 
 
 def masks_below(mask: int) -> list[int]:
@@ -189,35 +195,43 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = labels.drop("was")
 
 
+def grouped(documents: DataFrame, split: int = SPLIT) -> DataFrame:
+    """doc_id, h1, h2, fp, least (the smallest doc_id of the component, or _NO_ID) and comp (which component) of every row."""
+    fps = settle(fingerprints(documents), "simhash-fps")
+    groups = settle(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(_NO_ID)).alias("rep")), "simhash-groups")
+    comps = components(groups, links(groups, split))
+    named = groups.join(comps, "fp", "left").select(F.col("fp").alias("key"), F.coalesce("lab.rep", "rep").alias("least"), F.coalesce("lab.fp", "fp").alias("comp"))
+    return fps.join(named, F.col("fp") == F.col("key"), "left").drop("key")
+
+
 def near_duplicates(documents: DataFrame, split: int = SPLIT) -> DataFrame:
     """doc_id, fingerprint and component_id of every row of `documents` (doc_id, text).
 
     Fingerprints link at 3 or fewer differing bits; component_id is the smallest doc_id of all rows that links reach,
     the row's own included. Null, empty and blank texts have fingerprint zero and link like any other. A null doc_id
     stays null and never names a component (component_id is null where a component has no other). Repeated rows are
-    returned as often as they come. An empty table gives no rows. Other columns are not read."""
-    fps = settle(fingerprints(documents), "simhash-fps")
-    groups = settle(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(_NO_ID)).alias("rep")), "simhash-groups")
-    comps = components(groups, links(groups, split))
-    named = groups.join(comps, "fp", "left").select(F.col("fp").alias("key"), F.coalesce("lab.rep", "rep").alias("least"))
-    out = fps.join(named, F.col("fp") == F.col("key"), "left")
+    returned as often as they come. An empty table gives no rows. Other columns are not read. Joins with the keys of
+    large components are split by adaptive execution."""
     least = F.when(F.col("least") != _NO_ID, F.col("least"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), least.alias("component_id"))
-
-
-def keep_first(documents: DataFrame, split: int = SPLIT, named: DataFrame | None = None) -> DataFrame:
-    """The rows of `documents` whose doc_id is their component's smallest, with all their columns. A row that comes
-    more than once with one id and text stays once. Rows without a doc_id stay. `named` (doc_id, component_id) are
-    components of another rule."""
-    mark = "kept_id"
-    while mark in documents.columns:
-        mark += "_"
-    named = (near_duplicates(documents, split) if named is None else named).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
-    first = settle(named.select(F.col("doc_id").alias(mark), "times"), "simhash-first")
-    key = F.col("doc_id").cast("long")
-    once = first.where("times = 1").select(mark)
-    out = documents.join(once.hint("merge"), key == F.col(mark), "left_semi").unionByName(documents.where(key.isNull()))
-    more = first.where("times > 1").select(mark)
-    if not more.isEmpty():
-        out = out.unionByName(documents.join(more, key == F.col(mark), "left_semi").dropDuplicates(["doc_id", "text"]))
-    return out
+    return grouped(documents, split).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), least.alias("component_id"))
+
+
+def keep_first(documents: DataFrame, split: int = SPLIT, rows: DataFrame | None = None) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest doc_id (rows without one come last; of one
+    id the smallest hash of the text). A row that comes more than once with one id and text stays once. `rows` (doc_id,
+    h1, h2, comp) are components of another rule. The rows to drop are joined to the documents, not those to keep, so
+    texts only move where these are too many to broadcast."""
+    rows = settle((grouped(documents, split) if rows is None else rows).select("doc_id", "h1", "h2", "comp"), "simhash-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2")
+    several = rows.groupBy(F.col("comp").alias("of")).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    marked = rows.join(several, F.col("comp") == F.col("of")).groupBy(*[F.col(c).alias(f"kept_{c}") for c in ("doc_id", "h1", "h2")]).agg(F.any_value(order == F.col("first")).alias("is_first"), F.count(F.lit(1)).alias("n"))
+    marked = settle(marked.where("NOT is_first OR n > 1"), "simhash-dropped")
+    clash = "kept_"
+    while any(c.startswith(clash) for c in documents.columns):
+        clash += "_"
+    marked = marked.select(*[F.col(f"kept_{c}").alias(f"{clash}{c}") for c in ("doc_id", "h1", "h2")], "is_first")
+    h1, h2 = text_key(F.col("text").cast("string"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{clash}doc_id")) & (h1 == F.col(f"{clash}h1")) & (h2 == F.col(f"{clash}h2"))
+    out = documents.join(marked, same, "left_anti")
+    repeated = marked.where("is_first").drop("is_first")
+    return out if repeated.isEmpty() else out.unionByName(documents.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))

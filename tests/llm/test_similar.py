@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from lodestone.llm import similar
+from lodestone.llm import simhash, similar
 
 
 def slow_components(rows):
@@ -28,7 +28,7 @@ def test_stage_takes_near_copies(spark):
     rows = [(1, changed()), (2, changed(0)), (3, changed(30)), (4, changed(0, 59)), (5, changed(10, 20, 30, 40, 50)), (6, "Short text"), (7, "short  TEXT"), (8, "short words"), (9, None), (10, " "), (11, "w0 w1 w2 w3 w4"), (12, changed(2)), (12, "another text of this id")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, similar.similar_documents(table).collect())) == slow_components(rows)
-    assert sorted(r[0] for r in corpus_pipeline.near_dedup(spark, table.where("text IS NULL OR text <> 'another text of this id'"), "").select("doc_id").collect()) == [1, 5, 6, 8, 9, 11]
+    assert sorted(r[0] for r in corpus_pipeline.near_dedup(spark, table, "").select("doc_id").collect()) == [1, 5, 6, 8, 9, 11, 12]
     assert corpus_pipeline.near_dedup(spark, table.where("doc_id < 0"), "").count() == 0
 
 
@@ -36,3 +36,15 @@ def test_documents(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     got = sorted(map(tuple, similar.similar_documents(table).collect()))
     assert got == slow_components(sorted(map(tuple, table.collect())))
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Ids that repeat with other texts, rows without an id, repeated rows, names that clash."""
+    a, b, c = ("a word or two of it " * 9, "some other words of it " * 9, "all else that is said " * 9)
+    rows = [(2, b), (4, a), (4, b), (4, a), (None, b), (None, c), (None, c), (7, None), (8, ""), (9, a + "more")]
+    table = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, kept_doc_id int, is_first string")
+    for keep in (simhash.keep_first, similar.keep_first_similar):
+        out = keep(table)
+        assert out.columns == table.columns
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+        assert set(got) - {(9, a + "more")} == {(2, b), (4, a), (None, c), (7, None)} and len(got) == len(set(got))
