@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed and stored in the checkpoint folder: that of spark.checkpoint.dir, or a temporary one where no
-    folder is set (tests on one machine)."""
+    folder is set (tests on one machine). A cluster must set one, as its machines share no temporary folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         if not folder:
             folder = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)

@@ -6,7 +6,7 @@ import hashlib
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import lines, strip, uuid5_dns
@@ -19,18 +19,17 @@ def chunk_id(filepath, index):
     return uuid5_dns(F.concat_ws("_", filepath, index.cast("string")))
 
 
-def _tiled(rows: DataFrame, file: str) -> DataFrame:
-    """Chunks of (file, tile, pos, text): lines joined, blank chunks dropped, the rest numbered in order."""
-    joined = rows.groupBy(file, "tile").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("content"))
-    order = Window.partitionBy(file).orderBy("tile")
-    kept = joined.where(strip(F.col("content")) != "").withColumn("chunk_index", F.row_number().over(order) - 1)
-    return kept.select(chunk_id(F.col(file), F.col("chunk_index")).alias("id"), F.col(file).alias("filepath"), "chunk_index", "content")
+def _numbered(rows: DataFrame, tiles: Column) -> DataFrame:
+    """Chunks of (filepath, array of tiles): blank ones dropped, the rest numbered in order, in place."""
+    kept = rows.select("filepath", F.posexplode(F.filter(tiles, lambda x: strip(x) != "")).alias("chunk_index", "content"))
+    return kept.select(chunk_id(F.col("filepath"), F.col("chunk_index")).alias("id"), "filepath", "chunk_index", "content")
 
 
 def chunk_lines(files: DataFrame, file: str, code: str, size: int = MAX_LINES) -> DataFrame:
     """Tiles of `size` lines of each file: id, filepath, chunk_index, content."""
-    rows = files.select(F.col(file).cast("string").alias(file), F.posexplode(lines(F.col(code))).alias("pos", "text"))
-    return _tiled(rows.withColumn("tile", F.floor(F.col("pos") / size).cast("long")), file)
+    rows = files.select(F.col(file).cast("string").alias("filepath"), lines(F.col(code)).alias("rows"))
+    tiles = F.transform(F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / size).cast("int")), lambda i: F.array_join(F.slice("rows", i * size + 1, F.lit(size)), "\n"))
+    return _numbered(rows.where("rows IS NOT NULL"), tiles)
 
 
 def tile_starts(code: str, size: int = MAX_LINES) -> list[int]:
@@ -55,27 +54,21 @@ def chunk_python(files: DataFrame, file: str, code: str, size: int = MAX_LINES)
     are tiled by lines."""
     import pyarrow as pa
 
+    def tiles(code: str | None) -> list[str]:
+        text, starts = (code or "").split("\n"), tile_starts(code or "", size)
+        return ["\n".join(text[a:z]) for a, z in zip(starts, [*starts[1:], len(text)])]
+
     def run(batches):
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                text = (r["code"] or "").split("\n")
-                starts = tile_starts(r["code"] or "", size)
-                tile = -1
-                for pos, line in enumerate(text):
-                    if tile + 1 < len(starts) and starts[tile + 1] == pos:
-                        tile += 1
-                    out.append((r["file"], tile, pos, line))
-            cols = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.string()))], names=[file, "tile", "pos", "text"])
-
-    rows = files.select(F.col(file).cast("string").alias("file"), F.col(code).cast("string").alias("code")).mapInArrow(run, f"{file} string, tile long, pos int, text string")
-    return _tiled(rows, file)
+            yield pa.RecordBatch.from_arrays([batch.column("filepath"), pa.array(map(tiles, batch.column("code").to_pylist()), pa.list_(pa.string()))], names=["filepath", "tiles"])
+
+    rows = files.select(F.col(file).cast("string").alias("filepath"), F.col(code).cast("string").alias("code")).mapInArrow(run, "filepath string, tiles array<string>")
+    return _numbered(rows, F.col("tiles"))
 
 
 def mock_vector(text: str, dim: int) -> list[float]:
-    """A vector that depends on the text alone, from a generator seeded with the text's hash."""
-    draw = random.Random(int(hashlib.sha256(text.encode()).hexdigest(), 16))
+    """A vector that depends on the text alone (null as empty), from a generator seeded with the text's hash."""
+    draw = random.Random(int(hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).hexdigest(), 16))
     return [draw.uniform(-0.1, 0.1) for _ in range(dim)]
 
 

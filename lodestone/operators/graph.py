@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +32,12 @@ def neighbors(edges: DataFrame, node: str, direction: str = "out") -> DataFrame:
     return found.distinct()
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int = 16) -> DataFrame:
-    """(source, node, hops, path) of every node within max_hops of each source: breadth-first, one join a hop, the
-    alphabetically first path among equals. A visited pair is never extended again."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(source, node, hops, path) of every node that each source reaches (within max_hops, if given): breadth-first, one
+    join a hop until none is new, the alphabetically first path among equals. A visited pair is never extended again."""
     step = cut(edges.select("src", "dst").distinct())
     seen = front = sources.where(F.col("source").isNotNull()).distinct().join(nodes(edges), F.col("source") == F.col("node"), "left_semi").select("source", F.col("source").alias("node"), F.lit(0).alias("hops"), F.array("source").alias("path"))
-    for hop in range(1, max_hops + 1):
+    for hop in itertools.count(1) if max_hops is None else range(1, max_hops + 1):
         reached = (
             front.join(step, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
             .groupBy("source", "node").agg(F.min("path").alias("path"))
@@ -49,25 +51,38 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int = 16) ->
     return seen
 
 
-def cycles(edges: DataFrame, max_length: int = 8) -> DataFrame:
-    """(length, cycle) of all simple cycles up to max_length, self-loops included; each starts at its smallest node.
+def cyclic_part(edges: DataFrame) -> DataFrame:
+    """(src, dst) without the edges that no cycle can hold: those from nodes that none leads to, and to nodes that lead
+    nowhere, are peeled off until none goes."""
+    left = cut(edges.select("src", "dst").distinct())
+    size = left.count()
+    while size:
+        led = left.join(left.select(F.col("dst").alias("d")).distinct(), F.col("src") == F.col("d"), "left_semi")
+        left = cut(led.join(led.select(F.col("src").alias("s")).distinct(), F.col("dst") == F.col("s"), "left_semi"))
+        was, size = size, left.count()
+        if size == was:
+            break
+    return left
+
+
+def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """(length, cycle) of all simple cycles (up to max_length, if given), self-loops included; each starts at its smallest
+    node.
 
-    Walks start at each node and only visit greater ones, so a cycle is found once. Only edges between nodes that can
-    be left and reached are followed, which takes away what hangs off the cyclic part."""
-    step = edges.select("src", "dst").distinct()
-    for _ in range(2):
-        step = step.join(step.select(F.col("src").alias("x")).distinct(), F.col("dst") == F.col("x"), "left_semi").join(step.select(F.col("dst").alias("y")).distinct(), F.col("src") == F.col("y"), "left_semi")
-    step = cut(step)
+    Walks start at each node and only visit greater ones, none twice, so a cycle is found once and the walks come to an
+    end. Only edges of the graph's cyclic part are followed."""
+    step = cyclic_part(edges)
     walks = step.where("dst >= src").select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src").alias("path"))
     found = None
-    for length in range(1, max_length + 1):
+    for length in itertools.count(1):
         closed = walks.where("at = start").select(F.lit(length).alias("length"), F.col("path").alias("cycle"))
         found = closed if found is None else found.unionByName(closed)
-        if length < max_length:
-            open_ = walks.where((F.col("at") > F.col("start")) & ~F.array_contains("path", F.col("at")))
-            walks = cut(open_.join(step, F.col("at") == F.col("src")).where("dst >= start").select("start", F.col("dst").alias("at"), F.concat("path", F.array(F.col("src"))).alias("path")))
-            if walks.isEmpty():
-                break
+        if length == max_length:
+            break
+        open_ = walks.where((F.col("at") > F.col("start")) & ~F.array_contains("path", F.col("at")))
+        walks = cut(open_.join(step, F.col("at") == F.col("src")).where("dst >= start").select("start", F.col("dst").alias("at"), F.concat("path", F.array(F.col("src"))).alias("path")))
+        if walks.isEmpty():
+            break
     return found
 
 
@@ -89,22 +104,15 @@ def metrics(counted: DataFrame) -> DataFrame:
 
 
 def has_cycle(edges: DataFrame) -> bool:
-    """Whether any cycle exists: nodes that nothing leads to are peeled off until none goes."""
-    left = cut(edges.select("src", "dst").distinct())
-    size = left.count()
-    while size:
-        left = cut(left.join(left.select(F.col("dst").alias("d")).distinct(), F.col("src") == F.col("d"), "left_semi"))
-        was, size = size, left.count()
-        if size == was:
-            return True
-    return False
+    """Whether any cycle exists: whether peeling leaves anything."""
+    return not cyclic_part(edges).isEmpty()
 
 
-def stats(edges: DataFrame, max_length: int = 8) -> DataFrame:
+def stats(edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, is_dag, density, average_degree, circular_dependencies, has_circular_deps."""
-    cyclic = has_cycle(edges)
-    loops = cycles(edges, max_length).agg(F.array_sort(F.collect_list("cycle")).alias("circular_dependencies"))
-    return metrics(counts(edges)).join(F.broadcast(loops), F.lit(True)).withColumns({"is_dag": F.lit(not cyclic), "has_circular_deps": F.lit(cyclic)})
+    loops = cycles(edges).agg(F.array_sort(F.collect_list("cycle")).alias("circular_dependencies"))
+    some = F.size("circular_dependencies") > 0
+    return loops.join(F.broadcast(metrics(counts(edges))), F.lit(True)).withColumns({"is_dag": ~some, "has_circular_deps": some})  # one row and one row
 
 
 def architecture(counted: DataFrame) -> DataFrame:
@@ -137,6 +145,21 @@ def dependency_summary(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count(F.lit(1)).alias("total_dependencies"), F.count_if("is_internal").alias("internal_dependencies"), F.count_if(~F.col("is_internal")).alias("external_dependencies"))
 
 
+def import_cycles(edges: DataFrame) -> DataFrame:
+    """(length, cycle) of the cycles of modules that import each other, from dependency edges: internal ones, by module
+    names on both sides."""
+    return cycles(edges.where("is_internal AND src IS NOT NULL").select("src", "dst"))
+
+
+def dependency_map(imports: DataFrame, file: str = "path", prefix: str | None = None) -> DataFrame:
+    """One row: total, internal and external dependencies, circular_dependencies, has_circular_deps and the edges (source
+    file, target module, names, line), in order."""
+    edges = cut(dependency_edges(imports, file, prefix))
+    rows = edges.agg(F.array_sort(F.collect_list(F.struct("source_file", "line", F.col("dst").alias("target_module"), "names", "is_internal"))).alias("edges"))
+    loops = import_cycles(edges).agg(F.array_sort(F.collect_list("cycle")).alias("circular_dependencies"))
+    return rows.join(F.broadcast(dependency_summary(edges)), F.lit(True)).join(loops, F.lit(True)).withColumn("has_circular_deps", F.size("circular_dependencies") > 0)  # one row each
+
+
 def upsert_edges(table: DataFrame, new: DataFrame) -> DataFrame:
     """The stored table after new edges: one row for each (src, dst, relation)."""
     return table.unionByName(new.select(*table.columns)).dropDuplicates(["src", "dst", "relation"])

@@ -1,78 +1,93 @@
-"""Quality findings: unreachable code, long functions, deep nesting, names, complexity."""
+"""Quality findings: unreachable code, long functions, deep nesting, names, complexity.
 
-from __future__ import annotations
+Line checks work on each file's lines as an array, in place; checks of Python symbols share one parse of each file."""
 
-import re
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import indent, lines, strip
 from lodestone.operators.rules import found
 from lodestone.operators.security import findings as security_findings
-from lodestone.operators.security import is_code, unreadable
-from lodestone.operators.symbols import analyze, symbols
+from lodestone.operators.security import is_code, report, unreadable
+from lodestone.operators.symbols import analyze
 
-# Words that start a function or method in other languages.
+# Words that start a function or method in other languages, and what starts a comment line.
 HEADS = ("def ", "function ", "public ", "private ", "protected ", "func ", "static ")
+COMMENTS = ("#", "//", "/*", "*")
+SHORTER = "Split the function into parts that do one thing each."
+
+
+def _lines(code: Column) -> Column:
+    """Array of (pos, text, bare, indent) of a text's lines."""
+    return F.transform(lines(code), lambda text, i: F.struct(i.alias("pos"), text.alias("text"), strip(text).alias("bare"), indent(text).alias("indent")))
+
+
+def _exploded(files: DataFrame, file: str, hits: Column) -> DataFrame:
+    return files.select(file, F.explode(hits).alias("hit")).select(file, "hit.*")
 
 
-def _numbered(files: DataFrame, file: str, code: str) -> DataFrame:
-    rows = files.select(file, F.posexplode(lines(F.col(code))).alias("pos", "text"))
-    return rows.withColumns({"line": F.col("pos") + 1, "bare": strip(F.col("text")), "indent": indent(F.col("text"))})
+def _unreachable(code: Column) -> Column:
+    rows = F.filter(_lines(code), lambda x: is_code(x["bare"]))
+    pairs = lambda all_: F.transform(all_, lambda x, i: F.struct(x.alias("x"), F.get(all_, i + 1).alias("after")))
+    hits = lambda p: found(p["x"]["bare"], r"^(return|raise|break|continue)\b") & F.coalesce(p["after"]["indent"] > p["x"]["indent"], F.lit(False))
+    return F.transform(F.filter(_let(rows, pairs), hits), lambda p: F.struct(
+        (p["after"]["pos"] + 1).alias("line"), F.lit("Unreachable Code").alias("type"), F.lit("LOW").alias("severity"), F.lit("This line can never run.").alias("description"),
+        F.lit("Remove it, or move it before the line that leaves the block.").alias("fix_suggestion"), F.substring(p["after"]["bare"], 1, 100).alias("evidence"),
+    ))
+
+
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def unreachable(files: DataFrame, file: str, code: str) -> DataFrame:
     """Lines right after a return, raise, break or continue (blank and comment lines aside) that stand deeper."""
-    after = Window.partitionBy(file).orderBy("pos")
-    rows = _numbered(files, file, code).where(is_code(F.col("bare")))
-    seen = rows.withColumns({"next_line": F.lead("line").over(after), "next_bare": F.lead("bare").over(after), "next_indent": F.lead("indent").over(after)})
-    hit = found(F.col("bare"), r"^(return|raise|break|continue)\b") & (F.col("next_indent") > F.col("indent"))
-    return seen.where(hit).select(file, F.col("next_line").alias("line"), F.lit("Unreachable Code").alias("type"), F.lit("LOW").alias("severity"), F.substring("next_bare", 1, 100).alias("evidence"))
+    return _exploded(files, file, _unreachable(F.col(code)))
+
+
+def _deep(code: Column, most: int) -> Column:
+    depth = lambda x: F.floor(indent(F.replace(x["text"], F.lit("\t"), F.lit("    "))) / 4).cast("int")
+    rows = F.transform(F.filter(_lines(code), lambda x: x["bare"] != ""), lambda x: F.struct(x.alias("x"), depth(x).alias("depth")))
+    return F.transform(F.filter(rows, lambda r: r["depth"] > most), lambda r: F.struct(
+        (r["x"]["pos"] + 1).alias("line"), F.lit("Deep Nesting").alias("type"), F.lit("LOW").alias("severity"),
+        F.concat(F.lit("Nested "), r["depth"].cast("string"), F.lit(f" levels deep, more than {most}.")).alias("description"),
+        F.lit("Return early, or move the inner blocks to functions.").alias("fix_suggestion"), F.substring(r["x"]["bare"], 1, 100).alias("evidence"), r["depth"].alias("depth"),
+    ))
 
 
 def deep_nesting(files: DataFrame, file: str, code: str, most: int = 5) -> DataFrame:
     """Non-blank lines indented by more than `most` times four columns, a tab being four."""
-    spread = F.replace(F.col("text"), F.lit("\t"), F.lit("    "))
-    rows = _numbered(files, file, code).where("bare <> ''").withColumn("depth", F.floor(indent(spread) / 4).cast("int"))
-    return rows.where(F.col("depth") > most).select(file, "line", F.lit("Deep Nesting").alias("type"), F.lit("LOW").alias("severity"), F.substring("bare", 1, 100).alias("evidence"), "depth")
-
-
-def long_blocks(code: str | None, most: int) -> list[tuple[int, str, int]]:
-    """(line, name, length) of functions longer than `most` lines, told by their first word and by indentation. What a
-    function holds is not looked at again."""
-    rows, out, at = (code or "").split("\n"), [], 0
-    while at < len(rows):
-        text = rows[at].lstrip()
-        head = next((h for h in HEADS if text.startswith(h)), None)
-        name = head and re.match(r"\s*(\w+)", text[len(head) :])
-        if not name:
-            at += 1
-            continue
-        base, end = len(rows[at]) - len(text), at + 1
-        while end < len(rows):
-            below = rows[end].lstrip()
-            if below and len(rows[end]) - len(below) <= base and not below.startswith(("#", "//", "/*", "*")):
-                break
-            end += 1
-        if end - at > most:
-            out.append((at + 1, name[1], end - at))
-        at = end
-    return out
+    return _exploded(files, file, _deep(F.col(code), most))
 
 
-def long_functions_heuristic(files: DataFrame, file: str, code: str, most: int = 50) -> DataFrame:
-    """Long functions of files in other languages than Python."""
-    import pyarrow as pa
+def _long_blocks(code: Column, most: int) -> Column:
+    """Functions told by the first word of their head. One ends before the next line that is not deeper than its head,
+    comments aside, or with the text. Heads inside another function's lines are not functions of their own."""
+    head = rf"(?U)^\s*(?:{'|'.join(HEADS)})\s*(\w+)"
+    comment = lambda bare: F.exists(F.array(*map(F.lit, COMMENTS)), lambda c: F.startswith(bare, c))
 
-    def run(batches):
-        for batch in batches:
-            rows = [(r[file], *hit) for r in batch.to_pylist() for hit in long_blocks(r[code], most)]
-            cols = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int32()))], names=[file, "line", "name", "length"])
+    def blocks(rows: Column) -> Column:
+        borders = F.filter(rows, lambda x: (x["bare"] != "") & ~comment(x["bare"]))
+        made = lambda h: F.struct(
+            h["pos"].alias("pos"), F.regexp_extract(h["text"], head, 1).alias("name"),
+            F.coalesce(F.get(F.filter(borders, lambda b: (b["pos"] > h["pos"]) & (b["indent"] <= h["indent"])), F.lit(0))["pos"], F.size(rows)).alias("end"),
+        )
+        return F.transform(F.filter(rows, lambda x: x["text"].rlike(head)), made)
 
-    hits = files.select(F.col(file).cast("string").alias(file), F.col(code).cast("string").alias(code)).mapInArrow(run, f"{file} string, line int, name string, length int")
-    return hits.withColumns({"type": F.lit("Long Function"), "severity": F.lit("MEDIUM")})
+    outer = lambda all_: F.filter(all_, lambda b: ~F.exists(all_, lambda a: (a["pos"] < b["pos"]) & (a["end"] > b["pos"])))
+    long_ = F.filter(_let(_let(_lines(code), blocks), outer), lambda b: b["end"] - b["pos"] > most)
+    return F.transform(long_, lambda b: F.struct(
+        (b["pos"] + 1).alias("line"), F.lit("Long Function").alias("type"), F.lit("MEDIUM").alias("severity"),
+        F.concat(F.lit("Function "), b["name"], F.lit(" has about "), (b["end"] - b["pos"]).cast("string"), F.lit(f" lines, more than {most}.")).alias("description"),
+        F.lit(SHORTER).alias("fix_suggestion"), F.lit(None).cast("string").alias("evidence"), b["name"].alias("name"), (b["end"] - b["pos"]).alias("length"),
+    ))
+
+
+def long_functions_heuristic(files: DataFrame, file: str, code: str, most: int = 50) -> DataFrame:
+    """Long functions of files in other languages than Python."""
+    return _exploded(files, file, _long_blocks(F.col(code), most))
 
 
 def long_functions_python(functions: DataFrame, file: str, most: int = 50) -> DataFrame:
@@ -92,25 +107,51 @@ def complex_functions(functions: DataFrame, file: str, most: int = 15) -> DataFr
     return functions.where(F.col("complexity") > most).select(file, F.col("start_line").alias("line"), "name", "complexity", F.lit("High Cognitive Complexity").alias("type"), F.lit("MEDIUM").alias("severity"))
 
 
+def _finding(line: Column, type_: str, severity: str, description: Column, fix: str) -> Column:
+    return F.struct(line.alias("line"), F.lit(type_).alias("type"), F.lit(severity).alias("severity"), description.alias("description"), F.lit(fix).alias("fix_suggestion"), F.lit(None).cast("string").alias("evidence"))
+
+
+def _symbol_findings(max_lines: int, max_complexity: int) -> list[tuple[int, Column]]:
+    """(check's place, findings) of an analysed file's functions and classes."""
+    f, c = F.col("functions"), F.col("classes")
+    clean = lambda x: F.regexp_replace(x["name"], "^_+", "")
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    return [
+        (1, F.transform(F.filter(f, lambda x: x["line_count"] > max_lines), lambda x: _finding(x["start_line"], "Long Function", "MEDIUM", text("Function ", x["name"], " has ", x["line_count"].cast("string"), f" lines, more than {max_lines}."), SHORTER))),
+        (3, F.transform(F.filter(f, lambda x: (clean(x) != "") & ~clean(x).rlike("^[a-z][a-z0-9_]*$")), lambda x: _finding(x["start_line"], "Naming Convention Violation", "INFO", text("Function ", x["name"], " is not in snake case."), "Name functions in snake case."))),
+        (3, F.transform(F.filter(c, lambda x: ~x["name"].rlike("^[A-Z][a-zA-Z0-9]*$")), lambda x: _finding(x["start_line"], "Naming Convention Violation", "INFO", text("Class ", x["name"], " is not in camel case."), "Name classes in camel case."))),
+        (4, F.transform(F.filter(f, lambda x: x["complexity"] > max_complexity), lambda x: _finding(x["start_line"], "High Cognitive Complexity", "MEDIUM", text("Function ", x["name"], " has a complexity of ", x["complexity"].cast("string"), f", more than {max_complexity}."), "Turn conditions into early returns, and parts into functions."))),
+    ]
+
+
 def quality(files: DataFrame, file: str = "path", language: str = "language", code: str = "code", max_lines: int = 50, max_nesting: int = 5, max_complexity: int = 15) -> DataFrame:
-    """All quality findings: file, line, check_order, type, severity, category, evidence."""
+    """All quality findings: file, line, check_order, type, severity, category, description, fix_suggestion, evidence.
+    Each file is parsed once."""
     parsed = analyze(files, file, language, code)
-    functions, classes = symbols(parsed, "functions", file), symbols(parsed, "classes", file)
-    others = files.where(F.coalesce(F.col(language), F.lit("")) != "python")
-    parts = [
-        unreachable(files, file, code), long_functions_python(functions, file, max_lines), long_functions_heuristic(others, file, code, max_lines),
-        deep_nesting(files, file, code, max_nesting), naming(functions, classes, file), complex_functions(functions, file, max_complexity),
-    ]
-    out = None
-    for order, part in zip((0, 1, 1, 2, 3, 4), parts):
-        evidence = F.col("evidence") if "evidence" in part.columns else F.lit(None).cast("string")
-        rows = part.select(F.col(file).cast("string").alias(file), F.col("line").cast("int").alias("line"), F.lit(order).alias("check_order"), "type", "severity", F.lit("code_quality").alias("category"), evidence.alias("evidence"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    other = F.coalesce(F.col(language), F.lit("")) != "python"
+    by_line = [(0, _unreachable(F.col(code))), (1, F.when(other, _long_blocks(F.col(code), max_lines))), (2, _deep(F.col(code), max_nesting))]
+    columns = ("line", "type", "severity", "description", "fix_suggestion", "evidence")
+
+    def rows(source: DataFrame, parts: list[tuple[int, Column]]) -> DataFrame:
+        same = [F.transform(p, lambda x, o=o: F.struct(F.lit(o).alias("check_order"), *[x[c].alias(c) for c in columns])) for o, p in parts]
+        each = source.select(F.col(file).cast("string").alias(file), F.explode(F.flatten(F.filter(F.array(*same), lambda x: x.isNotNull()))).alias("hit"))
+        return each.select(file, F.col("hit.line").cast("int").alias("line"), "hit.check_order", "hit.type", "hit.severity", F.lit("code_quality").alias("category"), "hit.description", "hit.fix_suggestion", "hit.evidence")
+
+    return rows(files, by_line).unionByName(rows(parsed, _symbol_findings(max_lines, max_complexity)))
 
 
 def unified(files: DataFrame, file: str = "path", language: str = "language", code: str = "code", **limits) -> DataFrame:
-    """Security and quality findings together, in the columns that both have. Files with an error are findings too."""
-    columns = [file, "line", "type", "severity", "category", "evidence"]
-    both = security_findings(files, file, code).select(*columns).unionByName(quality(files, file, language, code, **limits).select(*columns))
-    return both.unionByName(unreadable(files, file).select(*columns)) if "error" in files.columns else both
+    """Security and quality findings together: file, line, rule, type, severity, category, description, cwe,
+    fix_suggestion, evidence, severity_order. For security findings rule is the rule's number and severity_order their
+    order in reports; for quality findings both are the check's place. Files with an error are findings too."""
+    columns = [file, "line", "rule", "type", "severity", "category", "description", "cwe", "fix_suggestion", "evidence", "severity_order"]
+    own = quality(files, file, language, code, **limits).withColumns({"rule": F.col("check_order"), "severity_order": F.col("check_order"), "cwe": F.lit(None).cast("string")})
+    both = security_findings(files, file, code).withColumn(file, F.col(file).cast("string")).select(*columns).unionByName(own.select(*columns))
+    return both.unionByName(unreadable(files, file).withColumns({"rule": F.lit(-1), "severity_order": F.lit(3)}).select(*columns)) if "error" in files.columns else both
+
+
+def unified_report(files: DataFrame, file: str = "path", language: str = "language", code: str = "code", **limits) -> DataFrame:
+    """One row per file: total_findings, counts by severity, severity_breakdown, category_breakdown, security_findings,
+    quality_findings, all_findings and a health_score over all findings. A file with an error has its error, too."""
+    out = report(files, unified(files, file, language, code, **limits), file)
+    return out.join(files.select(file, "error"), file) if "error" in files.columns else out

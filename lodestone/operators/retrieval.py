@@ -2,33 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions.text import module_lenient, tokens
 
 K1, B, RRF, PLACES = 1.5, 0.75, 60, 6
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays in double precision; null if either has length zero."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm)
-
-
-def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding", most_queries: int = 1024) -> DataFrame:
-    """(query_id, id, score, rank): the k chunks of highest cosine for each query (query_id, query_vec).
-
-    The stated queries go to every task, in blocks of about most_queries so that what is broadcast stays small; the
-    rank limit is applied in each task before the shuffle."""
-    asked = queries.select("query_id", "query_vec")
+NEAR = 2e-6  # scores so close may change places when rounded
+
+
+def _nearest(asked: list, k: int, kind):
+    """mapInArrow function: (id, vec) rows to (query_id, id, score) of every row that can be among a query's k of highest
+    cosine in its task; `kind` is the Arrow type of query_id. Vectorised products of blocks of rows and queries; rows of another length, without a length or
+    with nulls have no cosine."""
+    import pyarrow as pa
+
+    groups: dict[int, tuple[list, np.ndarray]] = {}
+    for dim in {len(r["query_vec"]) for r in asked}:
+        own = [r for r in asked if len(r["query_vec"]) == dim]
+        mat = np.array([r["query_vec"] for r in own], np.float64)
+        length = np.sqrt((mat * mat).sum(axis=1))
+        groups[dim] = [r["query_id"] for r, n in zip(own, length) if n > 0], mat[length > 0] / length[length > 0, None]
+
+    def run(batches):
+        best = {dim: [(np.zeros(0), []) for _ in ids] for dim, (ids, _) in groups.items()}
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            vec, ids = batch.column("vec"), batch.column("id").to_pylist()
+            ends, flat = vec.offsets.to_numpy(), vec.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+            for dim, (_, asked_mat) in groups.items():
+                rows = np.flatnonzero(np.diff(ends) == dim)
+                if not len(rows) or not dim or not len(asked_mat):
+                    continue
+                mat = flat[ends[rows][:, None] + np.arange(dim)]
+                length = np.sqrt((mat * mat).sum(axis=1))
+                fine = np.isfinite(length) & (length > 0)
+                rows, mat = rows[fine], mat[fine] / length[fine, None]
+                for at in range(0, len(asked_mat), 512):
+                    scores = asked_mat[at : at + 512] @ mat.T
+                    for i, s in enumerate(scores, at):
+                        was, names = best[dim][i]
+                        least = np.partition(was, len(was) - k)[len(was) - k] - NEAR if len(was) >= k else -np.inf
+                        take = np.flatnonzero(s >= least)
+                        if not len(take):
+                            continue
+                        if len(take) > k:
+                            edge = np.partition(s[take], len(take) - k)[len(take) - k] - NEAR
+                            take = take[s[take] >= edge]
+                        all_, owners = np.concatenate([was, s[take]]), names + [ids[rows[j]] for j in take]
+                        if len(all_) > k:
+                            keep = np.flatnonzero(all_ >= np.partition(all_, len(all_) - k)[len(all_) - k] - NEAR)
+                            all_, owners = all_[keep], [owners[j] for j in keep]
+                        best[dim][i] = all_, owners
+        for dim, (names, _) in groups.items():
+            for name, (scores, owners) in zip(names, best[dim]):
+                if len(scores):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(owners), kind), pa.array(owners, schema.field("id").type), pa.array(scores)], names=["query_id", "id", "score"])
+
+    return run
+
+
+def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding", most_queries: int = 16384) -> DataFrame:
+    """(query_id, id, score, rank): the k chunks of highest cosine for each query (query_id, query_vec), rounded to PLACES.
+
+    The stated queries go to every task, in blocks of about most_queries so that what is sent stays small; each task keeps
+    the best of its rows for each query, and only these are shuffled."""
+    asked = queries.select("query_id", "query_vec").where("query_id IS NOT NULL AND query_vec IS NOT NULL")
     blocks = max(1, -(-asked.count() // most_queries))
-    rows = chunks.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    rows = chunks.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull()))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
     out = None
     for block in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        scored = rows.join(F.broadcast(part), F.size("vec") == F.size("query_vec")).select("query_id", "id", F.round(cosine(F.col("query_vec"), F.col("vec")), PLACES).alias("score")).where("score IS NOT NULL")
+        part = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).collect()  # about most_queries rows
+        scored = rows.mapInArrow(_nearest(part, k, to_arrow_type(queries.schema["query_id"].dataType)), kinds).withColumn("score", F.round("score", PLACES))
         hits = ranked(scored, "query_id", k)
         out = hits if out is None else out.unionByName(hits)
     return out
@@ -41,13 +90,6 @@ def ranked(scored: DataFrame, by: str, k: int | None = None) -> DataFrame:
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def term_table(chunks: DataFrame, id_col: str = "id", content: str = "content") -> tuple[DataFrame, DataFrame]:
-    """(id, term, tf, dl) of every chunk and (term, df)."""
-    words = chunks.select(F.col(id_col).alias("id"), tokens(F.col(content)).alias("words"))
-    rows = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return rows, rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
 def corpus_size(chunks: DataFrame, content: str = "content") -> DataFrame:
     """One row: n chunks and their average length (1 where there are none)."""
     return chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size(tokens(F.col(content)))), F.lit(1.0)).alias("avgdl"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import choice, lines, split_lines, strip
 from lodestone.operators import graph
-from lodestone.operators.rules import PERFORMANCE_RULES, SUGGESTIONS, found, rank
+from lodestone.operators.rules import ISSUES, PERFORMANCE_RULES, SUGGESTIONS, found, rank
 from lodestone.operators.security import hits, is_code
 
 # How definitions look in a diff, as name pattern and its group.
@@ -24,41 +24,63 @@ def _starts(c: Column, prefixes) -> Column:
     return out
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+RECOMMENDATIONS = {"PASS": "Nothing grave was found. Keep secrets out of the source.", "FAIL": "Grave findings: mend them before merging, as each one suggests."}
+
+
 def security(diff: Column) -> Column:
-    """Struct: findings (line, rule, type, severity, evidence), finding_count, status, risk_score."""
-    per_line = F.transform(
-        lines(diff),
-        lambda text, i: F.when(is_code(strip(text)), F.transform(hits(text), lambda h: F.struct((i + 1).alias("line"), h["rule"].alias("rule"), h["type"].alias("type"), h["severity"].alias("severity"), F.substring(strip(text), 1, 120).alias("evidence")))),
-    )
-    findings = F.flatten(F.filter(per_line, lambda x: x.isNotNull()))
-    worst = F.coalesce(F.array_max(F.transform(findings, lambda f: rank(f["severity"]))), F.lit(0))
-    return F.struct(
-        findings.alias("findings"), F.size(findings).alias("finding_count"), F.when(worst >= 3, "FAIL").otherwise("PASS").alias("status"),
-        F.get(F.array(*map(F.lit, ("LOW", "LOW", "MEDIUM", "HIGH", "CRITICAL"))), worst).alias("risk_score"),
-    )
+    """Struct: findings (line, rule, type, severity, description, fix_suggestion, evidence), finding_count, status,
+    risk_score, recommendation."""
+
+    def of_line(text: Column, i: Column) -> Column:
+        made = lambda bare: F.when(
+            is_code(bare),
+            F.transform(hits(text), lambda h: F.struct((i + 1).alias("line"), *[h[c].alias(c) for c in ("rule", "type", "severity", "description", "cwe", "fix_suggestion")], F.substring(bare, 1, 120).alias("evidence"))),
+        )
+        return let(strip(text), made)
+
+    def judged(findings: Column) -> Column:
+        worst = F.coalesce(F.array_max(F.transform(findings, lambda f: rank(f["severity"]))), F.lit(0))
+        return let(worst, lambda w: F.struct(
+            findings.alias("findings"), F.size(findings).alias("finding_count"), F.when(w >= 3, "FAIL").otherwise("PASS").alias("status"),
+            F.get(F.array(*map(F.lit, ("LOW", "LOW", "MEDIUM", "HIGH", "CRITICAL"))), w).alias("risk_score"),
+            F.when(w >= 3, RECOMMENDATIONS["FAIL"]).otherwise(RECOMMENDATIONS["PASS"]).alias("recommendation"),
+        ))
+
+    return let(F.flatten(F.filter(F.transform(lines(diff), of_line), lambda x: x.isNotNull())), judged)
 
 
 def performance(diff: Column) -> Column:
-    """Struct: issues (line, issue, evidence), issue_count, suggestions, time_complexity, memory_usage, verdict."""
-    rows = split_lines(diff)
+    """Struct: issues (line, issue, description, suggestion, evidence), issue_count, suggestions, time_complexity,
+    memory_usage, verdict."""
 
-    def issue(text: Column) -> Column:
+    def issue(text: Column, bare: Column) -> Column:
         name = F.lit(None).cast("string")
         for label, pattern in reversed(PERFORMANCE_RULES):
             name = F.when(found(text, pattern), label).otherwise(name)
-        return F.when((strip(text) != "") & ~_starts(strip(text), META), name)
+        return F.when((bare != "") & ~_starts(bare, META), name)
 
-    named = F.transform(rows, lambda text, i: F.struct((i + 1).alias("line"), issue(text).alias("issue"), F.substring(strip(text), 1, 120).alias("evidence")))
-    issues = F.filter(named, lambda x: x["issue"].isNotNull())
-    loops = F.size(F.filter(rows, lambda t: found(t, r"\b(for|while)\b")))
-    nested = F.exists(rows, lambda t: found(t, r"\bfor\b.*\bfor\b"))
-    return F.struct(
-        issues.alias("issues"), F.size(issues).alias("issue_count"),
-        F.array_sort(F.array_distinct(F.transform(issues, lambda x: choice(SUGGESTIONS, x["issue"])))).alias("suggestions"),
-        F.when((loops > 3) | nested, "O(N²)").when(loops > 1, "O(N log N)").otherwise("O(N)").alias("time_complexity"),
-        F.when(F.exists(rows, lambda t: F.contains(t, F.lit("read()"))), "REVIEW").otherwise("OK").alias("memory_usage"),
-        F.when(F.size(issues) > 0, "WARN").otherwise("PASS").alias("verdict"),
-    )
+    def of_line(text: Column, i: Column) -> Column:
+        return let(strip(text), lambda bare: let(issue(text, bare), lambda name: F.struct(
+            (i + 1).alias("line"), name.alias("issue"), choice(ISSUES, name).alias("description"), choice(SUGGESTIONS, name).alias("suggestion"), F.substring(bare, 1, 120).alias("evidence"),
+        )))
+
+    def judged(rows: Column, issues: Column) -> Column:
+        loops = F.size(F.filter(rows, lambda t: found(t, r"\b(for|while)\b")))
+        nested = F.exists(rows, lambda t: found(t, r"\bfor\b.*\bfor\b"))
+        return let(loops, lambda n: F.struct(
+            issues.alias("issues"), F.size(issues).alias("issue_count"),
+            F.array_sort(F.array_distinct(F.transform(issues, lambda x: x["suggestion"]))).alias("suggestions"),
+            F.when((n > 3) | nested, "O(N²)").when(n > 1, "O(N log N)").otherwise("O(N)").alias("time_complexity"),
+            F.when(F.exists(rows, lambda t: F.contains(t, F.lit("read()"))), "REVIEW").otherwise("OPTIMAL").alias("memory_usage"),
+            F.when(F.size(issues) > 0, "WARN").otherwise("PASS").alias("verdict"),
+        ))
+
+    return let(split_lines(diff), lambda rows: let(F.filter(F.transform(rows, of_line), lambda x: x["issue"].isNotNull()), lambda issues: judged(rows, issues)))
 
 
 def _params(raw: Column) -> Column:
@@ -78,9 +100,11 @@ def testing(diff: Column) -> Column:
             .when(text.rlike(f"(?U){JS_ARROW}"), F.struct(F.regexp_extract(text, f"(?U){JS_ARROW}", 1).alias("name"), F.array().cast("array<string>").alias("params")))
         )
 
+    def firsts(all_: Column) -> Column:
+        return F.transform(F.array_distinct(F.transform(all_, lambda d: d["name"])), lambda n: F.get(F.filter(all_, lambda d: d["name"] == n), F.lit(0)))
+
     all_ = F.filter(F.transform(split_lines(diff), definition), lambda d: d.isNotNull() & ~F.startswith(d["name"], F.lit("__")))
-    firsts = F.transform(F.array_distinct(F.transform(all_, lambda d: d["name"])), lambda n: F.get(F.filter(all_, lambda d: d["name"] == n), F.lit(0)))
-    return F.struct(firsts.alias("functions_found"), F.size(firsts).alias("stub_count"), render_tests(firsts).alias("generated_tests"))
+    return let(let(all_, firsts), lambda f: F.struct(f.alias("functions_found"), F.size(f).alias("stub_count"), render_tests(f).alias("generated_tests")))
 
 
 def render_tests(functions: Column) -> Column:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import choice, lines, strip
 from lodestone.operators.rules import DEDUCTIONS, SECURITY_RULES, SEVERITY_ORDER, found
 
-HIT = "rule int, type string, severity string, category string, cwe string, fix_suggestion string"
 
 
-def hits(line: Column) -> Column:
-    """The rules that a line breaks, as an array of structs in rule order. All patterns are tried in one pass, without
-    a join with the rules."""
+def hits(line: Column, only: Collection[int] | None = None) -> Column:
+    """The rules that a line breaks, of all or `only` those of these numbers, as an array of structs in rule order. All
+    patterns are tried in one pass, without a join with the rules."""
     return F.array_compact(
         F.array(
             *[
@@ -21,10 +22,11 @@ def hits(line: Column) -> Column:
                     found(line, r.pattern),
                     F.struct(
                         F.lit(i).alias("rule"), F.lit(r.type).alias("type"), F.lit(r.severity).alias("severity"), F.lit("security").alias("category"),
-                        F.lit(r.cwe).alias("cwe"), F.lit("Remove or replace this construct." if r.fix else None).cast("string").alias("fix_suggestion"),
+                        F.lit(r.says).alias("description"), F.lit(r.cwe).alias("cwe"), F.lit(r.fix).cast("string").alias("fix_suggestion"),
                     ),
                 )
                 for i, r in enumerate(SECURITY_RULES)
+                if only is None or i in only
             ]
         )
     )
@@ -35,12 +37,12 @@ def is_code(stripped: Column) -> Column:
     return (stripped != "") & ~F.startswith(stripped, F.lit("#")) & ~F.startswith(stripped, F.lit("//"))
 
 
-def findings(files: DataFrame, file: str, code: str) -> DataFrame:
-    """One row per (line, rule): the file column, line, rule, type, severity, category, cwe, fix_suggestion, evidence,
-    severity_order. Their order in a report is severity_order, line, rule."""
+def findings(files: DataFrame, file: str, code: str, only: Collection[int] | None = None) -> DataFrame:
+    """One row per (line, rule): the file column, line, rule, type, severity, category, description, cwe, fix_suggestion,
+    evidence, severity_order. Their order in a report is severity_order, line, rule. `only` names the rules to try."""
     rows = files.select(file, F.posexplode(lines(F.col(code))).alias("pos", "text")).withColumn("bare", strip(F.col("text"))).where(is_code(F.col("bare")))
     return (
-        rows.select(file, (F.col("pos") + 1).alias("line"), F.substring("bare", 1, 120).alias("evidence"), F.explode(hits(F.col("text"))).alias("hit"))
+        rows.select(file, (F.col("pos") + 1).alias("line"), F.substring("bare", 1, 120).alias("evidence"), F.explode(hits(F.col("text"), only)).alias("hit"))
         .select(file, "line", "hit.*", "evidence")
         .withColumn("severity_order", F.coalesce(choice(SEVERITY_ORDER, F.col("severity")), F.lit(5)))
     )
@@ -49,8 +51,9 @@ def findings(files: DataFrame, file: str, code: str) -> DataFrame:
 def unreadable(files: DataFrame, file: str, error: str = "error") -> DataFrame:
     """One low finding at line 0 for each file that could not be read."""
     return files.where(F.col(error).isNotNull()).select(
-        file, F.lit(0).alias("line"), F.lit("FileReadError").alias("type"), F.lit("LOW").alias("severity"), F.lit("security").alias("category"), F.col(error).alias("evidence")
-    )
+        file, F.lit(0).alias("line"), F.lit("FileReadError").alias("type"), F.lit("LOW").alias("severity"), F.lit("security").alias("category"), F.lit("The file could not be read.").alias("description"),
+        F.lit(None).cast("string").alias("cwe"), F.lit(None).cast("string").alias("fix_suggestion"), F.col(error).alias("evidence"),
+    )
 
 
 def deduction(severity: Column) -> Column:
@@ -72,9 +75,15 @@ def health(files: DataFrame, found: DataFrame, file: str) -> DataFrame:
 
 
 def report(files: DataFrame, found: DataFrame, file: str) -> DataFrame:
-    """One row per file with the whole report: counts, breakdown maps, findings in order, health score."""
-    item = F.struct("severity_order", "line", "rule", "type", "severity", "category", "cwe", "fix_suggestion", "evidence")
-    parts = found.groupBy(file).agg(F.array_sort(F.collect_list(item)).alias("all_findings"))
+    """One row per file with the whole report on `found`, security findings, quality findings or both: counts, breakdown
+    maps, the findings of each category and all of them in order, and the health score over all."""
+    item = F.struct(*[c for c in ("place", "severity_order", "line", "rule", "type", "severity", "category", "description", "cwe", "fix_suggestion", "evidence")])
+    placed = found.withColumn("place", F.when(F.col("category") == "security", 0).otherwise(1))
+    parts = placed.groupBy(file).agg(F.array_sort(F.collect_list(item)).alias("all_findings"))
     counts = lambda c: F.map_from_entries(F.transform(F.array_distinct(F.transform("all_findings", lambda x: x[c])), lambda k: F.struct(k, F.size(F.filter("all_findings", lambda x: x[c] == k)))))
-    maps = parts.select(file, "all_findings", counts("severity").alias("severity_breakdown"), counts("category").alias("category_breakdown"))
-    return health(files, found, file).join(maps, file, "left")
+    of = lambda place: F.filter("all_findings", lambda x: x["place"] == place)
+    maps = parts.select(file, "all_findings", counts("severity").alias("severity_breakdown"), counts("category").alias("category_breakdown"), of(0).alias("security_findings"), of(1).alias("quality_findings"))
+    whole = health(files, found, file).join(maps, file, "left")
+    empty = {c: F.coalesce(c, F.array().cast(maps.schema[c].dataType)) for c in ("all_findings", "security_findings", "quality_findings")}
+    none = F.from_json(F.lit("{}"), "map<string,int>")
+    return whole.withColumns(empty | {c: F.coalesce(c, none) for c in ("severity_breakdown", "category_breakdown")})

@@ -74,7 +74,7 @@ def parse(code: str | None) -> dict:
                 | _span(node) | {"is_method": id(node) in methods, "is_async": isinstance(node, ast.AsyncFunctionDef), "complexity": complexity(node)}
             )
         elif isinstance(node, ast.ClassDef):
-            bases = [b.id if isinstance(b, ast.Name) else b.attr for b in node.bases if isinstance(b, (ast.Name, ast.Attribute))]
+            bases = [ast.unparse(b) for b in node.bases if isinstance(b, (ast.Name, ast.Attribute))]
             out["classes"].append(
                 {"name": node.name, "bases": bases, "methods": [c.name for c in node.body if isinstance(c, _DEFS)], "decorators": [d.id for d in node.decorator_list if isinstance(d, ast.Name)], "docstring": ast.get_docstring(node)} | _span(node)
             )
@@ -126,6 +126,21 @@ def repository_summary(analyzed: DataFrame) -> DataFrame:
     return known.agg(F.count(F.lit(1)).alias("total_files_analyzed"), *[total(c) for c in ("functions", "classes", "imports", "variables")], F.count_if(~F.col("valid")).alias("parse_errors"))
 
 
+def parse_errors(analyzed: DataFrame, file: str = "path") -> DataFrame:
+    """(file, error) of the files with a language that could not be parsed."""
+    return analyzed.where("language IS NOT NULL AND NOT valid").select(F.col(file).alias("file"), F.coalesce("error", F.lit("unknown")).alias("error"))
+
+
+def analyze_file(path: str, language: str) -> dict:
+    """The symbols of one file on this machine; not valid, with the reason, if it cannot be read."""
+    try:
+        with open(path, encoding="utf-8", errors="ignore") as f:
+            code = f.read()
+    except OSError as e:
+        return parse("") | {"valid": False, "error": str(e)}
+    return parse(code) if language in SUPPORTED_LANGUAGES else parse("") | {"valid": False, "error": f"No parser for language: {language}"}
+
+
 def flat_analysis(code: str) -> dict:
     """Validity, error, class and function names and imported modules of one source text."""
     found = parse(code)

@@ -116,13 +116,13 @@ def insecure_url_pages(spark, sf_dir):
 
 @query(f"WITH {DOC_LINES}, {findings_sql('doc_lines')} SELECT file AS doc_id, CAST(line AS INTEGER) AS line FROM findings WHERE rule = 3")
 def hardcoded_token_documents(spark, sf_dir):
-    return security.findings(_documents(spark, sf_dir), "doc_id", "text").where("rule = 3").select("doc_id", "line")
+    return security.findings(_documents(spark, sf_dir), "doc_id", "text", [3]).select("doc_id", "line")
 
 
 @query(f"WITH {DOC_LINES}, {findings_sql('doc_lines')} SELECT d.lang, CAST(count(*) AS BIGINT) AS findings, CAST(count(DISTINCT f.file) AS BIGINT) AS documents FROM findings f JOIN documents d ON d.doc_id = f.file WHERE f.rule = 20 GROUP BY d.lang")
 def weak_crypto_by_language(spark, sf_dir):
     docs = _documents(spark, sf_dir)
-    found = security.findings(docs, "doc_id", "text").where("rule = 20").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    found = security.findings(docs, "doc_id", "text", [20]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     return found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.sum("n").alias("findings"), F.count(F.lit(1)).alias("documents"))
 
 
@@ -188,6 +188,61 @@ def long_functions_heuristic(spark, sf_dir):
     return quality.long_functions_heuristic(files, "file", "code", 3).select("file", "line", "name", "length")
 
 
+_IND = "length({0}) - length(regexp_replace({0}, '^\\s+', ''))"
+_HEAD = r"^\s*(def |function |public |private |protected |func |static )\s*([\p{L}\p{N}_]+)"
+_LONG = f"""x AS (SELECT file, pos, line, {STRIP.format('line')} AS bare, {_IND.format('line')} AS ind FROM code_lines),
+solid AS (SELECT * FROM x WHERE bare <> '' AND NOT starts_with(bare, '#') AND NOT starts_with(bare, '//') AND NOT starts_with(bare, '/*') AND NOT starts_with(bare, '*')),
+head AS (SELECT h.file, h.pos, regexp_extract(h.line, {literal(_HEAD)}, 2) AS name, coalesce((SELECT min(s.pos) FROM solid s WHERE s.file = h.file AND s.pos > h.pos AND s.ind <= h.ind), (SELECT max(pos) + 1 FROM x l WHERE l.file = h.file)) AS stop
+  FROM x h WHERE regexp_matches(h.line, {literal(_HEAD)})),
+long AS (SELECT * FROM head h WHERE NOT EXISTS (SELECT 1 FROM head o WHERE o.file = h.file AND o.pos < h.pos AND o.stop > h.pos) AND stop - pos > 3)"""
+
+
+@query(f"WITH {C.CODE_LINES}, {_LONG} SELECT file, CAST(pos + 1 AS INTEGER) AS line, name, CAST(stop - pos AS INTEGER) AS length FROM long")
+def long_functions_files(spark, sf_dir):
+    return quality.long_functions_heuristic(C.code_files(spark, sf_dir), "file", "code", 3).select("file", "line", "name", "length")
+
+
+@query(
+    f"""WITH {C.CODE_LINES}, {findings_sql('code_lines')}, {_LONG},
+n AS (SELECT file, lead(pos) OVER w AS np, bare, ind, lead(ind) OVER w AS ni FROM x WHERE bare <> '' AND NOT starts_with(bare, '#') AND NOT starts_with(bare, '//') WINDOW w AS (PARTITION BY file ORDER BY pos)),
+u AS (SELECT file, severity, 'security' AS category, ded FROM findings UNION ALL SELECT file, 'LOW', 'code_quality', 2 FROM n WHERE regexp_matches(bare, '^(return|raise|break|continue)\\b') AND ni > ind
+  UNION ALL SELECT file, 'MEDIUM', 'code_quality', 5 FROM long UNION ALL SELECT file, 'LOW', 'code_quality', 2 FROM x WHERE bare <> '' AND ind // 4 > 2)
+SELECT f.file, CAST(count(u.file) AS BIGINT) AS total_findings, CAST(count(u.file) FILTER (severity = 'LOW') AS BIGINT) AS low, CAST(count(u.file) FILTER (severity = 'MEDIUM') AS BIGINT) AS medium,
+  CAST(count(u.file) FILTER (category = 'security') AS INTEGER) AS n_security, CAST(count(u.file) FILTER (category = 'code_quality') AS INTEGER) AS n_quality, greatest(0.0::DOUBLE, round(100.0::DOUBLE - CAST(coalesce(sum(ded), 0) AS DOUBLE), 1)) AS health_score
+FROM (SELECT DISTINCT file FROM code_lines) f LEFT JOIN u ON u.file = f.file GROUP BY f.file"""
+)
+def unified_report_files(spark, sf_dir):
+    """Both scanners over files of no language that is parsed."""
+    r = quality.unified_report(C.code_files(spark, sf_dir).withColumn("language", F.lit("text")), "file", max_lines=3, max_nesting=2)
+    return r.select("file", "total_findings", "low", "medium", F.size("security_findings").alias("n_security"), F.size("quality_findings").alias("n_quality"), "health_score")
+
+
+@query(f"""WITH {C.PYTHON_LINES}
+SELECT file, 'function' AS kind, 'f' || k AS name, 'a,b' AS detail, line, line + 3 AS last, 2 AS complexity FROM p WHERE t = 0
+UNION ALL SELECT file, 'function', 'm' || k, 'self,x', line + 1, line + 4, 3 FROM p WHERE t = 1 UNION ALL SELECT file, 'function', 'Bad' || k, '', line, line + 1, 0 FROM p WHERE t = 2
+UNION ALL SELECT file, 'class', 'C' || k, 'base.Thing', line, line + 4, NULL FROM p WHERE t = 1
+UNION ALL SELECT file, 'import', 'mod' || (k % 7), 'mod' || (k % 7), line, NULL, NULL FROM p WHERE t = 3 UNION ALL SELECT file, 'variable', 'LIMIT_' || k, 'true', line + 1, NULL, NULL FROM p WHERE t = 3""")
+def python_symbols_files(spark, sf_dir):
+    """All symbols of Python files, one of them for every part."""
+    parsed, none = symbols.analyze(C.python_files(spark, sf_dir), "file"), F.lit(None).cast("int")
+    row = lambda kind, x, detail, line, last, complexity: F.struct(F.lit(kind).alias("kind"), x.alias("name"), detail.alias("detail"), line.alias("line"), last.alias("last"), complexity.alias("complexity"))
+    parts = F.concat(
+        F.transform("functions", lambda x: row("function", x["name"], F.array_join(x["args"], ","), x["start_line"], x["end_line"], x["complexity"])),
+        F.transform("classes", lambda x: row("class", x["name"], F.array_join(x["bases"], ","), x["start_line"], x["end_line"], none)),
+        F.transform("imports", lambda x: row("import", x["module"], F.array_join(x["names"], ","), x["line"], none, none)),
+        F.transform("variables", lambda x: row("variable", x["name"], x["is_constant"].cast("string"), x["line"], none, none)),
+    )
+    return parsed.select("file", F.explode(parts).alias("s")).select("file", "s.*")
+
+
+@query(f"""WITH {C.PYTHON_LINES}
+SELECT file, line, 'Long Function' AS type, 'MEDIUM' AS severity FROM p WHERE t = 0 UNION ALL SELECT file, line + 1, 'Long Function', 'MEDIUM' FROM p WHERE t = 1
+UNION ALL SELECT file, line, 'Naming Convention Violation', 'INFO' FROM p WHERE t = 2 UNION ALL SELECT file, line + 1, 'High Cognitive Complexity', 'MEDIUM' FROM p WHERE t = 1
+UNION ALL SELECT file, line + 3, 'Deep Nesting', 'LOW' FROM p WHERE t = 1 UNION ALL SELECT file, line + 4, 'Deep Nesting', 'LOW' FROM p WHERE t = 1""")
+def quality_files(spark, sf_dir):
+    return quality.quality(C.python_files(spark, sf_dir), "file", max_lines=3, max_nesting=2, max_complexity=2).select("file", "line", "type", "severity")
+
+
 def _parsed(spark):
     return symbols.analyze(C.snippets(spark))
 
@@ -208,7 +263,7 @@ def python_functions(spark, sf_dir):
     return f.select("path", "name", F.array_join("args", ",").alias("args"), F.array_join("decorators", ",").alias("decorators"), "return_annotation", "docstring", "start_line", "end_line", "is_method", "is_async")
 
 
-@query(values_sql("path, name, bases, methods, docstring, start_line, end_line", [("pkg/a.py", "Base", "object", "size,load", "Doc.", 10, 21), ("pkg/b.py", "_low", "B,Other", "", None, 21, 22)]))
+@query(values_sql("path, name, bases, methods, docstring, start_line, end_line", [("pkg/a.py", "Base", "object", "size,load", "Doc.", 10, 21), ("pkg/b.py", "_low", "B,pkg.Other", "", None, 21, 22)]))
 def python_classes(spark, sf_dir):
     c = symbols.symbols(_parsed(spark), "classes")
     return c.select("path", "name", F.array_join("bases", ",").alias("bases"), F.array_join("methods", ",").alias("methods"), "docstring", "start_line", "end_line")
@@ -271,10 +326,21 @@ def dependency_summary(spark, sf_dir):
 _COUNTS = "c AS (SELECT (SELECT count(DISTINCT n) FROM (SELECT src AS n FROM edges UNION ALL SELECT dst FROM edges)) AS nodes, (SELECT count(*) FROM edges) AS edges)"
 
 
-@query(f"WITH {C.TRANSITIONS}, {_COUNTS} SELECT CAST(nodes AS BIGINT) AS nodes, CAST(edges AS BIGINT) AS edges, CASE WHEN edges = 0 OR nodes <= 1 THEN 0.0::DOUBLE ELSE round(edges::DOUBLE / (nodes * (nodes - 1)), 6) END AS density, round(2.0::DOUBLE * edges / nodes, 6) AS average_degree, NOT EXISTS (SELECT 1 FROM edges) AS is_dag FROM c")
+def _walk_sql(edges: str) -> str:
+    """CTEs of an edge table and of its simple cycles, `loops` (path), each from its smallest node."""
+    return f"""{edges}, walk(start, here, path) AS (
+  SELECT src, dst, [src] FROM edges WHERE dst >= src
+  UNION ALL SELECT w.start, e.dst, list_append(w.path, w.here) FROM walk w JOIN edges e ON e.src = w.here WHERE w.here > w.start AND NOT list_contains(w.path, w.here) AND e.dst >= w.start),
+loops AS (SELECT array_to_string(path, '>') AS cycle, len(path) AS length FROM walk WHERE here = start)"""
+
+
+@query(f"""WITH RECURSIVE {_walk_sql(C.TRANSITIONS)}, {_COUNTS}, k AS (SELECT count(*) AS n, coalesce(string_agg(cycle, ';' ORDER BY cycle), '') AS circular FROM loops)
+SELECT CAST(nodes AS BIGINT) AS nodes, CAST(edges AS BIGINT) AS edges, CASE WHEN edges = 0 OR nodes <= 1 THEN 0.0::DOUBLE ELSE round(edges::DOUBLE / (nodes * (nodes - 1)), 6) END AS density,
+  round(2.0::DOUBLE * edges / nodes, 6) AS average_degree, n = 0 AS is_dag, n > 0 AS has_circular_deps, CAST(n AS INTEGER) AS n_cycles, circular AS circular_dependencies FROM c, k""")
 def graph_stats(spark, sf_dir):
-    e = C.transitions(spark, sf_dir)
-    return graph.stats(e, 3).select("nodes", "edges", "density", "average_degree", "is_dag")
+    g = graph.stats(C.transitions(spark, sf_dir))
+    loops = F.array_join(F.array_sort(F.transform("circular_dependencies", lambda x: F.array_join(x, ">"))), ";")
+    return g.select("nodes", "edges", "density", "average_degree", "is_dag", "has_circular_deps", F.size("circular_dependencies").alias("n_cycles"), loops.alias("circular_dependencies"))
 
 
 _ARCH = """SELECT CAST(nodes AS BIGINT) AS nodes, CAST(edges AS BIGINT) AS edges, cohesion_score, coupling_ratio, architecture_pattern,
@@ -298,23 +364,26 @@ def graph_neighbors(spark, sf_dir):
 @query(
     f"""WITH RECURSIVE {C.NATION_EDGES}, walk(node, path, hops) AS (
   SELECT (SELECT min(src) FROM edges), [(SELECT min(src) FROM edges)], 0
-  UNION ALL SELECT e.dst, list_append(w.path, e.dst), w.hops + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE NOT list_contains(w.path, e.dst) AND w.hops < 8),
+  UNION ALL SELECT e.dst, list_append(w.path, e.dst), w.hops + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE NOT list_contains(w.path, e.dst)),
 best AS (SELECT node, path, hops, row_number() OVER (PARTITION BY node ORDER BY hops, path) AS r FROM walk)
 SELECT node, CAST(hops AS INTEGER) AS hops, array_to_string(path, '>') AS path FROM best WHERE r = 1"""
 )
 def graph_shortest_path(spark, sf_dir):
     e = C.nation_edges(spark, sf_dir)
-    return graph.shortest_paths(e, e.agg(F.min("src").alias("source")), 8).select("node", "hops", F.array_join("path", ">").alias("path"))
+    return graph.shortest_paths(e, e.agg(F.min("src").alias("source"))).select("node", "hops", F.array_join("path", ">").alias("path"))
 
 
-@query(
-    f"""WITH RECURSIVE {C.NATION_EDGES}, walk(start, here, path) AS (
-  SELECT src, dst, [src] FROM edges WHERE dst >= src
-  UNION ALL SELECT w.start, e.dst, list_append(w.path, w.here) FROM walk w JOIN edges e ON e.src = w.here WHERE w.here > w.start AND NOT list_contains(w.path, w.here) AND e.dst >= w.start AND len(w.path) < 6)
-SELECT CAST(len(path) AS INTEGER) AS length, array_to_string(path, '>') AS cycle FROM walk WHERE here = start"""
-)
+@query(f"WITH RECURSIVE {_walk_sql(C.NATION_EDGES)} SELECT CAST(length AS INTEGER) AS length, cycle FROM loops")
 def graph_cycles(spark, sf_dir):
-    return graph.cycles(C.nation_edges(spark, sf_dir), 6).select("length", F.array_join("cycle", ">").alias("cycle"))
+    return graph.cycles(C.nation_edges(spark, sf_dir)).select("length", F.array_join("cycle", ">").alias("cycle"))
+
+
+@query(f"WITH RECURSIVE {_walk_sql(C.NATION_EDGES)} SELECT CAST(length AS INTEGER) AS length, cycle FROM loops WHERE length > 1")
+def import_cycles(spark, sf_dir):
+    """Modules that import each other: a source file for each nation, which imports the nations it leads to."""
+    e = C.nation_edges(spark, sf_dir).where("src <> dst")
+    files = e.groupBy(F.concat("src", F.lit(".py")).alias("path")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("import "), "dst"))), "\n").alias("code")).withColumn("language", F.lit("python"))
+    return graph.import_cycles(graph.dependency_edges(symbols.symbols(symbols.analyze(files), "imports"))).select("length", F.array_join("cycle", ">").alias("cycle"))
 
 
 # --- chunks and retrieval --------------------------------------------------------------------------------------------
@@ -476,12 +545,18 @@ _PERF = f"""perf AS (SELECT pr_id, count(CASE WHEN NOT {_META} THEN CASE {_PERF_
 _TIME = "CASE WHEN loops > 3 OR nested THEN 'O(N²)' WHEN loops > 1 THEN 'O(N log N)' ELSE 'O(N)' END"
 
 
-@query(f"WITH {C.DIFFS}, {_LINES}, {_PERF} SELECT pr_id, CAST(issue_count AS INTEGER) AS issue_count, {_TIME} AS time_complexity, CASE WHEN reads THEN 'REVIEW' ELSE 'OK' END AS memory_usage, CASE WHEN issue_count > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM perf")
+@query(f"WITH {C.DIFFS}, {_LINES}, {_PERF} SELECT pr_id, CAST(issue_count AS INTEGER) AS issue_count, {_TIME} AS time_complexity, CASE WHEN reads THEN 'REVIEW' ELSE 'OPTIMAL' END AS memory_usage, CASE WHEN issue_count > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM perf")
 def perf_agent(spark, sf_dir):
     p = C.diffs(spark, sf_dir).select("pr_id", review.performance(F.col("diff")).alias("p"))
     return p.select("pr_id", "p.issue_count", "p.time_complexity", "p.memory_usage", "p.verdict")
 
 
+@query(f"WITH {C.DIFFS}, {_LINES}, i AS (SELECT pr_id, pos, CASE WHEN NOT {_META} THEN CASE {_PERF_WHEN} END END AS issue, bare FROM lb) SELECT pr_id, CAST(pos + 1 AS INTEGER) AS line, issue, substr(bare, 1, 120) AS evidence FROM i WHERE issue IS NOT NULL")
+def perf_issues(spark, sf_dir):
+    p = C.diffs(spark, sf_dir).select("pr_id", F.explode(review.performance(F.col("diff"))["issues"]).alias("i"))
+    return p.select("pr_id", "i.line", "i.issue", "i.evidence")
+
+
 @query(f"WITH diffs AS (SELECT conv_id * 1000 + turn AS pr_id, text AS diff FROM conversations), {_LINES}, {_PERF} SELECT {_TIME} AS time_complexity, CAST(count(*) AS BIGINT) AS turns FROM perf GROUP BY 1")
 def loop_complexity(spark, sf_dir):
     p = read(spark, sf_dir, "conversations").select(review.performance(F.col("text"))["time_complexity"].alias("time_complexity"))

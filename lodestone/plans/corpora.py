@@ -165,6 +165,27 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRANSITIONS = """edges AS (
   SELECT DISTINCT src, dst FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL)"""
 
+#: Python sources of several kinds; {0} is a number.
+PYTHON = [
+    "def f{0}(a, b=1):\n    if a and b:\n        return a\n    return b",
+    "class C{0}(base.Thing):\n    def m{0}(self, x):\n        for i in x:\n            while i:\n                i -= 1",
+    "async def Bad{0}():\n    pass",
+    "import mod{1}\nLIMIT_{0} = {0}",
+]
+
+
+def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, language, code) of Python files, put together of one piece for every part."""
+    key = F.col("p_partkey")
+    piece = F.replace(F.replace(pick(PYTHON, key), F.lit("{0}"), key.cast("string")), F.lit("{1}"), (key % 7).cast("string"))
+    rows = read(spark, sf_dir, "part").groupBy(F.concat(F.lit("lib/p"), (key % 30).cast("string"), F.lit(".py")).alias("file")).agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), piece.alias("piece")))).alias("rows"))
+    return rows.select("file", F.lit("python").alias("language"), F.array_join(F.transform("rows", lambda x: x["piece"]), "\n").alias("code"))
+
+
+PYTHON_LINES = f"""p AS (
+  SELECT file, k, t, CAST(1 + coalesce(sum(n) OVER (PARTITION BY file ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS line FROM (
+    SELECT 'lib/p' || (p_partkey % 30) || '.py' AS file, p_partkey AS k, p_partkey % {len(PYTHON)} AS t, ({[x.count(chr(10)) + 1 for x in PYTHON]})[p_partkey % {len(PYTHON)} + 1] AS n FROM part))"""
+
 #: Python sources with known symbols.
 SNIPPETS = {
     "pkg/a.py": 'import os, sys as system\nfrom pkg.b import run, stop\nfrom . import x\n\nLIMIT = 10\nname: str = "n"\na = b = 1\n\n\nclass Base(object):\n    """Doc."""\n\n    @property\n    def size(self) -> int:\n        return 1\n\n    async def load(self, path, *rest, key=None):\n        if path and key:\n            for p in rest:\n                pass\n        return path\n\n\ndef Bad_Name(x):\n    """Says."""\n    f = lambda y: y\n    return f(x)\n',

@@ -8,9 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.lineage import cut
 from lodestone.operators.review import review
 from lodestone.operators.symbols import analyze
-from lodestone.operators.quality import unified
+from lodestone.operators.quality import unified, unified_report
 from lodestone.sources import tree
 from lodestone.streaming.webhook import read_events, review_stream
 
@@ -37,8 +38,7 @@ class Engine:
         """The manifest of a folder, a ZIP file, or a git repository by URL."""
         if uri.startswith(("http://", "https://", "git@", "file://")):
             with tree.GitClone(uri, branch) as folder:
-                rows = tree.manifest(tree.from_local(self.spark, folder), "github", uri).collect()
-                return self.spark.createDataFrame(rows, tree.manifest(tree.from_local(self.spark, folder), "github", uri).schema)
+                return cut(tree.manifest(tree.from_local(self.spark, folder), "github", uri))  # stored before the clone goes
         if uri.endswith(".zip"):
             return tree.manifest(tree.from_zip(self.spark, uri), "zip", uri)
         return tree.manifest(tree.from_local(self.spark, uri), "local", uri)
@@ -53,6 +53,11 @@ class Engine:
         s = self.settings
         return unified(files, max_lines=s.max_function_lines, max_nesting=s.max_nesting, max_complexity=s.max_complexity)
 
+    def report(self, files: DataFrame) -> DataFrame:
+        """One row per file: counts, breakdowns, findings of both scanners and the health score over all."""
+        s = self.settings
+        return unified_report(files, max_lines=s.max_function_lines, max_nesting=s.max_nesting, max_complexity=s.max_complexity)
+
     def review(self, diffs: DataFrame, edges: DataFrame | None = None) -> DataFrame:
         return review(diffs, "diff", edges)
 

@@ -44,3 +44,28 @@ def test_review(spark):
     assert [(f["name"], f["params"]) for f in got[4]["testing"]["functions_found"]] == [("f", ["a"])]
     good = review.review(diffs.where("pr_id = 1"), edges=edges(spark, ("A", "B"), ("B", "C"), ("A", "C"))).first()
     assert good["overall_status"] == "APPROVED"
+
+
+def test_far_nodes_and_long_rings(spark):
+    ring = edges(spark, *[(f"n{i:02}", f"n{(i + 1) % 12:02}") for i in range(12)], ("n00", "out"), ("in", "n00"))
+    row = graph.stats(ring).first()
+    assert row["has_circular_deps"] and not row["is_dag"] and row["circular_dependencies"] == [[f"n{i:02}" for i in range(12)]]
+    line = edges(spark, *[(f"p{i:02}", f"p{i + 1:02}") for i in range(20)])
+    last = graph.shortest_paths(line, spark.createDataFrame([("p00",)], "source string")).where("node = 'p20'").first()
+    assert last["hops"] == 20 and graph.stats(line).first()["is_dag"] and graph.stats(edges(spark)).first()["circular_dependencies"] == []
+
+
+def test_dependency_map(spark):
+    rows = [("a.py", "b", 1), ("b.py", "a", 1), ("b.py", "os", 2)]
+    imports = spark.createDataFrame([(p, m, [m], n) for p, m, n in rows], "path string, module string, names array<string>, line int")
+    row = graph.dependency_map(imports).first()
+    assert (row["total_dependencies"], row["internal_dependencies"], row["external_dependencies"]) == (3, 2, 1)
+    assert row["circular_dependencies"] == [["a", "b"]] and row["has_circular_deps"] and len(row["edges"]) == 3
+
+
+def test_agents_say_why(spark):
+    diffs = spark.createDataFrame([(1, "+x = eval(y)\n+time.sleep(1)"), (2, "+x = 1")], "pr_id int, diff string")
+    got = {r["pr_id"]: r for r in review.review(diffs).collect()}
+    assert got[1]["security"]["recommendation"] != got[2]["security"]["recommendation"] and got[1]["security"]["findings"][0]["description"]
+    issue = got[1]["performance"]["issues"][0]
+    assert issue["issue"] == "Blocking sleep" and issue["description"] and issue["suggestion"] and got[2]["performance"]["memory_usage"] == "OPTIMAL"

@@ -40,10 +40,34 @@ def test_unreachable_and_nesting(spark):
     assert [(r["file"], r["line"], r["depth"]) for r in quality.deep_nesting(files, "file", "code").collect()] == [("c", 5, 6)]
 
 
-def test_long_blocks():
+def test_long_blocks(spark):
     code = "function a() {\n  b\n  function c() {\n    d\n  }\n}\ndef e():\n  f\n"
-    assert quality.long_blocks(code, 2) == [(1, "a", 5), (7, "e", 3)]
-    assert quality.long_blocks(code, 5) == [] and quality.long_blocks(None, 1) == []
+    files = spark.createDataFrame([("x", code), ("y", None), ("z", "func g() {\n\n// note\n  h\n/* end */\n")], "file string, code string")
+    found = lambda most: sorted((r["file"], r["line"], r["name"], r["length"]) for r in quality.long_functions_heuristic(files, "file", "code", most).collect())
+    assert found(2) == [("x", 1, "a", 5), ("x", 7, "e", 3), ("z", 1, "g", 6)]
+    assert found(6) == []
+
+
+def test_unified_report(spark):
+    files = spark.createDataFrame([("a.py", "python", "password = 'abcd'\nclass low:\n    pass\n", None), ("b.py", "python", "x = 1", None), ("c.py", "python", None, "denied")], "path string, language string, code string, error string")
+    got = {r["path"]: r for r in quality.unified_report(files).collect()}
+    a = got["a.py"]
+    assert (a["total_findings"], a["severity_breakdown"], a["category_breakdown"], a["health_score"]) == (2, {"HIGH": 1, "INFO": 1}, {"security": 1, "code_quality": 1}, 90.0)
+    assert len(a["security_findings"]) == len(a["quality_findings"]) == 1 and a["all_findings"][0]["description"] and a["all_findings"][0]["fix_suggestion"] and a["all_findings"][0]["cwe"] == "CWE-798"
+    assert got["b.py"]["health_score"] == 100.0 and got["b.py"]["all_findings"] == [] and got["b.py"]["severity_breakdown"] == {}
+    assert got["c.py"]["error"] == "denied" and got["c.py"]["security_findings"][0]["type"] == "FileReadError"
+
+
+def test_one_parse(spark):
+    files = spark.createDataFrame([("a.py", "python", "x = 1")], "path string, language string, code string")
+    plan = quality.unified(files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_analyze_file(tmp_path):
+    (tmp_path / "a.py").write_text("import os\n")
+    assert symbols.analyze_file(str(tmp_path / "a.py"), "python")["imports"][0]["module"] == "os"
+    assert not symbols.analyze_file(str(tmp_path / "no.py"), "python")["valid"] and not symbols.analyze_file(str(tmp_path / "a.py"), "cobol")["valid"]
 
 
 def test_parse():
