@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers over the tropical semiring.
 
-Three machines are compiled from a model: the normaliser (dummy prefix, white-space marks), the pieces with their byte
-fallback, and a machine of weights. Each input is composed with them, and the shortest path of the composition is the
+Three machines are compiled from a model: the normaliser (character map, dummy prefix, white-space marks), the pieces
+with their byte fallback, and a machine of weights. Each input is composed with them, and the shortest path of the composition is the
 encoding. For a unigram model the weights are the pieces' negative log-probabilities. For a BPE model they are on pairs:
 the state is the last piece, and an arc from piece a to piece b weighs 0 if merging the string ab alone would give back
 [a, b], and infinity if not. Merges that stay inside a and b happen in the same order with or without neighbours, so a
@@ -13,15 +13,17 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import sys
 from array import array
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6  # fixed values of the model format
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values of the model format
 KEPT_SEGMENTS, KEPT_ARCS, KEPT_LENGTH = 400_000, 300_000, 48
 
 
@@ -41,6 +43,50 @@ class _Kept(dict):
         return ids
 
 
+class CharacterMap:
+    """The normaliser's rewriting transducer: a trie of byte strings, as models store it (an array of units, then the
+    outputs), unrolled into states with arcs. The longest match at each place is replaced by its output, a character
+    without one is kept."""
+
+    def __init__(self, raw: bytes) -> None:
+        size = int.from_bytes(raw[:4], "little")
+        self.units, self.outputs = array("I", raw[4 : 4 + size]), raw[4 + size :]
+        if sys.byteorder == "big":
+            self.units.byteswap()
+        self.states: dict[int, tuple[dict[int, int], bytes | None]] = {}
+
+    def state(self, at: int) -> tuple[dict[int, int], bytes | None]:
+        """Arcs (byte, next state) and output of the state at a unit; made when first asked for."""
+        kept = self.states.get(at)
+        if kept is None:
+            unit = self.units[at]
+            base = at ^ ((unit >> 10) << ((unit & 0x200) >> 6))
+            arcs = {c: base ^ c for c in range(1, 256) if base ^ c < len(self.units) and self.units[base ^ c] & 0x800000FF == c}
+            out = None
+            if unit >> 8 & 1:
+                start = self.units[base] & 0x7FFFFFFF
+                out = self.outputs[start : self.outputs.index(b"\0", start)]
+            kept = self.states[at] = arcs, out
+        return kept
+
+    def rewrite(self, text: str) -> str:
+        raw, out, at = text.encode("utf-8", "replace"), [], 0
+        while at < len(raw):
+            state, end, best = 0, at, None
+            while end < len(raw) and (state := self.state(state)[0].get(raw[end], -1)) >= 0:
+                end += 1
+                if self.state(state)[1] is not None:
+                    best = end, self.state(state)[1]
+            if best is None:
+                end = at + 1
+                while end < len(raw) and raw[end] & 0xC0 == 0x80:
+                    end += 1
+                best = end, raw[at:end]
+            out.append(best[1])
+            at = best[0]
+        return b"".join(out).decode("utf-8", "replace")
+
+
 class Transducers:
     """The compiled machines of one model; `encode` and `decode` take whole texts of any length."""
 
@@ -50,15 +96,16 @@ class Transducers:
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
         norm = proto.normalizer_spec
-        if norm.precompiled_charsmap or not norm.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
-            raise ValueError("only models with the identity character map and leading white-space marks are supported")
+        if not norm.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("only models with leading white-space marks are supported")
+        self.characters = CharacterMap(norm.precompiled_charsmap) if norm.precompiled_charsmap else None
         self.bpe = {1: False, 2: True}[proto.trainer_spec.model_type]
         self.prefix, self.squeeze, self.fallback = norm.add_dummy_prefix, norm.remove_extra_whitespaces, proto.trainer_spec.byte_fallback
         self.ids: dict[str, int] = {}
         self.scores: dict[str, float] = {}
         self.bytes, self.unknown, shown = [0] * 256, 0, []
         for i, p in enumerate(proto.pieces):
-            if p.type in (NORMAL, USER_DEFINED):
+            if p.type == NORMAL:
                 self.ids[p.piece], self.scores[p.piece] = i, p.score
                 shown.append(p.piece.replace(MARK, " "))
             elif p.type == BYTE:
@@ -71,8 +118,9 @@ class Transducers:
             elif p.type == CONTROL:
                 shown.append("")
             else:
-                raise ValueError("models with unused pieces are not supported")
+                raise ValueError("models with unused or user-defined pieces are not supported")
         self.shown = shown
+        self.weights = {} if self.bpe else {p: np.float32(-x) for p, x in self.scores.items()}
         self.lowest = min(self.scores.values(), default=0.0) - 10.0
         self.trie: dict = {}
         for piece in self.ids:
@@ -165,8 +213,9 @@ class Transducers:
         return out[::-1]
 
     def path_unigram(self, s: str) -> list[str]:
-        n, trie, scores = len(s), self.trie, self.scores
-        cost, last = [0.0] + [math.inf] * n, [""] * (n + 1)
+        """The path of the least sum of weights, in single precision as the model format has it; of equal ones the first."""
+        n, trie, weights, lowest = len(s), self.trie, self.weights, np.float32(-self.lowest)
+        cost, last = [np.float32(0)] + [np.float32(math.inf)] * n, [""] * (n + 1)
         for at in range(n):
             node, end = trie, at
             while end < n:
@@ -174,9 +223,9 @@ class Transducers:
                 end += 1
                 if node is None:
                     break
-                if "" in node and (c := cost[at] - scores[node[""]]) < cost[end]:
+                if "" in node and (c := cost[at] + weights[node[""]]) < cost[end]:
                     cost[end], last[end] = c, node[""]
-            if s[at] not in scores and (c := cost[at] - self.lowest) < cost[at + 1]:
+            if s[at] not in weights and (c := cost[at] + lowest) < cost[at + 1]:
                 cost[at + 1], last[at + 1] = c, s[at]
         out, at = [], n
         while at:
@@ -196,6 +245,8 @@ class Transducers:
 
     def encode(self, text: str | None) -> list[int]:
         """Piece ids of a text; none for a null or empty one."""
+        if self.characters and text:
+            text = self.characters.rewrite(text)
         if self.squeeze and text:
             text = re.sub(" +", " ", text.replace(MARK, " ")).strip(" ")
         if not text:
