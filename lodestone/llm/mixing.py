@@ -2,7 +2,8 @@
 
 A classifier fitted on labelled rows gives every document a posterior over domains. Each document then gets a rate
 (expected copies) such that the expected token totals of the domains meet targets: least squares in the totals, with
-a small pull towards rate 1. The best rates follow from one price a domain, so the state of the fit is one vector;
+a pull towards rate 1 that chooses among rates of like totals: PULL, so small that reachable targets are met to a
+millionth, or MIX_PULL where targets are out of reach and only the pull keeps few documents from being repeated endlessly. The best rates follow from one price a domain, so the state of the fit is one vector;
 every pass recomputes all rates from it, next to the data, and sends back one row of totals and second moments for a
 Newton step, until the optimum is met to CLOSE. Nothing of the size of the corpus is kept between passes but the table of memberships."""
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import settle
 
 BUCKETS, MAX_LABELLED, KEPT_TOKENS = 1 << 16, 12_000, 200_000
-PULL, CLOSE, MISSED, PASSES = 0.001, 1e-6, 1e-3, 100
+PULL, MIX_PULL, CLOSE, MISSED, PASSES = 1e-6, 1e-3, 1e-6, 1e-3, 200
 
 
 class Domains:
@@ -147,31 +148,31 @@ def _members(model):
     return run
 
 
-def rates_of(member: np.ndarray, dual: np.ndarray, least: float) -> np.ndarray:
+def rates_of(member: np.ndarray, dual: np.ndarray, least: float, pull: float = PULL) -> np.ndarray:
     """The best rates for given prices of the domains' totals."""
-    return np.maximum(least, 1 - member @ dual / PULL)
+    return np.maximum(least, 1 - member @ dual / pull)
 
 
 def _matrix(batch, k: int) -> np.ndarray:
     return batch.column("membership").values.to_numpy(zero_copy_only=False).reshape(-1, k) if batch.num_rows else np.zeros((0, k))
 
 
-def _sums(k: int, dual: np.ndarray, least: float):
+def _sums(k: int, dual: np.ndarray, least: float, pull: float):
     import pyarrow as pa
 
     def run(batches):
         total = np.zeros(k * k + k + 2)
         for batch in batches:
             p, n = _matrix(batch, k), batch.column("n_tokens").to_numpy().astype(float)
-            r = rates_of(p, dual, least)
-            free = n * (1 - p @ dual / PULL > least)
-            total += np.concatenate([((p * free[:, None]).T @ p).ravel(), (n * r) @ p, [n @ (r * (p @ dual) + PULL / 2 * (r - 1) ** 2), n.sum()]])
+            r = rates_of(p, dual, least, pull)
+            free = n * (1 - p @ dual / pull > least)
+            total += np.concatenate([((p * free[:, None]).T @ p).ravel(), (n * r) @ p, [n @ (r * (p @ dual) + pull / 2 * (r - 1) ** 2), n.sum()]])
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total, pa.float64())], names=["at", "total"])
 
     return run
 
 
-def fit_rates(members: DataFrame, k: int, weights: np.ndarray | None = None, temper: float = 0.85, least: float = 0.0, grow: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def fit_rates(members: DataFrame, k: int, weights: np.ndarray | None = None, temper: float = 0.85, least: float = 0.0, grow: bool = False, pull: float = PULL) -> tuple[np.ndarray, np.ndarray]:
     """The prices (one a domain) whose rates fit the targets best, and the gaps in token shares that are left.
 
     Targets are `weights` times the corpus' tokens; without weights, the domains' present shares to the power
@@ -179,7 +180,7 @@ def fit_rates(members: DataFrame, k: int, weights: np.ndarray | None = None, tem
     it rises, end when its slope is below CLOSE in every domain; RuntimeError where PASSES passes do not get there."""
 
     def sums(dual):
-        rows = members.mapInArrow(_sums(k, dual, least), "at int, total double").groupBy("at").agg(F.sum("total").alias("total")).collect()
+        rows = members.mapInArrow(_sums(k, dual, least, pull), "at int, total double").groupBy("at").agg(F.sum("total").alias("total")).collect()
         out = np.zeros(k * k + k + 2)
         for r in rows:
             out[r["at"]] = r["total"]
@@ -201,7 +202,7 @@ def fit_rates(members: DataFrame, k: int, weights: np.ndarray | None = None, tem
         slope = have / total - target - dual * soft
         if np.abs(slope).max() < CLOSE:
             break
-        step, part = np.linalg.solve(np.diag(soft) + square / total / PULL, slope), 1.0
+        step, part = np.linalg.solve(np.diag(soft) + square / total / pull, slope), 1.0
         while True:
             if passes == PASSES:
                 raise RuntimeError(f"mixing rates not fitted in {PASSES} passes: slope {np.abs(slope).max():.2g}")
@@ -218,12 +219,12 @@ def fit_rates(members: DataFrame, k: int, weights: np.ndarray | None = None, tem
     return dual, gaps
 
 
-def _rated(k: int, dual: np.ndarray, least: float):
+def _rated(k: int, dual: np.ndarray, least: float, pull: float = PULL):
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            r = rates_of(_matrix(batch, k), dual, least)
+            r = rates_of(_matrix(batch, k), dual, least, pull)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r, pa.float64())], names=[*batch.schema.names, "rate"])
 
     return run
@@ -251,7 +252,7 @@ def mix(documents: DataFrame, labelled: DataFrame, temper: float = 0.85) -> Data
     model = fit_domains(documents, labelled)
     held, k = documents.sparkSession.sparkContext.broadcast(model), len(model.names)
     members = settle(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_members(held), "doc_id long, n_tokens long, membership array<double>").select("n_tokens", "membership"), "mix")
-    dual, _ = fit_rates(members, k, None, temper, 1.0, True)
+    dual, _ = fit_rates(members, k, None, temper, 1.0, True, MIX_PULL)
 
     def run(batches):
         import pyarrow as pa
@@ -259,7 +260,7 @@ def mix(documents: DataFrame, labelled: DataFrame, temper: float = 0.85) -> Data
         m = held.value
         for batch in batches:
             p = np.array([m.membership(t)[1] for t in batch.column("text").to_pylist()]).reshape(-1, k)
-            r = rates_of(p, dual, 1.0)
+            r = rates_of(p, dual, 1.0, MIX_PULL)
             chance = np.array([zlib.crc32(f"{i}:{t}".encode("utf-8", "surrogatepass")) / 2**32 for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())])
             copies = np.floor(r).astype(np.int64) + (chance < r - np.floor(r))
             for at in range(0, batch.num_rows, 256):

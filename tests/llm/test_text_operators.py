@@ -69,6 +69,41 @@ def test_pieces_of_odd_strings():
         assert machine.encode(s) == sp.encode(s) and machine.decode(machine.encode(s)) == sp.decode(sp.encode(s))
 
 
+def hand_made(bpe, charsmap, squeeze):
+    """A small model, written down piece by piece."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = 2 if bpe else 1, True
+    proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.precompiled_charsmap = True, squeeze, charsmap
+    for name, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        proto.pieces.add(piece=name, score=0, type=kind)
+    for b in range(256):
+        proto.pieces.add(piece=f"<0x{b:02X}>", score=0, type=6)
+    draw = np.random.default_rng(2)
+    for n, piece in enumerate(["▁", "a", "b", "c", "é", "fi", "ab", "bc", "abc", "▁a", "▁ab", "▁abc", "ca", "cab", "bca", "▁b", "f", "i", "1", "2", "aa", "▁aa", "bb", "cc", "ccc"]):
+        proto.pieces.add(piece=piece, score=-float(n) if bpe else -float(draw.uniform(1, 9)), type=1)
+    return proto.SerializeToString()
+
+
+@pytest.mark.parametrize("bpe,mapped,squeeze", [(False, False, False), (False, True, True), (True, True, False), (True, False, True)])
+def test_pieces_of_other_models(bpe, mapped, squeeze):
+    """Unigram models (least sum of weights) and character maps against the library."""
+    import random
+
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    spec = sentencepiece_model_pb2.ModelProto()
+    spec.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    raw = hand_made(bpe, spec.normalizer_spec.precompiled_charsmap if mapped else b"", squeeze)
+    machine, sp, draw = sentencepieces.Transducers(raw), sentencepiece.SentencePieceProcessor(model_proto=raw), random.Random(3)
+    parts = ["a", "b", "c", "é", "e\u0301", "ﬁ", "①", "ａ", " ", "  ", "漢", "\t", "2", "ab", "abc", "\u3000", "x", "ｶﾞ", "\xad"]
+    for _ in range(1500):
+        s = "".join(draw.choice(parts) for _ in range(draw.randint(0, 16)))
+        assert machine.encode(s) == sp.encode(s), s
+
+
 def test_pieces_of_nothing(empty):
     assert sentencepieces.encode_documents(empty).count() == 0
 
@@ -231,6 +266,57 @@ def test_noise_is_found_and_words_are_not(spark):
     assert sum(got[i] for i in range(30)) >= 27 and not any(got[i] for i in range(30, 60))
 
 
+def slow_battery(token):
+    """(p_noise, -log10 of the p-value of ordinary text) of a token, by plain counting."""
+    import math
+
+    size, letters = next((len(a), a) for pattern, a in secrets.ALPHABETS.items() if not pattern or re.match(pattern, token))
+    plain = token.replace("-", "+").replace("_", "/")
+    plain = plain.lower() if size == 16 else plain
+    n, places = len(plain), [letters.index(c) + 1 for c in plain]
+    above = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    pairs, same = n * (n - 1) / 2, sum(plain[i] == plain[j] for i in range(n) for j in range(i))
+    chi = above((same - pairs / size) / math.sqrt(pairs / size * (1 - 1 / size)))
+    sides = [x > size / 2 for x in places]
+    runs, high = 1 + sum(a != b for a, b in zip(sides, sides[1:])), sum(sides)
+    mean = 2 * high * (n - high) / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    z_runs = abs(runs - mean) / math.sqrt(spread) if spread > 0 else 9
+    average = sum(places) / n
+    variance = sum(x * x for x in places) / n - average**2
+    lag = sum(a * b for a, b in zip(places, places[1:])) / (n - 1) - average**2
+    z_lag = abs(lag / variance + 1 / n) * math.sqrt(n) if variance > 0 else 9
+    usual = max(0.066, 2 / size)
+    text = above((pairs * usual - same) / math.sqrt(pairs * usual * (1 - usual)))
+    return min(1.0, 3 * min(chi, 2 * above(z_runs), 2 * above(z_lag))), -math.log10(max(text, 1e-40))
+
+
+def test_battery_and_false_discovery_control(spark):
+    """Which tokens are found, against plain tests and plain Benjamini-Hochberg over all tokens of a length class. The
+    operator bounds p-values by steps of a tenth in log10 and approximates the normal's tail, so tokens within two steps of
+    a threshold may differ."""
+    draw, rows = np.random.default_rng(12), []
+    kinds = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    for i in range(400):
+        size = int(draw.choice([20, 23, 28, 40, 60, 120]))
+        token = "".join(draw.choice(list(kinds[i % 4]), size)) if i % 2 else ("part" + str(int(draw.integers(1, 30))) + "section") * 12
+        rows.append((i, "G" + token[: size - 2] + "7" if i % 4 else token[:size] + "a1"))
+    table = spark.createDataFrame([(i, f"see {t} there") for i, t in rows], "doc_id long, text string")
+    found = {r["doc_id"]: r["added"] for r in secrets.scan(table).collect()}
+    base = {r["doc_id"]: bool(r["base"]) for r in secrets.scan(table).collect()}
+    facts = {i: slow_battery(t) for i, t in rows if re.search("[0-9]", t) and re.search("[A-Za-z]", t)}
+    length = lambda t: sum(len(t) >= x for x in secrets.LENGTHS)
+    wrong = checked = 0
+    for c in range(1, 6):
+        own = sorted(((facts[i][1], i) for i, t in rows if i in facts and length(t) == c), reverse=True)
+        cut = min((s for rank, (s, _) in enumerate(own, 1) if len(own) * 10**-s <= secrets.RATE * rank), default=99)
+        for s, i in own:
+            if abs(s - cut) > 2 * secrets.STEP and not base[i] and abs(facts[i][0] - secrets.REJECT) > secrets.REJECT / 20:
+                checked += 1
+                wrong += (s > cut and facts[i][0] >= secrets.REJECT) != bool(found[i])
+    assert checked > 250 and wrong == 0
+
+
 def test_redaction(odd):
     out = secrets.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
