@@ -79,8 +79,8 @@ def scan(documents: DataFrame) -> DataFrame:
         "phone": lambda x: F.length(_digits(x["text"])).between(8, 15),
     }
     spans = cut.select("doc_id", "t", *[F.when(F.size(f"m_{k}") > 0, F.filter(spans_of(i, F.col(f"p_{k}"), F.col(f"m_{k}")), fits[k])).otherwise(none).alias(f"s_{k}") for i, (k, _, _) in enumerate(sources)])
-    based = spans.select("doc_id", "t", _ordered(F.concat(*[F.col(f"s_{k}") for k, _, _ in sources])).alias("base"))
-    return settle(based.select(F.monotonically_increasing_id().alias("row"), "doc_id", *_key(F.col("t")), "base", F.when(F.size("base") > 0, _words(F.col("t"))).alias("terms")), "pii")
+    found = let(_ordered(F.concat(*[F.col(f"s_{k}") for k, _, _ in sources])), lambda base: F.struct(base.alias("base"), F.when(F.size(base) > 0, _words(F.col("t"))).alias("terms")))
+    return settle(spans.select(F.monotonically_increasing_id().alias("row"), "doc_id", *_key(F.col("t")), F.inline(F.array(found))), "pii")
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
@@ -121,10 +121,9 @@ def revealing(scanned: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def _term_spans(text: Column, strong: Column) -> Column:
-    """SPAN array of the words of a text that are among `strong` ones."""
-    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    return F.filter(let(found, lambda m: spans_of(4, F.split(text, WORD, -1), m)), lambda x: F.array_contains(strong, F.lower(x["text"])))
+def _all_words(text: Column) -> Column:
+    """SPAN array of all words of a text."""
+    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda m: spans_of(4, F.split(text, WORD, -1), m))
 
 
 def _found(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -137,11 +136,11 @@ def _found(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     common = counts.where(F.col("holders") > 2 * most + 1).orderBy(F.col("holders").desc(), "word").limit(COMMON).select(F.col("word").alias("common"))
     each = _rows(documents).select(*_key(F.col("t")), F.explode(_words(F.col("t"))).alias("word"))
     rare = each.join(F.broadcast(common), F.col("word") == F.col("common"), "left_anti")  # COMMON words at most
-    held = rare.join(strong, F.col("word") == F.col("term")).groupBy(F.col("k1").alias("h1"), F.col("k2").alias("h2")).agg(F.collect_set("term").alias("strong"), F.collect_set(F.when(F.col("hidden") <= REMOVE, F.col("term"))).alias("lost"))
-    texts = _rows(documents).select("t", *_key(F.col("t"))).join(held, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")))
-    spans = texts.select("k1", "k2", _term_spans(F.col("t"), F.col("strong")).alias("added"), "lost")
-    gone = F.transform(F.filter("added", lambda x: F.array_contains("lost", F.lower(x["text"]))), lambda x: x["start"])
-    return scanned, spans.groupBy(F.col("k1").alias("o1"), F.col("k2").alias("o2")).agg(F.any_value("added").alias("added"), F.any_value(gone).alias("gone"))
+    held = rare.join(strong.select("term"), F.col("word") == F.col("term")).select(F.col("k1").alias("h1"), F.col("k2").alias("h2")).distinct()
+    texts = _rows(documents).select("t", *_key(F.col("t"))).join(held, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))).dropDuplicates(["k1", "k2"])
+    words = texts.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.explode(_all_words(F.col("t"))).alias("span")).withColumn("lower", F.lower("span.text"))
+    spans = words.join(strong.select("term", "hidden"), F.col("lower") == F.col("term")).groupBy("o1", "o2")
+    return scanned, spans.agg(F.collect_list("span").alias("added"), F.collect_list(F.when(F.col("hidden") <= REMOVE, F.col("span.start"))).alias("gone"))
 
 
 def _free(found: DataFrame) -> DataFrame:
