@@ -13,13 +13,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_open: list["Scratch"] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (single-machine tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (single-machine tests). A cluster must
+    set one, as its machines share no temporary folder."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     if "at" not in _own:
         _own["at"] = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, _own["at"], ignore_errors=True)
@@ -30,7 +34,44 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends here, lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/lodestone/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    if _open:
+        _open[-1].paths[path] = df.sparkSession
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing will read again."""
+    for df in tables:
+        _delete(df.sparkSession, df._settled_at)
+        for scratch in _open:
+            scratch.paths.pop(df._settled_at, None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Context in which settled tables are scratch: they are deleted at its end, but for those that `keep` names."""
+
+    def __init__(self) -> None:
+        self.paths: dict[str, SparkSession] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.paths.pop(df._settled_at, None)
+        return df
+
+    def __enter__(self) -> Scratch:
+        _open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open.remove(self)
+        for path, spark in self.paths.items():
+            _delete(spark, path)
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import settle
+from lodestone.llm.shared import forget, settle
 
 RADIUS, SPLIT, BITS, WORDS = 3, 1024, 64, 3
 _NO_ID = 2**63 - 1
@@ -181,7 +181,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     pointer jumping by turns, each round a settled table, until nothing changes."""
     both = settle(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "simhash-edges")
     mine = F.struct("rep", "fp").alias("lab")
-    labels = settle(nodes.join(both.select(F.col("a").alias("fp")).distinct(), "fp").select("fp", mine), "simhash-labels")
+    labels = stored = settle(nodes.join(both.select(F.col("a").alias("fp")).distinct(), "fp").select("fp", mine), "simhash-labels")
     if labels.isEmpty():
         return labels
     while True:
@@ -189,8 +189,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         step = settle(labels.join(near, "fp", "left").select("fp", F.col("lab").alias("was"), F.least("lab", F.coalesce("near", "lab")).alias("lab")), "simhash-near")
         up = step.select(F.col("fp").alias("up"), F.col("lab").alias("up_lab"))
         jumped = step.join(up, F.col("lab.fp") == F.col("up"), "left").select("fp", "was", F.coalesce("up_lab", "lab").alias("lab"))
-        labels = settle(jumped, "simhash-jump")
+        after = settle(jumped, "simhash-jump")
+        forget(step, stored)  # only the last round's labels are read again
+        labels = stored = after
         if labels.where(F.col("was") != F.col("lab")).isEmpty():
+            forget(both)
             return labels.drop("was")
         labels = labels.drop("was")
 

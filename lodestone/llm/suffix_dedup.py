@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import settle
+from lodestone.llm.shared import forget, settle
 
 LENGTH, GRAM = 50, 8
 REACH = LENGTH - GRAM  # a window's kept suffix starts at most so many words after it
@@ -144,7 +144,9 @@ def repeated_suffixes(rows: DataFrame) -> DataFrame:
     found = settle(rows.mapInArrow(_first_pass, "key long, n long, grams array<long>"), "suffixes-grams")
     each = found.select("key", "n", F.explode("grams").alias("gram"))
     again = each.groupBy(F.col("gram").alias("again")).agg(F.sum("n").alias("rows")).where("rows > 1").select("again")
-    return settle(each.join(again, F.col("gram") == F.col("again")).groupBy(F.col("key").alias("of")).agg(F.collect_set("gram").alias("grams")), "suffixes-repeated")
+    out = settle(each.join(again, F.col("gram") == F.col("again")).groupBy(F.col("key").alias("of")).agg(F.collect_set("gram").alias("grams")), "suffixes-repeated")
+    forget(found)
+    return out
 
 
 def neighbours_alike(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -351,6 +353,7 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     buckets = max(1, math.ceil(size * REACH / 2 / BUCKET_WINDOWS))  # a kept suffix stands for half its reach of windows on average
     read = rows.select("doc_id", "text", key).join(repeated, F.col("key") == F.col("of")).select("doc_id", "text", "grams")
     sent = settle(read.mapInArrow(_second_pass(buckets, BLOCK_WINDOWS), SENT), "suffixes")
+    forget(repeated)
     found = sent.where("bucket >= 0").select("bucket", "block", "window", "entry").groupBy("bucket").applyInArrow(_neighbours, "block long, found binary")
     own = sent.where("bucket < 0").select("block", "docs", "runs", "known", "links", F.lit(None).cast("binary").alias("found"))
     back = found.select("block", *[F.lit(None).cast("binary").alias(c) for c in ("docs", "runs", "known", "links")], "found")

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import settle
+from lodestone.llm.shared import forget, settle
 
 ORDER, SHARED, DISCOUNT = 5, 2, 0.75
 MAX_LABELLED = 12_000  # labelled rows that models and weights are fitted on, at most: those of the smallest hashes
@@ -218,7 +218,9 @@ def shared_counts(documents: DataFrame, wanted: set[str]) -> Shared:
     contexts = some(pairs.groupBy(first).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("followers")), "first", {p[0] for p in wanted})
     lasts = some(pairs.groupBy(last).agg(F.count(F.lit(1)).alias("n")), "last", {p[1] for p in wanted})
     whole = pairs.agg(F.count(F.lit(1)), F.countDistinct(last)).first()
-    return Shared({r["pair"]: r["n"] for r in some(pairs, "pair", wanted)}, {r["first"]: (r["n"], r["followers"]) for r in contexts}, {r["last"]: r["n"] for r in lasts}, tuple(whole))
+    own = some(pairs, "pair", wanted)
+    forget(pairs)
+    return Shared({r["pair"]: r["n"] for r in own}, {r["first"]: (r["n"], r["followers"]) for r in contexts}, {r["last"]: r["n"] for r in lasts}, tuple(whole))
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Scorer:
