@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import choice, lines, split_lines, strip
 from lodestone.operators import graph
-from lodestone.operators.rules import ISSUES, PERFORMANCE_RULES, SUGGESTIONS, found, rank
+from lodestone.operators.rules import ISSUES, PERFORMANCE_RULES, SUGGESTIONS, folded, found, rank
 from lodestone.operators.security import hits, is_code
 
 # How definitions look in a diff, as name pattern and its group.
@@ -39,7 +39,7 @@ def security(diff: Column) -> Column:
     def of_line(text: Column, i: Column) -> Column:
         made = lambda bare: F.when(
             is_code(bare),
-            F.transform(hits(text), lambda h: F.struct((i + 1).alias("line"), *[h[c].alias(c) for c in ("rule", "type", "severity", "description", "cwe", "fix_suggestion")], F.substring(bare, 1, 120).alias("evidence"))),
+            F.transform(let(folded(text), lambda fold: hits(text, fold)), lambda h: F.struct((i + 1).alias("line"), *[h[c].alias(c) for c in ("rule", "type", "severity", "description", "cwe", "fix_suggestion")], F.substring(bare, 1, 120).alias("evidence"))),
         )
         return let(strip(text), made)
 

@@ -20,34 +20,35 @@ class Rule:
     pattern: str
     says: str
     fix: str | None
+    needs: tuple[str, ...]  # a line that matches has one of these, whatever the case
 
 
 # Patterns, types, severities and weakness numbers, in the order in which findings are listed.
 SECURITY_RULES = [
-    Rule("Hardcoded API Key", "HIGH", "CWE-798", r"""(?i)(api[_\-]?key|apikey)\s*[=:]\s*["'][A-Za-z0-9_\-/+=]{16,}["']""", "An API key stands in the source.", "Read the key from the environment or a secret store."),
-    Rule("Hardcoded Secret Key", "HIGH", "CWE-798", r"""(?i)(secret[_\-]?key|secretkey)\s*[=:]\s*["'][A-Za-z0-9_\-/+=]{16,}["']""", "A secret key stands in the source.", "Read the key from the environment or a secret store."),
-    Rule("Hardcoded Password", "HIGH", "CWE-798", r"""(?i)(password|passwd|pwd)\s*[=:]\s*["'][^"']{4,}["']""", "A password stands in the source.", "Read the password from the environment or a secret store."),
-    Rule("Hardcoded Token", "HIGH", "CWE-798", r"""(?i)(token|auth_token|access_token|bearer)\s*[=:]\s*["'][A-Za-z0-9_\-/.+=]{20,}["']""", "An access token stands in the source.", "Read the token from the environment or a secret store."),
-    Rule("AWS Access Key ID", "CRITICAL", "CWE-798", r"AKIA[0-9A-Z]{16}", "An AWS access key id stands in the source.", "Revoke the key and use roles or a secret store."),
-    Rule("Hardcoded Private Key", "CRITICAL", "CWE-321", r"""(?i)(private[_\-]?key)\s*[=:]\s*["']-----BEGIN""", "A private key stands in the source.", "Revoke the key and load its successor from a protected file."),
-    Rule("Hardcoded Connection String", "HIGH", "CWE-798", r"""(?i)(connection[_\-]?string|database[_\-]?url|db[_\-]?url)\s*[=:]\s*["'][^"']{10,}["']""", "A connection string, perhaps with a password, stands in the source.", "Read the connection string from the environment."),
-    Rule("SQL Injection — String Interpolation in execute()", "CRITICAL", "CWE-89", r"""execute\s*\(.*(%s|%d|\{|\+|\.format\s*\(|f["'])""", "A statement given to execute() is put together from strings.", "Pass values as parameters of the statement."),
-    Rule("SQL Injection — Unsafe Query Construction", "CRITICAL", "CWE-89", r"""(?i)(cursor|conn|connection|db|session)\.(execute|raw|query)\s*\(.*(\+|%|\.format|f["'])""", "A query is put together from strings.", "Pass values as parameters of the query."),
-    Rule("SQL Injection — SQLAlchemy text() with f-string", "CRITICAL", "CWE-89", r"""(?i)text\s*\(\s*f["']""", "text() is given a formatted string.", "Use bound parameters in text()."),
-    Rule("Command Injection — os.system()", "CRITICAL", "CWE-78", r"os\.system\s*\(", "os.system() runs a command line through the shell.", "Use subprocess.run with a list of arguments."),
-    Rule("Command Injection — subprocess with shell=True", "CRITICAL", "CWE-78", r"subprocess\.(call|run|Popen)\s*\(.*shell\s*=\s*True", "A subprocess is run through the shell.", "Pass a list of arguments and leave out shell=True."),
-    Rule("Code Injection — eval()", "CRITICAL", "CWE-78", r"(?i)eval\s*\(", "eval() runs whatever text it is given.", "Parse the text, for example with ast.literal_eval."),
-    Rule("Code Injection — exec()", "CRITICAL", "CWE-78", r"(?i)exec\s*\(", "exec() runs whatever text it is given.", "Call known functions instead of generated code."),
-    Rule("Unsafe Deserialization — pickle", "HIGH", "CWE-502", r"pickle\.(loads?|Unpickler)\s*\(", "Unpickling can run code of whoever wrote the data.", "Use a data format such as JSON."),
-    Rule("Unsafe Deserialization — PyYAML", "HIGH", "CWE-502", r"yaml\.(load|unsafe_load)\s*\((?!.*Loader\s*=\s*(SafeLoader|yaml\.SafeLoader))", "YAML is loaded with a loader that can build any object.", "Use yaml.safe_load."),
-    Rule("Unsafe Deserialization — marshal", "HIGH", "CWE-502", r"marshal\.loads?\s*\(", "marshal data can crash or deceive its reader.", "Use a data format such as JSON."),
-    Rule("Unsafe Deserialization — jsonpickle", "HIGH", "CWE-502", r"jsonpickle\.decode\s*\(", "jsonpickle can build any object from its input.", "Use plain JSON and check its schema."),
-    Rule("Weak Cryptography — MD5", "MEDIUM", "CWE-327", r"(?i)(md5|MD5)\s*\(", "MD5 no longer withstands collisions.", "Use SHA-256, or a password hash for passwords."),
-    Rule("Weak Cryptography — SHA-1", "MEDIUM", "CWE-327", r"(?i)(sha1|SHA1)\s*\(", "SHA-1 no longer withstands collisions.", "Use SHA-256, or a password hash for passwords."),
-    Rule("Weak Cryptography — Deprecated Algorithm", "MEDIUM", "CWE-327", r"(?i)(DES|Blowfish|RC4|RC2)\b", "DES, Blowfish, RC2 and RC4 are no longer safe.", "Use AES-GCM or ChaCha20-Poly1305."),
-    Rule("Insecure Randomness", "MEDIUM", "CWE-327", r"(?i)random\.(random|randint|choice|shuffle)\s*\(", "The random module can be predicted.", "Use the secrets module."),
-    Rule("Insecure TLS — SSL Verification Disabled", "MEDIUM", "CWE-319", r"verify\s*=\s*False", "TLS certificates are not checked.", None),
-    Rule("Insecure HTTP — Plaintext URL", "MEDIUM", "CWE-319", r"http://(?!localhost|127\.0\.0\.1|0\.0\.0\.0)", "Traffic over plain HTTP can be read and changed.", None),
+    Rule("Hardcoded API Key", "HIGH", "CWE-798", r"""(?i)(api[_\-]?key|apikey)\s*[=:]\s*["'][A-Za-z0-9_\-/+=]{16,}["']""", "An API key stands in the source.", "Read the key from the environment or a secret store.", ("api",)),
+    Rule("Hardcoded Secret Key", "HIGH", "CWE-798", r"""(?i)(secret[_\-]?key|secretkey)\s*[=:]\s*["'][A-Za-z0-9_\-/+=]{16,}["']""", "A secret key stands in the source.", "Read the key from the environment or a secret store.", ("secret",)),
+    Rule("Hardcoded Password", "HIGH", "CWE-798", r"""(?i)(password|passwd|pwd)\s*[=:]\s*["'][^"']{4,}["']""", "A password stands in the source.", "Read the password from the environment or a secret store.", ("pass", "pwd")),
+    Rule("Hardcoded Token", "HIGH", "CWE-798", r"""(?i)(token|auth_token|access_token|bearer)\s*[=:]\s*["'][A-Za-z0-9_\-/.+=]{20,}["']""", "An access token stands in the source.", "Read the token from the environment or a secret store.", ("token", "bearer")),
+    Rule("AWS Access Key ID", "CRITICAL", "CWE-798", r"AKIA[0-9A-Z]{16}", "An AWS access key id stands in the source.", "Revoke the key and use roles or a secret store.", ("akia",)),
+    Rule("Hardcoded Private Key", "CRITICAL", "CWE-321", r"""(?i)(private[_\-]?key)\s*[=:]\s*["']-----BEGIN""", "A private key stands in the source.", "Revoke the key and load its successor from a protected file.", ("private",)),
+    Rule("Hardcoded Connection String", "HIGH", "CWE-798", r"""(?i)(connection[_\-]?string|database[_\-]?url|db[_\-]?url)\s*[=:]\s*["'][^"']{10,}["']""", "A connection string, perhaps with a password, stands in the source.", "Read the connection string from the environment.", ("connection", "database", "db")),
+    Rule("SQL Injection — String Interpolation in execute()", "CRITICAL", "CWE-89", r"""execute\s*\(.*(%s|%d|\{|\+|\.format\s*\(|f["'])""", "A statement given to execute() is put together from strings.", "Pass values as parameters of the statement.", ("execute",)),
+    Rule("SQL Injection — Unsafe Query Construction", "CRITICAL", "CWE-89", r"""(?i)(cursor|conn|connection|db|session)\.(execute|raw|query)\s*\(.*(\+|%|\.format|f["'])""", "A query is put together from strings.", "Pass values as parameters of the query.", (".execute", ".raw", ".query")),
+    Rule("SQL Injection — SQLAlchemy text() with f-string", "CRITICAL", "CWE-89", r"""(?i)text\s*\(\s*f["']""", "text() is given a formatted string.", "Use bound parameters in text().", ("text",)),
+    Rule("Command Injection — os.system()", "CRITICAL", "CWE-78", r"os\.system\s*\(", "os.system() runs a command line through the shell.", "Use subprocess.run with a list of arguments.", ("os.system",)),
+    Rule("Command Injection — subprocess with shell=True", "CRITICAL", "CWE-78", r"subprocess\.(call|run|Popen)\s*\(.*shell\s*=\s*True", "A subprocess is run through the shell.", "Pass a list of arguments and leave out shell=True.", ("subprocess.",)),
+    Rule("Code Injection — eval()", "CRITICAL", "CWE-78", r"(?i)eval\s*\(", "eval() runs whatever text it is given.", "Parse the text, for example with ast.literal_eval.", ("eval",)),
+    Rule("Code Injection — exec()", "CRITICAL", "CWE-78", r"(?i)exec\s*\(", "exec() runs whatever text it is given.", "Call known functions instead of generated code.", ("exec",)),
+    Rule("Unsafe Deserialization — pickle", "HIGH", "CWE-502", r"pickle\.(loads?|Unpickler)\s*\(", "Unpickling can run code of whoever wrote the data.", "Use a data format such as JSON.", ("pickle.",)),
+    Rule("Unsafe Deserialization — PyYAML", "HIGH", "CWE-502", r"yaml\.(load|unsafe_load)\s*\((?!.*Loader\s*=\s*(SafeLoader|yaml\.SafeLoader))", "YAML is loaded with a loader that can build any object.", "Use yaml.safe_load.", ("yaml.",)),
+    Rule("Unsafe Deserialization — marshal", "HIGH", "CWE-502", r"marshal\.loads?\s*\(", "marshal data can crash or deceive its reader.", "Use a data format such as JSON.", ("marshal.",)),
+    Rule("Unsafe Deserialization — jsonpickle", "HIGH", "CWE-502", r"jsonpickle\.decode\s*\(", "jsonpickle can build any object from its input.", "Use plain JSON and check its schema.", ("jsonpickle.",)),
+    Rule("Weak Cryptography — MD5", "MEDIUM", "CWE-327", r"(?i)(md5|MD5)\s*\(", "MD5 no longer withstands collisions.", "Use SHA-256, or a password hash for passwords.", ("md5",)),
+    Rule("Weak Cryptography — SHA-1", "MEDIUM", "CWE-327", r"(?i)(sha1|SHA1)\s*\(", "SHA-1 no longer withstands collisions.", "Use SHA-256, or a password hash for passwords.", ("sha1",)),
+    Rule("Weak Cryptography — Deprecated Algorithm", "MEDIUM", "CWE-327", r"(?i)(DES|Blowfish|RC4|RC2)\b", "DES, Blowfish, RC2 and RC4 are no longer safe.", "Use AES-GCM or ChaCha20-Poly1305.", ("des", "blowfish", "rc")),
+    Rule("Insecure Randomness", "MEDIUM", "CWE-327", r"(?i)random\.(random|randint|choice|shuffle)\s*\(", "The random module can be predicted.", "Use the secrets module.", ("random.",)),
+    Rule("Insecure TLS — SSL Verification Disabled", "MEDIUM", "CWE-319", r"verify\s*=\s*False", "TLS certificates are not checked.", None, ("verify",)),
+    Rule("Insecure HTTP — Plaintext URL", "MEDIUM", "CWE-319", r"http://(?!localhost|127\.0\.0\.1|0\.0\.0\.0)", "Traffic over plain HTTP can be read and changed.", None, ("http://",)),
 ]
 
 # Issue names and patterns of the performance review; the first that a line matches is its issue.
@@ -85,5 +86,18 @@ def found(line: Column, pattern: str) -> Column:
     return line.rlike(f"(?Ud){pattern}")
 
 
+def folded(line: Column) -> Column:
+    """A line in one case, in which special forms of letters are the plain ones, too."""
+    return F.translate(F.lower(line), "\u017f\u212a\u0131\u0307", "ski")
+
+
+def breaks(rule: Rule, line: Column, fold: Column) -> Column:
+    """Whether a line breaks a rule; its pattern is only tried where the folded line has what it needs."""
+    may = F.lit(False)
+    for part in rule.needs:
+        may = may | F.contains(fold, F.lit(part))
+    return may & found(line, rule.pattern)
+
+
 def rank(severity: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SEVERITY_RANK.items() for x in kv]), severity), F.lit(0))

@@ -8,18 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import choice, lines, strip
-from lodestone.operators.rules import DEDUCTIONS, SECURITY_RULES, SEVERITY_ORDER, found
+from lodestone.operators.rules import DEDUCTIONS, SECURITY_RULES, SEVERITY_ORDER, breaks, folded
 
 
 
-def hits(line: Column, only: Collection[int] | None = None) -> Column:
-    """The rules that a line breaks, of all or `only` those of these numbers, as an array of structs in rule order. All
-    patterns are tried in one pass, without a join with the rules."""
+def hits(line: Column, fold: Column, only: Collection[int] | None = None) -> Column:
+    """The rules that a line (also given folded) breaks, of all or `only` those of these numbers, as an array of structs
+    in rule order. All patterns are tried in one pass, without a join with the rules."""
     return F.array_compact(
         F.array(
             *[
                 F.when(
-                    found(line, r.pattern),
+                    breaks(r, line, fold),
                     F.struct(
                         F.lit(i).alias("rule"), F.lit(r.type).alias("type"), F.lit(r.severity).alias("severity"), F.lit("security").alias("category"),
                         F.lit(r.says).alias("description"), F.lit(r.cwe).alias("cwe"), F.lit(r.fix).cast("string").alias("fix_suggestion"),
@@ -40,9 +40,10 @@ def is_code(stripped: Column) -> Column:
 def findings(files: DataFrame, file: str, code: str, only: Collection[int] | None = None) -> DataFrame:
     """One row per (line, rule): the file column, line, rule, type, severity, category, description, cwe, fix_suggestion,
     evidence, severity_order. Their order in a report is severity_order, line, rule. `only` names the rules to try."""
-    rows = files.select(file, F.posexplode(lines(F.col(code))).alias("pos", "text")).withColumn("bare", strip(F.col("text"))).where(is_code(F.col("bare")))
+    rows = files.select(file, F.posexplode(lines(F.col(code))).alias("pos", "text")).withColumn("fold", folded(F.col("text")))
+    broken = rows.select(file, "pos", "text", hits(F.col("text"), F.col("fold"), only).alias("hits")).where(F.size("hits") > 0).withColumn("bare", strip(F.col("text"))).where(is_code(F.col("bare")))
     return (
-        rows.select(file, (F.col("pos") + 1).alias("line"), F.substring("bare", 1, 120).alias("evidence"), F.explode(hits(F.col("text"), only)).alias("hit"))
+        broken.select(file, (F.col("pos") + 1).alias("line"), F.substring("bare", 1, 120).alias("evidence"), F.explode("hits").alias("hit"))
         .select(file, "line", "hit.*", "evidence")
         .withColumn("severity_order", F.coalesce(choice(SEVERITY_ORDER, F.col("severity")), F.lit(5)))
     )

@@ -50,3 +50,17 @@ def test_uuid5(spark):
 def test_decode(spark):
     rows = spark.createDataFrame([(bytearray(b"a\xffb\r\nc"),), (bytearray(b""),)], "c binary").select(text.decode(F.col("c")).alias("t")).collect()
     assert [r["t"] for r in rows] == ["ab\nc", ""]
+
+
+def test_stand_in_vectors(spark):
+    """Against the generator written out: the seed is the SHA-256 of the text, read as a number."""
+    import hashlib
+    import random
+
+    from lodestone.operators import chunks
+
+    rows = spark.createDataFrame([(1, "a text"), (2, ""), (3, None)], "id int, content string")
+    for r in chunks.embed(rows).collect():
+        draw = random.Random(int.from_bytes(hashlib.sha256((r["content"] or "").encode()).digest(), "big"))
+        want = [draw.uniform(-0.1, 0.1) for _ in range(384)]
+        assert len(r["embedding"]) == 384 and all(abs(a - b) < 1e-8 for a, b in zip(r["embedding"], want))

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from lodestone.operators import quality, security, symbols
+from lodestone.operators import quality, rules, security, symbols
+from lodestone.plans import corpora
 
 
 def findings(spark, code):
@@ -24,6 +25,16 @@ def test_rules(spark):
         assert findings(spark, code) == []
 
 
+def test_what_rules_need(spark):
+    """Every rule's line must hold what the rule asks for before its pattern is tried, in any case of letters."""
+    lines = [line for code in (corpora.CODE, corpora.DIFF) for line in code] + ["PAſſWORD = 'abcde'", "Apiſ = 1", "TO\u212aEN = 'aaaaaaaaaaaaaaaaaaaaaaaaa'", "EVAL (x)", "RC2 = 1"]
+    rows = spark.createDataFrame([(line + t,) for line in lines for t in ("", " # x", "\tx")], "text string")
+    rows = rows.unionByName(rows.select(F.upper("text").alias("text"))).cache()
+    text = F.col("text")
+    for r in rules.SECURITY_RULES:
+        assert rows.where(rules.found(text, r.pattern)).exceptAll(rows.where(rules.breaks(r, text, rules.folded(text)))).isEmpty(), r.type
+
+
 def test_order_and_health(spark):
     code = "h = md5(x) + sha1(y)\npassword = 'abcd'\nos.system('x')\n"
     assert [f[1] for f in findings(spark, code)] == ["Command Injection — os.system()", "Hardcoded Password", "Weak Cryptography — MD5", "Weak Cryptography — SHA-1"]
