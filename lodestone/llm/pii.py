@@ -29,7 +29,7 @@ BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 IP_FITS = rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"
 WORD = r"[\p{L}\p{N}]{2,}"
 SMOOTH, SHARE, GENERALISE, REMOVE = 1.0, 0.5, 1.0, 0.25
-COMMON = 50_000  # words that are set aside before a shuffle, at most, as they are too frequent to reveal anything
+SHELVES = 256  # a row's revealing terms are looked up in at most so many parts, by their hashes
 
 
 def luhn(digits: Column) -> Column:
@@ -66,7 +66,8 @@ def _rows(documents: DataFrame) -> DataFrame:
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """Settled rows (row, doc_id, k1, k2, base, terms): the fixed patterns' spans of each row, and its words if it has any."""
+    """Settled rows (row, doc_id, k1, k2, base, t, terms): the fixed patterns' spans of each row, and its text and words if
+    it has any."""
     none = F.array().cast(SPAN)
     blank = F.array().cast("array<string>")
     sources = [("email", EMAIL, F.contains("t", F.lit("@"))), ("ip", IP, F.contains("t", F.lit("."))), ("card", CARD, F.lit(True)), ("phone", PHONE, F.contains("t", F.lit("+")))]
@@ -79,7 +80,7 @@ def scan(documents: DataFrame) -> DataFrame:
         "phone": lambda x: F.length(_digits(x["text"])).between(8, 15),
     }
     spans = cut.select("doc_id", "t", *[F.when(F.size(f"m_{k}") > 0, F.filter(spans_of(i, F.col(f"p_{k}"), F.col(f"m_{k}")), fits[k])).otherwise(none).alias(f"s_{k}") for i, (k, _, _) in enumerate(sources)])
-    found = let(_ordered(F.concat(*[F.col(f"s_{k}") for k, _, _ in sources])), lambda base: F.struct(base.alias("base"), F.when(F.size(base) > 0, _words(F.col("t"))).alias("terms")))
+    found = let(_ordered(F.concat(*[F.col(f"s_{k}") for k, _, _ in sources])), lambda base: F.struct(base.alias("base"), F.when(F.size(base) > 0, F.col("t")).alias("t"), F.when(F.size(base) > 0, _words(F.col("t"))).alias("terms")))
     return settle(spans.select(F.monotonically_increasing_id().alias("row"), "doc_id", *_key(F.col("t")), F.inline(F.array(found))), "pii")
 
 
@@ -105,7 +106,7 @@ def disclosure(both: Column, owners: Column, holders: Column, n: int) -> tuple[C
 
 
 def revealing(scanned: DataFrame, counts: DataFrame) -> DataFrame:
-    """(term, share, hidden): the terms that reveal an entity, by the one that they reveal most of."""
+    """(term, share, hidden, holders): the terms that reveal an entity, by the one that they reveal most of."""
     n = scanned.count()
     groups = entity_groups(scanned)
     together = (
@@ -116,31 +117,46 @@ def revealing(scanned: DataFrame, counts: DataFrame) -> DataFrame:
     share, hidden = disclosure(F.col("both"), F.col("owners"), F.col("holders"), n)
     return (
         together.where(F.col("owners") < n).join(counts, F.col("term") == F.col("word"))
-        .select("term", share.alias("share"), hidden.alias("hidden")).where((F.col("share") >= SHARE) & (F.col("hidden") <= GENERALISE))
-        .groupBy("term").agg(F.max("share").alias("share"), F.min("hidden").alias("hidden"))
+        .select("term", "holders", share.alias("share"), hidden.alias("hidden")).where((F.col("share") >= SHARE) & (F.col("hidden") <= GENERALISE))
+        .groupBy("term").agg(F.max("share").alias("share"), F.min("hidden").alias("hidden"), F.max("holders").alias("holders"))
     )
 
 
-def _all_words(text: Column) -> Column:
-    """SPAN array of all words of a text."""
-    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda m: spans_of(4, F.split(text, WORD, -1), m))
+def _term_spans(text: Column, strong: Column) -> Column:
+    """SPAN array of the words of a text that are among `strong` ones. These lie on shelves by their hashes, so a long text
+    with many of them takes time in proportion to its words."""
+    shelf = lambda word, n: F.pmod(F.xxhash64(word), n).cast("int")
+    n = F.least(F.lit(SHELVES), F.ceil(F.size(strong) / 8)).cast("long")
+    every = let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda m: spans_of(4, F.split(text, WORD, -1), m))
+
+    def among(count: Column) -> Column:
+        shelves = F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda i: F.filter(strong, lambda w: shelf(w, count) == i))
+        return let(shelves, lambda held: F.filter(every, lambda x: let(F.lower(x["text"]), lambda w: F.array_contains(F.get(held, shelf(w, count)), w))))
+
+    return let(n, among)
 
 
 def _found(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The scanned rows, and (o1, o2, added, gone) of the texts with revealing terms: their spans and those to remove."""
+    """The scanned rows, and (o1, o2, added, gone) of the texts with revealing terms: their spans and those to remove.
+
+    A term all of whose rows have entities is found in the scanned rows. Only the others, words most but not all of whose
+    rows hold an entity, are looked for in all rows."""
     scanned = scan(documents)
-    counts = settle(term_counts(documents), "pii-words")
-    strong = settle(revealing(scanned, counts), "pii-terms")
-    # A term with P of a half or more is in no more than twice its entity's rows and one: more frequent words are none.
-    most = entity_groups(scanned).select(F.max(F.array_max("groups")["owners"])).first()[0] or 0
-    common = counts.where(F.col("holders") > 2 * most + 1).orderBy(F.col("holders").desc(), "word").limit(COMMON).select(F.col("word").alias("common"))
-    each = _rows(documents).select(*_key(F.col("t")), F.explode(_words(F.col("t"))).alias("word"))
-    rare = each.join(F.broadcast(common), F.col("word") == F.col("common"), "left_anti")  # COMMON words at most
-    held = rare.join(strong.select("term"), F.col("word") == F.col("term")).select(F.col("k1").alias("h1"), F.col("k2").alias("h2")).distinct()
-    texts = _rows(documents).select("t", *_key(F.col("t"))).join(held, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))).dropDuplicates(["k1", "k2"])
-    words = texts.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.explode(_all_words(F.col("t"))).alias("span")).withColumn("lower", F.lower("span.text"))
-    spans = words.join(strong.select("term", "hidden"), F.col("lower") == F.col("term")).groupBy("o1", "o2")
-    return scanned, spans.agg(F.collect_list("span").alias("added"), F.collect_list(F.when(F.col("hidden") <= REMOVE, F.col("span.start"))).alias("gone"))
+    strong = settle(revealing(scanned, settle(term_counts(documents), "pii-words")), "pii-terms")
+    ours = scanned.where(F.size("base") > 0)
+    inside = ours.select(F.explode("terms").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("inside"))
+    loose = settle(strong.join(inside, F.col("term") == F.col("word")).where("inside < holders").select("term", "hidden"), "pii-loose")
+    lists = [F.collect_set("term").alias("strong"), F.collect_set(F.when(F.col("hidden") <= REMOVE, F.col("term"))).alias("lost")]
+    texts = ours.dropDuplicates(["k1", "k2"])
+    mine = texts.select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), F.explode("terms").alias("word")).join(strong, F.col("word") == F.col("term")).groupBy("h1", "h2").agg(*lists)
+    same = (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))
+    words = _rows(documents).select(*_key(F.col("t")), F.explode(_words(F.col("t"))).alias("word"))
+    others = words.join(loose, F.col("word") == F.col("term")).groupBy(F.col("k1").alias("h1"), F.col("k2").alias("h2")).agg(*lists)
+    others = settle(others.join(texts.select("k1", "k2"), same, "left_anti"), "pii-others")
+    read = texts.select("t", "k1", "k2").join(mine, same).unionByName(_rows(documents).select("t", *_key(F.col("t"))).join(others, same))
+    spans = read.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), "lost", _term_spans(F.col("t"), F.col("strong")).alias("added"))
+    gone = F.transform(F.filter("added", lambda x: F.array_contains("lost", F.lower(x["text"]))), lambda x: x["start"])
+    return scanned, settle(spans.select("o1", "o2", "added", gone.alias("gone")).dropDuplicates(["o1", "o2"]), "pii-spans")
 
 
 def _free(found: DataFrame) -> DataFrame:
