@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.exact_topk import exact_topk
 from lodestone.llm.html_text import extract_html
+from lodestone.llm.merkle import verified_manifest
 from lodestone.llm.mixing import label_domains, mixing_rates
+from lodestone.llm.oracles import MANIFEST, SUBSTRINGS, VECTOR_CODES
 from lodestone.llm.pii import pii_spans
 from lodestone.llm.prefix_forest import forest_search
 from lodestone.llm.secrets import secret_spans
 from lodestone.llm.sentencepieces import encode_documents
 from lodestone.llm.simhash import near_duplicates
+from lodestone.llm.substring_dedup import dedup_substrings
 from lodestone.llm.suffix_dedup import repeated_passages
 from lodestone.llm.toxicity import score_documents
+from lodestone.llm.vector_codes import vector_codes
 
 #: Token shares of the labelled domains: quality 0 or 1, toxic 0 or 1.
 MIX_TARGETS = {"q1t0": 0.82, "q0t0": 0.10, "q1t1": 0.06, "q0t1": 0.02}
@@ -68,7 +72,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash_near_dedup, op3_pii, op4_exact_topk, op5_prefix_forest, op6_suffix_dedup, op7_toxicity, op8_html_extraction, op9_mixing, op10_secret_scan)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_simhash_near_dedup, op3_pii, op4_exact_topk, op5_prefix_forest, op6_suffix_dedup, op7_toxicity, op8_html_extraction, op9_mixing, op10_secret_scan,
+        op11_merkle_manifest, op12_substring_dedup, op13_vector_codes,
+    )
+}
 
 _PLAIN = "regexp_replace(x, '<[^>]*>', '', 'g')"
 for _reference, _character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")):
@@ -100,4 +122,7 @@ b AS (
   FROM a)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM b
 """,
+    "op11_merkle_manifest": MANIFEST,
+    "op12_substring_dedup": SUBSTRINGS,
+    "op13_vector_codes": VECTOR_CODES,
 }
