@@ -304,8 +304,9 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 def removable_spans(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables of `documents` (doc_id, text): every row's facts (doc_id, k1, k2, n_words, sha of all words), the
-    smallest doc_id of each distinct text of LENGTH words or more (first_id, k1, k2), and the spans of words that other
-    documents of smaller doc_id hold as well (doc_id, k1, k2, spans) of those. k1 and k2 are hashes of the text."""
+    smallest doc_id of each distinct text of LENGTH words or more (first_id, k1, k2), and of those that share windows with
+    documents of smaller doc_id the text and the spans of these words (doc_id, k1, k2, text, spans). k1 and k2 are hashes
+    of the text. Texts are shuffled once, to those that may share something, and only these afterwards."""
     rows = _keyed(documents)
     full = settle(rows.mapInArrow(_facts, "doc_id long, k1 long, k2 long, n_words long, sha string, cells0 binary, cells1 binary"), "substring-cells")
     long_ones = full.where(f"n_words >= {LENGTH} AND doc_id IS NOT NULL")
@@ -315,16 +316,17 @@ def removable_spans(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     candidates = estimated_repeated(firsts)
     n = candidates.agg(F.sum(F.length("often0"))).first()[0] or 0
     buckets = max(1, math.ceil(n / 8 * WIDE / 2 / BUCKET_WINDOWS))  # a cell stands for half its reach of windows on average
-    read = rows.where("text IS NOT NULL").join(candidates, TEXT).select(*TEXT, "text", "often0", "often1")
-    sent = settle(read.mapInArrow(_second_pass(buckets), SENT), "substring-windows")
+    fit = rows.where(F.length("text") >= 2 * LENGTH - 1)  # LENGTH words and what parts them
+    texts = settle(fit.join(candidates, TEXT).select(*TEXT, "text", "often0", "often1"), "substring-texts")
     forget(candidates)
+    sent = settle(texts.mapInArrow(_second_pass(buckets), SENT), "substring-windows")
     none = F.lit(None).cast("binary")
     back = sent.where("bucket >= 0").select("block", "bucket", "links", "window", "least").groupBy("bucket").applyInArrow(_grouped, "block long, found binary")
     own = sent.where("bucket < 0").select("block", "owners", "runs", "smaller", "links", none.alias("found"))
     both = own.unionByName(back.select("block", *[none.alias(c) for c in ("owners", "runs", "smaller", "links")], "found"))
     spans = settle(both.groupBy("block").applyInArrow(_spans, "doc_id long, k1 long, k2 long, spans array<struct<start:int,end:int>>"), "substring-spans")
     forget(sent)
-    return facts, firsts.select(F.col("doc_id").alias("first_id"), "k1", "k2"), spans.dropDuplicates(TEXT)
+    return facts, firsts.select(F.col("doc_id").alias("first_id"), "k1", "k2"), texts.select(*TEXT, "text").join(spans.dropDuplicates(TEXT), TEXT)
 
 
 def dedup_substrings(documents: DataFrame) -> DataFrame:
@@ -335,7 +337,7 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
     from each other, so repeated rows have equal results; texts under LENGTH words stay whole; an empty table gives no
     rows; other columns are not read."""
     facts, firsts, spans = removable_spans(documents)
-    cut = _keyed(documents).join(spans, TEXT).select(*TEXT, "text", "spans").mapInArrow(_kept, "doc_id long, k1 long, k2 long, taken long, left string").dropDuplicates(TEXT)
+    cut = spans.select(*TEXT, "text", "spans").mapInArrow(_kept, "doc_id long, k1 long, k2 long, taken long, left string").dropDuplicates(TEXT)
     rows = facts.join(firsts.withColumn("is_first", F.lit(True)).withColumnRenamed("first_id", "doc_id"), TEXT, "left").join(cut, TEXT, "left")
     copy = F.col("is_first").isNull() & (F.col("n_words") >= LENGTH) & F.col("doc_id").isNotNull()
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
