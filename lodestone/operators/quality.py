@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import indent, lines, strip
+from lodestone.functions.text import indent, let, lines, strip
 from lodestone.operators.rules import found
 from lodestone.operators.security import findings as security_findings
 from lodestone.operators.security import is_code, report, unreadable
@@ -32,16 +32,12 @@ def _unreachable(code: Column) -> Column:
     rows = F.filter(_lines(code), lambda x: is_code(x["bare"]))
     pairs = lambda all_: F.transform(all_, lambda x, i: F.struct(x.alias("x"), F.get(all_, i + 1).alias("after")))
     hits = lambda p: found(p["x"]["bare"], r"^(return|raise|break|continue)\b") & F.coalesce(p["after"]["indent"] > p["x"]["indent"], F.lit(False))
-    return F.transform(F.filter(_let(rows, pairs), hits), lambda p: F.struct(
+    return F.transform(F.filter(let(rows, pairs), hits), lambda p: F.struct(
         (p["after"]["pos"] + 1).alias("line"), F.lit("Unreachable Code").alias("type"), F.lit("LOW").alias("severity"), F.lit("This line can never run.").alias("description"),
         F.lit("Remove it, or move it before the line that leaves the block.").alias("fix_suggestion"), F.substring(p["after"]["bare"], 1, 100).alias("evidence"),
     ))
 
 
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def unreachable(files: DataFrame, file: str, code: str) -> DataFrame:
     """Lines right after a return, raise, break or continue (blank and comment lines aside) that stand deeper."""
     return _exploded(files, file, _unreachable(F.col(code)))
@@ -77,7 +73,7 @@ def _long_blocks(code: Column, most: int) -> Column:
         return F.transform(F.filter(rows, lambda x: x["text"].rlike(head)), made)
 
     outer = lambda all_: F.filter(all_, lambda b: ~F.exists(all_, lambda a: (a["pos"] < b["pos"]) & (a["end"] > b["pos"])))
-    long_ = F.filter(_let(_let(_lines(code), blocks), outer), lambda b: b["end"] - b["pos"] > most)
+    long_ = F.filter(let(let(_lines(code), blocks), outer), lambda b: b["end"] - b["pos"] > most)
     return F.transform(long_, lambda b: F.struct(
         (b["pos"] + 1).alias("line"), F.lit("Long Function").alias("type"), F.lit("MEDIUM").alias("severity"),
         F.concat(F.lit("Function "), b["name"], F.lit(" has about "), (b["end"] - b["pos"]).cast("string"), F.lit(f" lines, more than {most}.")).alias("description"),

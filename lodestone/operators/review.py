@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import choice, lines, split_lines, strip
+from lodestone.functions.text import choice, let, lines, split_lines, strip
 from lodestone.operators import graph
 from lodestone.operators.rules import ISSUES, PERFORMANCE_RULES, SUGGESTIONS, folded, found, rank
 from lodestone.operators.security import hits, is_code
@@ -24,11 +24,6 @@ def _starts(c: Column, prefixes) -> Column:
     return out
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with the value computed once however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 RECOMMENDATIONS = {"PASS": "Nothing grave was found. Keep secrets out of the source.", "FAIL": "Grave findings: mend them before merging, as each one suggests."}
 
 

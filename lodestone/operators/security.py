@@ -7,11 +7,10 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import choice, lines, strip
+from lodestone.functions.text import choice, let, lines, strip
 from lodestone.operators.rules import DEDUCTIONS, SECURITY_RULES, SEVERITY_ORDER, breaks, folded
 
 
-
 def hits(line: Column, fold: Column, only: Collection[int] | None = None) -> Column:
     """The rules that a line (also given folded) breaks, of all or `only` those of these numbers, as an array of structs
     in rule order. All patterns are tried in one pass, without a join with the rules."""
@@ -40,13 +39,14 @@ def is_code(stripped: Column) -> Column:
 def findings(files: DataFrame, file: str, code: str, only: Collection[int] | None = None) -> DataFrame:
     """One row per (line, rule): the file column, line, rule, type, severity, category, description, cwe, fix_suggestion,
     evidence, severity_order. Their order in a report is severity_order, line, rule. `only` names the rules to try."""
-    rows = files.select(file, F.posexplode(lines(F.col(code))).alias("pos", "text")).withColumn("fold", folded(F.col("text")))
-    broken = rows.select(file, "pos", "text", hits(F.col("text"), F.col("fold"), only).alias("hits")).where(F.size("hits") > 0).withColumn("bare", strip(F.col("text"))).where(is_code(F.col("bare")))
+    rows = files.select(file, F.posexplode(lines(F.col(code))).alias("pos", "text"))
+    # outer: an inner explode would make the optimizer test each line's hits in a filter of its own, and compute them twice
+    broken = rows.select(file, "pos", "text", F.explode_outer(let(folded(F.col("text")), lambda fold: hits(F.col("text"), fold, only))).alias("hit")).where("hit IS NOT NULL")
     return (
-        broken.select(file, (F.col("pos") + 1).alias("line"), F.substring("bare", 1, 120).alias("evidence"), F.explode("hits").alias("hit"))
-        .select(file, "line", "hit.*", "evidence")
+        broken.withColumn("bare", strip(F.col("text"))).where(is_code(F.col("bare")))
+        .select(file, (F.col("pos") + 1).alias("line"), "hit.*", F.substring("bare", 1, 120).alias("evidence"))
         .withColumn("severity_order", F.coalesce(choice(SEVERITY_ORDER, F.col("severity")), F.lit(5)))
-    )
+    )
 
 
 def unreadable(files: DataFrame, file: str, error: str = "error") -> DataFrame:

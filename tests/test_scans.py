@@ -35,6 +35,13 @@ def test_what_rules_need(spark):
         assert rows.where(rules.found(text, r.pattern)).exceptAll(rows.where(rules.breaks(r, text, rules.folded(text)))).isEmpty(), r.type
 
 
+def test_lines_are_folded_once(spark):
+    """The folded line is bound, not folded again for every literal that a rule needs."""
+    rows = security.findings(spark.createDataFrame([("f", "x")], "file string, code string").repartition(2), "file", "code")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1 and plan.count("lower(") == 1
+
+
 def test_order_and_health(spark):
     code = "h = md5(x) + sha1(y)\npassword = 'abcd'\nos.system('x')\n"
     assert [f[1] for f in findings(spark, code)] == ["Command Injection — os.system()", "Hardcoded Password", "Weak Cryptography — MD5", "Weak Cryptography — SHA-1"]
