@@ -65,10 +65,16 @@ def clustered(spark):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
 
 
-@pytest.mark.parametrize("which,most", [("sf0.01", 0.3), ("sf0.1", 0.1), ("check_s", 0.1), ("clustered", 0.1)])
+def directions(spark):
+    draw = np.random.default_rng(7)
+    return spark.createDataFrame([(i, draw.standard_normal(64).tolist()) for i in range(8000)], "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("which,most", [("sf0.01", 0.3), ("sf0.1", 0.1), ("directions", 0.1), ("clustered", 0.1)])
 def test_forest_recall_and_candidates(spark, which, most):
     """Recall at 5 against brute force, and the share of rows that a query ranks."""
-    table = clustered(spark) if which == "clustered" else spark.read.parquet(f"/root/testdata/{which}/embeddings.parquet")
+    made = {"clustered": clustered, "directions": directions}
+    table = made[which](spark) if which in made else spark.read.parquet(f"/root/testdata/{which}/embeddings.parquet")
     got = result(prefix_forest.forest_search(table, F.col("id") % 50 == 0, 5))
     rows = table.toPandas()
     mat = np.stack(rows["embedding"]).astype(float)
