@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.stage_log import StageLog, tally
 from lodestone.functions.text import choice, let, lines, split_lines, strip
 from lodestone.operators import graph
 from lodestone.operators.rules import ISSUES, PERFORMANCE_RULES, SUGGESTIONS, folded, found, rank
@@ -124,9 +125,29 @@ def overall(security_: Column, verdict: Column, performance_: Column) -> tuple[C
     return risk, status
 
 
-def review(diffs: DataFrame, diff: str = "diff", edges: DataFrame | None = None) -> DataFrame:
+RISKS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
+
+
+def logged(log: StageLog, rows: DataFrame) -> DataFrame:
+    """A review's rows, whose stages a log counts as they pass: diffs and lengths, findings and verdicts of each agent."""
+    of = lambda c, values: tally(F.col(c), list(values), c.split(".")[-1])
+    stages = {
+        "diffs": {"characters": F.sum(F.length(F.col("diff_text")))},
+        "security": {"findings": F.sum("security.finding_count")} | of("security.status", ("PASS", "FAIL")) | of("security.risk_score", RISKS),
+        "architecture": of("architecture.verdict", ("EXCELLENT", "GOOD", "WARN", "POOR")),
+        "performance": {"issues": F.sum("performance.issue_count")} | of("performance.time_complexity", ("O(N)", "O(N log N)", "O(N²)")),
+        "testing": {"stubs": F.sum("testing.stub_count")},
+        "reviews": of("overall_status", ("APPROVED", "CHANGES_REQUESTED", "BLOCKED")) | of("risk_score", RISKS),
+    }
+    for name, metrics in stages.items():
+        rows = log.stage(name, rows, **metrics)
+    return rows
+
+
+def review(diffs: DataFrame, diff: str = "diff", edges: DataFrame | None = None, log: StageLog | None = None) -> DataFrame:
     """Adds to each diff: security, architecture, performance, testing, risk_score, overall_status, checklist,
-    pr_summary, status. A null diff is an empty one. Without a graph the architecture is that of an empty one."""
+    pr_summary, status. A null diff is an empty one. Without a graph the architecture is that of an empty one. A log
+    counts the stages while the result is computed, without another pass over it."""
     spark = diffs.sparkSession
     counted = graph.counts(edges) if edges is not None else spark.range(1).select(F.lit(0).cast("long").alias("nodes"), F.lit(0).cast("long").alias("edges"))
     arch = graph.architecture(counted).select(F.struct("nodes", "edges", "architecture_pattern", "cohesion_score", "coupling_ratio", "coupling_issue_detected", "verdict").alias("architecture"))
@@ -142,4 +163,5 @@ def review(diffs: DataFrame, diff: str = "diff", edges: DataFrame | None = None)
         F.format_string("[note] testing: %d stub(s)", F.col("testing.stub_count")),
     )
     summary = F.format_string("%s, risk %s: %d security finding(s), %s, %d test stub(s)", "overall_status", "risk_score", F.col("security.finding_count"), F.col("performance.time_complexity"), F.col("testing.stub_count"))
-    return rows.withColumns({"checklist": checklist, "pr_summary": summary})
+    rows = rows.withColumns({"checklist": checklist, "pr_summary": summary})
+    return rows if log is None else logged(log, rows.withColumn("diff_text", text)).drop("diff_text")

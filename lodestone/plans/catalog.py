@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import paths as P
 from lodestone.functions import text as T
-from lodestone.operators import chunks, graph, quality, retrieval, review, rules, security, symbols
+from lodestone.functions.stage_log import StageLog
+from lodestone.operators import chunks, declarations, graph, quality, retrieval, review, rules, security, symbols
 from lodestone.plans import corpora as C
 from lodestone.plans.corpora import literal, read
 from lodestone.sources import tree
@@ -235,6 +236,33 @@ def python_symbols_files(spark, sf_dir):
     return parsed.select("file", F.explode(parts).alias("s")).select("file", "s.*")
 
 
+@query(f"WITH {C.FOREIGN_SYMBOLS} SELECT path, kind, name, detail, line, last FROM found")
+def declarations_files(spark, sf_dir):
+    """All symbols of files in five languages other than Python, one piece of them for every part."""
+    found, none = declarations.declarations(C.foreign_files(spark, sf_dir)), F.lit(None).cast("int")
+    row = lambda kind, x, detail, line, last: F.struct(F.lit(kind).alias("kind"), x.alias("name"), detail.alias("detail"), line.alias("line"), last.alias("last"))
+    parts = F.concat(
+        F.transform("functions", lambda x: row("function", x["name"], F.array_join(x["args"], ","), x["start_line"], x["end_line"])),
+        F.transform("classes", lambda x: row("class", x["name"], F.concat_ws("|", F.array_join(x["bases"], ","), F.array_join(x["methods"], ",")), x["start_line"], x["end_line"])),
+        F.transform("imports", lambda x: row("import", x["module"], x["is_from_import"].cast("string"), x["line"], none)),
+        F.transform("variables", lambda x: row("variable", x["name"], x["is_constant"].cast("string"), x["line"], none)),
+    )
+    return found.select("path", F.explode(parts).alias("s")).select("path", "s.*")
+
+
+@query(f"""WITH {C.FOREIGN_SYMBOLS}, s AS (SELECT * FROM found UNION ALL SELECT file, kind, name, detail, line, last FROM py),
+files AS (SELECT DISTINCT path FROM p UNION ALL SELECT DISTINCT file FROM pl)
+SELECT CAST((SELECT count(*) FROM files) AS BIGINT) AS total_files_analyzed, CAST(count(*) FILTER (kind = 'function') AS BIGINT) AS total_functions, CAST(count(*) FILTER (kind = 'class') AS BIGINT) AS total_classes,
+  CAST(count(*) FILTER (kind = 'import') AS BIGINT) AS total_imports, CAST(count(*) FILTER (kind = 'variable') AS BIGINT) AS total_variables, CAST(0 AS BIGINT) AS parse_errors FROM s""".replace(", s AS (", f""", {C.PYTHON_LINES.replace("p AS (", "pl AS (", 1)},
+py AS (SELECT file, 'function' AS kind, 'f' AS name, '' AS detail, line, line AS last FROM pl WHERE t < 3 UNION ALL SELECT file, 'class', 'C', '', line, line FROM pl WHERE t = 1
+  UNION ALL SELECT file, 'import', 'm', '', line, line FROM pl WHERE t = 3 UNION ALL SELECT file, 'variable', 'L', '', line, line FROM pl WHERE t = 3),
+s AS (""", 1))
+def repository_summary_files(spark, sf_dir):
+    """Totals over files of six languages, made of every part twice."""
+    python = C.python_files(spark, sf_dir).select(F.col("file").alias("path"), "language", "code")
+    return symbols.repository_summary(declarations.analyze_all(python.unionByName(C.foreign_files(spark, sf_dir))))
+
+
 @query(f"""WITH {C.PYTHON_LINES}
 SELECT file, line, 'Long Function' AS type, 'MEDIUM' AS severity FROM p WHERE t = 0 UNION ALL SELECT file, line + 1, 'Long Function', 'MEDIUM' FROM p WHERE t = 1
 UNION ALL SELECT file, line, 'Naming Convention Violation', 'INFO' FROM p WHERE t = 2 UNION ALL SELECT file, line + 1, 'High Cognitive Complexity', 'MEDIUM' FROM p WHERE t = 1
@@ -597,6 +625,35 @@ def review_verdicts(spark, sf_dir):
     return r.select("pr_id", F.col("security.finding_count").alias("finding_count"), F.col("testing.stub_count").alias("stub_count"), "risk_score", "overall_status")
 
 
+_METRICS = " UNION ALL ".join(
+    f"SELECT {literal(stage)} AS stage, {literal(metric)} AS metric, CAST(coalesce({value}, 0) AS BIGINT) AS value FROM v"
+    for stage, metric, value in [
+        *[(stage, "rows", "count(*)") for stage in ("diffs", "security", "architecture", "performance", "testing", "reviews")],
+        ("diffs", "characters", "sum(characters)"), ("security", "findings", "sum(finding_count)"), ("performance", "issues", "sum(issue_count)"), ("testing", "stubs", "sum(stubs)"),
+        ("security", "status=PASS", "count(*) FILTER (worst < 3)"), ("security", "status=FAIL", "count(*) FILTER (worst >= 3)"),
+        *[("security", f"risk_score={r}", f"count(*) FILTER (greatest(worst, 1) = {i})") for i, r in enumerate(review.RISKS, 1)],
+        *[("architecture", f"verdict={x}", "count(*)" if x == "POOR" else "0 * count(*)") for x in ("EXCELLENT", "GOOD", "WARN", "POOR")],
+        *[("performance", f"time_complexity={x}", f"count(*) FILTER (complexity = {literal(x)})") for x in ("O(N)", "O(N log N)", "O(N²)")],
+        *[("reviews", f"risk_score={r}", f"count(*) FILTER (risk = {i})") for i, r in enumerate(review.RISKS, 1)],
+        ("reviews", "overall_status=APPROVED", "count(*) FILTER (risk = 1)"), ("reviews", "overall_status=CHANGES_REQUESTED", "count(*) FILTER (worst < 3 AND risk > 1)"), ("reviews", "overall_status=BLOCKED", "count(*) FILTER (worst >= 3)"),
+    ]
+)
+
+
+@query(
+    f"""WITH {C.DIFFS}, {_LINES}, {_PERF}, {_DEFS}, src AS (SELECT pr_id AS file, pos, line FROM l), {findings_sql('src')},
+s AS (SELECT file AS pr_id, count(*) AS n, max(4 - sev_order) AS worst FROM findings GROUP BY file), t AS (SELECT pr_id, count(*) AS stubs FROM firsts GROUP BY pr_id),
+v AS (SELECT length(diff) AS characters, coalesce(s.n, 0) AS finding_count, coalesce(worst, 0) AS worst, issue_count, {_TIME} AS complexity, coalesce(stubs, 0) AS stubs, greatest(coalesce(worst, 0), 2) AS risk
+  FROM perf p JOIN diffs USING (pr_id) LEFT JOIN s USING (pr_id) LEFT JOIN t USING (pr_id))
+{_METRICS}"""
+)
+def review_stage_log(spark, sf_dir):
+    """What the log of a review counts while the reviews are computed."""
+    log = StageLog(spark)
+    review.review(C.diffs(spark, sf_dir), log=log).write.format("noop").mode("overwrite").save()
+    return log.rows().select("stage", "metric", "value")
+
+
 # --- events ----------------------------------------------------------------------------------------------------------
 
 

@@ -186,6 +186,40 @@ PYTHON_LINES = f"""p AS (
   SELECT file, k, t, CAST(1 + coalesce(sum(n) OVER (PARTITION BY file ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS line FROM (
     SELECT 'lib/p' || (p_partkey % 30) || '.py' AS file, p_partkey AS k, p_partkey % {len(PYTHON)} AS t, ({[x.count(chr(10)) + 1 for x in PYTHON]})[p_partkey % {len(PYTHON)} + 1] AS n FROM part))"""
 
+#: Sources of five languages, two kinds each, with their symbols (kind, name, detail, line, last line); {0} is a number.
+FOREIGN = [
+    ("js", "import { a } from './m{0}';\nexport async function f{0}(x, y = 1) {\n  const in{0} = `{ ${x}`;\n  return in{0};\n}", [("import", "./m{0}", "true", 1, None), ("function", "f{0}", "x", 2, 5), ("variable", "in{0}", "false", 3, None)]),
+    ("js", "class C{0} extends Base {\n  m{0}(p) {\n    return [p].map((q) => [q]); // }\n  }\n}\nvar LIMIT_{0} = '{';", [("class", "C{0}", "Base|m{0}", 1, 5), ("function", "m{0}", "p", 2, 4), ("function", "<anonymous>", "q", 3, 3), ("variable", "LIMIT_{0}", "true", 6, None)]),
+    ("ts", "import x{0} from \"lib\";\nfunction g{0}<T>(a: T, b?: number): T {\n  return a;\n}", [("import", "lib", "true", 1, None), ("function", "g{0}", "a,b", 2, 4)]),
+    ("ts", "export class D{0} {\n  go(u: string): void {\n    let t{0} = u;\n  }\n}", [("class", "D{0}", "|go", 1, 5), ("function", "go", "u", 2, 4), ("variable", "t{0}", "false", 3, None)]),
+    ("java", "import java.util.List{0};\npublic class J{0} extends Thing {\n  private static final int MAX_{0} = 1;\n  public int run(final List<String> xs, int n) {\n    String s{0} = \"}\";\n    return n;\n  }\n}", [("import", "java.util.List{0}", "false", 1, None), ("class", "J{0}", "Thing|run", 2, 8), ("variable", "MAX_{0}", "true", 3, None), ("function", "run", "xs,n", 4, 7), ("variable", "s{0}", "false", 5, None)]),
+    ("java", "interface I{0} {\n  /* { */\n  void call(int k);\n}", [("class", "I{0}", "|", 1, 4), ("function", "call", "k", 3, 3)]),
+    ("cpp", "#include \"h{0}.h\"\nint total{0};\nint f{0}(int a) {\n  int b = a;\n  return b;\n}", [("import", "h{0}.h", "false", 1, None), ("variable", "total{0}", "false", 2, None), ("function", "<anonymous>", "", 3, 6)]),
+    ("cpp", "#include <set>\nstruct S{0} : public Base {\n  int z;\n  int get() const { return z; }\n};", [("import", "#include <set>", "false", 1, None), ("class", "S{0}", "Base|", 2, 5), ("function", "<anonymous>", "", 4, 4)]),
+    ("go", "import \"fmt{0}\"\nfunc f{0}(a, b int, c string) error {\n\tx := func() int { return 1 }\n\treturn g(x)\n}", [("import", "import \"fmt{0}\"", "false", 1, None), ("function", "f{0}", "a,c", 2, 5)]),
+    ("go", "type T{0} struct {\n\ta int\n}\nfunc (t *T{0}) Name() string {\n\treturn `{`\n}", [("class", "<anonymous>", "|", 1, 3), ("function", "<anonymous>", "t", 4, 6)]),
+]
+SUFFIX_LANGUAGE = {"js": "javascript", "ts": "typescript", "java": "java", "cpp": "cpp", "go": "go"}
+
+
+def foreign_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, language, code) of files of five languages, put together of one piece for every part."""
+    key = F.col("p_partkey")
+    kind = key % 5 * 2 + F.floor(key / 30) % 2
+    suffix = pick([FOREIGN[2 * i][0] for i in range(5)], key)
+    piece = F.replace(pick([text for _, text, _ in FOREIGN], kind), F.lit("{0}"), key.cast("string"))
+    rows = read(spark, sf_dir, "part").groupBy(F.concat(F.lit("web/p"), (key % 30).cast("string"), F.lit("."), suffix).alias("path"), pick([SUFFIX_LANGUAGE[FOREIGN[2 * i][0]] for i in range(5)], key).alias("language"))
+    parts = rows.agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), piece.alias("piece")))).alias("rows"))
+    return parts.select("path", "language", F.array_join(F.transform("rows", lambda x: x["piece"]), "\n").alias("code"))
+
+
+FOREIGN_SYMBOLS = f"""p AS (
+  SELECT path, k, t, CAST(1 + coalesce(sum(n) OVER (PARTITION BY path ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS line FROM (
+    SELECT 'web/p' || (p_partkey % 30) || '.' || ({array_sql([FOREIGN[2 * i][0] for i in range(5)])})[p_partkey % 5 + 1] AS path, p_partkey AS k, p_partkey % 5 * 2 + (p_partkey // 30) % 2 AS t,
+      ({[text.count(chr(10)) + 1 for _, text, _ in FOREIGN]})[p_partkey % 5 * 2 + (p_partkey // 30) % 2 + 1] AS n FROM part)),
+symbols(t, kind, name, detail, place, last) AS (VALUES {', '.join(f"({t}, {literal(kind)}, {literal(name)}, {literal(detail)}, {at}, {'NULL' if last is None else last})" for t, (_, _, found) in enumerate(FOREIGN) for kind, name, detail, at, last in found)}),
+found AS (SELECT path, kind, replace(name, '{{0}}', CAST(k AS VARCHAR)) AS name, replace(detail, '{{0}}', CAST(k AS VARCHAR)) AS detail, CAST(line + place - 1 AS INTEGER) AS line, CAST(line + last - 1 AS INTEGER) AS last FROM p JOIN symbols USING (t))"""
+
 #: Python sources with known symbols.
 SNIPPETS = {
     "pkg/a.py": 'import os, sys as system\nfrom pkg.b import run, stop\nfrom . import x\n\nLIMIT = 10\nname: str = "n"\na = b = 1\n\n\nclass Base(object):\n    """Doc."""\n\n    @property\n    def size(self) -> int:\n        return 1\n\n    async def load(self, path, *rest, key=None):\n        if path and key:\n            for p in rest:\n                pass\n        return path\n\n\ndef Bad_Name(x):\n    """Says."""\n    f = lambda y: y\n    return f(x)\n',

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.lineage import cut
-from lodestone.operators.review import review
-from lodestone.operators.symbols import analyze
+from lodestone.functions.stage_log import StageLog
+from lodestone.operators.declarations import analyze_all
 from lodestone.operators.quality import unified, unified_report
+from lodestone.operators.review import review
 from lodestone.sources import tree
 from lodestone.streaming.webhook import read_events, review_stream
 
@@ -47,7 +48,7 @@ class Engine:
         return tree.from_zip(self.spark, path) if path.endswith(".zip") else tree.from_local(self.spark, path)
 
     def symbols(self, files: DataFrame) -> DataFrame:
-        return analyze(files)
+        return analyze_all(files)
 
     def scan(self, files: DataFrame) -> DataFrame:
         s = self.settings
@@ -58,8 +59,12 @@ class Engine:
         s = self.settings
         return unified_report(files, max_lines=s.max_function_lines, max_nesting=s.max_nesting, max_complexity=s.max_complexity)
 
-    def review(self, diffs: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-        return review(diffs, "diff", edges)
+    def review(self, diffs: DataFrame, edges: DataFrame | None = None, log: StageLog | None = None) -> DataFrame:
+        return review(diffs, "diff", edges, log)
+
+    def log(self, run: str | None = None) -> StageLog:
+        """A log to hand to `review`; its rows are there when the review has been written or counted."""
+        return StageLog(self.spark, run)
 
     def review_json(self, diffs: DataFrame) -> DataFrame:
         """status, summary and findings of each diff as JSON."""

@@ -1,4 +1,7 @@
-"""Pull-request events as a stream of JSON files: signature check, filter, review of each micro-batch."""
+"""Pull-request events as a stream of JSON files: signature check, filter, one review for each delivery, batch by batch.
+
+A sender that gets no answer in time sends an event again. Deliveries are told apart by their id, or, where a sender
+states none, by what they hold; the state of the ones seen lies in the query's checkpoint and goes after `late`."""
 
 from __future__ import annotations
 
@@ -9,9 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.stage_log import StageLog, observed, tally
 from lodestone.operators.review import review
 
-EVENT = "event_type string, signature string, body string"
+EVENT = "event_type string, signature string, body string, delivery string, received_at timestamp"
 BODY = "action string, number int, pull_request struct<diff_url:string,url:string>, repository struct<full_name:string>"
 ACTIONS = ("opened", "synchronize", "reopened")  # fixed values
 SIMULATED = "+# simulated change\n+def simulated():\n+    return None\n"
@@ -49,18 +53,32 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(EVENT).json(folder)
 
 
-def review_stream(events: DataFrame, diffs: DataFrame, secret: str, out: str, checkpoint: str, graph_edges: DataFrame | None = None):
-    """Starts a query that reviews each wanted, authentic event; its diff is looked up by diff_url, a stated simulation
-    stands in where there is none. Batches are written to folders by number, so a batch that runs again replaces
-    itself; rejected and ignored events are kept beside the reviews."""
+def once(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """Each delivery once, however often and in however many batches or runs it comes within `late` of its first time. A
+    forged copy has another signature and so never stands in for the true event. Events without a time of receipt have
+    that of their batch."""
+    held = F.sha2(F.concat_ws("\n", "event_type", "signature", "body"), 256)
+    rows = events.withColumns({"delivery_key": F.concat_ws(":", F.coalesce("delivery", F.lit("")), held), "received_at": F.coalesce("received_at", F.current_timestamp())})
+    return rows.withWatermark("received_at", late).dropDuplicatesWithinWatermark(["delivery_key"]).drop("delivery_key")
+
+
+def review_stream(events: DataFrame, diffs: DataFrame, secret: str, out: str, checkpoint: str, graph_edges: DataFrame | None = None, late: str = "1 day"):
+    """Starts a query that reviews each wanted, authentic event once; its diff is looked up by diff_url, a stated
+    simulation stands in where there is none. Batches are written to folders by number, so a batch that runs again
+    replaces itself; rejected and ignored events are kept beside the reviews, and a log of each batch's stages."""
 
     def run(batch: DataFrame, number: int) -> None:
-        rows = verified(parsed(batch), secret)
+        log = StageLog(batch.sparkSession, f"batch-{number}")
+        kept = batch.persist()  # two tables are written from it; its state and counts are those of one run
+        rows = verified(parsed(kept), secret)
         rows.where(~F.col("authentic") | ~F.col("wanted")).write.mode("overwrite").parquet(f"{out}/ignored/batch={number}")
         asked = rows.where("authentic AND wanted").join(diffs.select("diff_url", "diff"), "diff_url", "left").withColumn("diff", F.coalesce("diff", F.lit(SIMULATED)))
-        review(asked, "diff", graph_edges).write.mode("overwrite").parquet(f"{out}/reviews/batch={number}")
+        review(asked, "diff", graph_edges, log).write.mode("overwrite").parquet(f"{out}/reviews/batch={number}")
+        log.rows().drop("batch").coalesce(1).write.mode("overwrite").parquet(f"{out}/log/batch={number}")
+        kept.unpersist()
 
-    return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    seen = observed(once(observed(events, "received", {}), late), "delivered", tally(F.col("event_type"), ["pull_request"], "event_type"))
+    return seen.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
