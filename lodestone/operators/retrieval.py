@@ -2,85 +2,136 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lodestone.functions.lineage import cut
 from lodestone.functions.text import module_lenient, tokens
+from lodestone.operators import keyword
 
 K1, B, RRF, PLACES = 1.5, 0.75, 60, 6
-NEAR = 2e-6  # scores so close may change places when rounded
-
-
-def _nearest(asked: list, k: int, kind):
-    """mapInArrow function: (id, vec) rows to (query_id, id, score) of every row that can be among a query's k of highest
-    cosine in its task; `kind` is the Arrow type of query_id. Vectorised products of blocks of rows and queries; rows of another length, without a length or
-    with nulls have no cosine."""
+TILE_BYTES, GROUP_BYTES, BLOCK_ROWS, BLOCK_QUERIES = 16 << 20, 256 << 20, 4096, 1024
+LEAST_ROWS = 4096  # fewer are not worth a task of their own
+
+
+def _unit(vec, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a list column that have this many numbers and a length, as unit vectors, and which rows these are."""
+    ends = vec.offsets.to_numpy()
+    rows = np.flatnonzero(np.diff(ends) == dim)
+    mat = vec.values.to_numpy(zero_copy_only=False)[ends[rows][:, None] + np.arange(dim)]
+    length = np.sqrt((mat * mat).sum(axis=1))
+    fine = np.isfinite(length) & (length > 0)
+    return rows[fine], mat[fine] / length[fine, None]
+
+
+class _Tile:
+    """The queries of one length of one tile, with the k best rows that each has seen: micros, scores in units of the last
+    place that counts, falling, and ids, rising among equal ones."""
+
+    def __init__(self, ids: np.ndarray, mat: np.ndarray, k: int) -> None:
+        self.ids, self.mat, self.k = ids, mat, k
+        self.micros, self.found = np.full((len(ids), 0), 0, np.int64), np.empty((len(ids), 0), object)
+
+    def see(self, ids: np.ndarray, mat: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        ids, mat, places = ids[order], mat[order], np.arange(len(ids))
+        take = min(self.k, len(ids))
+        for at in range(0, len(self.ids), BLOCK_QUERIES):
+            scores = np.rint(self.mat[at : at + BLOCK_QUERIES] @ mat.T * 10**PLACES).astype(np.int64)
+            key = places - scores * len(ids)  # least is best: the highest score, of equal ones the smallest id
+            best = np.argpartition(key, take - 1, axis=1)[:, :take] if take < len(ids) else np.broadcast_to(places, key.shape)
+            self._merge(at, np.take_along_axis(scores, best, axis=1), ids[best])
+
+    def _merge(self, at: int, micros: np.ndarray, ids: np.ndarray) -> None:
+        if self.micros.shape[1] < self.k:  # room for k, filled with what never counts
+            more = self.k - self.micros.shape[1]
+            self.micros = np.pad(self.micros, ((0, 0), (0, more)), constant_values=np.iinfo(np.int64).min)
+            self.found = np.concatenate([self.found, np.full((len(self.ids), more), ids.flat[0], object)], axis=1)
+        here = slice(at, at + len(micros))
+        micros, ids = np.concatenate([self.micros[here], micros], axis=1), np.concatenate([self.found[here], ids.astype(object)], axis=1)
+        by_id = np.argsort(ids, axis=1, kind="stable")
+        micros, ids = np.take_along_axis(micros, by_id, axis=1), np.take_along_axis(ids, by_id, axis=1)
+        order = np.argsort(-np.maximum(micros, -(1 << 62)), axis=1, kind="stable")[:, : self.k]
+        self.micros[here], self.found[here] = np.take_along_axis(micros, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+
+def _search(k: int, query_kind, id_kind):
+    """mapInArrow function over dealt rows, sorted by part and side: keeps a part's queries, passes its rows by them in
+    blocks, and gives the best of each query at the end of the part."""
     import pyarrow as pa
 
-    groups: dict[int, tuple[list, np.ndarray]] = {}
-    for dim in {len(r["query_vec"]) for r in asked}:
-        own = [r for r in asked if len(r["query_vec"]) == dim]
-        mat = np.array([r["query_vec"] for r in own], np.float64)
-        length = np.sqrt((mat * mat).sum(axis=1))
-        groups[dim] = [r["query_id"] for r, n in zip(own, length) if n > 0], mat[length > 0] / length[length > 0, None]
-
     def run(batches):
-        best = {dim: [(np.zeros(0), []) for _ in ids] for dim, (ids, _) in groups.items()}
-        schema = None
+        part, tiles, waiting = None, {}, {}
+
+        def finish():
+            for dim in list(waiting):
+                flush(dim)
+            for tile in (t for ts in tiles.values() for t in ts):
+                for at in range(0, len(tile.ids), BLOCK_QUERIES):
+                    micros, found = tile.micros[at : at + BLOCK_QUERIES], tile.found[at : at + BLOCK_QUERIES]
+                    query, place = np.nonzero(micros > np.iinfo(np.int64).min)
+                    if len(query):
+                        columns = [pa.array(tile.ids[at + query].tolist(), query_kind), pa.array(found[query, place].tolist(), id_kind), pa.array(micros[query, place] / 10**PLACES)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "score"])
+
+        def flush(dim):
+            ids, mat = (np.concatenate(x) for x in zip(*waiting.pop(dim)))
+            for tile in tiles.get(dim, []):
+                for at in range(0, len(ids), BLOCK_ROWS):
+                    tile.see(ids[at : at + BLOCK_ROWS], mat[at : at + BLOCK_ROWS])
+
         for batch in batches:
-            schema = batch.schema
-            vec, ids = batch.column("vec"), batch.column("id").to_pylist()
-            ends, flat = vec.offsets.to_numpy(), vec.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
-            for dim, (_, asked_mat) in groups.items():
-                rows = np.flatnonzero(np.diff(ends) == dim)
-                if not len(rows) or not dim or not len(asked_mat):
-                    continue
-                mat = flat[ends[rows][:, None] + np.arange(dim)]
-                length = np.sqrt((mat * mat).sum(axis=1))
-                fine = np.isfinite(length) & (length > 0)
-                rows, mat = rows[fine], mat[fine] / length[fine, None]
-                for at in range(0, len(asked_mat), 512):
-                    scores = asked_mat[at : at + 512] @ mat.T
-                    for i, s in enumerate(scores, at):
-                        was, names = best[dim][i]
-                        least = np.partition(was, len(was) - k)[len(was) - k] - NEAR if len(was) >= k else -np.inf
-                        take = np.flatnonzero(s >= least)
-                        if not len(take):
-                            continue
-                        if len(take) > k:
-                            edge = np.partition(s[take], len(take) - k)[len(take) - k] - NEAR
-                            take = take[s[take] >= edge]
-                        all_, owners = np.concatenate([was, s[take]]), names + [ids[rows[j]] for j in take]
-                        if len(all_) > k:
-                            keep = np.flatnonzero(all_ >= np.partition(all_, len(all_) - k)[len(all_) - k] - NEAR)
-                            all_, owners = all_[keep], [owners[j] for j in keep]
-                        best[dim][i] = all_, owners
-        for dim, (names, _) in groups.items():
-            for name, (scores, owners) in zip(names, best[dim]):
-                if len(scores):
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(owners), kind), pa.array(owners, schema.field("id").type), pa.array(scores)], names=["query_id", "id", "score"])
+            parts, sides, vec = batch.column("part").to_numpy(), batch.column("side").to_numpy(), batch.column("vec")
+            edges = np.flatnonzero(np.r_[True, (parts[1:] != parts[:-1]) | (sides[1:] != sides[:-1]), True]) if len(parts) else []
+            for a, z in zip(edges, edges[1:]):
+                if parts[a] != part:
+                    yield from finish()
+                    part, tiles, waiting = parts[a], {}, {}
+                piece = vec.slice(a, z - a)
+                names = batch.column("id" if sides[a] else "query_id").slice(a, z - a).to_numpy(zero_copy_only=False)
+                for dim in np.unique(np.diff(piece.offsets.to_numpy())).tolist():
+                    rows, mat = _unit(piece, dim) if dim else ([], None)
+                    if not len(rows):
+                        continue
+                    if sides[a]:
+                        waiting.setdefault(dim, []).append((names[rows], mat))
+                        if sum(len(x) for x, _ in waiting[dim]) >= BLOCK_ROWS:
+                            flush(dim)
+                    else:
+                        tiles.setdefault(dim, []).append(_Tile(names[rows], mat, k))
+        yield from finish()
 
     return run
 
 
-def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding", most_queries: int = 16384) -> DataFrame:
-    """(query_id, id, score, rank): the k chunks of highest cosine for each query (query_id, query_vec), rounded to PLACES.
-
-    The stated queries go to every task, in blocks of about most_queries so that what is sent stays small; each task keeps
-    the best of its rows for each query, and only these are shuffled."""
-    asked = queries.select("query_id", "query_vec").where("query_id IS NOT NULL AND query_vec IS NOT NULL")
-    blocks = max(1, -(-asked.count() // most_queries))
-    rows = chunks.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull()))
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
-    out = None
-    for block in range(blocks):
-        part = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).collect()  # about most_queries rows
-        scored = rows.mapInArrow(_nearest(part, k, to_arrow_type(queries.schema["query_id"].dataType)), kinds).withColumn("score", F.round("score", PLACES))
-        hits = ranked(scored, "query_id", k)
-        out = hits if out is None else out.unionByName(hits)
-    return out
+def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding", tile_bytes: int = TILE_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(query_id, id, score, rank): the k chunks of highest cosine for each query (query_id, query_vec), rounded to PLACES,
+    ties by id. Vectors that are null, zero, hold nulls or have another length than the query's have no cosine.
+
+    Queries are dealt to tiles and chunks to groups, by hash, both of bounded bytes; each tile meets each group in one
+    partition, where the queries come first and the chunks pass by as a stream. Nothing is collected or broadcast, however
+    many queries there are, and of each partition only the k best of its queries are shuffled on."""
+    fit = lambda v: F.col(v).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull())
+    asked = queries.select("query_id", F.col("query_vec").cast("array<double>").alias("vec")).where(F.col("query_id").isNotNull() & fit("vec"))
+    rows = chunks.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & fit("vec"))
+    facts = [d.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("numbers")).first() for d in (asked, rows)]  # two rows of counts
+    tiles = max(1, -(-facts[0]["numbers"] * 8 // tile_bytes))
+    busy = -(-int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")) // tiles)
+    groups = max(1, -(-facts[1]["numbers"] * 8 // group_bytes), min(busy, -(-facts[1]["n"] // LEAST_ROWS)))
+    tile, group = F.pmod(F.xxhash64("query_id", F.lit("tile")), F.lit(tiles)), F.pmod(F.xxhash64("id", F.lit("group")), F.lit(groups))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    null = lambda d, c: F.lit(None).cast(d.schema[c].dataType).alias(c)
+    left = asked.select("query_id", null(rows, "id"), "vec", F.lit(0).alias("side"), tile.alias("tile"), every(groups).alias("group"))
+    right = rows.select(null(asked, "query_id"), "id", "vec", F.lit(1).alias("side"), group.alias("group"), every(tiles).alias("tile"))
+    dealt = left.unionByName(right).select("query_id", "id", "vec", "side", (F.col("tile") * groups + F.col("group")).cast("int").alias("part"))
+    dealt = dealt.repartitionById(tiles * groups, "part").sortWithinPartitions("part", "side")
+    kinds = [asked.schema["query_id"].dataType, rows.schema["id"].dataType]
+    scored = dealt.mapInArrow(_search(k, *map(to_arrow_type, kinds)), f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, score double")
+    return ranked(scored, "query_id", k)
 
 
 def ranked(scored: DataFrame, by: str, k: int | None = None) -> DataFrame:
@@ -111,6 +162,13 @@ def bm25(chunks: DataFrame, queries: DataFrame, id_col: str = "id", content: str
     return scored.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("qtf") * F.col("part")), PLACES).alias("score")).where("score > 0")
 
 
+def keyword_depth(k: int) -> int:
+    """How deep a keyword leg must be ranked for the k best of a fusion: a document in no other list that stands deeper
+    scores less than the k-th keyword hit, even when rounded."""
+    least = (RRF + 1) / 2 / (RRF + k) - 1e-4
+    return math.ceil((RRF + 1) / 2 / least) - RRF if least > 0 else (1 << 31) - 1
+
+
 def fuse(vector: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, retrieval_method, rank): reciprocal rank fusion of two ranked lists, scaled so that rank 1
     in both is 1."""
@@ -139,9 +197,11 @@ def expand(fused: DataFrame, chunks: DataFrame, edges: DataFrame, k: int, id_col
 
 
 def hybrid(chunks: DataFrame, queries: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
-    """Results for queries (query_id, query_text, query_vec): the vector leg is three times as deep as k, the keyword
-    leg as deep as it goes. Blank queries have none."""
+    """Results for queries (query_id, query_text, query_vec). The vector leg is three times as deep as k. Of the keyword
+    leg the best keyword_depth(k) count, and the vector hits, with their ranks among all scored documents. Blank queries have none."""
     asked = queries.where(F.size(tokens(F.col("query_text"))) > 0)
-    fused = fuse(vector_topk(chunks, asked, 3 * k), ranked(bm25(chunks, asked), "query_id"), k)
+    near = cut(vector_topk(chunks, asked, 3 * k))
+    index = keyword.build(chunks, only=keyword.asked_terms(asked))
+    fused = fuse(near, keyword.ranks_with(index, asked, near, keyword_depth(k)), k)
     out = expand(fused, chunks, edges, k)
     return out.join(chunks.select("id", F.col("filepath").alias("source_file"), "content"), "id")

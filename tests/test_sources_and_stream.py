@@ -73,8 +73,8 @@ def test_hybrid(spark):
     e = spark.createDataFrame([("a", "c")], "src string, dst string")
     got = retrieval.hybrid(c, q, e, 1).orderBy("rank").collect()
     assert [(r["query_id"], r["id"], r["score"], r["retrieval_method"]) for r in got] == [(1, "1", 1.0, "hybrid_vector+bm25"), (1, "3", 0.8, "graph_expansion")]
-    blocks = retrieval.vector_topk(c, q, 2, most_queries=1)
-    assert blocks.count() == 4
+    whole, cut = retrieval.vector_topk(c, q, 2), retrieval.vector_topk(c, q, 2, tile_bytes=8, group_bytes=8)
+    assert sorted(whole.collect()) == sorted(cut.collect()) and whole.count() == 4
 
 
 def test_stream(spark, tmp_path):
