@@ -65,13 +65,51 @@ def cyclic_part(edges: DataFrame) -> DataFrame:
     return left
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the strongly connected components that hold a cycle, each named by its greatest node.
+
+    What no cycle can hold is peeled off. Of the rest each node takes the greatest node that reaches it as its colour,
+    a join a step until none changes; from the nodes that are their own colour, what leads to them within the colour is
+    their component. These go, and the rest is peeled and coloured again."""
+    left, found = cyclic_part(edges), None
+    loops = left.where("src = dst").select(F.col("src").alias("loop"))
+    while not left.isEmpty():
+        colour, open_ = cut(nodes(left).select("node", F.col("node").alias("colour"))), True
+        while open_:
+            passed = left.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.max("colour").alias("passed"))
+            later = cut(colour.join(passed, F.col("node") == F.col("dst"), "left").select("node", F.greatest("colour", F.coalesce("passed", "colour")).alias("colour"), (F.col("passed") > F.col("colour")).alias("grew")))
+            colour, open_ = later.select("node", "colour"), not later.where("grew").isEmpty()
+        of = lambda end: colour.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour"))
+        within = cut(left.join(of("src"), "src").join(of("dst"), "dst").where("src_colour = dst_colour").select("src", "dst", F.col("src_colour").alias("colour")))
+        front = member = cut(colour.where("node = colour"))
+        while not front.isEmpty():
+            reached = within.join(front.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "colour").distinct()
+            front = cut(reached.join(member, "node", "left_anti"))
+            member = cut(member.unionByName(front))
+        found = member if found is None else found.unionByName(member)
+        gone = member.select("node")
+        left = cyclic_part(left.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti"))
+    if found is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    size = found.groupBy("colour").agg(F.count(F.lit(1)).alias("size"))
+    whole = found.join(size, "colour").join(loops, F.col("node") == F.col("loop"), "left").where("size > 1 OR loop IS NOT NULL")
+    return cut(whole.select("node", F.col("colour").alias("component")))
+
+
+def _inner(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """(src, dst) of the edges within one component."""
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
+    return cut(edges.select("src", "dst").distinct().join(of("src"), "src").join(of("dst"), "dst").where("src_part = dst_part").select("src", "dst"))
+
+
 def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
     """(length, cycle) of all simple cycles (up to max_length, if given), self-loops included; each starts at its smallest
     node.
 
-    Walks start at each node and only visit greater ones, none twice, so a cycle is found once and the walks come to an
-    end. Only edges of the graph's cyclic part are followed."""
-    step = cyclic_part(edges)
+    Walks start at each node and only visit greater ones of its strongly connected component, none twice, so a cycle is
+    found once and the walks come to an end. A dense component of n nodes has more than 2 ** n cycles: `components` says
+    which these are without listing cycles."""
+    step = _inner(edges, components(edges))
     walks = step.where("dst >= src").select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src").alias("path"))
     found = None
     for length in itertools.count(1):
@@ -86,6 +124,34 @@ def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
     return found
 
 
+def shortest_path(edges: DataFrame, source, target) -> DataFrame:
+    """(hops, path) of the shortest path between two nodes, the alphabetically first among equals; no row where there is
+    none. One frontier goes out from each end, the smaller first, a join a step, until they meet; nodes beyond are never
+    visited. Each visited node keeps its own first path, so what both ends know of a meeting node is joined."""
+    step = cut(edges.select("src", "dst").distinct())
+    known = nodes(step)
+    start = lambda n: cut(known.where(F.col("node") == n).select("node", F.array("node").alias("path")))
+    sides = {True: [start(source)], False: [start(target)]}  # by the side that goes forward; a table for each step
+    seen = {side: levels[0] for side, levels in sides.items()}
+    size = {side: levels[0].count() for side, levels in sides.items()}
+    none = step.select(F.lit(0).alias("hops"), F.array("src").alias("path")).limit(0)
+    while all(size.values()):
+        ahead, behind = sides[True][-1], sides[False][-1]
+        meet = ahead.join(behind.select("node", F.col("path").alias("rest")), "node")
+        both = meet.select(F.concat("path", F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0)))).alias("path"))
+        best = both.agg(F.min("path").alias("path")).where("path IS NOT NULL")
+        if not meet.isEmpty():
+            return best.select((F.size("path") - 1).alias("hops"), "path")
+        side = size[True] <= size[False]
+        here, there = ("src", "dst") if side else ("dst", "src")
+        path = F.concat("path", F.array(there)) if side else F.concat(F.array(there), F.col("path"))
+        reached = sides[side][-1].join(step, F.col("node") == F.col(here)).select(F.col(there).alias("node"), path.alias("path")).groupBy("node").agg(F.min("path").alias("path"))
+        front = cut(reached.join(seen[side].select("node"), "node", "left_anti"))
+        sides[side].append(front)
+        seen[side], size[side] = seen[side].unionByName(front), front.count()
+    return none
+
+
 def counts(edges: DataFrame) -> DataFrame:
     """One row: nodes, edges."""
     n = nodes(edges).agg(F.count(F.lit(1)).alias("nodes"))
@@ -108,10 +174,16 @@ def has_cycle(edges: DataFrame) -> bool:
     return not cyclic_part(edges).isEmpty()
 
 
-def stats(edges: DataFrame) -> DataFrame:
-    """One row: nodes, edges, is_dag, density, average_degree, circular_dependencies, has_circular_deps."""
-    loops = cycles(edges).agg(F.array_sort(F.collect_list("cycle")).alias("circular_dependencies"))
-    some = F.size("circular_dependencies") > 0
+def stats(edges: DataFrame, list_cycles: bool = True) -> DataFrame:
+    """One row: nodes, edges, is_dag, density, average_degree, circular_dependencies, has_circular_deps. Whether there is
+    a cycle is known without listing any. Without list_cycles the circular dependencies are the components that hold
+    cycles, each as its nodes, which a dense graph has few of."""
+    if list_cycles:
+        groups = cycles(edges).select("cycle")
+    else:
+        groups = components(edges).groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("cycle")).select("cycle")
+    loops = groups.agg(F.array_sort(F.collect_list("cycle")).alias("circular_dependencies"))
+    some = F.lit(has_cycle(edges))
     return loops.join(F.broadcast(metrics(counts(edges))), F.lit(True)).withColumns({"is_dag": ~some, "has_circular_deps": some})  # one row and one row
 
 

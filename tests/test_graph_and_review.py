@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from lodestone.operators import graph, review
 
 EDGE = "src string, dst string, relation string"
@@ -55,6 +59,47 @@ def test_far_nodes_and_long_rings(spark):
     assert last["hops"] == 20 and graph.stats(line).first()["is_dag"] and graph.stats(edges(spark)).first()["circular_dependencies"] == []
 
 
+def plain_components(pairs):
+    reach = {n: {n} for e in pairs for n in e}
+    for _ in reach:
+        for a, b in pairs:
+            for n in reach:
+                if a in reach[n]:
+                    reach[n].add(b)
+    groups = {frozenset(m for m in reach if m in reach[n] and n in reach[m]) for n in reach}
+    return {g for g in groups if len(g) > 1 or (next(iter(g)),) * 2 in pairs}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components(spark, seed):
+    draw = random.Random(seed)
+    pairs = {(f"n{draw.randint(0, 15):02}", f"n{draw.randint(0, 15):02}") for _ in range(20)}
+    got = {}
+    for r in graph.components(edges(spark, *pairs)).collect():
+        got.setdefault(r["component"], set()).add(r["node"])
+    assert {frozenset(g) for g in got.values()} == plain_components(pairs) and all(c == max(g) for c, g in got.items())
+
+
+def test_dense_component_ends(spark):
+    dense = [(f"d{a:02}", f"d{b:02}") for a in range(25) for b in range(25) if a != b]
+    row = graph.stats(edges(spark, *dense, ("d00", "out"), ("in", "d00")), list_cycles=False).first()
+    assert row["has_circular_deps"] and row["circular_dependencies"] == [sorted({a for a, _ in dense})]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_shortest_path_from_both_ends(spark, seed, monkeypatch):
+    draw = random.Random(seed)
+    e = edges(spark, *{(f"n{draw.randint(0, 30):02}", f"n{draw.randint(0, 30):02}") for _ in range(60)})
+    whole = {r["node"]: (r["hops"], r["path"]) for r in graph.shortest_paths(e, spark.createDataFrame([("n00",)], "source string")).collect()}
+    for target in ("n00", "n07", "n19", "absent"):
+        found = graph.shortest_path(e, "n00", target).collect()
+        assert [(r["hops"], r["path"]) for r in found] == ([whole[target]] if target in whole else [])
+    made = []
+    monkeypatch.setattr(graph, "cut", lambda df, real=graph.cut: made.append(1) or real(df))
+    line = edges(spark, *[(f"p{i:02}", f"p{i + 1:02}") for i in range(30)], *[(f"p{i:02}", f"x{i:02}") for i in range(30)])
+    assert graph.shortest_path(line, "p10", "p13").first()["path"] == ["p10", "p11", "p12", "p13"] and len(made) <= 6
+
+
 def test_dependency_map(spark):
     rows = [("a.py", "b", 1), ("b.py", "a", 1), ("b.py", "os", 2)]
     imports = spark.createDataFrame([(p, m, [m], n) for p, m, n in rows], "path string, module string, names array<string>, line int")
