@@ -203,13 +203,26 @@ def architecture(counted: DataFrame) -> DataFrame:
     return rows.withColumn("verdict", verdict)
 
 
-def dependency_edges(imports: DataFrame, file: str = "path", prefix: str | None = None) -> DataFrame:
+def with_prefix(modules: DataFrame, prefixes: DataFrame, column: str = "dst") -> DataFrame:
+    """The distinct values of a column that start with one of the prefixes (prefix), however many there are. A value's
+    beginnings of the lengths that prefixes have, and no others, are looked up among them, so the join is by equality."""
+    known = prefixes.where("prefix IS NOT NULL").distinct()
+    lengths = known.agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("lengths"))  # one row: as many as names have lengths
+    names = modules.select(column).where(F.col(column).isNotNull()).distinct().join(F.broadcast(lengths), F.lit(True))
+    cuts = F.transform(F.filter("lengths", lambda n: n <= F.length(column)), lambda n: F.substring(F.col(column), F.lit(1), n))
+    return names.select(column, F.explode(cuts).alias("prefix")).join(known, "prefix", "left_semi").select(column).distinct()
+
+
+def dependency_edges(imports: DataFrame, file: str = "path", prefix: str | DataFrame | None = None) -> DataFrame:
     """Edges of imports (file, module, names, line): source module by path, target module, and whether that is inside
-    the analysed files (or starts with `prefix`). Imports without a module are none."""
+    the analysed files (or starts with `prefix`, or one of a table of them). Imports without a module are none."""
     rows = imports.where("module IS NOT NULL").select(F.col(file).alias("source_file"), module_strict(F.col(file)).alias("src"), F.col("module").alias("dst"), "names", "line")
-    if prefix is not None:
+    if isinstance(prefix, str):
         return rows.withColumn("is_internal", F.startswith("dst", F.lit(prefix)))
-    own = imports.select(module_strict(F.col(file)).alias("own")).where("own IS NOT NULL").distinct()
+    if prefix is not None:
+        own = with_prefix(rows, prefix).withColumnRenamed("dst", "own")
+    else:
+        own = imports.select(module_strict(F.col(file)).alias("own")).where("own IS NOT NULL").distinct()
     return rows.join(own, F.col("dst") == F.col("own"), "left").withColumn("is_internal", F.col("own").isNotNull()).drop("own")
 
 

@@ -16,6 +16,7 @@ from lodestone.operators.symbols import analyze
 # Words that start a function or method in other languages, and what starts a comment line.
 HEADS = ("def ", "function ", "public ", "private ", "protected ", "func ", "static ")
 COMMENTS = ("#", "//", "/*", "*")
+PART = 256  # lines
 SHORTER = "Split the function into parts that do one thing each."
 
 
@@ -60,20 +61,33 @@ def deep_nesting(files: DataFrame, file: str, code: str, most: int = 5) -> DataF
 
 def _long_blocks(code: Column, most: int) -> Column:
     """Functions told by the first word of their head. One ends before the next line that is not deeper than its head,
-    comments aside, or with the text. Heads inside another function's lines are not functions of their own."""
+    comments aside, or with the text. Heads inside another function's lines are not functions of their own, so one fold
+    over the lines finds all: it holds the function that is open, and the long ones that have ended."""
     head = rf"(?U)^\s*(?:{'|'.join(HEADS)})\s*(\w+)"
     comment = lambda bare: F.exists(F.array(*map(F.lit, COMMENTS)), lambda c: F.startswith(bare, c))
+    none, blocks = F.lit(None).cast("struct<pos:int,name:string,indent:int>"), "array<struct<pos:int,name:string,end:int>>"
+    state = lambda found, open_: F.struct(found.alias("found"), open_.alias("open"))
+    nothing = F.array().cast(blocks)
 
-    def blocks(rows: Column) -> Column:
-        borders = F.filter(rows, lambda x: (x["bare"] != "") & ~comment(x["bare"]))
-        made = lambda h: F.struct(
-            h["pos"].alias("pos"), F.regexp_extract(h["text"], head, 1).alias("name"),
-            F.coalesce(F.get(F.filter(borders, lambda b: (b["pos"] > h["pos"]) & (b["indent"] <= h["indent"])), F.lit(0))["pos"], F.size(rows)).alias("end"),
-        )
-        return F.transform(F.filter(rows, lambda x: x["text"].rlike(head)), made)
+    def ended(acc: Column, at: Column) -> Column:
+        """The found ones when the open function ends before line `at`."""
+        block = F.struct(acc["open"]["pos"].alias("pos"), acc["open"]["name"].alias("name"), at.alias("end"))
+        return F.when(at - acc["open"]["pos"] > most, F.concat(acc["found"], F.array(block))).otherwise(acc["found"])
 
-    outer = lambda all_: F.filter(all_, lambda b: ~F.exists(all_, lambda a: (a["pos"] < b["pos"]) & (a["end"] > b["pos"])))
-    long_ = F.filter(let(let(_lines(code), blocks), outer), lambda b: b["end"] - b["pos"] > most)
+    def step(acc: Column, x: Column) -> Column:
+        stops = acc["open"].isNotNull() & (x["bare"] != "") & (x["indent"] <= acc["open"]["indent"]) & ~comment(x["bare"])
+        opened = F.when(x["text"].rlike(head), F.struct(x["pos"].alias("pos"), F.regexp_extract(x["text"], head, 1).alias("name"), x["indent"].alias("indent")))
+        return state(F.when(stops, ended(acc, x["pos"])).otherwise(acc["found"]), F.when(acc["open"].isNotNull() & ~stops, acc["open"]).otherwise(opened))
+
+    def part(acc: Column, rows: Column) -> Column:
+        """A part of the lines; a fold copies its state at every step, so the long one is added to once a part only."""
+        return let(F.aggregate(rows, state(nothing, acc["open"]), step), lambda own: state(F.concat(acc["found"], own["found"]), own["open"]))
+
+    def whole(rows: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(rows) / PART).cast("int")), lambda i: F.slice(rows, i * PART + 1, F.lit(PART)))
+        return F.aggregate(parts, state(nothing, none), part, lambda acc: F.when(acc["open"].isNotNull(), ended(acc, F.size(rows))).otherwise(acc["found"]))
+
+    long_ = F.when(code.isNotNull(), let(_lines(code), whole))
     return F.transform(long_, lambda b: F.struct(
         (b["pos"] + 1).alias("line"), F.lit("Long Function").alias("type"), F.lit("MEDIUM").alias("severity"),
         F.concat(F.lit("Function "), b["name"], F.lit(" has about "), (b["end"] - b["pos"]).cast("string"), F.lit(f" lines, more than {most}.")).alias("description"),

@@ -415,6 +415,37 @@ def import_cycles(spark, sf_dir):
     return graph.import_cycles(graph.dependency_edges(symbols.symbols(symbols.analyze(files), "imports"))).select("length", F.array_join("cycle", ">").alias("cycle"))
 
 
+@query(f"""WITH RECURSIVE {C.NATION_EDGES}, reach(a, b) AS (SELECT src, dst FROM edges UNION SELECT r.a, e.dst FROM reach r JOIN edges e ON e.src = r.b)
+SELECT r.a AS node, max(r.b) AS component FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a GROUP BY r.a""")
+def graph_components(spark, sf_dir):
+    return graph.components(C.nation_edges(spark, sf_dir))
+
+
+@query(
+    f"""WITH RECURSIVE {C.NATION_EDGES}, ends AS (SELECT min(src) AS s, max(src) AS t FROM edges), walk(node, path) AS (
+  SELECT s, [s] FROM ends UNION ALL SELECT e.dst, list_append(w.path, e.dst) FROM walk w JOIN edges e ON e.src = w.node WHERE NOT list_contains(w.path, e.dst))
+SELECT CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, '>') AS path FROM walk, ends WHERE node = t ORDER BY len(path), path LIMIT 1"""
+)
+def graph_path_between(spark, sf_dir):
+    """From the first node of the nations' graph to its last, from both ends."""
+    e = C.nation_edges(spark, sf_dir)
+    ends = e.agg(F.min("src").alias("s"), F.max("src").alias("t")).first()
+    return graph.shortest_path(e, ends["s"], ends["t"]).select("hops", F.array_join("path", ">").alias("path"))
+
+
+@query(f"""WITH {C.PATHS}, m AS (SELECT k, replace(CASE WHEN ends_with(path, '.py') THEN left(path, length(path) - 3) ELSE path END, '/', '.') AS module FROM paths),
+prefixes AS (SELECT 'src.core.f' || CAST(n_nationkey AS VARCHAR) AS prefix FROM nation UNION ALL SELECT 'docs.f' || CAST(s_suppkey * 3 AS VARCHAR) || '.' FROM supplier UNION ALL SELECT left(n_name, 3) FROM nation)
+SELECT CAST(count(*) AS BIGINT) AS total_dependencies, CAST(count(*) FILTER (EXISTS (SELECT 1 FROM prefixes p WHERE starts_with(m.module, p.prefix))) AS BIGINT) AS internal_dependencies,
+  CAST(count(*) FILTER (NOT EXISTS (SELECT 1 FROM prefixes p WHERE starts_with(m.module, p.prefix))) AS BIGINT) AS external_dependencies FROM m""")
+def prefix_dependencies(spark, sf_dir):
+    """Imports of every part's module, internal if they start with one of many prefixes."""
+    modules = C.paths(spark, sf_dir).select(F.lit("main.py").alias("path"), T.module_lenient(F.col("path")).alias("module"), F.array().cast("array<string>").alias("names"), F.lit(1).alias("line"))
+    nation = read(spark, sf_dir, "nation")
+    prefixes = nation.select(F.concat(F.lit("src.core.f"), F.col("n_nationkey").cast("string")).alias("prefix")).unionByName(nation.select(F.left("n_name", F.lit(3)).alias("prefix")))
+    prefixes = prefixes.unionByName(read(spark, sf_dir, "supplier").select(F.concat(F.lit("docs.f"), (F.col("s_suppkey") * 3).cast("string"), F.lit(".")).alias("prefix")))
+    return graph.dependency_summary(graph.dependency_edges(modules, prefix=prefixes))
+
+
 # --- chunks and retrieval --------------------------------------------------------------------------------------------
 
 _UUID = """CASE WHEN TRUE THEN substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1)) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) END"""

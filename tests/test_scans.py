@@ -66,6 +66,20 @@ def test_long_blocks(spark):
     assert found(6) == []
 
 
+def test_long_blocks_of_long_files(spark):
+    """One fold: five times the lines take about five times as long."""
+    import time
+
+    took = {}
+    for n in (1000, 5000, 20000):
+        code = "def f():\n    a\n    b\n    c\n" * n
+        files = spark.createDataFrame([("x", code)], "file string, code string")
+        began = time.perf_counter()
+        assert quality.long_functions_heuristic(files, "file", "code", 3).count() == n
+        took[n] = time.perf_counter() - began
+    assert took[20000] < 12 * took[5000]
+
+
 def test_unified_report(spark):
     files = spark.createDataFrame([("a.py", "python", "password = 'abcd'\nclass low:\n    pass\n", None), ("b.py", "python", "x = 1", None), ("c.py", "python", None, "denied")], "path string, language string, code string, error string")
     got = {r["path"]: r for r in quality.unified_report(files).collect()}
