@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -87,6 +88,63 @@ def embed(chunks: DataFrame, content: str = "content", model: str = "mini", vect
     return chunks.withColumn("embedding", run(F.col(content)))
 
 
+def loader_of(model: str, key: str = "") -> Callable:
+    """A function that loads a model where it is called, on an executor, and returns one from texts to vectors: of the
+    hosted model for names with 3-small and a key, else of a local sentence model."""
+
+    def hosted():
+        from openai import OpenAI
+
+        client = OpenAI(api_key=key)
+        return lambda texts: [x.embedding for x in client.embeddings.create(input=texts, model=model).data]
+
+    def local():
+        from sentence_transformers import SentenceTransformer
+
+        encoder = SentenceTransformer(model)
+        return lambda texts: [v.tolist() for v in encoder.encode(texts)]
+
+    return hosted if "3-small" in model and key else local
+
+
+_loaded: dict[str, Callable | None] = {}
+
+
+def _model(name: str, loader: Callable) -> Callable | None:
+    """The model of this process, loaded once, however many tasks it runs; None if it cannot be loaded."""
+    if name not in _loaded:
+        try:
+            _loaded[name] = loader()
+        except Exception:
+            _loaded[name] = None
+    return _loaded[name]
+
+
+def embed_with(chunks: DataFrame, loader: Callable, content: str = "content", model: str = "mini", batch: int = 64) -> DataFrame:
+    """Adds `embedding` and `embedding_source`, model or stand-in. `loader` runs once in each Python worker process that
+    gets rows (workers are kept from task to task) and returns a function from a list of texts to vectors, which is given
+    at most `batch` at a time. Where it cannot be loaded or fails, the seeded stand-ins are used, as they are for nulls."""
+    dim = dimension(model)
+
+    @F.pandas_udf("embedding array<float>, embedding_source string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encode = _model(model, loader)
+        for texts in parts:
+            vectors, sources = [mock_vector(t, dim) if t is None or encode is None else None for t in texts], ["stand-in"] * len(texts)
+            todo = [i for i, v in enumerate(vectors) if v is None]
+            for at in range(0, len(todo), batch):
+                mine = todo[at : at + batch]
+                try:
+                    found, source = list(encode([texts.iloc[i] for i in mine])), "model"
+                except Exception:
+                    found, source = [mock_vector(texts.iloc[i], dim) for i in mine], "stand-in"
+                for i, v in zip(mine, found, strict=True):
+                    vectors[i], sources[i] = v, source
+            yield pd.DataFrame({"embedding": vectors, "embedding_source": sources})
+
+    return chunks.withColumn("made", run(F.col(content).cast("string"))).select(*chunks.columns, "made.embedding", "made.embedding_source")
+
+
 def upsert(table: DataFrame, new: DataFrame, replace_file: bool = False) -> DataFrame:
     """The chunk table after new rows: the new row of an id holds. With replace_file, older chunks of the new rows'
     files go too, so a file that has become shorter leaves none behind."""

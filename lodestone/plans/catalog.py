@@ -350,6 +350,49 @@ def dependency_summary(spark, sf_dir):
     return graph.dependency_summary(graph.dependency_edges(symbols.symbols(_parsed(spark), "imports")))
 
 
+@query(f"""WITH {C.MORE_LINES}
+SELECT path, 'd' || k AS name, 'a' AS args, 'prop,wrap' AS decorators, 'int' AS return_annotation, 'Says ' || k || '.' AS docstring, line + 2 AS start_line, line + 4 AS end_line, FALSE AS is_method, FALSE AS is_async FROM p WHERE t = 0
+UNION ALL SELECT path, 'go_' || k, 'self,x', 'staticmethod', NULL, NULL, line + 3, line + 5, TRUE, TRUE FROM p WHERE t = 1
+UNION ALL SELECT path, 'inner', '', '', NULL, NULL, line + 4, line + 4, FALSE, FALSE FROM p WHERE t = 1""")
+def python_functions_files(spark, sf_dir):
+    f = symbols.symbols(symbols.analyze(C.python_more(spark, sf_dir)), "functions")
+    return f.select("path", "name", F.array_join("args", ",").alias("args"), F.array_join("decorators", ",").alias("decorators"), "return_annotation", "docstring", "start_line", "end_line", "is_method", "is_async")
+
+
+@query(f"""WITH {C.MORE_LINES}
+SELECT path, 'class' AS kind, 'low_' || k AS name, 'Base,pkg.Other|go_' || k || '|Doc.' AS detail, line FROM p WHERE t = 1
+UNION ALL SELECT path, 'import', 'pkg.sub', 'y' || k || ',w|true', line FROM p WHERE t = 2 UNION ALL SELECT path, 'import', 'none', 'q' || k || '|true', line + 1 FROM p WHERE t = 2
+UNION ALL SELECT path, 'variable', 'name_' || k, 'str|false', line + 2 FROM p WHERE t = 2""")
+def python_classes_files(spark, sf_dir):
+    """Classes, imports and variables with their details."""
+    text = lambda *parts: F.concat_ws("|", *[F.coalesce(x.cast("string"), F.lit("none")) for x in parts])
+    row = lambda kind, name, detail, line: F.struct(F.lit(kind).alias("kind"), F.coalesce(name, F.lit("none")).alias("name"), detail.alias("detail"), line.alias("line"))
+    parts = F.concat(
+        F.transform("classes", lambda x: row("class", x["name"], text(F.array_join(x["bases"], ","), F.array_join(x["methods"], ","), x["docstring"]), x["start_line"])),
+        F.transform("imports", lambda x: row("import", x["module"], text(F.array_join(x["names"], ","), x["is_from_import"]), x["line"])),
+        F.transform("variables", lambda x: row("variable", x["name"], text(x["annotation"], x["is_constant"]), x["line"])),
+    )
+    return symbols.analyze(C.python_more(spark, sf_dir)).select("path", F.explode(parts).alias("s")).select("path", "s.*")
+
+
+@query(f"WITH {C.MORE_LINES} SELECT path, line, 'low_' || k AS name, 'class' AS kind FROM p WHERE t = 1")
+def naming_files(spark, sf_dir):
+    found = symbols.analyze(C.python_more(spark, sf_dir))
+    return quality.naming(symbols.symbols(found, "functions"), symbols.symbols(found, "classes"), "path").select("path", "line", "name", "kind")
+
+
+@query(f"""WITH {C.MORE_LINES}, seg(t, place, lines, own) AS (VALUES {', '.join(f"({t}, {place}, {n}, {'TRUE' if own else 'FALSE'})" for t, place, n, own in C.SEGMENTS)}),
+s AS (SELECT path, o, k, place, lines, own, coalesce(lag(own) OVER w, TRUE) AS after FROM p JOIN seg USING (t) WINDOW w AS (PARTITION BY path ORDER BY o, k, place)),
+g AS (SELECT *, sum(CASE WHEN own OR after THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY o, k, place ROWS UNBOUNDED PRECEDING) AS part FROM s),
+parts AS (SELECT path, part, CAST(sum(lines) AS BIGINT) AS lines FROM g GROUP BY path, part),
+tiles AS (SELECT path, part, tile, least(4, lines - tile * 4) AS lines FROM (SELECT *, unnest(range((lines - 1) // 4 + 1)) AS tile FROM parts))
+SELECT path AS filepath, CAST(row_number() OVER (PARTITION BY path ORDER BY part, tile) - 1 AS INTEGER) AS chunk_index, CAST(lines AS INTEGER) AS n_lines FROM tiles""")
+def chunk_python_files(spark, sf_dir):
+    """Tiles of at most four lines that keep within definitions or between them."""
+    c = chunks.chunk_python(C.python_more(spark, sf_dir), "path", "code", 4)
+    return c.select("filepath", "chunk_index", F.size(F.split("content", "\n")).alias("n_lines"))
+
+
 # --- graphs ----------------------------------------------------------------------------------------------------------
 
 _COUNTS = "c AS (SELECT (SELECT count(DISTINCT n) FROM (SELECT src AS n FROM edges UNION ALL SELECT dst FROM edges)) AS nodes, (SELECT count(*) FROM edges) AS edges)"
@@ -634,6 +677,22 @@ def testing_stub_render(spark, sf_dir):
     return t.select("pr_id", join(lambda x: x["name"]).alias("functions"), join(lambda x: F.array_join(x["params"], ",")).alias("params"), F.col("t.stub_count").alias("stubs"), F.substring_index("t.generated_tests", "\n", 1).alias("first_line"))
 
 
+# Parameters as a plain split at commas gives them, of the lines that define something.
+_PARAMS = {"+def load(path: str, limit=10):": "path, limit", " def kept(self, a, b: Dict[str, int]):": "a, b, int]", "+async def fetch(url):": "url"}
+
+
+@query(
+    f"""WITH {C.DIFFS}, {_LINES}, {_DEFS}, known(line, params) AS (VALUES {', '.join(f"({literal(k)}, {literal(v)})" for k, v in _PARAMS.items())}),
+stubs AS (SELECT f.pr_id, f.pos, 'def test_' || f.name || '():' || chr(10) || CASE WHEN params IS NULL THEN '' ELSE '    # for example: ' || f.name || '(' || params || ')' || chr(10) END || '    # arrange, call, compare' || chr(10) || '    assert True' || chr(10) AS stub
+  FROM firsts f JOIN lb ON lb.pr_id = f.pr_id AND lb.pos = f.pos LEFT JOIN known ON known.line = lb.line)
+SELECT d.pr_id, CAST(count(stub) AS INTEGER) AS stub_count, CASE WHEN count(stub) = 0 THEN '# The diff defines no functions.' || chr(10) || '# Test changed logic by hand.' || chr(10)
+  ELSE 'import pytest' || chr(10) || chr(10) || chr(10) || string_agg(stub, chr(10) || chr(10) ORDER BY pos) END AS generated_tests FROM diffs d LEFT JOIN stubs s ON s.pr_id = d.pr_id GROUP BY d.pr_id"""
+)
+def testing_stubs(spark, sf_dir):
+    """The whole text of the stubs of every diff."""
+    return C.diffs(spark, sf_dir).select("pr_id", review.testing(F.col("diff")).alias("t")).select("pr_id", "t.stub_count", "t.generated_tests")
+
+
 @query(
     f"""WITH {C.DIFFS}, {_LINES}, {_PERF}, {_DEFS}, src AS (SELECT pr_id AS file, pos, line FROM l), {findings_sql('src')},
 s AS (SELECT file AS pr_id, count(*) AS n, max(4 - sev_order) AS worst FROM findings GROUP BY file), t AS (SELECT pr_id, count(*) AS stubs FROM firsts GROUP BY pr_id),

@@ -186,6 +186,28 @@ PYTHON_LINES = f"""p AS (
   SELECT file, k, t, CAST(1 + coalesce(sum(n) OVER (PARTITION BY file ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS line FROM (
     SELECT 'lib/p' || (p_partkey % 30) || '.py' AS file, p_partkey AS k, p_partkey % {len(PYTHON)} AS t, ({[x.count(chr(10)) + 1 for x in PYTHON]})[p_partkey % {len(PYTHON)} + 1] AS n FROM part))"""
 
+#: Python sources with decorators, docstrings, methods, nested functions and imports with names.
+PYTHON_MORE = [
+    '@prop\n@wrap(1)\ndef d{0}(a, *b, c=2) -> int:\n    """Says {0}."""\n    return a',
+    'class low_{0}(Base, pkg.Other):\n    """Doc."""\n    @staticmethod\n    async def go_{0}(self, x):\n        def inner(): pass\n        return x',
+    'from pkg.sub import y{0} as z, w\nfrom . import q{0}\nname_{0}: str = "n"',
+]
+#: Their segments (kind of piece, place, lines, whether a definition of its own).
+SEGMENTS = [(0, 0, 2, False), (0, 1, 3, True), (1, 0, 6, True), (2, 0, 3, False)]
+
+
+def python_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, language, code) of Python files, one piece for every part."""
+    key = F.col("p_partkey")
+    piece = F.replace(pick(PYTHON_MORE, key), F.lit("{0}"), key.cast("string"))
+    rows = read(spark, sf_dir, "part").groupBy(F.concat(F.lit("more/p"), (key % 30).cast("string"), F.lit(".py")).alias("path")).agg(F.array_sort(F.collect_list(F.struct((key % 7).alias("o"), key.alias("k"), piece.alias("piece")))).alias("rows"))
+    return rows.select("path", F.lit("python").alias("language"), F.array_join(F.transform("rows", lambda x: x["piece"]), "\n").alias("code"))
+
+
+MORE_LINES = f"""p AS (
+  SELECT path, o, k, t, n, CAST(1 + coalesce(sum(n) OVER (PARTITION BY path ORDER BY o, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS line FROM (
+    SELECT 'more/p' || (p_partkey % 30) || '.py' AS path, p_partkey % 7 AS o, p_partkey AS k, p_partkey % {len(PYTHON_MORE)} AS t, ({[x.count(chr(10)) + 1 for x in PYTHON_MORE]})[p_partkey % {len(PYTHON_MORE)} + 1] AS n FROM part))"""
+
 #: Sources of five languages, two kinds each, with their symbols (kind, name, detail, line, last line); {0} is a number.
 FOREIGN = [
     ("js", "import { a } from './m{0}';\nexport async function f{0}(x, y = 1) {\n  const in{0} = `{ ${x}`;\n  return in{0};\n}", [("import", "./m{0}", "true", 1, None), ("function", "f{0}", "x", 2, 5), ("variable", "in{0}", "false", 3, None)]),

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.lineage import cut
 from lodestone.functions.stage_log import StageLog
+from lodestone.operators.chunks import embed_with, loader_of
 from lodestone.operators.declarations import analyze_all
 from lodestone.operators.quality import unified, unified_report
 from lodestone.operators.review import review
 from lodestone.sources import tree
+from lodestone.streaming.diffs import Fetcher
 from lodestone.streaming.webhook import read_events, review_stream
 
 
@@ -22,6 +24,9 @@ class Settings:
     """Constants, from the environment where it has them."""
 
     webhook_secret: str = field(default_factory=lambda: os.environ.get("WEBHOOK_SECRET", ""))
+    diff_token: str = field(default_factory=lambda: os.environ.get("GITHUB_TOKEN", ""))
+    embedding_key: str = field(default_factory=lambda: os.environ.get("OPENAI_API_KEY", ""))
+    embedding_model: str = field(default_factory=lambda: os.environ.get("EMBEDDING_MODEL", "all-MiniLM-L6-v2"))
     max_function_lines: int = 50
     max_nesting: int = 5
     max_complexity: int = 15
@@ -71,5 +76,13 @@ class Engine:
         rows = self.review(diffs)
         return rows.select(F.to_json(F.struct("status", F.col("pr_summary").alias("summary"), F.struct("security", "architecture", "performance", "testing").alias("findings"))).alias("json"))
 
-    def review_stream(self, folder: str, diffs: DataFrame, out: str, checkpoint: str):
+    def fetcher(self) -> Fetcher:
+        """Diffs by URL with the token of the settings."""
+        return Fetcher(self.settings.diff_token)
+
+    def embed(self, chunks: DataFrame, content: str = "content") -> DataFrame:
+        """Adds embedding and embedding_source: by the model of the settings, or stand-ins where it is not to be had."""
+        return embed_with(chunks, loader_of(self.settings.embedding_model, self.settings.embedding_key), content, self.settings.embedding_model)
+
+    def review_stream(self, folder: str, diffs: DataFrame | Fetcher, out: str, checkpoint: str):
         return review_stream(read_events(self.spark, folder), diffs, self.settings.webhook_secret, out, checkpoint)

@@ -12,13 +12,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.lineage import cut
 from lodestone.functions.stage_log import StageLog, observed, tally
 from lodestone.operators.review import review
+from lodestone.streaming.diffs import SIMULATED, Fetcher
 
 EVENT = "event_type string, signature string, body string, delivery string, received_at timestamp"
 BODY = "action string, number int, pull_request struct<diff_url:string,url:string>, repository struct<full_name:string>"
 ACTIONS = ("opened", "synchronize", "reopened")  # fixed values
-SIMULATED = "+# simulated change\n+def simulated():\n+    return None\n"
 
 
 def signed(body: str, signature: str | None, secret: str) -> bool:
@@ -62,9 +63,9 @@ def once(events: DataFrame, late: str = "1 day") -> DataFrame:
     return rows.withWatermark("received_at", late).dropDuplicatesWithinWatermark(["delivery_key"]).drop("delivery_key")
 
 
-def review_stream(events: DataFrame, diffs: DataFrame, secret: str, out: str, checkpoint: str, graph_edges: DataFrame | None = None, late: str = "1 day"):
-    """Starts a query that reviews each wanted, authentic event once; its diff is looked up by diff_url, a stated
-    simulation stands in where there is none. Batches are written to folders by number, so a batch that runs again
+def review_stream(events: DataFrame, diffs: DataFrame | Fetcher, secret: str, out: str, checkpoint: str, graph_edges: DataFrame | None = None, late: str = "1 day"):
+    """Starts a query that reviews each wanted, authentic event once; its diff is fetched, or looked up by diff_url
+    in a table, where a stated simulation stands in for one that is missing. Batches are written to folders by number, so a batch that runs again
     replaces itself; rejected and ignored events are kept beside the reviews, and a log of each batch's stages."""
 
     def run(batch: DataFrame, number: int) -> None:
@@ -72,7 +73,11 @@ def review_stream(events: DataFrame, diffs: DataFrame, secret: str, out: str, ch
         kept = batch.persist()  # two tables are written from it; its state and counts are those of one run
         rows = verified(parsed(kept), secret)
         rows.where(~F.col("authentic") | ~F.col("wanted")).write.mode("overwrite").parquet(f"{out}/ignored/batch={number}")
-        asked = rows.where("authentic AND wanted").join(diffs.select("diff_url", "diff"), "diff_url", "left").withColumn("diff", F.coalesce("diff", F.lit(SIMULATED)))
+        asked = rows.where("authentic AND wanted")
+        if isinstance(diffs, Fetcher):
+            asked = cut(diffs.add(asked))  # a URL is asked once a batch, whatever reads the table
+        else:
+            asked = asked.join(diffs.select("diff_url", "diff"), "diff_url", "left").withColumn("diff", F.coalesce("diff", F.lit(SIMULATED)))
         review(asked, "diff", graph_edges, log).write.mode("overwrite").parquet(f"{out}/reviews/batch={number}")
         log.rows().drop("batch").coalesce(1).write.mode("overwrite").parquet(f"{out}/log/batch={number}")
         kept.unpersist()
