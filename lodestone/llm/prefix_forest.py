@@ -1,37 +1,40 @@
-"""Approximate nearest neighbours by cosine: one forest of sorted hash-string arrays over all rows.
+"""Approximate nearest neighbours by cosine: a forest of sorted hash-string arrays over all rows.
 
-A tree's hash string of a vector is SYMBOLS cross-polytope symbols, one for each of its random rotations: the axis that
-the rotated vector is nearest to, and its sign. Each tree is a sorted array of strings, kept in parts: the rows of one
-group. A query descends in every tree to its longest matching prefix; then all trees ascend together, symbol by symbol,
-until enough of them hold an entry within the query's prefix for it to be a candidate, and those are ranked by exact
-cosine. How deep the candidates of a query lie, and how many trees must hold one, is fitted on the exact neighbours of
-at most SAMPLE queries, so it is the same for all parts of the forest: the least number of candidates that finds TARGET
-of these neighbours. Where a part has fewer than k + 1 entries there, the query ascends further in it."""
+A tree's hash string of a vector has SYMBOLS binary symbols: on which side of as many random directions it lies. Each tree
+is a sorted array of strings, kept in parts: the rows of one group. A binary search takes a query to its longest matches
+in every tree; from there all trees ascend together, a symbol at a time. An entry is met in a tree at every length from
+its own longest match with the query upwards, so an entry of long matches in many trees has been met often when the ascent
+ends, and entries met often enough are ranked by exact cosine.
+
+Where a query's ascent ends, and how often is enough, follows from its floor: the cosine of its k-th best among a sample
+of rows, which its k-th best among all rows cannot lie under. Two vectors of that cosine share a symbol with a known
+probability, from which the meetings of their strings have a known mean and spread: the ascent ends where MEETINGS trees
+are expected to have met such a neighbour, and enough is what such neighbours have with probability TARGET. Both depend on
+the query and the sample alone, not on how rows are dealt to parts."""
 
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import GROUP_BYTES, TILE_BYTES, deal, merge_tree, searcher, usable
-
-TREES, SYMBOLS, AXES, SEED = 192, 3, 64, 17
-SAMPLE, FAR_SAMPLE, TARGET = 128, 4096, 0.96  # fit: queries with their exact neighbours, rows that stand for all others, share to find
-BLOCK_ROWS = 8192
-
+from lodestone.llm.shared import GROUP_BYTES, TILE_BYTES, deal, merge_tree, searcher, settle, usable
 
-def symbol_bits(dim: int) -> int:
-    return max(1, math.ceil(math.log2(2 * min(dim, AXES))))
+TREES, SYMBOLS, SEED = 192, 48, 17
+MEETINGS, TARGET = 20, 0.95
+SAMPLE_ROWS, SAMPLE_BYTES = 4096, 16 << 20  # rows whose nearest are each query's floor
+BLOCK_ROWS, BLOCK_QUERIES = 8192, 128
 
 
-def rotations(dim: int, trees: int) -> np.ndarray:
-    """(dim, trees * SYMBOLS * axes) directions, a rule of the seed and the sizes, so every part and query uses the same:
-    orthogonal within a symbol, of at most AXES of them."""
-    draw, axes = np.random.default_rng([SEED, dim]), min(dim, AXES)
-    return np.concatenate([np.linalg.qr(draw.standard_normal((dim, axes)))[0] for _ in range(trees * SYMBOLS)], axis=1).astype(np.float32)
+def directions(dim: int, trees: int) -> np.ndarray:
+    """(dim, trees * SYMBOLS) directions, a rule of the seed and the sizes, so every part and query uses the same; those
+    of a tree are orthogonal as far as there is room."""
+    draw, axes = np.random.default_rng([SEED, dim]), min(dim, SYMBOLS)
+    tree = lambda: np.concatenate([np.linalg.qr(draw.standard_normal((dim, axes)))[0] for _ in range(-(-SYMBOLS // axes))], axis=1)[:, :SYMBOLS]
+    return np.concatenate([tree() for _ in range(trees)], axis=1).astype(np.float32)
 
 
 _kept: dict[tuple[int, int], np.ndarray] = {}
@@ -44,43 +47,54 @@ def unit(mat: np.ndarray) -> np.ndarray:
 
 
 def hash_strings(mat: np.ndarray, trees: int) -> np.ndarray:
-    """(trees, rows) strings of unit vectors as integers, the first symbol in the highest bits."""
-    dim, axes, bits = mat.shape[1], min(mat.shape[1], AXES), symbol_bits(mat.shape[1])
+    """(trees, rows) strings of unit vectors as integers, the first symbol in the highest of SYMBOLS bits."""
+    dim = mat.shape[1]
     if (dim, trees) not in _kept:
         _kept.clear()
-        _kept[dim, trees] = rotations(dim, trees)
-    out, way, small = np.zeros((trees, len(mat)), np.uint32), _kept[dim, trees], mat.astype(np.float32)
-    for at in range(0, len(mat), 1024):
-        for t in range(trees):
-            y = (small[at : at + 1024] @ way[:, t * SYMBOLS * axes : (t + 1) * SYMBOLS * axes]).reshape(-1, SYMBOLS, axes)
-            axis = np.abs(y).argmax(axis=2)
-            symbol = (2 * axis + (np.take_along_axis(y, axis[:, :, None], 2)[:, :, 0] > 0)).astype(np.uint32)
-            for i in range(SYMBOLS):
-                out[t, at : at + 1024] = out[t, at : at + 1024] << np.uint32(bits) | symbol[:, i]
+        _kept[dim, trees] = directions(dim, trees)
+    out, way, small = np.zeros((trees, len(mat)), np.uint64), _kept[dim, trees], mat.astype(np.float32)
+    for at in range(0, len(mat), 512):
+        sides = (small[at : at + 512] @ way > 0).reshape(-1, trees, SYMBOLS)
+        packed = np.zeros((*sides.shape[:2], 8), np.uint8)
+        packed[..., 8 - SYMBOLS // 8 :] = np.packbits(sides, axis=2)
+        out[:, at : at + 512] = packed.view(">u8")[..., 0].T
     return out
 
 
-def votes(codes: np.ndarray, orders: np.ndarray, asked: np.ndarray, length: int, bits: int) -> np.ndarray:
-    """(queries, entries): how many trees hold an entry within the query's prefix of so many symbols."""
+def ascent(floor: np.ndarray, trees: int, target: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each floor the length at which the ascent ends, and how many meetings are enough there."""
+    same = np.clip(1 - np.arccos(np.clip(floor, -1, 1)) / math.pi, 0.05, 0.995)  # that two vectors of this cosine share a symbol
+    end = np.clip(np.floor(math.log(min(MEETINGS, trees / 2) / trees) / np.log(same)), 1, SYMBOLS).astype(np.int64)
+    length = np.arange(1, SYMBOLS + 1)
+    alike = np.where(length >= end[:, None], same[:, None] ** length, 0.0)  # that strings match to this length
+    mean = trees * alike.sum(axis=1)
+    spread = np.sqrt(trees * np.maximum((alike * (2 * (length - end[:, None]) + 1)).sum(axis=1) - alike.sum(axis=1) ** 2, 0))
+    return end, np.maximum(1, np.floor(mean - NormalDist().inv_cdf(target) * spread)).astype(np.int64)
+
+
+def meetings(codes: np.ndarray, orders: np.ndarray, asked: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(queries, entries): at how many lengths, over all trees, a query has met an entry when its ascent ends. A tree's
+    entries within the query's prefix of length `end` stand together; one that matches to length m was met m - end + 1
+    times there."""
     trees, n = codes.shape
-    low = np.uint32(bits * (SYMBOLS - length))
-    out = np.zeros(asked.shape[1] * n, np.uint8)
-    flat, held = [], 0
+    below = (np.uint64(1) << (SYMBOLS - end).astype(np.uint64)) - np.uint64(1)
+    out = np.zeros(asked.shape[1] * n)
+    places, weights, held = [], [], 0
     for t in range(trees):
-        a = np.searchsorted(codes[t] >> low, asked[t] >> low)
-        b = np.searchsorted(codes[t] >> low, asked[t] >> low, side="right")
-        size = b - a
+        first = np.searchsorted(codes[t], asked[t] & ~below)
+        size = np.searchsorted(codes[t], asked[t] | below, side="right") - first
         if size.any():
-            at = np.repeat(a - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-            flat.append(np.repeat(np.arange(len(size)) * n, size) + orders[t][at])
+            query = np.repeat(np.arange(len(size)), size)
+            at = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            unlike = np.frexp((codes[t][at] ^ asked[t][query]).astype(np.float64))[1]  # symbols after the match
+            places.append(query * n + orders[t][at])
+            weights.append(SYMBOLS - unlike - end[query] + 1)
             held += len(at)
-        if flat and (held > 4_000_000 or t == trees - 1):
-            place, times = np.unique(np.concatenate(flat), return_counts=True)
-            out[place] += times.astype(np.uint8)
-            flat, held = [], 0
-    if flat:
-        place, times = np.unique(np.concatenate(flat), return_counts=True)
-        out[place] += times.astype(np.uint8)
+        if places and (held > 2_000_000 or t == trees - 1):
+            out += np.bincount(np.concatenate(places), np.concatenate(weights), len(out))
+            places, weights, held = [], [], 0
+    if places:
+        out += np.bincount(np.concatenate(places), np.concatenate(weights), len(out))
     return out.reshape(-1, n)
 
 
@@ -94,7 +108,7 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> float:
     return math.fsum((a * b).tolist()) / (math.sqrt(math.fsum((a * a).tolist())) * math.sqrt(math.fsum((b * b).tolist())))
 
 
-def _rank(i: int, found: np.ndarray, normal, asked, q_ids, q, first, twins, mat, best) -> None:
+def _rank(i: int, found: np.ndarray, asked, normal, q_ids, q, first, twins, mat, best) -> None:
     """Offers the found entries of a block that can still be among the k best of query i."""
     near = normal[found] @ asked[i]
     if len(found) > best.k + 1:
@@ -123,38 +137,46 @@ def distinct(ids: np.ndarray, mat: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return mat[lead], np.r_[0, np.cumsum(np.bincount(inverse[order], minlength=len(lead)))], ids[order]
 
 
-def _search(k: int, trees: int, depth: int, least: int, ranked=None):
-    """Search of one block; depth 0 ranks all entries. `ranked` counts candidates (of this process)."""
+def floors(asked: np.ndarray, q_ids: np.ndarray, sample: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
+    """The cosine of each query's k-th best among the sample, rows of its own id aside; -2 where the sample has fewer."""
+    ids, normal = sample
+    out = np.full(len(asked), -2.0)
+    if len(ids) < k:
+        return out
+    for at in range(0, len(asked), 1024):
+        near = asked[at : at + 1024] @ normal.T
+        near[q_ids[at : at + 1024, None] == ids] = -2
+        out[at : at + 1024] = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k]
+    return out
+
+
+def _search(k: int, trees: int, target: float, samples: dict[int, tuple[np.ndarray, np.ndarray]], ranked=None):
+    """Search of one block. A target of 1 or more, and a query without a floor, ranks all entries. `ranked` counts
+    candidates (of this process)."""
 
     def search(state, q_ids, q, ids, mat, best):
-        asked, strings = state
+        if "floor" not in state:
+            sample = samples.get(q.shape[1])
+            state["floor"] = floors(state["asked"], q_ids, sample, k) if sample is not None and target < 1 else np.full(len(q), -2.0)
+            state["end"], state["enough"] = ascent(state["floor"], trees, min(target, 0.9999))
         own, first, twins = distinct(ids, mat, k)
-        normal, bits, n = unit(own), symbol_bits(mat.shape[1]), len(own)
-        if depth:
+        normal, n = unit(own), len(own)
+        led = state["floor"] > -2
+        if led.any():
             codes = hash_strings(normal, trees)
-            orders = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
+            orders = np.argsort(codes, axis=1, kind="stable").astype(np.int64)
             codes = np.take_along_axis(codes, orders, 1)
-        for at in range(0, len(q_ids), 512):
-            open_ = np.arange(at, min(at + 512, len(q_ids)))
-            for length in range(depth, -1, -1):
-                if not len(open_):
-                    break
-                held = votes(codes, orders, strings[:, open_], length, bits) if length else None
-                late = []
-                for row, i in enumerate(open_.tolist()):
-                    found = np.arange(n)
-                    if length:
-                        for need in range(least if length == depth else 1, 0, -1):  # fewer trees before shorter prefixes
-                            found = np.flatnonzero(held[row] >= need)
-                            if len(found) > k:
-                                break
-                    if length and len(found) <= k:
-                        late.append(i)
-                        continue
-                    if ranked is not None:
-                        ranked[0] += len(found)
-                    _rank(i, found, normal, asked, q_ids, q, first, twins, own, best)
-                open_ = np.array(late, np.int64)
+        for at in range(0, len(q_ids), BLOCK_QUERIES):
+            here = np.arange(at, min(at + BLOCK_QUERIES, len(q_ids)))
+            with_floor = here[led[here]]
+            met = meetings(codes, orders, state["strings"][:, with_floor], state["end"][with_floor]) if len(with_floor) else None
+            row = dict(zip(with_floor.tolist(), range(len(with_floor))))
+            for i in here.tolist():
+                found = np.flatnonzero(met[row[i]] >= state["enough"][i]) if i in row else np.arange(n)
+                if ranked is not None:
+                    ranked[0] += len(found)
+                if len(found):
+                    _rank(i, found, state["asked"], normal, q_ids, q, first, twins, own, best)
 
     return search
 
@@ -162,56 +184,24 @@ def _search(k: int, trees: int, depth: int, least: int, ranked=None):
 FOUND = "query_id long, src int, best array<struct<neg:double,vec_id:long>>"
 
 
-def _run(k: int, trees: int, depth: int, least: int, block_rows: int):
+def _run(k: int, trees: int, target: float, samples: dict, block_rows: int):
     def prepare(q):
         asked = unit(q)
-        return asked, hash_strings(asked, trees) if depth else None
-
-    return searcher(k, np.dtype(np.float64), block_rows, prepare, _search(k, trees, depth, least))
-
-
-def fit(rows: DataFrame, queries: DataFrame, k: int, trees: int, target: float, tile_bytes: int, group_bytes: int, block_rows: int) -> dict[int, tuple[int, int]]:
-    """(depth, least) for each dimension: of the pairs of prefix length and number of trees that find `target` of the
-    exact neighbours of SAMPLE queries (those of the smallest hashes) the one with the fewest candidates among
-    FAR_SAMPLE rows. The driver gets at most SAMPLE * (k + 1) + FAR_SAMPLE vectors."""
-    asked = queries.orderBy(F.xxhash64(F.lit("fit"), "id"), "id").limit(SAMPLE).collect()
-    if not asked:
-        return {}
-    spark = rows.sparkSession
-    sample = spark.createDataFrame([(r["id"], r["vec"]) for r in asked], "id long, vec array<double>")
-    dealt, parts, _ = deal(rows, sample, tile_bytes, group_bytes)
-    found = merge_tree(dealt.mapInArrow(_run(k, trees, 0, 0, block_rows), FOUND), k, parts)
-    pairs = found.select("query_id", F.explode("best.vec_id").alias("to"))
-    near = rows.join(F.broadcast(pairs), F.col("id") == F.col("to")).groupBy("query_id", "to").agg(F.min("vec").alias("vec")).collect()  # SAMPLE * k rows
-    # every row would do: the hash only has to know nothing of where a vector points
-    far = rows.orderBy(F.xxhash64(F.lit("far"), "id")).limit(FAR_SAMPLE).collect()
+        return {"asked": asked, "strings": hash_strings(asked, trees) if target < 1 else None}
+
+    return searcher(k, np.dtype(np.float64), block_rows, prepare, _search(k, trees, target, samples))
+
+
+def sample_of(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of the SAMPLE_ROWS rows of smallest hashes, fewer where that is more than SAMPLE_BYTES, by
+    dimension: all that the driver gets, whatever the table's size."""
+    longest = rows.agg(F.max(F.size("vec"))).first()[0] or 1
+    # any rows would do: the hash only has to know nothing of where a vector points
+    some = rows.orderBy(F.xxhash64(F.lit("sample"), "id"), "id", "vec").limit(max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * longest)))).collect()
     out = {}
-    own = {r["id"]: np.array(r["vec"]) for r in asked}
-    for dim in {len(v) for v in own.values()}:
-        bits = symbol_bits(dim)
-        ids = [i for i, v in own.items() if len(v) == dim]
-        place = {i: x for x, i in enumerate(ids)}
-        strings = hash_strings(unit(np.array([own[i] for i in ids])), trees)
-        hits = [(place[r["query_id"]], r["vec"]) for r in near if r["query_id"] in place and len(r["vec"]) == dim]
-        others = [r["vec"] for r in far if len(r["vec"]) == dim]
-        best = (1, 0)
-        if hits and others:
-            theirs, rest = hash_strings(unit(np.array([v for _, v in hits])), trees), hash_strings(unit(np.array(others)), trees)
-            mine = strings[:, [q for q, _ in hits]]
-            fewest = math.inf
-            for depth in range(SYMBOLS, 0, -1):
-                low = np.uint32(bits * (SYMBOLS - depth))
-                alike = (theirs >> low == mine >> low).sum(axis=0)
-                rate = np.zeros(trees + 1)
-                for q in range(len(ids)):
-                    rate += np.bincount((rest >> low == strings[:, q : q + 1] >> low).sum(axis=0), minlength=trees + 1)
-                for least in range(1, trees + 1):
-                    candidates = rate[least:].sum()
-                    if (alike >= least).mean() >= target and candidates < fewest:
-                        best, fewest = (depth, least), candidates
-            if fewest == math.inf:
-                best = (0, 0)
-        out[dim] = best
+    for dim in {len(r["vec"]) for r in some}:
+        mine = [r for r in some if len(r["vec"]) == dim]
+        out[dim] = np.array([r["id"] for r in mine], np.int64), unit(np.array([r["vec"] for r in mine]))
     return out
 
 
@@ -222,28 +212,22 @@ def forest_search(vectors: DataFrame, is_query: Column, k: int, id_col: str = "v
     vectors; ties go to the smaller id; rows with the query's own id are no candidates. Vectors null, zero, empty or
     holding null or non-finite components, and rows without an id, take no part; unlike lengths never meet. An id that
     repeats among queries is answered once (smallest vector). Equal vectors of a block share one entry that keeps their
-    k + 1 smallest ids, all that a result can hold. Fewer than k candidates: all of them. Empty table: no rows.
+    k + 1 smallest ids, all that a result can hold. A query that has found fewer than k rows ranks all rows, so it has
+    fewer only where there are no more; so does every query if target is 1 or more. Empty table: no rows.
     Returns query_id, rank, vec_id, score."""
     rows = usable(vectors, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
     queries = rows.where(is_query).groupBy("id").agg(F.min("vec").alias("vec"))
-    fitted = fit(rows, queries, k, trees, target, tile_bytes, group_bytes, block_rows)
-    dealt, parts, _ = deal(rows, queries, tile_bytes, group_bytes)
-    partial = dealt.mapInArrow(_by_dimension(k, trees, fitted, block_rows), FOUND)
+
+    def found(asked: DataFrame, aim: float, samples: dict) -> DataFrame:
+        dealt, parts, _ = deal(rows, asked, tile_bytes, group_bytes)
+        return settle(merge_tree(dealt.mapInArrow(_run(k, trees, aim, samples, block_rows), FOUND), k, parts).select("query_id", "best"), "forest")
+
+    merged = found(queries, target, sample_of(rows) if target < 1 else {})
+    full = merged.where(F.size("best") >= k)
+    short = queries.join(full.select(F.col("query_id").alias("id")), "id", "left_anti")
+    if target < 1 and not short.isEmpty():
+        merged = full.unionByName(found(short, 1.0, {}))
     return (
-        merge_tree(partial, k, parts)
-        .select("query_id", F.posexplode("best").alias("at", "hit"))
+        merged.select("query_id", F.posexplode("best").alias("at", "hit"))
         .select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.neg")).alias("score"))
     )
-
-
-def _by_dimension(k: int, trees: int, fitted: dict[int, tuple[int, int]], block_rows: int):
-    """As _run, with the depth fitted for each dimension; one that the sample has no query of is searched whole."""
-
-    def prepare(q):
-        asked = unit(q)
-        return asked, hash_strings(asked, trees) if fitted.get(q.shape[1], (0, 0))[0] else None
-
-    def search(state, q_ids, q, ids, mat, best):
-        _search(k, trees, *fitted.get(q.shape[1], (0, 0)))(state, q_ids, q, ids, mat, best)
-
-    return searcher(k, np.dtype(np.float64), block_rows, prepare, search)

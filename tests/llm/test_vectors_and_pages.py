@@ -87,13 +87,48 @@ def test_forest_recall_and_candidates(spark, which, most):
         hits, total = hits + len(best & {i for a, _, i, _ in got if a == ids[at]}), total + len(best)
     assert hits / total >= 0.9
     frame = table.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    (depth, least), ranked = prefix_forest.fit(frame, frame.where("id % 50 = 0"), 5, prefix_forest.TREES, prefix_forest.TARGET, 1 << 24, 1 << 28, 8192)[mat.shape[1]], [0]
-    best = shared.Best(len(asked), 5, np.float64)
-    prefix_forest._search(5, prefix_forest.TREES, depth, least, ranked)((v[asked], prefix_forest.hash_strings(v[asked], prefix_forest.TREES)), ids[asked], mat[asked], ids, mat, best)
-    print(which, "recall", hits / total, "share ranked", ranked[0] / len(asked) / len(ids), "depth", depth, "trees", least)
+    ranked, best = [0], shared.Best(len(asked), 5, np.float64)
+    state = {"asked": v[asked], "strings": prefix_forest.hash_strings(v[asked], prefix_forest.TREES)}
+    prefix_forest._search(5, prefix_forest.TREES, prefix_forest.TARGET, prefix_forest.sample_of(frame), ranked)(state, ids[asked], mat[asked], ids, mat, best)
+    print(which, "recall", hits / total, "share ranked", ranked[0] / len(asked) / len(ids), "ends", sorted(set(state["end"].tolist())))
     assert ranked[0] / len(asked) / len(ids) <= most
 
 
+def test_forest_does_not_depend_on_blocks(spark):
+    """A row is a candidate of a query or not, whatever rows share its block, group or tile."""
+    table = directions(spark).where("vec_id < 3000")
+    whole = result(prefix_forest.forest_search(table, F.col("id") % 50 == 0, 5))
+    assert whole == result(prefix_forest.forest_search(table.repartition(7), F.col("id") % 50 == 0, 5, tile_bytes=8000, group_bytes=200000, block_rows=100))
+
+
+def test_all_symbols_count():
+    """Longest matches: with the symbols after the first ones dealt to other rows neighbours are met no longer."""
+    draw = np.random.default_rng(8)
+    rows = prefix_forest.unit(draw.standard_normal((4000, 64)))
+    asked = prefix_forest.unit(rows[:60] + 0.09 * draw.standard_normal((60, 64)))
+    strings, mine = prefix_forest.hash_strings(rows, 96), prefix_forest.hash_strings(asked, 96)
+    end, enough = prefix_forest.ascent((asked * rows[:60]).sum(axis=1) - 0.02, 96, 0.95)
+    assert end.min() >= 4
+
+    def met(codes):
+        order = np.argsort(codes, axis=1, kind="stable")
+        return prefix_forest.meetings(np.take_along_axis(codes, order, 1), order, mine, end)
+
+    slow = np.zeros((60, 4000))
+    for t in range(96):
+        for q in range(60):
+            match = np.array([prefix_forest.SYMBOLS - int(x).bit_length() for x in strings[t] ^ mine[t, q]])
+            slow[q] += np.maximum(0, match - end[q] + 1)
+        if t == 1:
+            break
+    assert (prefix_forest.meetings(*(lambda c, o: (np.take_along_axis(c, o, 1), o))(strings[:2], np.argsort(strings[:2], axis=1, kind="stable")), mine[:2], end) == slow).all()
+    own = np.arange(60)
+    assert (met(strings)[own, own] >= enough).mean() > 0.9
+    first = np.uint64(0xF) << np.uint64(prefix_forest.SYMBOLS - 4)
+    others = strings[:, draw.permutation(4000)]
+    assert (met(strings & first | others & ~first)[own, own] >= enough).mean() < 0.1
+
+
 def test_pages(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r["page_id"]: r for r in html_text.extract_html(table).collect()}
