@@ -5,8 +5,9 @@ counts of rows that hold the term, the entity, or both, over whole rows and the
 the entity given the term, P = (both + a * p) / (holders + a), smoothed towards the entity's own share of rows, p, as if
 `a` more rows held the term. Of the entity's information, -log2 p bits, the term leaves -log2 P hidden. Terms that
 disclose at least SHARE of it and leave at most GENERALISE bits are generalised, those that leave at most REMOVE bits are
-removed, wherever they stand. With a = 1 a word of one row reveals that row's entities, and so do words most of whose
-rows hold the entity.
+removed, wherever they stand. One row is no estimate of what comes with what: a term must share EVIDENCE rows with the
+entity. With a = 1 that makes a term of two rows with the entity, or of four of which three have it, one to generalise,
+and one of six rows that all have it one to remove. Words of single rows are left out before any pairs are made.
 
 An entity that only shares its rows with others is counted with them, by the sum of hashes of its rows, so a long list
 of addresses makes no more pairs with terms than one address."""
@@ -28,7 +29,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 IP_FITS = rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"
 WORD = r"[\p{L}\p{N}]{2,}"
-SMOOTH, SHARE, GENERALISE, REMOVE = 1.0, 0.5, 1.0, 0.25
+SMOOTH, SHARE, GENERALISE, REMOVE, EVIDENCE = 1.0, 0.5, 1.0, 0.25, 2
 SHELVES = 256  # a row's revealing terms are looked up in at most so many parts, by their hashes
 
 
@@ -109,14 +110,16 @@ def revealing(scanned: DataFrame, counts: DataFrame) -> DataFrame:
     """(term, share, hidden, holders): the terms that reveal an entity, by the one that they reveal most of."""
     n = scanned.count()
     groups = entity_groups(scanned)
+    words = scanned.where(F.size("base") > 0).select("row", F.explode("terms").alias("term"))
+    words = words.join(counts.where(F.col("holders") >= EVIDENCE), F.col("term") == F.col("word")).select("row", "term", "holders")
     together = (
-        scanned.where(F.size("base") > 0).select("row", "terms").join(groups.withColumnRenamed("row", "of"), F.col("row") == F.col("of"))
-        .select(F.explode("groups").alias("g"), "terms").select("g.owners", "g.rows", F.explode("terms").alias("term"))
-        .groupBy("owners", "rows", "term").agg(F.count(F.lit(1)).alias("both"))
+        words.groupBy("row").agg(F.collect_list(F.struct("term", "holders")).alias("terms")).join(groups.withColumnRenamed("row", "of"), F.col("row") == F.col("of"))
+        .select(F.explode("groups").alias("g"), "terms").select("g.owners", "g.rows", F.inline("terms"))
+        .groupBy("owners", "rows", "term", "holders").agg(F.count(F.lit(1)).alias("both"))
     )
     share, hidden = disclosure(F.col("both"), F.col("owners"), F.col("holders"), n)
     return (
-        together.where(F.col("owners") < n).join(counts, F.col("term") == F.col("word"))
+        together.where((F.col("owners") < n) & (F.col("both") >= EVIDENCE))
         .select("term", "holders", share.alias("share"), hidden.alias("hidden")).where((F.col("share") >= SHARE) & (F.col("hidden") <= GENERALISE))
         .groupBy("term").agg(F.max("share").alias("share"), F.min("hidden").alias("hidden"), F.max("holders").alias("holders"))
     )
