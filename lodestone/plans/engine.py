@@ -43,7 +43,7 @@ class Engine:
     def ingest(self, uri: str, branch: str = "main") -> DataFrame:
         """The manifest of a folder, a ZIP file, or a git repository by URL."""
         if uri.startswith(("http://", "https://", "git@", "file://")):
-            with tree.GitClone(uri, branch) as folder:
+            with tree.GitClone(uri, branch, tree.clone_folder(self.spark)) as folder:
                 return cut(tree.manifest(tree.from_local(self.spark, folder), "github", uri))  # stored before the clone goes
         if uri.endswith(".zip"):
             return tree.manifest(tree.from_zip(self.spark, uri), "zip", uri)

@@ -137,14 +137,29 @@ def from_zip(spark: SparkSession, path: str) -> DataFrame:
     return with_facts(spark.read.format("repo_zip").option("path", path).load())
 
 
+def clone_folder(spark: SparkSession) -> str | None:
+    """Where a clone must lie for executors to read it: the shared folder of spark.checkpoint.dir, where that is a mounted
+    path; None, the driver's own temporary folder, for local masters without one."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    scheme, _, path = (where or "").rpartition(":")
+    if where and scheme in ("", "file"):
+        return "/" + path.strip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a clone needs spark.checkpoint.dir to be a path that all machines mount")
+    return None
+
+
 class GitClone:
-    """A shallow clone in a temporary folder that goes when the block ends."""
+    """A shallow clone in a folder of its own, under `under` or the temporary folder, that goes when the block ends."""
 
-    def __init__(self, url: str, branch: str = "main") -> None:
-        self.url, self.branch = url, branch
+    def __init__(self, url: str, branch: str = "main", under: str | None = None) -> None:
+        self.url, self.branch, self.under = url, branch, under
 
     def __enter__(self) -> str:
-        self.folder = tempfile.TemporaryDirectory(prefix="lodestone-git-")
+        if self.under is not None:
+            os.makedirs(self.under, exist_ok=True)
+        self.folder = tempfile.TemporaryDirectory(prefix="lodestone-git-", dir=self.under)
+        os.chmod(self.folder.name, 0o755)  # executors may run as another user
         done = subprocess.run(["git", "clone", "--quiet", "--depth", "1", "--branch", self.branch, self.url, self.folder.name], capture_output=True, text=True)
         if done.returncode:
             self.folder.cleanup()

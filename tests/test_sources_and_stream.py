@@ -48,6 +48,14 @@ def test_git(spark, repo):
     with pytest.raises(RuntimeError):
         with tree.GitClone(f"file://{repo}-missing"):
             pass
+    with tree.GitClone(f"file://{repo}", "main", f"{repo}-shared/new") as folder:
+        assert folder.startswith(f"{repo}-shared/new/") and tree.from_local(spark, folder).count() == 2
+    assert tree.clone_folder(spark) is None
+    spark.conf.set("spark.checkpoint.dir", "file:///mnt/shared/")
+    try:
+        assert tree.clone_folder(spark) == "/mnt/shared"
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
 
 
 def test_chunks(spark):
