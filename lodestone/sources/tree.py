@@ -137,18 +137,22 @@ def from_zip(spark: SparkSession, path: str) -> DataFrame:
     return with_facts(spark.read.format("repo_zip").option("path", path).load())
 
 
-def clone_folder(spark: SparkSession) -> str | None:
-    """Where a clone must lie for executors to read it: the shared folder of spark.checkpoint.dir, where that is a mounted
-    path; None, the driver's own temporary folder, for local masters without one."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+def mounted(where: str | None, local: bool) -> str | None:
+    """The path of a shared folder that is mounted on all machines; None, which is the driver's own temporary folder, for
+    local masters that have none."""
     scheme, _, path = (where or "").rpartition(":")
     if where and scheme in ("", "file"):
         return "/" + path.strip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("a clone needs spark.checkpoint.dir to be a path that all machines mount")
     return None
 
 
+def clone_folder(spark: SparkSession) -> str | None:
+    """Where a clone must lie for executors to read it."""
+    return mounted(spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master.startswith("local"))
+
+
 class GitClone:
     """A shallow clone in a folder of its own, under `under` or the temporary folder, that goes when the block ends."""
 

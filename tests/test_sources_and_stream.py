@@ -50,12 +50,11 @@ def test_git(spark, repo):
             pass
     with tree.GitClone(f"file://{repo}", "main", f"{repo}-shared/new") as folder:
         assert folder.startswith(f"{repo}-shared/new/") and tree.from_local(spark, folder).count() == 2
-    assert tree.clone_folder(spark) is None
-    spark.conf.set("spark.checkpoint.dir", "file:///mnt/shared/")
-    try:
-        assert tree.clone_folder(spark) == "/mnt/shared"
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    assert tree.mounted(None, True) is None and tree.mounted("s3a://b/c", True) is None
+    assert tree.mounted("file:///mnt/shared/", False) == tree.mounted("/mnt/shared", False) == "/mnt/shared"
+    for where in (None, "s3a://b/c"):
+        with pytest.raises(RuntimeError):
+            tree.mounted(where, False)
 
 
 def test_chunks(spark):
