@@ -230,7 +230,7 @@ def keep_first(documents: DataFrame, split: int = SPLIT, rows: DataFrame | None
     marked = rows.join(several, F.col("comp") == F.col("of")).groupBy(*[F.col(c).alias(f"kept_{c}") for c in ("doc_id", "h1", "h2")]).agg(F.any_value(order == F.col("first")).alias("is_first"), F.count(F.lit(1)).alias("n"))
     marked = settle(marked.where("NOT is_first OR n > 1"), "simhash-dropped")
     clash = "kept_"
-    while any(c.startswith(clash) for c in documents.columns):
+    while any(c.lower().startswith(clash) for c in documents.columns):
         clash += "_"
     marked = marked.select(*[F.col(f"kept_{c}").alias(f"{clash}{c}") for c in ("doc_id", "h1", "h2")], "is_first")
     h1, h2 = text_key(F.col("text").cast("string"))

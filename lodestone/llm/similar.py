@@ -6,7 +6,9 @@ average, and in RADIUS or more with probability 1e-6, a radius that leaves no bl
 are therefore keyed by minhashes, 25 bands of 4: a pair at 0.8 shares none with probability 2e-6, and less above. Sets of
 fewer than SMALL shingles, whose bits say little, are compared with all of their shard. Equal shingle sets are one member
 throughout. Only members that share a shard with another are read again, and each pair that the tree finds is decided by
-the exact similarity of their sets of 64-bit shingle hashes."""
+the exact similarity of their sets of 64-bit shingle hashes. A shard beyond `most` members or SHARD_BYTES is dealt to
+groups by hash, and each two groups meet in a task of their own: a task's memory is bounded and no pair is lost, but the
+work of a shard grows with the square of its different sets."""
 
 from __future__ import annotations
 
@@ -19,6 +21,7 @@ from lodestone.llm.simhash import _NO_ID, BITS, BKTree, components, keep_first,
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 25, 4
 RADIUS, SMALL = 24, 50
+MOST, SHARD_BYTES = 2048, 16 << 20
 _draw = np.random.default_rng(42)
 _WORD = _draw.integers(1, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _TURN = _draw.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,7 +93,7 @@ def _prints(batches):
         sets = [shingles(t, kept) for t in batch.column("text").to_pylist()]
         fp = np.array([set_hash(s) for s in sets], np.uint64).view(np.int64)
         keys = [band_keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "h1", "h2")], pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "fp", "keys"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "h1", "h2")], pa.array(fp, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "fp", "size", "keys"])
 
 
 def _sets(batches):
@@ -147,29 +150,41 @@ def _confirmed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def grouped_similar(documents: DataFrame) -> DataFrame:
+def shards_of(groups: DataFrame, most: int = MOST) -> DataFrame:
+    """(shard, tile, fp): who meets whom. Of shards with the same members one stays. A shard of several groups has a tile
+    for each two of them, and a member is in every tile of its group."""
+    banded = groups.select("fp", "size", F.explode("keys").alias("shard"))
+    same = [F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes"), F.bit_xor(F.xxhash64("fp")).alias("x1"), F.bit_xor(F.xxhash64(F.lit("same"), "fp")).alias("x2")]
+    one = banded.groupBy("shard").agg(*same).where("n > 1").groupBy("n", "hashes", "x1", "x2").agg(F.min("shard").alias("shard"))
+    parts = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("hashes") * 8 / SHARD_BYTES)).alias("parts")
+    dealt = banded.join(one.select("shard", parts), "shard").withColumn("mine", F.pmod(F.xxhash64("fp", "shard"), F.col("parts")))
+    other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: (x != F.col("mine")) | (F.col("parts") == 1))
+    tiles = F.transform(other, lambda x: F.least(x, F.col("mine")) * F.col("parts") + F.greatest(x, F.col("mine")))
+    return dealt.select("shard", F.explode(tiles).alias("tile"), "fp")
+
+
+def grouped_similar(documents: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, h1, h2 (the text's key), least (the smallest doc_id that links of similarity 0.8 or more reach) and comp
     (which component) of every row of `documents` (doc_id, text). Texts without words are alike."""
     text = F.col("text").cast("string")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(text), text.alias("text"))
-    prints = settle(rows.mapInArrow(_prints, "doc_id long, h1 long, h2 long, fp long, keys array<long>"), "similar-prints")
+    prints = settle(rows.mapInArrow(_prints, "doc_id long, h1 long, h2 long, fp long, size long, keys array<long>"), "similar-prints")
     one = F.min(F.struct("h1", "h2")).alias("one")  # the text that stands for its set of shingles
-    groups = settle(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(_NO_ID)).alias("rep"), one, F.any_value("keys").alias("keys")), "similar-groups")
-    shared = groups.select("fp", F.explode("keys").alias("key")).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
-    shards = settle(shared.select("fps").distinct().select(F.xxhash64("fps").alias("shard"), F.explode("fps").alias("fp")), "similar-shards")
+    groups = settle(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(_NO_ID)).alias("rep"), one, F.any_value("size").alias("size"), F.any_value("keys").alias("keys")), "similar-groups")
+    shards = settle(shards_of(groups, most), "similar-shards")
     asked = settle(shards.select("fp").distinct().join(groups.select("fp", "rep", "one"), "fp").select(F.col("fp").alias("asked"), "rep", F.col("one.h1").alias("a1"), F.col("one.h2").alias("a2")), "similar-asked")
     read = rows.join(asked, (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2"))).dropDuplicates(["h1", "h2"]).select("asked", "rep", "text")
     sets = read.mapInArrow(_sets, "asked long, rep long, shingles binary")
-    members = shards.join(sets.hint("merge"), F.col("fp") == F.col("asked")).groupBy("shard").agg(F.collect_list(F.struct("fp", "rep", "shingles")).alias("members"))
+    members = shards.join(sets, F.col("fp") == F.col("asked")).groupBy("shard", "tile").agg(F.collect_list(F.struct("fp", "rep", "shingles")).alias("members"))
     links = members.select("members").mapInArrow(_confirmed, "a long, b long").distinct()
     mine = groups.select("fp", "rep")
     named = mine.join(components(mine, links), "fp", "left").select(F.col("fp").alias("own"), F.coalesce("lab.rep", "rep").alias("least"), F.coalesce("lab.fp", "fp").alias("comp"))
-    return prints.drop("keys").join(named, F.col("fp") == F.col("own"), "left").drop("own", "fp")
+    return prints.drop("size", "keys").join(named, F.col("fp") == F.col("own"), "left").drop("own", "fp")
 
 
-def similar_documents(documents: DataFrame) -> DataFrame:
+def similar_documents(documents: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id and component_id of every row: the smallest doc_id of all rows that links reach, null where none has one."""
-    return grouped_similar(documents).select("doc_id", F.when(F.col("least") != _NO_ID, F.col("least")).alias("component_id"))
+    return grouped_similar(documents, most).select("doc_id", F.when(F.col("least") != _NO_ID, F.col("least")).alias("component_id"))
 
 
 def keep_first_similar(documents: DataFrame) -> DataFrame:

@@ -48,3 +48,24 @@ def test_one_row_of_each_group_stays(spark):
         assert out.columns == table.columns
         got = [(r["doc_id"], r["text"]) for r in out.collect()]
         assert set(got) - {(9, a + "more")} == {(2, b), (4, a), (None, c), (7, None)} and len(got) == len(set(got))
+
+
+def test_names_that_differ_by_case(spark):
+    table = spark.createDataFrame([(1, "one text", 1, "x"), (2, "one text", 2, "y")], "doc_id long, text string, KEPT_DOC_ID int, Kept_H1 string")
+    for keep in (simhash.keep_first, similar.keep_first_similar):
+        assert list(map(tuple, keep(table).collect())) == [(1, "one text", 1, "x")]
+
+
+def test_split_shards_lose_no_link(spark):
+    """Sixty texts that share most words stand in the same shards; groups of four meet in tiles."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(f"v{i}" if j % 97 == i % 97 or (i % 3 and j == 150) else w for j, w in enumerate(words[: 200 - 15 * (i % 5)]))) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = slow_components(rows)
+    assert sorted(map(tuple, similar.similar_documents(table, 4).collect())) == want == sorted(map(tuple, similar.similar_documents(table).collect()))
+    groups = spark.createDataFrame([(i, 10, [7, 8]) for i in range(30)] + [(99, 10, [9])], "fp long, size long, keys array<long>")
+    tiles = {}
+    for r in similar.shards_of(groups, 4).collect():
+        tiles.setdefault((r["shard"], r["tile"]), set()).add(r["fp"])
+    met = {(a, b) for t in tiles.values() for a in t for b in t}
+    assert met == {(a, b) for a in range(30) for b in range(30)} and len({s for s, _ in tiles}) == 1 and max(map(len, tiles.values())) < 20
