@@ -3,9 +3,13 @@
 A classifier fitted on labelled rows gives every document a posterior over domains. Each document then gets a rate
 (expected copies) such that the expected token totals of the domains meet targets: least squares in the totals, with
 a pull towards rate 1 that chooses among rates of like totals: PULL, so small that reachable targets are met to a
-millionth, or MIX_PULL where targets are out of reach and only the pull keeps few documents from being repeated endlessly. The best rates follow from one price a domain, so the state of the fit is one vector;
-every pass recomputes all rates from it, next to the data, and sends back one row of totals and second moments for a
-Newton step, until the optimum is met to CLOSE. Nothing of the size of the corpus is kept between passes but the table of memberships."""
+millionth, or MIX_PULL where targets are out of reach and only the pull keeps few documents from being repeated endlessly.
+
+Rates are fitted by projected gradient steps in two metrics: rates at their bound that the gradient pushes against it
+step by the plain gradient, all others by the gradient preconditioned with the k x k moments of their memberships; both
+are projected on the bound, and a step is halved until the squares fall enough. A step is told by 2k + 1 numbers, so the
+state of the fit is the list of its steps: every pass replays them from rate 1, next to the data, and sends back one row
+of totals. Nothing of the size of the corpus is kept between passes but the table of memberships."""
 
 from __future__ import annotations
 
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import settle
 
 BUCKETS, MAX_LABELLED, KEPT_TOKENS = 1 << 16, 12_000, 200_000
-PULL, MIX_PULL, CLOSE, MISSED, PASSES = 1e-6, 1e-3, 1e-6, 1e-3, 200
+PULL, MIX_PULL, CLOSE, NEAR, MISSED, PASSES = 1e-6, 1e-3, 1e-6, 1e-6, 1e-3, 200
 
 
 class Domains:
@@ -148,83 +152,126 @@ def _members(model):
     return run
 
 
-def rates_of(member: np.ndarray, dual: np.ndarray, least: float, pull: float = PULL) -> np.ndarray:
-    """The best rates for given prices of the domains' totals."""
-    return np.maximum(least, 1 - member @ dual / pull)
+def rates_of(member: np.ndarray, steps: np.ndarray, least: float, pull: float = PULL) -> np.ndarray:
+    """The rates after projected gradient steps from rate 1. A step is its length, the totals' slope y and the
+    preconditioned slope w: along it, a rate at its bound that the gradient pushes against it goes towards
+    1 - p.y / pull, any other towards 1 - p.w."""
+    k = member.shape[1]
+    r = np.full(len(member), max(1.0, least))
+    for step in np.reshape(steps, (-1, 2 * k + 1)):
+        part, y, w = step[0], step[1 : k + 1], step[k + 1 :]
+        plain = member @ y / pull
+        goal = 1 - np.where(bound(r, plain, least), plain, member @ w)
+        r = np.maximum(least, r + part * (goal - r))
+    return r
+
+
+def bound(r: np.ndarray, plain: np.ndarray, least: float) -> np.ndarray:
+    """Which rates stand at (or within NEAR of) their bound while the gradient, plain + r - 1 in units of the pull, pushes on."""
+    return (r <= least + NEAR) & (plain + r > 1)
 
 
 def _matrix(batch, k: int) -> np.ndarray:
     return batch.column("membership").values.to_numpy(zero_copy_only=False).reshape(-1, k) if batch.num_rows else np.zeros((0, k))
 
 
-def _sums(k: int, dual: np.ndarray, least: float, pull: float):
+def _totals(k: int, steps: np.ndarray, least: float, pull: float):
+    """Totals by domain at the rates that `steps` lead to, the pull's part of the squares, and the tokens."""
+
+    def of(p, n):
+        r = rates_of(p, steps, least, pull)
+        return np.concatenate([(n * r) @ p, [pull / 2 * (n @ (r - 1) ** 2), n.sum()]])
+
+    return of
+
+
+def _moments(k: int, steps: np.ndarray, y: np.ndarray, least: float, pull: float):
+    """Of the rates that are off their bounds: second moments of memberships, and memberships times the gradient in units
+    of the pull; last, the longest that any rate would move by a plain gradient step."""
+
+    def of(p, n):
+        r = rates_of(p, steps, least, pull)
+        plain = p @ y / pull
+        slope, free = plain + r - 1, n * ~bound(r, plain, least)
+        moved = np.abs(np.maximum(least, r - pull * slope) - r)[n > 0].max(initial=0)
+        return np.concatenate([((p * free[:, None]).T @ p).ravel(), (free * slope) @ p, [moved]])
+
+    return of
+
+
+def _gather(members: DataFrame, k: int, size: int, of) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and maxima over all rows of the `size` numbers that `of` makes of a batch."""
     import pyarrow as pa
 
     def run(batches):
-        total = np.zeros(k * k + k + 2)
+        total, most = np.zeros(size), np.zeros(size)
         for batch in batches:
-            p, n = _matrix(batch, k), batch.column("n_tokens").to_numpy().astype(float)
-            r = rates_of(p, dual, least, pull)
-            free = n * (1 - p @ dual / pull > least)
-            total += np.concatenate([((p * free[:, None]).T @ p).ravel(), (n * r) @ p, [n @ (r * (p @ dual) + pull / 2 * (r - 1) ** 2), n.sum()]])
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total, pa.float64())], names=["at", "total"])
+            part = of(_matrix(batch, k), batch.column("n_tokens").to_numpy().astype(float))
+            total, most = total + part, np.maximum(most, part)
+        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total, pa.float64()), pa.array(most, pa.float64())], names=["at", "total", "most"])
 
-    return run
+    rows = members.mapInArrow(run, "at int, total double, most double").groupBy("at").agg(F.sum("total").alias("total"), F.max("most").alias("most")).collect()
+    out = np.zeros((2, size))
+    for r in rows:
+        out[:, r["at"]] = r["total"], r["most"]
+    return out[0], out[1]
 
 
 def fit_rates(members: DataFrame, k: int, weights: np.ndarray | None = None, temper: float = 0.85, least: float = 0.0, grow: bool = False, pull: float = PULL) -> tuple[np.ndarray, np.ndarray]:
-    """The prices (one a domain) whose rates fit the targets best, and the gaps in token shares that are left.
+    """The projected gradient steps whose rates fit the targets best, and the gaps in token shares that are left.
 
     Targets are `weights` times the corpus' tokens; without weights, the domains' present shares to the power
-    `temper`. With `grow`, the total is raised until no domain has to shrink. Newton steps on the dual, halved until
-    it rises, end when its slope is below CLOSE in every domain; RuntimeError where PASSES passes do not get there."""
-
-    def sums(dual):
-        rows = members.mapInArrow(_sums(k, dual, least, pull), "at int, total double").groupBy("at").agg(F.sum("total").alias("total")).collect()
-        out = np.zeros(k * k + k + 2)
-        for r in rows:
-            out[r["at"]] = r["total"]
-        return out[: k * k].reshape(k, k), out[k * k : -2], out[-2], out[-1]
-
-    dual = np.zeros(k)
-    square, have, value, total = sums(dual)
+    `temper`. With `grow`, the total is raised until no domain has to shrink. The fit ends when a plain gradient step
+    would move no rate by CLOSE or more, at the latest at its optimum; RuntimeError where PASSES passes do not get there."""
+    steps = np.zeros((0, 2 * k + 1))
+    found, _ = _gather(members, k, k + 2, _totals(k, steps, least, pull))
+    total = found[-1]
     if total <= 0:
-        return dual, np.zeros(k)
-    share = have / have.sum()
+        return steps, np.zeros(k)
+    share = found[:k] / found[:k].sum()
     target = share**temper if weights is None else np.asarray(weights, float)
     target = target / target.sum()
     if grow:
         target = target * max(1.0, (share[target > 0] / target[target > 0]).max())
     soft = np.maximum(share, 1e-6)  # a gap weighs by the inverse of its domain's share
-    height = lambda d, v: v / total - d @ target - (d * d * soft).sum() / 2
-    passes, now = 1, height(dual, value)
+    squares = lambda f: ((f[:k] / total - target) ** 2 / soft).sum() / 2 + f[k] / total
+    passes = 1
     while True:
-        slope = have / total - target - dual * soft
-        if np.abs(slope).max() < CLOSE:
+        y = (found[:k] / total - target) / soft
+        sums, most = _gather(members, k, k * k + k + 1, _moments(k, steps, y, least, pull))
+        passes += 1
+        if most[-1] < CLOSE:
             break
-        step, part = np.linalg.solve(np.diag(soft) + square / total / pull, slope), 1.0
+        moments, slope = sums[: k * k].reshape(k, k) / total, sums[k * k : -1] / total
+        w = y / pull - np.linalg.solve(np.diag(soft) * pull + moments, slope)
+        part, before = 1.0, squares(found)
         while True:
-            if passes == PASSES:
-                raise RuntimeError(f"mixing rates not fitted in {PASSES} passes: slope {np.abs(slope).max():.2g}")
-            tried = dual + part * step
-            square, have, value, _ = sums(tried)
+            if passes >= PASSES:
+                raise RuntimeError(f"mixing rates not fitted in {PASSES} passes: a gradient step moves a rate by {most[-1]:.2g}")
+            tried = np.vstack([steps, np.concatenate([[part], y, w])])
+            there, _ = _gather(members, k, k + 2, _totals(k, tried, least, pull))
             passes += 1
-            if height(tried, value) >= now + 1e-4 * part * (slope @ step) - 1e-14:
+            if squares(there) < before * (1 - 1e-4 * part):
                 break
             part /= 2
-        dual, now = tried, height(tried, value)
-    gaps = have / total - target
+            if part < 2.0**-20:  # the squares fall no further in double precision
+                tried, there = steps, found
+                break
+        if tried is steps:
+            break
+        steps, found = tried, there
+    gaps = found[:k] / total - target
     if np.abs(gaps).max() > MISSED:
         logging.getLogger(__name__).warning("mixing: targets are out of reach by up to %.4f of the tokens; gaps by domain %s", np.abs(gaps).max(), np.round(gaps, 4).tolist())
-    return dual, gaps
+    return steps, gaps
 
 
-def _rated(k: int, dual: np.ndarray, least: float, pull: float = PULL):
+def _rated(k: int, steps: np.ndarray, least: float, pull: float = PULL):
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            r = rates_of(_matrix(batch, k), dual, least, pull)
+            r = rates_of(_matrix(batch, k), steps, least, pull)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r, pa.float64())], names=[*batch.schema.names, "rate"])
 
     return run
@@ -241,8 +288,8 @@ def mixing_rates(documents: DataFrame, labelled: DataFrame, weights: dict[str, f
     held, k = documents.sparkSession.sparkContext.broadcast(model), len(model.names)
     members = settle(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_members(held), "doc_id long, n_tokens long, membership array<double>"), "mixing")
     target = None if weights is None or not any(weights.get(n, 0) for n in model.names) else np.array([weights.get(n, 0.0) for n in model.names])
-    dual, _ = fit_rates(members, k, target)
-    return members.mapInArrow(_rated(k, dual, 0.0), "doc_id long, n_tokens long, membership array<double>, rate double")
+    steps, _ = fit_rates(members, k, target)
+    return members.mapInArrow(_rated(k, steps, 0.0), "doc_id long, n_tokens long, membership array<double>, rate double")
 
 
 def mix(documents: DataFrame, labelled: DataFrame, temper: float = 0.85) -> DataFrame:
@@ -252,7 +299,7 @@ def mix(documents: DataFrame, labelled: DataFrame, temper: float = 0.85) -> Data
     model = fit_domains(documents, labelled)
     held, k = documents.sparkSession.sparkContext.broadcast(model), len(model.names)
     members = settle(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_members(held), "doc_id long, n_tokens long, membership array<double>").select("n_tokens", "membership"), "mix")
-    dual, _ = fit_rates(members, k, None, temper, 1.0, True, MIX_PULL)
+    steps, _ = fit_rates(members, k, None, temper, 1.0, True, MIX_PULL)
 
     def run(batches):
         import pyarrow as pa
@@ -260,7 +307,7 @@ def mix(documents: DataFrame, labelled: DataFrame, temper: float = 0.85) -> Data
         m = held.value
         for batch in batches:
             p = np.array([m.membership(t)[1] for t in batch.column("text").to_pylist()]).reshape(-1, k)
-            r = rates_of(p, dual, 1.0, MIX_PULL)
+            r = rates_of(p, steps, 1.0, MIX_PULL)
             chance = np.array([zlib.crc32(f"{i}:{t}".encode("utf-8", "surrogatepass")) / 2**32 for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())])
             copies = np.floor(r).astype(np.int64) + (chance < r - np.floor(r))
             for at in range(0, batch.num_rows, 256):
