@@ -5,7 +5,9 @@ m members give at most m - 1 links. What differs is the reach: pairs of Jaccard
 average, and in RADIUS or more with probability 1e-6, a radius that leaves no blocks of equal bits to shard by. Shards
 are therefore keyed by minhashes, 25 bands of 4: a pair at 0.8 shares none with probability 2e-6, and less above. Sets of
 fewer than SMALL shingles, whose bits say little, are compared with all of their shard. Equal shingle sets are one member
-throughout. Only members that share a shard with another are read again, and each pair that the tree finds is decided by
+throughout. Of a shard's members only those go on
+whose sketch (a byte of each minhash) agrees with another's in NEAR of 100 places; a pair at 0.8 agrees in fewer with
+probability 1e-8, chance meetings, which grow with the square of the corpus, hardly ever in as many. These are read again, and each pair that the tree finds is decided by
 the exact similarity of their sets of 64-bit shingle hashes. A shard beyond `most` members or SHARD_BYTES is dealt to
 groups by hash, and each two groups meet in a task of their own: a task's memory is bounded and no pair is lost, but the
 work of a shard grows with the square of its different sets."""
@@ -16,11 +18,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import settle
+from lodestone.llm.shared import settle, sliced
 from lodestone.llm.simhash import _NO_ID, BITS, BKTree, components, keep_first, text_key
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 25, 4
-RADIUS, SMALL = 24, 50
+RADIUS, SMALL, NEAR = 24, 50, 0.55
 MOST, SHARD_BYTES = 2048, 16 << 20
 _draw = np.random.default_rng(42)
 _WORD = _draw.integers(1, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,12 +69,16 @@ def set_hash(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), 7) if len(hashes) else 0
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key for each band, the same for both of a pair where the band's minhashes are."""
+def minhashes(hashes: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 1024):
         part = hashes[at : at + 1024, None] * _TURN + _ADD
         least = np.minimum(least, _mixed(part).min(axis=0))
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One key for each band of minhashes, the same for both of a pair where the band's minhashes are."""
     bands = least.reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for j in range(ROWS):
@@ -89,11 +95,35 @@ def _prints(batches):
     import pyarrow as pa
 
     kept: dict[bytes, int] = {}
-    for batch in batches:
+    for batch in sliced(batches):
         sets = [shingles(t, kept) for t in batch.column("text").to_pylist()]
         fp = np.array([set_hash(s) for s in sets], np.uint64).view(np.int64)
-        keys = [band_keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "h1", "h2")], pa.array(fp, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "fp", "size", "keys"])
+        least = [minhashes(s) if len(s) else None for s in sets]
+        keys = [np.zeros(0, np.int64) if x is None else band_keys(x).view(np.int64) for x in least]
+        sketch = [b"" if x is None else x.astype(np.uint8).tobytes() for x in least]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "h1", "h2")], pa.array(fp, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "h1", "h2", "fp", "size", "keys", "sketch"])
+
+
+def near_members(sketches: np.ndarray) -> np.ndarray:
+    """Which rows of a matrix of sketches agree with another row in NEAR of their places or more."""
+    out = np.zeros(len(sketches), bool)
+    for at in range(0, len(sketches), 64):
+        same = (sketches[at : at + 64, None] == sketches[None]).sum(axis=2) >= NEAR * sketches.shape[1]
+        out[at : at + 64] = same.sum(axis=1) > 1  # each agrees with itself
+    return out
+
+
+def _near(batches):
+    import pyarrow as pa
+
+    for batch in sliced(batches):
+        members = batch.column("members")
+        ends = members.offsets.to_numpy()
+        fp, raw = members.values.field("fp").to_numpy(), members.values.field("sketch").to_pylist()
+        keep = [lo + np.flatnonzero(near_members(np.frombuffer(b"".join(raw[lo:hi]), np.uint8).reshape(hi - lo, -1))) for lo, hi in zip(ends, ends[1:])]
+        at = pa.array(np.repeat(np.arange(len(keep)), [len(k) for k in keep]), pa.int64())
+        found = np.concatenate(keep) if keep else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("shard").take(at), batch.column("tile").take(at), pa.array(fp[found], pa.int64())], names=["shard", "tile", "fp"])
 
 
 def _sets(batches):
@@ -168,10 +198,11 @@ def grouped_similar(documents: DataFrame, most: int = MOST) -> DataFrame:
     (which component) of every row of `documents` (doc_id, text). Texts without words are alike."""
     text = F.col("text").cast("string")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(text), text.alias("text"))
-    prints = settle(rows.mapInArrow(_prints, "doc_id long, h1 long, h2 long, fp long, size long, keys array<long>"), "similar-prints")
+    prints = settle(rows.mapInArrow(_prints, "doc_id long, h1 long, h2 long, fp long, size long, keys array<long>, sketch binary"), "similar-prints")
     one = F.min(F.struct("h1", "h2")).alias("one")  # the text that stands for its set of shingles
-    groups = settle(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(_NO_ID)).alias("rep"), one, F.any_value("size").alias("size"), F.any_value("keys").alias("keys")), "similar-groups")
-    shards = settle(shards_of(groups, most), "similar-shards")
+    groups = settle(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(_NO_ID)).alias("rep"), one, F.any_value("size").alias("size"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")), "similar-groups")
+    met = shards_of(groups, most).join(groups.select(F.col("fp").alias("who"), "sketch"), F.col("fp") == F.col("who")).groupBy("shard", "tile").agg(F.collect_list(F.struct("fp", "sketch")).alias("members"))
+    shards = settle(met.mapInArrow(_near, "shard long, tile long, fp long"), "similar-shards")
     asked = settle(shards.select("fp").distinct().join(groups.select("fp", "rep", "one"), "fp").select(F.col("fp").alias("asked"), "rep", F.col("one.h1").alias("a1"), F.col("one.h2").alias("a2")), "similar-asked")
     read = rows.join(asked, (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2"))).dropDuplicates(["h1", "h2"]).select("asked", "rep", "text")
     sets = read.mapInArrow(_sets, "asked long, rep long, shingles binary")
@@ -179,7 +210,7 @@ def grouped_similar(documents: DataFrame, most: int = MOST) -> DataFrame:
     links = members.select("members").mapInArrow(_confirmed, "a long, b long").distinct()
     mine = groups.select("fp", "rep")
     named = mine.join(components(mine, links), "fp", "left").select(F.col("fp").alias("own"), F.coalesce("lab.rep", "rep").alias("least"), F.coalesce("lab.fp", "fp").alias("comp"))
-    return prints.drop("size", "keys").join(named, F.col("fp") == F.col("own"), "left").drop("own", "fp")
+    return prints.drop("size", "keys", "sketch").join(named, F.col("fp") == F.col("own"), "left").drop("own", "fp")
 
 
 def similar_documents(documents: DataFrame, most: int = MOST) -> DataFrame:
