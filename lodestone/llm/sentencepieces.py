@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import sliced
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values of the model format
@@ -298,7 +300,7 @@ def _runner(model, with_ids: bool):
 
     def run(batches):
         machine = model.value.machine
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, digests, texts, same, lists = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 ids = array("i", machine.encode(text))

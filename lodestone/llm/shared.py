@@ -54,6 +54,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sliced(batches, rows: int = 512):
+    """Arrow batches of few rows, so that what Python makes of one stays small where texts are long."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Scratch:
     """Context in which settled tables are scratch: they are deleted at its end, but for those that `keep` names."""
 

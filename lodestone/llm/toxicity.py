@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import forget, settle
+from lodestone.llm.shared import forget, settle, sliced
 
 ORDER, SHARED, DISCOUNT = 5, 2, 0.75
 MAX_LABELLED = 12_000  # labelled rows that models and weights are fitted on, at most: those of the smallest hashes
@@ -192,7 +192,7 @@ def _batches(scorer, features: bool):
 
     def run(batches):
         s = scorer.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             if features:
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([s.features(t) for t in texts], pa.list_(pa.float64()))], names=["toxic", "x"])
@@ -277,7 +277,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             scores = [held.value.score(t) for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([x < 0.5 for x in scores], pa.bool_()))
 
