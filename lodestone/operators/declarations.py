@@ -2,9 +2,10 @@
 
 A source becomes its tokens, one row each; prefix sums over a file's tokens give line, place and bracket depth. Brackets
 of one depth alternate between opening and closing, so the next one at a bracket's depth is its partner. The tokens then
-go back to one array for each file, in which every bracket knows its partner and every token the start of its statement,
-what encloses it and where its expression stops; a declaration is a pattern of tokens at one depth. A file is one group
-of rows: the sorts spill, its array does not, as the source itself does not.
+go back to one array, in which every bracket knows its partner and every token the start of its statement, what encloses
+it and where its expression stops; a declaration is a pattern of tokens at one depth. A long source is first cut into
+sections where a statement outside all brackets ends with its line, so that no group of rows and no array grows with a
+file; only a statement without such an end, a large class for one, stays whole.
 
 What counts as a declaration and how it is named follows syntax trees of these languages: functions whose name is no
 plain identifier next to their body (of C++, methods of Go, most arrow functions) are <anonymous>, and so are Go's types.
@@ -33,55 +34,91 @@ CONTROL = "if for while switch catch with return function do else try throw new
 MODIFIERS = "public private protected static final abstract native synchronized strictfp transient volatile default async get set readonly override export declare virtual inline constexpr explicit friend extern const mutable sealed".split()
 BASE_WORDS = ["public", "private", "protected", "virtual"]
 
+SECTION = 1 << 14  # characters after which a source is cut where it can be
+# The end of a line after which a statement may start, if what stands before it ends one.
+_LINE = r"(?<=[;}][^\S\n]{0,8})\n(?=[A-Za-z_$#@])"
+_SCRIPT_LINE = r"(?<=;[^\S\n]{0,8})\n(?=[A-Za-z_$#@])|(?<=\}[^\S\n]{0,8})\n(?!(?:instanceof|in|of|as|extends|implements)(?![\p{L}\p{N}_$]))(?=[A-Za-z_$])"
+
 
 def tokens(language: Column, code: Column) -> Column:
     every = lambda pattern: F.regexp_extract_all(code, F.lit(pattern), F.lit(0))
     return F.when(language == "cpp", every(CPP_TOKENS)).when(language.isin("javascript", "typescript"), every(SCRIPT_TOKENS)).otherwise(every(TOKENS))
 
 
+def _trivia(tok: Column) -> Column:
+    return tok.rlike(r"^(\s|//|/\*)") & ~tok.rlike(r"^\s*#")
+
+
 def _word(tok: Column) -> Column:
     return tok.rlike(r"^[\p{L}_$]")
 
 
-def token_arrays(files: DataFrame, file: str) -> DataFrame:
-    """(file, T) of files (file, language, code): T holds (i, tok, line, off, depth, partner, body, outer, stmt, stop, semi)
+def sections(files: DataFrame, file: str, size: int = SECTION) -> DataFrame:
+    """(file, section, language, before, code) of files (file, language, code): the sections of each in order of their
+    numbers, which have gaps, with the lines before them. A section ends with a line, at a ; or } outside all brackets and
+    before a line that starts a statement, so that no token, bracket or statement reaches over its end.
+
+    Lines that may end one are told by their last sign alone, so what stands between two of them is tokenised by itself: a
+    comment or template that is open at its end spoils all that follows in the file, which then is one section."""
+    cuts = F.when(F.col("language").isin("javascript", "typescript", "go"), F.split("code", _SCRIPT_LINE)).otherwise(F.split("code", _LINE))
+    rows = files.select(file, "language", F.posexplode(cuts).alias("at", "text"))
+    toks = tokens(F.col("language"), F.col("text"))
+    solid = lambda a: F.filter(a, lambda t: ~_trivia(t))
+    many = lambda a, *signs: F.size(F.filter(a, lambda t: t.isin(*signs)))
+    last = lambda a: F.get(a, F.size(a) - 1)
+    open_ = lambda t: (F.startswith(t, F.lit("`")) & ~t.rlike(r"(?s)^`[^`\\]*+(?:\\.[^`\\]*+)*+`$")) | (F.startswith(t, F.lit("/*")) & ~t.rlike(r"(?s)^/\*.*\*/$"))
+    facts = let(toks, lambda a: F.struct((many(a, "(", "[", "{") - many(a, ")", "]", "}")).alias("deeper"), F.coalesce(open_(last(a)), F.lit(False)).alias("open"), F.coalesce(last(solid(a)).isin(";", "}"), F.lit(False)).alias("ends")))
+    rows = rows.withColumn("facts", facts).select(file, "language", "at", "text", "facts.*")
+    order = Window.partitionBy(file).orderBy("at")
+    so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    fine = F.col("ends") & (F.sum("deeper").over(so_far) == 0) & ~F.max("open").over(so_far)
+    rows = rows.withColumns({"fine": fine, "before": F.coalesce(F.sum(lines).over(before), F.lit(0)), "off": F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))})
+    starts = F.col("at").eqNullSafe(0) | F.lag("fine").over(order)
+    rows = rows.withColumn("section", F.floor(F.last(F.when(starts, F.col("off")), True).over(order) / size).cast("int"))
+    whole = rows.groupBy(file, "section", "language").agg(F.min("before").cast("int").alias("before"), F.array_sort(F.collect_list(F.struct("at", "text"))).alias("rows"))
+    return whole.select(file, "section", "language", "before", F.array_join(F.transform("rows", lambda x: x["text"]), "\n").alias("code"))
+
+
+def token_arrays(files: DataFrame, file: str, *more: str) -> DataFrame:
+    """(file, T) of files (file, language, code), or of sections, which more columns tell apart: T holds (i, tok, line, off, depth, partner, body, outer, stmt, stop, semi)
     of each token that is no space or comment, in order. Numbers of tokens are places in T; depth is the number of
     brackets open before a token, partner the other bracket, body the first token of a block that follows the group that
     an opening bracket starts, outer the bracket around a token, stmt the first token of its statement, stop where an
     expression that holds it ends, semi the next semicolon."""
-    place = Window.partitionBy(file).orderBy("pos")
+    place = Window.partitionBy(file, *more).orderBy("pos")
     before = place.rowsBetween(Window.unboundedPreceding, -1)
-    rows = files.select(file, "language", F.posexplode(tokens(F.col("language"), F.col("code"))).alias("pos", "tok"))
+    rows = files.select(file, *more, "language", F.posexplode(tokens(F.col("language"), F.col("code"))).alias("pos", "tok"))
     newlines = F.length("tok") - F.length(F.replace("tok", F.lit("\n"), F.lit("")))
     rows = rows.withColumns({"line": F.coalesce(F.sum(newlines).over(before), F.lit(0)) + 1, "off": F.coalesce(F.sum(F.length("tok")).over(before), F.lit(0))})
     tok = F.col("tok")
-    rows = rows.where(~tok.rlike(r"^(\s|//|/\*)") | tok.rlike(r"^\s*#"))
+    rows = rows.where(~_trivia(tok))
 
     opens, closes = tok.isin("(", "[", "{"), tok.isin(")", "]", "}")
     rows = rows.withColumns({"i": F.row_number().over(place) - 1, "was": F.lag("tok").over(place), "was_line": F.lag("line").over(place), "depth": F.coalesce(F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(before), F.lit(0)), "semis": F.count_if(tok == ";").over(before)})
     # a line that starts with a word, after what can end a statement, starts one where semicolons may be left out
     fresh = F.col("language").isin("javascript", "typescript", "go") & (F.col("line") > F.col("was_line")) & _word(tok) & ~tok.isin("instanceof", "in", "of", "as", "extends", "implements") & F.col("was").rlike(r"""^[\p{L}\p{N}_$"'`)\]}]""") & ~F.col("was").isin("return", "const", "let", "var", "async", "else", "do", "extends", "export", "default", "import", "from")
     begins = F.col("was").isNull() | F.col("was").isin(";", "{", "}") | (F.startswith("was", F.lit("#")) & (F.col("language") == "cpp")) | fresh
-    place = Window.partitionBy(file).orderBy("i")
-    back = Window.partitionBy(file).orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    place = Window.partitionBy(file, *more).orderBy("i")
+    back = Window.partitionBy(file, *more).orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({"stmt": F.last(F.when(begins, F.col("i")), True).over(place), "semi": F.last(F.when(tok == ";", F.col("i")), True).over(back), "fresh": fresh})
 
     level = F.col("depth") - F.when(closes, 1).otherwise(0)
-    same = Window.partitionBy(file, "bracket", "level").orderBy("i")
+    same = Window.partitionBy(file, *more, "bracket", "level").orderBy("i")
     rows = rows.withColumns({"bracket": opens | closes, "level": level})
     next_ = lambda c, n: F.lead(c, n).over(same)
     partner = F.when(opens, next_("i", 1)).when(closes, F.lag("i").over(same))
     body = F.when(opens & (next_("tok", 2) == "{") & (next_("semis", 2) == next_("semis", 1)), next_("i", 2))
     rows = rows.withColumns({"partner": partner, "body": body})
     # a token stops, at its depth, at the next of these, or where the bracket around it closes
-    ends = Window.partitionBy(file, "depth").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = Window.partitionBy(file, *more, "depth").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("stop", F.last(F.when(tok.isin(",", ";") | closes | F.col("fresh"), F.col("i")), True).over(ends))
     # opening brackets stand twice: once where they are, once as the outer bracket of what is one deeper
     twice = rows.select("*", F.explode(F.when(opens, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("as_outer")).withColumn("inside", F.col("depth") + F.col("as_outer"))
-    around = Window.partitionBy(file, "inside").orderBy("i")
+    around = Window.partitionBy(file, *more, "inside").orderBy("i")
     rows = twice.withColumn("outer", F.last(F.when(F.col("as_outer") == 1, F.col("i")), True).over(around)).where("as_outer = 0")
     item = F.struct(*[F.col(c).cast("string" if c == "tok" else "int").alias(c) for c in ("i", "tok", "line", "off", "depth", "partner", "body", "outer", "stmt", "stop", "semi")])
-    return rows.groupBy(file).agg(F.array_sort(F.collect_list(item)).alias("T"))
+    return rows.groupBy(file, *more).agg(F.array_sort(F.collect_list(item)).alias("T"))
 
 
 class _File:
@@ -290,20 +327,48 @@ class _File:
         return F.exists(self.within(self.at(body)["stmt"], body), lambda y: y["tok"].isin("class", "struct")) & (self.tok(body) == "{")
 
 
+_KINDS = dict(part.strip().split(" ", 1) for part in SCHEMA.split(", "))
+PARTS = ("functions", "classes", "imports", "variables")
+
+
+def declared_parts(files: DataFrame, file: str = "path", size: int = SECTION) -> DataFrame:
+    """(file, section, functions, classes, imports, variables) of the sections, in order, of files (file, language, code) in
+    one of LANGUAGES, in the columns of symbols.analyze. Files without tokens have no rows."""
+    rows = files.where(F.col("language").isin(*LANGUAGES)).select(F.col(file).cast("string").alias(file), "language", F.coalesce(F.col("code"), F.lit("")).alias("code"))
+    cuts = sections(rows, file, size)
+    # a merge join, as an array of tokens takes far more room than its size as Spark estimates it, by which it is broadcast
+    whole = cuts.join(token_arrays(cuts, file, "section").hint("merge"), [file, "section"])
+    f = _File(F.col("T"), F.col("language"), F.col("code"))
+
+    def moved(part: Column, lines: tuple[str, ...]) -> Column:
+        """Lines count from the start of the file."""
+        def row(x: Column) -> Column:
+            for name in lines:
+                x = x.withField(name, x[name] + F.col("before"))
+            return x
+
+        return F.transform(part, row)
+
+    found = {"functions": moved(f.functions().cast(_KINDS["functions"]), ("start_line", "end_line")), "classes": moved(f.classes().cast(_KINDS["classes"]), ("start_line", "end_line"))}
+    found |= {"imports": moved(f.imports().cast(_KINDS["imports"]), ("line",)), "variables": moved(f.variables().cast(_KINDS["variables"]), ("line",))}
+    return whole.select(file, "section", *[c.alias(n) for n, c in found.items()])
+
+
 def declarations(files: DataFrame, file: str = "path") -> DataFrame:
     """One row for each file (file, language, code) in one of LANGUAGES, in the columns of symbols.analyze: functions,
     classes, imports and variables with their lines. A null source is empty; a file named twice must be so once only.
 
     Functions nest and stand in the order of their first tokens. Names of Java fields and local variables are those of a
     statement's first declarator, of C++ those that have no initialiser and stand in no class; Go gives none."""
-    rows = files.where(F.col("language").isin(*LANGUAGES)).select(F.col(file).cast("string").alias(file), "language", F.coalesce(F.col("code"), F.lit("")).alias("code"))
-    empty = F.array().cast("array<struct<i:int,tok:string,line:int,off:int,depth:int,partner:int,body:int,outer:int,stmt:int,stop:int,semi:int>>")
-    whole = rows.join(token_arrays(rows, file), file, "left").withColumn("T", F.coalesce("T", empty))
-    f = _File(F.col("T"), F.col("language"), F.col("code"))
-    kinds = dict(part.strip().split(" ", 1) for part in SCHEMA.replace(", ", "\0").replace("\0", ", ").split(", "))
-    parts = {"functions": f.functions(), "classes": f.classes(), "imports": f.imports(), "variables": f.variables()}
-    blocks = F.array().cast(kinds["blocks"])
-    return whole.select(file, "language", F.lit(True).alias("valid"), F.lit(None).cast("string").alias("error"), F.size(split_lines(F.col("code"))).alias("total_lines"), *[c.cast(kinds[n]).alias(n) for n, c in parts.items()], blocks.alias("blocks"))
+    rows = files.where(F.col("language").isin(*LANGUAGES)).select(F.col(file).cast("string").alias(file), "language", F.size(split_lines(F.coalesce(F.col("code"), F.lit("")))).alias("total_lines"))
+    none = [F.lit(None).cast(_KINDS[p]).alias(p) for p in PARTS]
+    own = rows.select(file, F.lit(-1).alias("section"), "language", "total_lines", *none)
+    found = declared_parts(files, file).select(file, "section", F.lit(None).cast("string").alias("language"), F.lit(None).cast("int").alias("total_lines"), *PARTS)
+    # gathered with the file's own row, not joined to it: no side that could be broadcast
+    whole = own.unionByName(found).groupBy(file).agg(F.max("language").alias("language"), F.max("total_lines").alias("total_lines"), F.array_sort(F.collect_list(F.struct("section", *PARTS))).alias("rows"))
+    blocks = F.array().cast(_KINDS["blocks"])
+    joined = [F.flatten(F.filter(F.col("rows")[p], lambda x: x.isNotNull())).alias(p) for p in PARTS]
+    return whole.select(file, "language", F.lit(True).alias("valid"), F.lit(None).cast("string").alias("error"), "total_lines", *joined, blocks.alias("blocks"))
 
 
 def analyze_all(files: DataFrame, file: str = "path") -> DataFrame:

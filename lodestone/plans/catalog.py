@@ -240,7 +240,7 @@ def python_symbols_files(spark, sf_dir):
 @query(f"WITH {C.FOREIGN_SYMBOLS} SELECT path, kind, name, detail, line, last FROM found")
 def declarations_files(spark, sf_dir):
     """All symbols of files in five languages other than Python, one piece of them for every part."""
-    found, none = declarations.declarations(C.foreign_files(spark, sf_dir)), F.lit(None).cast("int")
+    found, none = declarations.declared_parts(C.foreign_files(spark, sf_dir)), F.lit(None).cast("int")
     row = lambda kind, x, detail, line, last: F.struct(F.lit(kind).alias("kind"), x.alias("name"), detail.alias("detail"), line.alias("line"), last.alias("last"))
     parts = F.concat(
         F.transform("functions", lambda x: row("function", x["name"], F.array_join(x["args"], ","), x["start_line"], x["end_line"])),

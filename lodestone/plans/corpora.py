@@ -175,11 +175,11 @@ PYTHON = [
 
 
 def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, language, code) of Python files, put together of one piece for every part."""
+    """(file, language, code) of Python files, put together of one piece for every part. Keys are gathered, not pieces."""
     key = F.col("p_partkey")
-    piece = F.replace(F.replace(pick(PYTHON, key), F.lit("{0}"), key.cast("string")), F.lit("{1}"), (key % 7).cast("string"))
-    rows = read(spark, sf_dir, "part").groupBy(F.concat(F.lit("lib/p"), (key % 30).cast("string"), F.lit(".py")).alias("file")).agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), piece.alias("piece")))).alias("rows"))
-    return rows.select("file", F.lit("python").alias("language"), F.array_join(F.transform("rows", lambda x: x["piece"]), "\n").alias("code"))
+    piece = lambda k: F.replace(F.replace(pick(PYTHON, k), F.lit("{0}"), k.cast("string")), F.lit("{1}"), (k % 7).cast("string"))
+    rows = read(spark, sf_dir, "part").groupBy(F.concat(F.lit("lib/p"), (key % 30).cast("string"), F.lit(".py")).alias("file")).agg(F.sort_array(F.collect_list(key)).alias("keys"))
+    return rows.select("file", F.lit("python").alias("language"), F.array_join(F.transform("keys", piece), "\n").alias("code"))
 
 
 PYTHON_LINES = f"""p AS (
@@ -199,9 +199,9 @@ SEGMENTS = [(0, 0, 2, False), (0, 1, 3, True), (1, 0, 6, True), (2, 0, 3, False)
 def python_more(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, language, code) of Python files, one piece for every part."""
     key = F.col("p_partkey")
-    piece = F.replace(pick(PYTHON_MORE, key), F.lit("{0}"), key.cast("string"))
-    rows = read(spark, sf_dir, "part").groupBy(F.concat(F.lit("more/p"), (key % 30).cast("string"), F.lit(".py")).alias("path")).agg(F.array_sort(F.collect_list(F.struct((key % 7).alias("o"), key.alias("k"), piece.alias("piece")))).alias("rows"))
-    return rows.select("path", F.lit("python").alias("language"), F.array_join(F.transform("rows", lambda x: x["piece"]), "\n").alias("code"))
+    piece = lambda k: F.replace(pick(PYTHON_MORE, k), F.lit("{0}"), k.cast("string"))
+    rows = read(spark, sf_dir, "part").groupBy(F.concat(F.lit("more/p"), (key % 30).cast("string"), F.lit(".py")).alias("path")).agg(F.sort_array(F.collect_list(F.struct((key % 7).alias("o"), key.alias("k")))).alias("keys"))
+    return rows.select("path", F.lit("python").alias("language"), F.array_join(F.transform("keys", lambda x: piece(x["k"])), "\n").alias("code"))
 
 
 MORE_LINES = f"""p AS (
@@ -227,12 +227,12 @@ SUFFIX_LANGUAGE = {"js": "javascript", "ts": "typescript", "java": "java", "cpp"
 def foreign_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, language, code) of files of five languages, put together of one piece for every part."""
     key = F.col("p_partkey")
-    kind = key % 5 * 2 + F.floor(key / 30) % 2
+    kind = lambda k: k % 5 * 2 + F.floor(k / 30) % 2
     suffix = pick([FOREIGN[2 * i][0] for i in range(5)], key)
-    piece = F.replace(pick([text for _, text, _ in FOREIGN], kind), F.lit("{0}"), key.cast("string"))
+    piece = lambda k: F.replace(pick([text for _, text, _ in FOREIGN], kind(k)), F.lit("{0}"), k.cast("string"))
     rows = read(spark, sf_dir, "part").groupBy(F.concat(F.lit("web/p"), (key % 30).cast("string"), F.lit("."), suffix).alias("path"), pick([SUFFIX_LANGUAGE[FOREIGN[2 * i][0]] for i in range(5)], key).alias("language"))
-    parts = rows.agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), piece.alias("piece")))).alias("rows"))
-    return parts.select("path", "language", F.array_join(F.transform("rows", lambda x: x["piece"]), "\n").alias("code"))
+    parts = rows.agg(F.sort_array(F.collect_list(key)).alias("keys"))
+    return parts.select("path", "language", F.array_join(F.transform("keys", piece), "\n").alias("code"))
 
 
 FOREIGN_SYMBOLS = f"""p AS (

@@ -1,6 +1,7 @@
 """Declarations of other languages than Python on hand-made sources: nesting, comments, strings, missing semicolons."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import declarations
 
@@ -72,3 +73,29 @@ def test_no_python_for_tokens(spark):
 
     rows = files.where("code IS NOT NULL").select("code", F.array_join(declarations.tokens(F.col("language"), F.col("code")), "").alias("again")).collect()
     assert all(r["code"] == r["again"] for r in rows)
+
+
+def test_sections_give_the_same(spark, analyzed):
+    """Sources cut wherever they can be, comments, templates and strings that hold such places included."""
+    odd = {
+        "o.js": ("javascript", "let a = `x;\nfunction no() {}\n`;\nfunction yes(p) {\n}\n/* }\nclass No {}\n*/\nclass Yes {\n}\nvar z = 1;  \nconst f = (q) => {\n}\nof(1);\nlet s = 'it;\\\nlet no = 1';\nvar t = 2;\n"),
+        "r.js": ("javascript", "class Yes {\n}\nvar z = 1;  \nconst f = (q) => {\n}\nof(1);\nlet s = 'it;\\\nlet no = 1';\nvar t = `;\nfunction no() {}\n`;\nvar u = 3;\n"),
+        "o.go": ("go", "type A struct {\n}\nfunc f(a int) {\n}\ntype B int\nfunc g() {\n}\n"),
+        "o.cpp": ("cpp", "#define X {;\nint a;\n#include \"m.h\"\nstruct S {\n};\nint f() {\n}\nint b; // };\nint c;\n} ;\nint d;\n"),
+    }
+    files = spark.createDataFrame([(p, *v) for p, v in (SOURCES | odd).items()], "path string, language string, code string").where(F.col("language").isin(*declarations.LANGUAGES))
+    assert {p: declarations.sections(files.where(f"path = '{p}'"), "path", 1).count() for p in odd} == {"o.js": 1, "r.js": 5, "o.go": 3, "o.cpp": 5}
+    whole, cut = ({(r["path"], kind, tuple(map(str, x))) for r in declarations.declared_parts(files, size=n).collect() for kind in declarations.PARTS for x in r[kind]} for n in (1 << 30, 1))
+    assert whole == cut and {p for p, _, _ in whole} > set(odd)
+
+
+def test_long_sources_are_bounded(spark):
+    """A source of many statements gives many token arrays, none of which is broadcast."""
+    code = "\n".join(f"class C{i} {{\n  int m(int a) {{ return a; }}\n}}" for i in range(5000))
+    files = spark.createDataFrame([("L.java", "java", code)], "path string, language string, code string")
+    parts = declarations.declared_parts(files)
+    assert "SortMergeJoin" in parts._jdf.queryExecution().executedPlan().toString()
+    rows = parts.select("path", F.size("classes").alias("n"), F.col("classes")[0]["start_line"].alias("line")).collect()
+    assert len(rows) > 10 and sum(r["n"] for r in rows) == 5000 and max(r["n"] for r in rows) < 1000
+    whole = declarations.declarations(files).first()
+    assert [c["start_line"] for c in whole["classes"]] == list(range(1, 15001, 3)) and whole["total_lines"] == 15000
