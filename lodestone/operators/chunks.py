@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import lines, strip, uuid5_dns
-from lodestone.operators.symbols import parse
+from lodestone.operators.symbols import blocks
 
 MAX_LINES = 50
 
@@ -35,10 +35,9 @@ def chunk_lines(files: DataFrame, file: str, code: str, size: int = MAX_LINES) -
 
 def tile_starts(code: str, size: int = MAX_LINES) -> list[int]:
     """Start lines of the tiles of a python text: top-level definitions, and what stands between them, tiled apart."""
-    total = len(code.split("\n"))
-    blocks = sorted((b["start"], b["end"]) for b in parse(code)["blocks"])
+    total = code.count("\n") + 1
     cuts, at = [], 0
-    for start, end in blocks:
+    for start, end in sorted(blocks(code)):
         start = max(start, at)
         if start > at:
             cuts.append((at, start))
@@ -61,7 +60,8 @@ def chunk_python(files: DataFrame, file: str, code: str, size: int = MAX_LINES)
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("filepath"), pa.array(map(tiles, batch.column("code").to_pylist()), pa.list_(pa.string()))], names=["filepath", "tiles"])
+            for i in range(batch.num_rows):  # a file's tiles at a time
+                yield pa.RecordBatch.from_arrays([batch.column("filepath").slice(i, 1), pa.array([tiles(batch.column("code")[i].as_py())], pa.list_(pa.string()))], names=["filepath", "tiles"])
 
     rows = files.select(F.col(file).cast("string").alias("filepath"), F.col(code).cast("string").alias("code")).mapInArrow(run, "filepath string, tiles array<string>")
     return _numbered(rows, F.col("tiles"))

@@ -11,7 +11,7 @@ from lodestone.functions.text import indent, let, lines, strip
 from lodestone.operators.rules import found
 from lodestone.operators.security import findings as security_findings
 from lodestone.operators.security import is_code, report, unreadable
-from lodestone.operators.symbols import analyze
+from lodestone.operators.symbols import analyze_parts
 
 # Words that start a function or method in other languages, and what starts a comment line.
 HEADS = ("def ", "function ", "public ", "private ", "protected ", "func ", "static ")
@@ -137,7 +137,7 @@ def _symbol_findings(max_lines: int, max_complexity: int) -> list[tuple[int, Col
 def quality(files: DataFrame, file: str = "path", language: str = "language", code: str = "code", max_lines: int = 50, max_nesting: int = 5, max_complexity: int = 15) -> DataFrame:
     """All quality findings: file, line, check_order, type, severity, category, description, fix_suggestion, evidence.
     Each file is parsed once."""
-    parsed = analyze(files, file, language, code)
+    parsed = analyze_parts(files, file, language, code)
     other = F.coalesce(F.col(language), F.lit("")) != "python"
     by_line = [(0, _unreachable(F.col(code))), (1, F.when(other, _long_blocks(F.col(code), max_lines))), (2, _deep(F.col(code), max_nesting))]
     columns = ("line", "type", "severity", "description", "fix_suggestion", "evidence")

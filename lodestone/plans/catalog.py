@@ -226,7 +226,7 @@ UNION ALL SELECT file, 'class', 'C' || k, 'base.Thing', line, line + 4, NULL FRO
 UNION ALL SELECT file, 'import', 'mod' || (k % 7), 'mod' || (k % 7), line, NULL, NULL FROM p WHERE t = 3 UNION ALL SELECT file, 'variable', 'LIMIT_' || k, 'true', line + 1, NULL, NULL FROM p WHERE t = 3""")
 def python_symbols_files(spark, sf_dir):
     """All symbols of Python files, one of them for every part."""
-    parsed, none = symbols.analyze(C.python_files(spark, sf_dir), "file"), F.lit(None).cast("int")
+    parsed, none = symbols.analyze_parts(C.python_files(spark, sf_dir), "file"), F.lit(None).cast("int")
     row = lambda kind, x, detail, line, last, complexity: F.struct(F.lit(kind).alias("kind"), x.alias("name"), detail.alias("detail"), line.alias("line"), last.alias("last"), complexity.alias("complexity"))
     parts = F.concat(
         F.transform("functions", lambda x: row("function", x["name"], F.array_join(x["args"], ","), x["start_line"], x["end_line"], x["complexity"])),
@@ -372,7 +372,7 @@ def python_classes_files(spark, sf_dir):
         F.transform("imports", lambda x: row("import", x["module"], text(F.array_join(x["names"], ","), x["is_from_import"]), x["line"])),
         F.transform("variables", lambda x: row("variable", x["name"], text(x["annotation"], x["is_constant"]), x["line"])),
     )
-    return symbols.analyze(C.python_more(spark, sf_dir)).select("path", F.explode(parts).alias("s")).select("path", "s.*")
+    return symbols.analyze_parts(C.python_more(spark, sf_dir)).select("path", F.explode(parts).alias("s")).select("path", "s.*")
 
 
 @query(f"WITH {C.MORE_LINES} SELECT path, line, 'low_' || k AS name, 'class' AS kind FROM p WHERE t = 1")
