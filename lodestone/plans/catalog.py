@@ -377,7 +377,7 @@ def python_classes_files(spark, sf_dir):
 
 @query(f"WITH {C.MORE_LINES} SELECT path, line, 'low_' || k AS name, 'class' AS kind FROM p WHERE t = 1")
 def naming_files(spark, sf_dir):
-    found = symbols.analyze(C.python_more(spark, sf_dir))
+    found = symbols.analyze_parts(C.python_more(spark, sf_dir))
     return quality.naming(symbols.symbols(found, "functions"), symbols.symbols(found, "classes"), "path").select("path", "line", "name", "kind")
 
 
