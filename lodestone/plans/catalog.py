@@ -355,7 +355,7 @@ SELECT path, 'd' || k AS name, 'a' AS args, 'prop,wrap' AS decorators, 'int' AS
 UNION ALL SELECT path, 'go_' || k, 'self,x', 'staticmethod', NULL, NULL, line + 3, line + 5, TRUE, TRUE FROM p WHERE t = 1
 UNION ALL SELECT path, 'inner', '', '', NULL, NULL, line + 4, line + 4, FALSE, FALSE FROM p WHERE t = 1""")
 def python_functions_files(spark, sf_dir):
-    f = symbols.symbols(symbols.analyze(C.python_more(spark, sf_dir)), "functions")
+    f = symbols.symbols(symbols.analyze_parts(C.python_more(spark, sf_dir)), "functions")
     return f.select("path", "name", F.array_join("args", ",").alias("args"), F.array_join("decorators", ",").alias("decorators"), "return_annotation", "docstring", "start_line", "end_line", "is_method", "is_async")
 
 
