@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import let, split_lines, strip
-from lodestone.operators.symbols import SCHEMA, analyze
+from lodestone.operators.symbols import SCHEMA, analyze, analyze_parts
 
 LANGUAGES = ("javascript", "typescript", "java", "cpp", "go")
 ANONYMOUS = "<anonymous>"
@@ -375,3 +375,15 @@ def analyze_all(files: DataFrame, file: str = "path") -> DataFrame:
     """symbols.analyze for files of all languages: python by its parser, LANGUAGES by their tokens, others not valid."""
     other = ~F.coalesce(F.col("language").isin(*LANGUAGES), F.lit(False))
     return analyze(files.where(other), file).unionByName(declarations(files, file))
+
+
+def analyze_all_parts(files: DataFrame, file: str = "path") -> DataFrame:
+    """analyze_all in parts, for plans that take symbols one by one: for a file in LANGUAGES its own row, with part 0 and no
+    symbols, and one for each section, with parts from 1."""
+    mine = F.coalesce(F.col("language").isin(*LANGUAGES), F.lit(False))
+    none = [F.array().cast(_KINDS[p]).alias(p) for p in PARTS]
+    own = files.where(mine).select(F.col(file).cast("string").alias(file), "language", F.lit(0).alias("part"), *none)
+    found = declared_parts(files, file).select(file, F.lit("").alias("language"), (F.col("section") + 1).alias("part"), *PARTS)
+    facts = [F.lit(True).alias("valid"), F.lit(None).cast("string").alias("error")]
+    names = [file, "language", "part", "valid", "error", *PARTS]
+    return analyze_parts(files.where(~mine), file).select(*names).unionByName(own.unionByName(found).select("*", *facts).select(*names))

@@ -261,7 +261,7 @@ s AS (""", 1))
 def repository_summary_files(spark, sf_dir):
     """Totals over files of six languages, made of every part twice."""
     python = C.python_files(spark, sf_dir).select(F.col("file").alias("path"), "language", "code")
-    return symbols.repository_summary(declarations.analyze_all(python.unionByName(C.foreign_files(spark, sf_dir))))
+    return symbols.repository_summary(declarations.analyze_all_parts(python.unionByName(C.foreign_files(spark, sf_dir))))
 
 
 @query(f"""WITH {C.PYTHON_LINES}

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import declarations
+from lodestone.operators import declarations, symbols
 
 SOURCES = {
     "a.js": ("javascript", "import React, { useState } from 'react';\nimport './side.css';\n// function no() {}\nexport async function load(a, b = 1, ...rest) {\n  const x = `tpl ${a}\n  function nope() {}`;\n  for (const k of a) { let inner = k; }\n  return x => x + 1;\n}\nexport default class Box extends Base {\n  constructor(w, h) { super(w); this.w = w; }\n  static async get(id) {\n    return [1, 2].map((v) => v);\n  }\n  get area() { return this.w }\n}\nvar LIMIT = 10, other = 2\nconst { p, q } = load(1, 2);\nconst add = (m, n) => {\n  return m + n;\n}\nlet s = \"it's /* no */ fine\";\nif (s) { run(); }\nconst re = /[\"']{/g;\n"),
@@ -99,3 +99,12 @@ def test_long_sources_are_bounded(spark):
     assert len(rows) > 10 and sum(r["n"] for r in rows) == 5000 and max(r["n"] for r in rows) < 1000
     whole = declarations.declarations(files).first()
     assert [c["start_line"] for c in whole["classes"]] == list(range(1, 15001, 3)) and whole["total_lines"] == 15000
+
+
+def test_totals_of_parts(spark):
+    """Totals over parts are those over whole files, and no row holds a whole long one."""
+    long_ = {"L.java": ("java", "\n".join(f"class C{i} {{\n  int m(int a) {{ return a; }}\n}}" for i in range(3000))), "l.py": ("python", "def f(): pass\n" * 9000)}
+    files = spark.createDataFrame([(p, *v) for p, v in (SOURCES | long_).items()], "path string, language string, code string")
+    parts = declarations.analyze_all_parts(files)
+    assert symbols.repository_summary(parts).collect() == symbols.repository_summary(declarations.analyze_all(files)).collect()
+    assert parts.agg(F.max(F.size("functions"))).first()[0] < 3000
