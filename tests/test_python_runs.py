@@ -55,3 +55,13 @@ def test_parts(spark):
         one, other = (symbols.symbols(d, kind).drop("ordinal").withColumn("x", F.lit(1)) for d in (whole, parts))
         assert one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty() and not one.isEmpty()
     assert quality.quality(files).where("type = 'Naming Convention Violation'").count() == 2 * 40 * 8  # Bad and low_ of each, of a.py alone
+
+
+def test_tiles_of_a_long_source(spark):
+    """Tiles of a source of many runs keep within definitions, and together are the source."""
+    code = "\n".join(PIECES * 8)
+    files = spark.createDataFrame([("a.py", code)], "path string, code string")
+    rows = chunks.chunk_python(files, "path", "code", 4).orderBy("chunk_index").collect()
+    assert "\n".join(r["content"] for r in rows) == code and [r["chunk_index"] for r in rows] == list(range(len(rows)))
+    starts = {b["start"] for b in symbols.parse(code, 1 << 30)["blocks"]}
+    assert len(code) > 4 * symbols.RUN and starts <= set(chunks.tile_starts(code, 4))
