@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from lodestone.functions.text import lines, strip, uuid5_dns
 from lodestone.operators.symbols import blocks
 
 MAX_LINES = 50
+PART = 4096  # tiles
 
 
 def chunk_id(filepath, index):
@@ -33,38 +35,48 @@ def chunk_lines(files: DataFrame, file: str, code: str, size: int = MAX_LINES) -
     return _numbered(rows.where("rows IS NOT NULL"), tiles)
 
 
+def _tile_starts(code: str, size: int) -> Iterator[int]:
+    at, total = 0, code.count("\n") + 1
+    for start, end in [*sorted(blocks(code)), (total, total)]:
+        start = max(start, at)
+        yield from range(at, start, size)
+        yield from range(start, end, size)
+        at = max(end, start)
+
+
 def tile_starts(code: str, size: int = MAX_LINES) -> list[int]:
     """Start lines of the tiles of a python text: top-level definitions, and what stands between them, tiled apart."""
-    total = code.count("\n") + 1
-    cuts, at = [], 0
-    for start, end in sorted(blocks(code)):
-        start = max(start, at)
-        if start > at:
-            cuts.append((at, start))
-        if end > start:
-            cuts.append((start, end))
-            at = end
-    if at < total:
-        cuts.append((at, total))
-    return [i for start, end in cuts for i in range(start, end, size)]
+    return list(_tile_starts(code, size))
+
+
+def _tiles(code: str, size: int) -> Iterator[str]:
+    """The tiles of a python text, one after the other."""
+    starts, at, line = _tile_starts(code, size), 0, 0
+    next(starts)
+    for stop in starts:
+        end = at
+        for _ in range(stop - line):
+            end = code.find("\n", end) + 1 or len(code) + 1  # the parser also counts lines that end otherwise
+        yield code[at : end - 1]
+        at, line = end, stop
+    yield code[at:]
 
 
 def chunk_python(files: DataFrame, file: str, code: str, size: int = MAX_LINES) -> DataFrame:
     """Like chunk_lines, but no tile reaches over the border of a top-level function or class. Texts that do not parse
-    are tiled by lines."""
+    are tiled by lines. No row grows with a file: its tiles come in rows of PART."""
     import pyarrow as pa
 
-    def tiles(code: str | None) -> list[str]:
-        text, starts = (code or "").split("\n"), tile_starts(code or "", size)
-        return ["\n".join(text[a:z]) for a, z in zip(starts, [*starts[1:], len(text)])]
-
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):  # a file's tiles at a time
-                yield pa.RecordBatch.from_arrays([batch.column("filepath").slice(i, 1), pa.array([tiles(batch.column("code")[i].as_py())], pa.list_(pa.string()))], names=["filepath", "tiles"])
+            for i in range(batch.num_rows):
+                tiles = enumerate(t for t in _tiles(batch.column("code")[i].as_py() or "", size) if t and not t.isspace())
+                while some := list(islice(tiles, PART)):
+                    yield pa.RecordBatch.from_arrays([batch.column("filepath").slice(i, 1), pa.array([some[0][0]], pa.int32()), pa.array([[t for _, t in some]], pa.list_(pa.string()))], names=["filepath", "first", "tiles"])
 
-    rows = files.select(F.col(file).cast("string").alias("filepath"), F.col(code).cast("string").alias("code")).mapInArrow(run, "filepath string, tiles array<string>")
-    return _numbered(rows, F.col("tiles"))
+    rows = files.select(F.col(file).cast("string").alias("filepath"), F.col(code).cast("string").alias("code")).mapInArrow(run, "filepath string, first int, tiles array<string>")
+    kept = rows.select("filepath", "first", F.posexplode("tiles").alias("pos", "content")).withColumn("chunk_index", F.col("first") + F.col("pos"))
+    return kept.select(chunk_id(F.col("filepath"), F.col("chunk_index")).alias("id"), "filepath", "chunk_index", "content")
 
 
 def mock_vector(text: str, dim: int) -> list[float]:

@@ -65,3 +65,11 @@ def test_tiles_of_a_long_source(spark):
     assert "\n".join(r["content"] for r in rows) == code and [r["chunk_index"] for r in rows] == list(range(len(rows)))
     starts = {b["start"] for b in symbols.parse(code, 1 << 30)["blocks"]}
     assert len(code) > 4 * symbols.RUN and starts <= set(chunks.tile_starts(code, 4))
+
+
+@pytest.mark.parametrize("code", [*ODD, "def f(): pass\r\r\r\rdef g(): pass\n", "x\n" * 9])
+def test_tiles_one_by_one(code):
+    """Tiles come as a stream and are the lines between their starts."""
+    for size in (1, 4):
+        starts, lines = chunks.tile_starts(code, size), code.split("\n")
+        assert list(chunks._tiles(code, size)) == ["\n".join(lines[a:z]) for a, z in zip(starts, [*starts[1:], len(lines)])]
