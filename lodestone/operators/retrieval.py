@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions.lineage import cut
 from lodestone.functions.text import module_lenient, tokens
-from lodestone.operators import keyword
+from lodestone.operators import keyword_scan
 
 K1, B, RRF, PLACES = 1.5, 0.75, 60, 6
 TILE_BYTES, GROUP_BYTES, BLOCK_ROWS, BLOCK_QUERIES = 16 << 20, 256 << 20, 4096, 1024
@@ -201,7 +201,6 @@ def hybrid(chunks: DataFrame, queries: DataFrame, edges: DataFrame, k: int = 5)
     leg the best keyword_depth(k) count, and the vector hits, with their ranks among all scored documents. Blank queries have none."""
     asked = queries.where(F.size(tokens(F.col("query_text"))) > 0)
     near = cut(vector_topk(chunks, asked, 3 * k))
-    index = keyword.build(chunks, only=keyword.asked_terms(asked))
-    fused = fuse(near, keyword.ranks_with(index, asked, near, keyword_depth(k)), k)
+    fused = fuse(near, keyword_scan.ranks_of(chunks, asked, near, keyword_depth(k)), k)
     out = expand(fused, chunks, edges, k)
     return out.join(chunks.select("id", F.col("filepath").alias("source_file"), "content"), "id")

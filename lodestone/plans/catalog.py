@@ -11,7 +11,7 @@ from lodestone.functions import paths as P
 from lodestone.functions import text as T
 from lodestone.functions.lineage import cut
 from lodestone.functions.stage_log import StageLog
-from lodestone.operators import chunks, declarations, graph, keyword, quality, retrieval, review, rules, security, symbols
+from lodestone.operators import chunks, declarations, graph, keyword, keyword_scan, quality, retrieval, review, rules, security, symbols
 from lodestone.plans import corpora as C
 from lodestone.plans.corpora import literal, read
 from lodestone.sources import tree
@@ -584,7 +584,8 @@ def _fused(spark, sf_dir):
     """Every benchmark item as a query; its vector, where there is one, is the one of the same id."""
     items = _items(spark, sf_dir)
     near = cut(_vec(spark, sf_dir, 15, items.select(F.col("query_id").alias("vec_id"))))
-    return retrieval.fuse(near, keyword.ranks_with(_index(spark, sf_dir, items), items, near, retrieval.keyword_depth(5)), 5)
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return retrieval.fuse(near, keyword_scan.ranks_of(documents, items, near, retrieval.keyword_depth(5), "doc_id", "text"), 5)
 
 
 @query(
