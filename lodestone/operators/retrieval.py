@@ -188,10 +188,14 @@ def expand(fused: DataFrame, chunks: DataFrame, edges: DataFrame, k: int, id_col
     where = chunks.select(F.col(id_col).alias("id"), module_lenient(F.col(file_col)).alias("module"))
     both = edges.select(F.col("src").alias("module"), F.col("dst").alias("near"), F.lit(0).alias("side")).unionByName(edges.select(F.col("dst").alias("module"), F.col("src").alias("near"), F.lit(1).alias("side"))).distinct()
     steps = fused.join(where, "id").join(both, "module").select("query_id", F.col("rank").alias("parent"), F.col("score").alias("from_score"), "side", "near")
-    found = steps.join(where.withColumnRenamed("module", "near"), "near").join(fused.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    half = max(1, k // 2)
+    # of a module no more than its first chunks can be appended: k at most are results, and `half` are enough
+    least = Window.partitionBy("module").orderBy("id")
+    first_ids = where.withColumn("nth", F.dense_rank().over(least)).where(F.col("nth") <= k + half).select("id", F.col("module").alias("near")).distinct()
+    found = steps.join(first_ids, "near").join(fused.select("query_id", "id"), ["query_id", "id"], "left_anti")
     first = Window.partitionBy("query_id", "id").orderBy("parent", "side", "near")
     order = Window.partitionBy("query_id").orderBy("parent", "side", "near", "id")
-    fresh = found.withColumn("nth", F.row_number().over(first)).where("nth = 1").withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, k // 2))
+    fresh = found.withColumn("nth", F.row_number().over(first)).where("nth = 1").withColumn("place", F.row_number().over(order)).where(F.col("place") <= half)
     added = fresh.select("query_id", "id", F.round(F.col("from_score") * 0.8, 4).alias("score"), F.lit("graph_expansion").alias("retrieval_method"), (F.col("place") + k).alias("rank"))
     return fused.unionByName(added.select(*fused.columns))
 

@@ -56,3 +56,25 @@ def test_pairs_are_not_shuffled(spark):
     before = shuffled(spark)
     assert keyword_scan.ranks_of(chunks, queries, also, 6).count() >= 360
     assert shuffled(spark) - before < 60 * 2000 / 5
+
+
+def test_expansion_is_not_all_of_a_module(spark):
+    """Few modules, each of many chunks: all but the first few ids of a module cannot be appended."""
+    chunks = spark.createDataFrame([(i, f"m{i % 4}.py") for i in range(2000)] + [(3, "m0.py"), (None, "m1.py"), (None, "m1.py")], "id long, filepath string").repartition(2)
+    edges = spark.createDataFrame([("m0", "m1"), ("m1", "m2"), ("m2", "m0"), ("m3", "m3")], "src string, dst string")
+    tops = {q: [(q * 7 + j * j) % 40 for j in range(5)] for q in range(60)}
+    fused = spark.createDataFrame([(q, i, 1.0, "x", r) for q, ids in tops.items() for r, i in enumerate(dict.fromkeys(ids), 1)], "query_id long, id long, score double, retrieval_method string, rank int")
+    before = shuffled(spark)
+    got = collections.defaultdict(list)
+    for r in sorted(retrieval.expand(fused, chunks, edges, 5).where("retrieval_method = 'graph_expansion'").collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append(r["id"])
+    assert shuffled(spark) - before < 60 * 2000 / 5
+    lead = {"m0": ["m1", "m2"], "m1": ["m2", "m0"], "m2": ["m0", "m1"], "m3": ["m3", "m3"]}
+    held = lambda m: sorted([i for i in range(2000) if i % 4 == int(m[1])] + ([3] if m == "m0" else []))
+    for q, ids in tops.items():
+        want, ids = [], list(dict.fromkeys(ids))
+        for i in ids:
+            steps = [s for m in ([f"m{i % 4}"] + (["m0"] if i == 3 else [])) for s in enumerate(lead[m])]
+            for _, near in sorted(steps):
+                want += [d for d in ([None] if near == "m1" else []) + held(near)[:20] if d not in ids and d not in want]
+        assert got[q] == want[:2], q
