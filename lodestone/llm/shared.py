@@ -61,6 +61,25 @@ def sliced(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
+BITS_A_KEY, MOST_BITS, BUCKET = 16, 1 << 27, 1 << 15
+
+
+def perhaps(rows: DataFrame, key: list[Column], keys: DataFrame, of: list[Column], flag: str) -> DataFrame:
+    """`rows` with a column `flag`: false where `key` is surely not among the keys `of` in the table `keys`, true where it
+    is or (1 row in 16 while bits suffice) its bit is set by another. An exact join of the true ones follows, so that rows
+    with long texts need not be shuffled to learn that nothing matches them. The bits are broadcast, 16 MB at most."""
+    bits = min(MOST_BITS, max(BUCKET, 1 << (keys.count() * BITS_A_KEY - 1).bit_length()))
+    slot = lambda columns: F.pmod(F.xxhash64(F.lit("perhaps"), *columns), F.lit(bits))
+    held, bucket, place = f"{flag}_bits", f"{flag}_bucket", f"{flag}_place"
+    sets = keys.select(slot(of).alias("slot")).select(F.floor(F.col("slot") / BUCKET).alias(bucket), (F.col("slot") % BUCKET).alias("place"))
+    sets = sets.groupBy(bucket).agg(F.bitmap_construct_agg("place").alias(held))
+    at = rows.withColumn(place, slot(key))
+    found = at.join(F.broadcast(sets), F.floor(F.col(place) / BUCKET) == F.col(bucket), "left")
+    byte = F.conv(F.hex(F.substring(F.col(held), (F.floor(F.col(place) % BUCKET / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.expr(f"shiftright(256, 8 - cast(`{place}` % 8 as int))").bitwiseAND(byte) != 0
+    return found.withColumn(flag, F.coalesce(is_set, F.lit(False))).drop(held, bucket, place)
+
+
 class Scratch:
     """Context in which settled tables are scratch: they are deleted at its end, but for those that `keep` names."""
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import forget, settle
+from lodestone.llm.shared import forget, perhaps, settle
 
 RADIUS, SPLIT, BITS, WORDS = 3, 1024, 64, 3
 _NO_ID = 2**63 - 1
@@ -222,8 +222,8 @@ def near_duplicates(documents: DataFrame, split: int = SPLIT) -> DataFrame:
 def keep_first(documents: DataFrame, split: int = SPLIT, rows: DataFrame | None = None) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest doc_id (rows without one come last; of one
     id the smallest hash of the text). A row that comes more than once with one id and text stays once. `rows` (doc_id,
-    h1, h2, comp) are components of another rule. The rows to drop are joined to the documents, not those to keep, so
-    texts only move where these are too many to broadcast."""
+    h1, h2, comp) are components of another rule. The rows to drop are joined to the documents, not those to keep, and
+    only to documents that may be among them: the texts of the others are never shuffled."""
     rows = settle((grouped(documents, split) if rows is None else rows).select("doc_id", "h1", "h2", "comp"), "simhash-rows")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2")
     several = rows.groupBy(F.col("comp").alias("of")).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -235,6 +235,10 @@ def keep_first(documents: DataFrame, split: int = SPLIT, rows: DataFrame | None
     marked = marked.select(*[F.col(f"kept_{c}").alias(f"{clash}{c}") for c in ("doc_id", "h1", "h2")], "is_first")
     h1, h2 = text_key(F.col("text").cast("string"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{clash}doc_id")) & (h1 == F.col(f"{clash}h1")) & (h2 == F.col(f"{clash}h2"))
-    out = documents.join(marked, same, "left_anti")
+    flag = f"{clash}perhaps"
+    key = lambda doc_id, h1, h2: [F.coalesce(doc_id, F.lit(_NO_ID)), h1, h2]
+    known = perhaps(documents, key(F.col("doc_id").cast("long"), h1, h2), marked, key(*[F.col(f"{clash}{c}") for c in ("doc_id", "h1", "h2")]), flag)
+    maybe = known.where(flag).drop(flag)
+    out = known.where(~F.col(flag)).drop(flag).unionByName(maybe.join(marked, same, "left_anti"))
     repeated = marked.where("is_first").drop("is_first")
-    return out if repeated.isEmpty() else out.unionByName(documents.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out if repeated.isEmpty() else out.unionByName(maybe.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))

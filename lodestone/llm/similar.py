@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import settle, sliced
+from lodestone.llm.shared import perhaps, settle, sliced
 from lodestone.llm.simhash import _NO_ID, BITS, BKTree, components, keep_first, text_key
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 25, 4
@@ -204,10 +204,11 @@ def grouped_similar(documents: DataFrame, most: int = MOST) -> DataFrame:
     met = shards_of(groups, most).join(groups.select(F.col("fp").alias("who"), "sketch"), F.col("fp") == F.col("who")).groupBy("shard", "tile").agg(F.collect_list(F.struct("fp", "sketch")).alias("members"))
     shards = settle(met.mapInArrow(_near, "shard long, tile long, fp long"), "similar-shards")
     asked = settle(shards.select("fp").distinct().join(groups.select("fp", "rep", "one"), "fp").select(F.col("fp").alias("asked"), "rep", F.col("one.h1").alias("a1"), F.col("one.h2").alias("a2")), "similar-asked")
-    read = rows.join(asked, (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2"))).dropDuplicates(["h1", "h2"]).select("asked", "rep", "text")
+    some = perhaps(rows, [F.col("h1"), F.col("h2")], asked, [F.col("a1"), F.col("a2")], "perhaps").where("perhaps").drop("perhaps")
+    read = some.join(asked, (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2"))).dropDuplicates(["h1", "h2"]).select("asked", "rep", "text")
     sets = read.mapInArrow(_sets, "asked long, rep long, shingles binary")
     members = shards.join(sets, F.col("fp") == F.col("asked")).groupBy("shard", "tile").agg(F.collect_list(F.struct("fp", "rep", "shingles")).alias("members"))
-    links = members.select("members").mapInArrow(_confirmed, "a long, b long").distinct()
+    links = settle(members.select("members").mapInArrow(_confirmed, "a long, b long").distinct(), "similar-links")  # read twice below
     mine = groups.select("fp", "rep")
     named = mine.join(components(mine, links), "fp", "left").select(F.col("fp").alias("own"), F.coalesce("lab.rep", "rep").alias("least"), F.coalesce("lab.fp", "fp").alias("comp"))
     return prints.drop("size", "keys", "sketch").join(named, F.col("fp") == F.col("own"), "left").drop("own", "fp")

@@ -1,8 +1,20 @@
 """Near-duplicates at Jaccard 0.8 over five words, against all pairs."""
 
+import random
+
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 from lodestone.llm import simhash, similar
+from lodestone.llm.shared import perhaps, settle
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    gateway = spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
 def slow_components(rows):
@@ -69,3 +81,30 @@ def test_split_shards_lose_no_link(spark):
         tiles.setdefault((r["shard"], r["tile"]), set()).add(r["fp"])
     met = {(a, b) for t in tiles.values() for a in t for b in t}
     assert met == {(a, b) for a in range(30) for b in range(30)} and len({s for s, _ in tiles}) == 1 and max(map(len, tiles.values())) < 20
+
+
+def test_texts_that_match_nothing_are_not_moved(spark):
+    """With joins by shuffle, as for large tables: few near copies among many texts, and each set is built once."""
+    draw = random.Random(4)
+    rows = [(i, " ".join(str(draw.random()) for _ in range(300))) for i in range(1500)]
+    rows += [(2000 + i, rows[i][1] + " more") for i in range(40)] + [(i, rows[i][1]) for i in range(5)] + [(None, rows[3][1])]
+    table = settle(spark.createDataFrame(rows, "doc_id long, text string"), "test-texts")
+    size = sum(len(t) for _, t in rows)
+    before, was = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(map(tuple, similar.keep_first_similar(table).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == sorted(rows[:1500])
+    moved = shuffled(spark) - before
+    print("moved", moved, "of", size)
+    assert moved < size / 2
+
+
+def test_perhaps(spark):
+    keys = spark.range(0, 3000, 3).select(F.col("id").alias("k"))
+    rows = spark.range(6000)
+    got = {r["id"]: r["yes"] for r in perhaps(rows, [F.col("id")], keys, [F.col("k")], "yes").collect()}
+    assert len(got) == 6000 and all(got[i] for i in range(0, 3000, 3)) and sum(got.values()) < 1000 + 5000 / 8
+    assert perhaps(rows, [F.col("id")], keys.where("k < 0"), [F.col("k")], "yes").where("yes").count() == 0
